@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from hostlens.llm._common import slices
-from hostlens.llm.pieces import PieceEncoder
+from hostlens.llm.pieces import PieceEncoder, runs
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The pattern of the byte-level pre-tokenizer; a fixed value of the format.
@@ -151,7 +151,7 @@ class PrefixEncoder:
 def prefix_encoder(path: str) -> tuple[PrefixEncoder, PieceEncoder]:
     """One encoder for each worker process, with its piece cache."""
     encoder = PrefixEncoder(path)
-    return encoder, PieceEncoder(encoder.encode_many, tuple(encoder.special))
+    return encoder, PieceEncoder(lambda texts: runs(encoder.encode_many(texts)), tuple(encoder.special))
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -167,8 +167,8 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = prefix_encoder(path)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                ids, counts = pieces([x or "" for x in part.column("__text").to_pylist()])
+            for part in slices(batch, "__text", 4 << 20):
+                ids, counts = pieces(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), packed_ids(ids, counts), pa.array(counts, pa.int64())], [*names, out, "n_tokens"])
 
     return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, schema)

@@ -8,71 +8,83 @@ itself is one token and the whole text goes to the tokenizer instead.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from hostlens.llm._common import ragged
 
-RUN = re.compile(r"\s{3}")  # of more characters than the tokenizers take for white space, which is safe
+#: All characters that any of the libraries takes for white space, and a run of three.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+RUN = f"[{SPACE}]{{3}}"
+#: A space, then text without white space at its ends: such pieces can stand in a row and don't affect each other.
+CLEAN = rf"\A [^{SPACE}]\z|\A [^{SPACE}](?s:.*)[^{SPACE}]\z"
 
 
-class _Codes(dict):
-    """New keys get the next code and are noted."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]  #: ids, and where each piece's run of them starts and how long it is
 
-    def __init__(self, owner: PieceEncoder, prefix: str):
-        super().__init__()
-        self.owner, self.prefix = owner, prefix
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = code = self.owner.add(self.prefix + piece)
-        return code
+def runs(ids: list[list[int]]) -> Runs:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
 
 
 class PieceEncoder:
     """Ids of texts by way of ``encode_many`` for unseen pieces. Forgets all pieces when there are over ``most``."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], special: tuple[str, ...] = (), most: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], Runs], special: tuple[str, ...] = (), most: int = 600_000):
         self.encode_many, self.special, self.most = encode_many, special, most
         self._forget()
 
     def _forget(self) -> None:
-        self.first, self.rest = _Codes(self, ""), _Codes(self, " ")
+        self.code: dict[str, int] = {}
         self.new: list[str] = []
         self.n = 0
-        self.starts, self.lengths, self.ids = (np.empty(0, np.int64) for _ in range(3))
-        self.ids = self.ids.astype(np.int32)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
 
-    def add(self, piece: str) -> int:
+    def _add(self, piece: str) -> int:
         self.new.append(piece)
         self.n += 1
         return self.n - 1
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of ids of each."""
+    def _codes(self, distinct: list[str]) -> np.ndarray:
+        get, found = self.code.get, np.empty(len(distinct), np.int64)
+        for k, piece in enumerate(distinct):
+            code = get(piece)
+            if code is None:
+                code = self.code[piece] = self._add(piece)
+            found[k] = code
+        return found
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after another, and the number of ids of each."""
         if self.n > self.most:
             self._forget()
-        codes: list[int] = []
-        counts = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            before = len(codes)
-            if RUN.search(text) or any(s in text for s in self.special):
-                codes.append(self.add(text))
-            else:
-                head, *rest = text.split(" ")
-                codes.append(self.first[head])
-                codes.extend(map(self.rest.__getitem__, rest))
-            counts[k] = len(codes) - before
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = pc.match_substring_regex(texts, RUN)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        whole = whole.to_numpy(zero_copy_only=False)
+        # Cut before each space; every piece but a text's first then gets its space back.
+        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        offsets = lists.offsets.to_numpy()
+        counts, flat = np.diff(offsets), lists.values[offsets[0] : offsets[-1]]
+        heads = (offsets[:-1] - offsets[0]).astype(np.int64)
+        table = flat.dictionary_encode()
+        at = self._codes([f" {x}" for x in table.dictionary.to_pylist()])[table.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+        at[heads] = self._codes(flat.take(pa.array(heads)).to_pylist())
+        for k in np.flatnonzero(whole):
+            at[heads[k]] = self._add(texts[k].as_py())
         if self.new:
-            made = list(self.encode_many(self.new))
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum()))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            added, starts, sizes = self.encode_many(self.new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
             self.lengths = np.concatenate([self.lengths, sizes])
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids = np.concatenate([self.ids, added])
             self.new = []
-        at = np.array(codes, np.int64)
         sizes = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(counts)])

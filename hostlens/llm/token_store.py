@@ -24,13 +24,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hostlens.llm._common import partitions, ragged, shared_dir, slices
-from hostlens.llm.bpe import tokenizer_path
-from hostlens.llm.pieces import PieceEncoder
+from hostlens.llm.bpe import LARGE, byte_letters, tokenizer_path
+from hostlens.llm.pieces import CLEAN, PieceEncoder, Runs, runs
 
 MAGIC = b"TFR1"
 BLOCK = 256
@@ -127,10 +128,42 @@ def library_encoder(path: str) -> PieceEncoder:
     tokenizer.no_padding()
     special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
-    def encode_many(texts: list[str]) -> Iterator[list[int]]:
-        for i in range(0, len(texts), 2000):
-            for x in tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False):
-                yield x.ids
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    letters = byte_letters()
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(token) if all(c in letters for c in token) else LARGE
+
+    def encode_many(texts: list[str]) -> Runs:
+        """Clean pieces go in rows of many to save calls; token sizes tell where each ends. The others go one by one."""
+        column = pa.array(texts, pa.string())
+        clean = pc.match_substring_regex(column, CLEAN)
+        for s in special:
+            clean = pc.and_(clean, pc.invert(pc.match_substring(column, s)))
+        clean = clean.to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(column).to_numpy().astype(np.int64)
+        starts, counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        flat, total = [], 0
+        rows = np.split(np.flatnonzero(clean), range(2000, int(clean.sum()), 2000)) if clean.any() else []
+        joined = ["".join(texts[k] for k in row) for row in rows]
+        for row, x in zip(rows, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.int32)
+            ends, cuts = np.cumsum(sizes[ids]), np.cumsum(lengths[row])
+            last = np.searchsorted(ends, cuts)
+            if ends[-1] != cuts[-1] or (ends[last] != cuts).any():
+                clean[row] = False
+                continue
+            counts[row] = np.diff(last, prepend=-1)
+            starts[row] = total + np.cumsum(counts[row]) - counts[row]
+            flat.append(ids)
+            total += len(ids)
+        alone = np.flatnonzero(~clean)
+        for i in range(0, len(alone), 2000):
+            some = alone[i : i + 2000]
+            ids, begins, counts[some] = runs([x.ids for x in tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)])
+            starts[some] = total + begins
+            flat.append(ids)
+            total += len(ids)
+        return np.concatenate([np.empty(0, np.int32), *flat]), starts, counts
 
     return PieceEncoder(encode_many, special)
 
@@ -147,8 +180,8 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part, seq, encoder = TaskContext.get().partitionId(), 0, library_encoder(tokenizer)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, counts = encoder([x or "" for x in piece.column("text").to_pylist()])
+            for piece in slices(batch, "text", 4 << 20):
+                ids, counts = encoder(piece.column("text"))
                 spots = np.cumsum(counts)
                 held.append((np.array(piece.column("id").fill_null(NONE)), counts + 1, np.insert(ids, spots, end)))
                 if sum(len(x[2]) for x in held) >= SHARD_IDS:
