@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, media, token_store
+from hostlens.llm import bpe, media, quality, token_store
 from hostlens.llm._common import table
 
 
@@ -28,10 +28,18 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_png(media.with_png(docs))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on_labels(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rows = quality.scored(docs, model)
+    return rows.select("doc_id", (quality.fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_store": op3_token_store,
     "op9_media_columns": op9_media_columns,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
