@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, licenses, media, mixing, quality, token_store
+from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, quality, token_store
 from hostlens.llm._common import table
 
 
+def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = bpe.decode(bpe.encode(docs))
@@ -49,6 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_store": op3_token_store,
     "op4_chat_format": op4_chat_format,

@@ -39,7 +39,7 @@ PERCENTILE = 92  #: of a block's values that the packed width must hold
 SHARD_IDS = 1 << 20  #: a shard image is closed when it has so many ids
 END = 2  #: id appended to each document
 NONE = -(1 << 63)  #: stands for a null doc_id
-SHARDS = "shard_part int, shard_seq long, n_docs long, n_ids long, image binary"
+SHARDS = "shard_part int, shard_seq long, before long, n_docs long, n_ids long, image binary"
 
 
 def encode_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -177,7 +177,7 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, library_encoder(tokenizer)
+        part, seq, before, encoder = TaskContext.get().partitionId(), 0, 0, library_encoder(tokenizer)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
@@ -185,15 +185,15 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 spots = np.cumsum(counts)
                 held.append((np.array(piece.column("id").fill_null(NONE)), counts + 1, np.insert(ids, spots, end)))
                 if sum(len(x[2]) for x in held) >= SHARD_IDS:
-                    yield shard(part, seq, held)
-                    seq, held = seq + 1, []
+                    yield shard(part, seq, before, held)
+                    seq, before, held = seq + 1, before + sum(len(x[2]) for x in held), []
         if held:
-            yield shard(part, seq, held)
+            yield shard(part, seq, before, held)
 
-    def shard(part: int, seq: int, held: list) -> pa.RecordBatch:
+    def shard(part: int, seq: int, before: int, held: list) -> pa.RecordBatch:
         doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        row = [[part], [seq], [len(doc_ids)], [len(ids)], [encode_image(doc_ids, counts, ids)]]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["shard_part", "shard_seq", "n_docs", "n_ids", "image"])
+        row = [[part], [seq], [before], [len(doc_ids)], [len(ids)], [encode_image(doc_ids, counts, ids)]]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["shard_part", "shard_seq", "before", "n_docs", "n_ids", "image"])
 
     path = path or f"{shared_dir(spark)}/tokens"
     ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
@@ -203,12 +203,9 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids (binary)."""
     shards = spark.read.schema(SHARDS).parquet(path)
-    sizes = shards.select("shard_part", "shard_seq", "n_ids")
-    parts = sizes.groupBy("shard_part").agg(F.sum("n_ids").alias("n"))
-    # One row per partition of the writing job, so this window's single task is small whatever the corpus holds.
-    before = parts.select("shard_part", (F.sum("n").over(W.orderBy("shard_part")) - F.col("n")).alias("part_start"))
-    within = sizes.withColumn("seq_start", F.sum("n_ids").over(W.partitionBy("shard_part").orderBy("shard_seq")) - F.col("n_ids"))
-    base = within.join(before, "shard_part").select("shard_part", "shard_seq", (F.col("part_start") + F.col("seq_start")).alias("base"))
+    parts = shards.groupBy("shard_part").agg(F.sum("n_ids").alias("n"))
+    # One row per task of the writing job, so this window and its broadcast are small whatever the corpus holds.
+    base = F.broadcast(parts.select("shard_part", (F.sum("n").over(W.orderBy("shard_part")) - F.col("n")).alias("base")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +216,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 offsets = np.concatenate([[0], ends]) * 4
                 packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
                 null = doc_ids == NONE
-                where = pa.array(np.full(len(counts), batch.column("shard_part")[k].as_py()), pa.int32()), pa.array(np.full(len(counts), batch.column("shard_seq")[k].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([*where, pa.array(doc_ids, pa.int64(), mask=null), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), packed], ["shard_part", "shard_seq", "doc_id", "local_start", "n_tokens", "ids"])
-
-    rows = shards.select("shard_part", "shard_seq", "image").mapInArrow(run, "shard_part int, shard_seq long, doc_id long, local_start long, n_tokens long, ids binary")
-    return rows.join(base, ["shard_part", "shard_seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
-
+                part = pa.array(np.full(len(counts), batch.column("shard_part")[k].as_py()), pa.int32())
+                starts = starts + batch.column("before")[k].as_py()
+                yield pa.RecordBatch.from_arrays([part, pa.array(doc_ids, pa.int64(), mask=null), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), packed], ["shard_part", "doc_id", "start", "n_tokens", "ids"])
 
+    rows = shards.select("shard_part", "before", "image").mapInArrow(run, "shard_part int, doc_id long, start long, n_tokens long, ids binary")
+    return rows.join(base, "shard_part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
