@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, quality, token_store
+from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, ngram_join, quality, token_store
 from hostlens.llm._common import table
 
 
@@ -31,6 +31,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_components(docs, k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
@@ -57,10 +62,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_store": op3_token_store,
     "op4_chat_format": op4_chat_format,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_source_mix": op6_source_mix,
     "op8_license_scan": op8_license_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
+#: Components of links(a, b) over all(id), as the last part of a WITH clause.
+REACH_SQL = """reach AS (SELECT id, id AS other FROM everyone UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+OP1_SQL = f"""WITH RECURSIVE usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+everyone AS (SELECT vec_id AS id FROM embeddings), {REACH_SQL}
+SELECT c.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = c.id) AS n_links, c.component_id, c.id = c.component_id AS kept FROM components c"""
+
+OP5_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> list_slice(w, i, i + 2)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+everyone AS (SELECT doc_id AS id FROM documents), {REACH_SQL}
+SELECT c.id AS doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM components c LEFT JOIN sizes s ON s.doc_id = c.id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_duplicates": OP1_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
+    "op8_license_scan": licenses.scan_sql(),
+}
