@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, ngram_join, quality, token_store
+from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
 from hostlens.llm._common import table
 
 
@@ -41,6 +41,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_source_mix": op6_source_mix,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
@@ -74,21 +79,36 @@ REACH_SQL = """reach AS (SELECT id, id AS other FROM everyone UNION SELECT r.id,
 components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 OP1_SQL = f"""WITH RECURSIVE usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
 everyone AS (SELECT vec_id AS id FROM embeddings), {REACH_SQL}
 SELECT c.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = c.id) AS n_links, c.component_id, c.id = c.component_id AS kept FROM components c"""
 
 OP5_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> list_slice(w, i, i + 2)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
 everyone AS (SELECT doc_id AS id FROM documents), {REACH_SQL}
 SELECT c.id AS doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM components c LEFT JOIN sizes s ON s.doc_id = c.id"""
 
+#: A text's bytes as hex digits, two a byte; spans of removed positions; what stands between them.
+OP7_SQL = """WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM docs WHERE length(h) >= 100),
+strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM starts),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM strings) WHERE first < doc_id),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 50 THEN 0 ELSE 1 END AS opens FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+    UNION ALL SELECT doc_id, coalesce(max(b), 0), NULL FROM docs LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, (length(d.h) - length(k.h)) // 2 AS n_removed, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM docs d JOIN kept k USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_duplicates": OP1_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op8_license_scan": licenses.scan_sql(),
 }
