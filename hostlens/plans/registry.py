@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hostlens.plans import behaviour
+from hostlens.plans._bind import Query
+
+MODULES = (behaviour,)
+
+
+def _all() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, q in m.Q.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in _all().items() if q.sql}
