@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostlens.plans import behaviour
+from hostlens.plans import behaviour, history
 from hostlens.plans._bind import Query
 
-MODULES = (behaviour,)
+MODULES = (behaviour, history)
 
 
 def _all() -> dict[str, Query]:
