@@ -167,8 +167,8 @@ Q["U3_snapshot_difference"] = Query(lambda s, d: snapshots(s, d).where("snap = 3
 Q["U4_pooled_sets"] = Query(lambda s, d: t(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("c").alias("kind")).unionByName(t(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("s").alias("kind"))).groupBy("nation", "kind").agg(F.count("*").alias("n")), "SELECT nation, kind, count(*) AS n FROM (SELECT c_nationkey AS nation, 'c' AS kind FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY 1, 2")
 
 # Retention ----------------------------------------------------------------------------------------------------------
-AT = 1_700_000_000
-POLICY = Rt.Policy(events=400, windows=1200, metrics=2000, detections=1500, processes=900)
+AT = 1_000_000_000
+POLICY = Rt.Policy(events=800, windows=1200, metrics=1000, detections=700, processes=900)
 C = {k: AT - getattr(POLICY, k) * Rt.DAY for k in ("events", "windows", "metrics", "detections", "processes")}
 FLAG_SQL = f"{DT}, {PROC_SQL}, flagged AS (SELECT DISTINCT instance_id FROM det WHERE is_anomaly AND end_s >= {C['detections']}), named AS (SELECT DISTINCT {', '.join(LKEY)} FROM det)"
 R1_SQL = f"r1 AS (SELECT * FROM line l WHERE end_s < {C['events']} AND NOT EXISTS (SELECT 1 FROM flagged f WHERE f.instance_id = l.instance_id))"
