@@ -249,3 +249,8 @@ def k10(spark, d):
 
 
 Q["K10_alert_status_change"] = Query(k10, "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' ELSE 'ACKNOWLEDGED' END AS status, event_id % 3 <> 0 AS changed FROM events WHERE event_type = 'error'")
+
+
+# P11 and J10 are the summary of single instances and the pairing of measures, as library users call them ---------------
+Q["P11_instance_summary"] = Query(lambda s, d: rounded(H.lifecycle_summary(processes(s, d).where("instance_id <= 100"), lines(s, d), lines(s, d), detections(s, d), NOW).select("instance_id", "comm", "total_windows", "detections", "max_risk"), "max_risk"),
+                                  f"WITH {LINE_SQL}, {DET_SQL}, {PROC_SQL} SELECT instance_id, comm, (SELECT count(*) FROM line l WHERE l.instance_id = p.instance_id) AS total_windows, (SELECT count(*) FROM det x WHERE x.instance_id = p.instance_id) AS detections, round(coalesce((SELECT max(risk_score) FROM det x WHERE x.instance_id = p.instance_id), 0) + 1e-9, 6) AS max_risk FROM proc p WHERE instance_id <= 100")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostlens.plans import behaviour, history
+from hostlens.plans import behaviour, history, jobs, text
 from hostlens.plans._bind import Query
 
-MODULES = (behaviour, history)
+MODULES = (behaviour, history, text, jobs)
 
 
 def _all() -> dict[str, Query]:
