@@ -323,14 +323,18 @@ def _counts(column: pa.Array) -> np.ndarray:
 
 
 def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Parts) -> DataFrame:
-    """Pairs (a, b) of one leaf but different components that the bound can't rule out."""
+    """Pairs (a, b) under one leader but of different components that the bound can't rule out.
+
+    All documents of a leaf have one leader, and near copies share most of their leaves: by leader, a pair comes up once.
+    """
     named = groups.select(F.col("id").alias("doc"), F.col("component").alias("of_doc"))
     lead = groups.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
     rows = leaves.join(named, "doc", "left").join(lead, "leader", "left")
-    rows = rows.select("key", "doc", "leader", F.coalesce("of_doc", "doc").alias("of_doc"), F.coalesce("of_leader", "leader").alias("of_leader"))
-    mixed_keys = rows.groupBy("key").agg(F.min(F.least("of_doc", "of_leader")).alias("low"), F.max(F.greatest("of_doc", "of_leader")).alias("high"), F.count("*").alias("m")).where("low <> high")
-    members = rows.join(mixed_keys.select("key", F.ceil((F.col("m") + 1) / CELL).cast("int").alias("cells")), "key")
-    members = members.select("key", "cells", F.explode(F.array(F.struct(F.col("doc").alias("id"), F.col("of_doc").alias("component")), F.struct(F.col("leader").alias("id"), F.col("of_leader").alias("component")))).alias("m")).select("key", "cells", "m.*").distinct()
+    rows = rows.select("doc", "leader", F.coalesce("of_doc", "doc").alias("of_doc"), F.coalesce("of_leader", "leader").alias("of_leader"))
+    several = rows.groupBy("leader").agg(F.min(F.least("of_doc", "of_leader")).alias("low"), F.max(F.greatest("of_doc", "of_leader")).alias("high"), F.count("*").alias("m")).where("low <> high")
+    several = saved(several.select(F.col("leader").alias("key"), F.ceil((F.col("m") + 1) / CELL).cast("int").alias("cells")), "several")
+    own = rows.select(F.col("leader").alias("key"), F.col("leader").alias("id"), F.col("of_leader").alias("component")).distinct()
+    members = rows.select(F.col("leader").alias("key"), F.col("doc").alias("id"), F.col("of_doc").alias("component")).unionByName(own).join(several, "key")
     # A large leaf is searched as pairs of cells; every document goes to all pairs that its cell is in.
     cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
     members = members.withColumn("cell", cell).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -403,8 +407,11 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = sets.where("id is not null and (n = 0 or representative <> id)")
     single = _only(docs.where("id is not null"), copies, "left_anti")
     points = points.where("n > 0 and id is not null").join(sets.where("representative = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    leaves = saved(_leaves(single, k, parts), "leaves")
-    stars = leaves.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
+    met = saved(_leaves(single, k, parts), "met")
+    # A document linked before the shuffle has the leader of its run of keys, whose own row names the leaf's leader.
+    top = met.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"))
+    leaves = saved(met.join(top, ["key", "leader"], "left").select("doc", F.coalesce("top", "leader").alias("leader")).distinct(), "leaves")
+    stars = leaves.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
     links = saved(_verified(single, saved(_bounded(stars, points, parts), "stars"), k, parts), "links")
     rest = saved(_searched(leaves, points, components(links), parts), "rest")
     if not rest.isEmpty():
