@@ -20,7 +20,7 @@ SPELLINGS = {
     "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "maximise": "maximize", "modelled": "modeled",
     "modelling": "modeling", "non commercial": "noncommercial", "offence": "offense", "optimise": "optimize", "organisation": "organization",
     "organise": "organize", "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
-    "signalling": "signaling", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "signalling": "signaling", "sub license": "sublicense", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 #: Wordings of short public licences and of the notices by which texts name one.

@@ -390,7 +390,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets, links = jaccard_links(df, id_col, text_col, k, num, den)
     groups = components(links)
     rows = sets.join(groups.select(F.col("id").alias("representative"), "component"), "representative", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "representative"))
+    component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "representative"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "representative", component.alias("component_id"))
 
 
