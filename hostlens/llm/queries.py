@@ -106,7 +106,25 @@ kept AS (SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1)
 SELECT d.doc_id, length(d.h) // 2 AS n_bytes, (length(d.h) - length(k.h)) // 2 AS n_removed, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
 FROM docs d JOIN kept k USING (doc_id)"""
 
+OP4_SQL = rf"""WITH RECURSIVE split AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations)),
+lines AS (SELECT conv_id, turn, i, length(regexp_replace(regexp_extract(line, '{chat.MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(line, '{chat.MARKS}', '') AS body FROM split),
+blanks AS (SELECT *, trim(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g')) = '' AS blank FROM lines),
+heads AS (SELECT *, CASE WHEN lag(level) OVER w IS NULL OR lag(level) OVER w <> level OR blank OR lag(blank) OVER w THEN 1 ELSE 0 END AS head FROM blanks WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+runs AS (SELECT *, sum(head) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM heads),
+passages AS (SELECT conv_id, turn, any_value(level) AS level, lower(trim(regexp_replace(string_agg(body, ' ' ORDER BY i), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS body FROM runs GROUP BY conv_id, turn, run),
+real AS (SELECT conv_id, turn, level, sha256(body) AS digest FROM passages WHERE regexp_matches(body, '[\p{{L}}\p{{N}}]')),
+firsts AS (SELECT conv_id, digest, min(turn) AS first FROM real WHERE level = 0 GROUP BY conv_id, digest),
+quoted AS (SELECT conv_id, turn, level, digest, count(*) AS times FROM real WHERE level > 0 GROUP BY ALL),
+named AS (SELECT q.*, CASE WHEN first < turn THEN first END AS original FROM quoted q LEFT JOIN firsts USING (conv_id, digest)),
+messages AS (SELECT conv_id, turn, sum(times)::BIGINT AS n_quotes, coalesce(sum(times) FILTER (original IS NOT NULL), 0)::BIGINT AS n_linked, arg_max(original, (-level, original)) FILTER (original IS NOT NULL) AS parent_turn FROM named GROUP BY conv_id, turn),
+paths AS (SELECT conv_id, turn, parent_turn AS top, [turn] AS path FROM (SELECT DISTINCT c.conv_id, c.turn, m.parent_turn FROM conversations c LEFT JOIN messages m USING (conv_id, turn))
+    UNION ALL SELECT p.conv_id, p.turn, m.parent_turn, list_prepend(p.top, p.path) FROM paths p LEFT JOIN messages m ON m.conv_id = p.conv_id AND m.turn = p.top WHERE p.top IS NOT NULL),
+own AS (SELECT conv_id, turn, regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '\A[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS text FROM lines GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, m.parent_turn, len(p.path)::INT - 1 AS depth, array_to_string(p.path, '.') AS reply_path, coalesce(m.n_quotes, 0) AS n_quotes, coalesce(m.n_linked, 0) AS n_linked, coalesce(o.text, '') AS text
+FROM conversations c LEFT JOIN messages m USING (conv_id, turn) JOIN paths p ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.top IS NULL JOIN own o ON o.conv_id = c.conv_id AND o.turn = c.turn"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
     "op1_embedding_near_duplicates": OP1_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op7_suffix_dedup": OP7_SQL,

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, licenses, media, pieces, quality, token_store
+from hostlens.llm import bpe, chat, licenses, media, pieces, quality, queries, token_store
 from hostlens.llm._common import strings
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -136,6 +136,12 @@ def test_chats(spark):
     assert [k for k, _ in sorted(((t, got[1, t].reply_path.split(".")) for t in range(8)), key=lambda x: list(map(int, x[1])))] == [0, 1, 2, 5, 3, 4, 6, 7]
     assert got[1, 2].depth == 2 and (got[1, 2].n_quotes, got[1, 2].n_linked) == (2, 2) and got[1, 2].text == "ok" and got[1, 4].text == "" and got[2, 0].text == ""
     assert chat.format_chat(df.limit(0)).count() == 0
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", [list(r) for r in rows if r[0] is not None])
+    columns = ["conv_id", "turn", "role", "parent_turn", "depth", "reply_path", "n_quotes", "n_linked", "text"]
+    assert sorted(map(repr, con.execute(queries.OP4_SQL).fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in got.values() if r.conv_id is not None)
 
 
 def test_long_threads(spark):
