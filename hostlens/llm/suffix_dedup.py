@@ -42,7 +42,6 @@ SLICE = 1 << 20  #: bytes that are taken apart at a time
 FINE = 8  #: sorted buckets in each shuffle partition
 HOT = 200_000  #: runs of one digit from which its suffixes are dealt one by one
 FEW_IDS = 200_000
-FEW_BYTES = 16 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LARGEST = np.uint64(2**64 - 1)
 
@@ -112,7 +111,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Ru
     if not len(place):
         return none
     doc = np.repeat(np.arange(len(size)), fits)
-    digit = least[place]
+    digit = mixed(least[place])  # a minimum of hashes is small; mixed again it spreads evenly over buckets
     head = np.ones(len(place), bool)
     head[1:] = (digit[1:] != digit[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(head)
@@ -128,7 +127,7 @@ def repeated(data: np.ndarray, start: np.ndarray, owner: np.ndarray, length: int
     active, group = np.arange(len(start)), np.zeros(len(start), np.int64)
     for depth in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         digit = eight[start[active] + depth]
-        order = np.lexsort((digit, group))
+        order = np.lexsort((digit, group)) if depth else np.argsort(digit)
         active, group, digit = active[order], group[order], digit[order]
         head = np.ones(len(active), bool)
         head[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
@@ -191,13 +190,9 @@ def _slices_of(batch: pa.RecordBatch, k: int, length: int, gram: int) -> Iterato
         at += n
 
 
-def _tallied(batch: pa.RecordBatch, k: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tallied(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The unit's digits in order, whether several of its documents have each, and how many runs each has."""
-    digits, owners = [], []
-    for ids, _, _, runs in _slices_of(batch, k, length, gram):
-        digits.append(runs.digit)
-        owners.append(ids[runs.doc])
-    digit, owner = np.concatenate(digits), np.concatenate(owners)
+    digit, owner = (np.concatenate(x) for x in zip(*((runs.digit, ids[runs.doc]) for ids, _, _, runs in parts), strict=True))
     order = np.argsort(digit, kind="stable")
     digit, owner = digit[order], owner[order]
     head = np.ones(len(digit), bool)
@@ -221,21 +216,20 @@ def _shared_digits(units: DataFrame, buckets: int, length: int, gram: int, hot_r
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                digit, _, times = _tallied(batch, k, length, gram)
+                digit, _, times = _tallied(list(_slices_of(batch, k, length, gram)))
                 edges = _edges(digit, buckets)
                 used = np.flatnonzero(np.diff(edges))
-                # 40 bits below those that the bucket stands for: a chance agreement only sends a run in vain.
-                low, high = digit.astype("<u4"), (digit >> np.uint64(32)).astype(np.uint8)
-                rows = [[x[edges[b] : edges[b + 1]] for b in used] for x in (low, high, times)]
-                many = [np.flatnonzero(x > 1) for x in rows[2]]
-                columns = [[x.tobytes() for x in rows[0]], [x.tobytes() for x in rows[1]], [_pack(x.astype("<u4")) for x in many], [_pack(x[m].astype("<u4")) for x, m in zip(rows[2], many, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch.column("unit")[k].as_py()] * len(used), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "unit", "low", "high", "many", "times"])
+                # The half of a digit that its bucket doesn't stand for: a chance agreement only sends a run in vain.
+                rows = [[x[edges[b] : edges[b + 1]] for b in used] for x in (digit.astype("<u4"), times)]
+                many = [np.flatnonzero(x > 1) for x in rows[1]]
+                columns = [[x.tobytes() for x in rows[0]], [_pack(x.astype("<u4")) for x in many], [_pack(x[m].astype("<u4")) for x, m in zip(rows[1], many, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch.column("unit")[k].as_py()] * len(used), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "unit", "digits", "many", "times"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                row = [batch.column(c)[k].as_py() for c in ("bucket", "unit", "low", "high", "many", "times")]
+                row = [batch.column(c)[k].as_py() for c in ("bucket", "unit", "digits", "many", "times")]
                 if row[0] != now:
                     yield from marks(now, held)
                     now, held = row[0], []
@@ -245,10 +239,10 @@ def _shared_digits(units: DataFrame, buckets: int, length: int, gram: int, hot_r
     def marks(bucket: int | None, held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        digits = [np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32) for _, low, high, _, _ in held]
+        digits = [np.frombuffer(r[1], "<u4") for r in held]
         times = [np.ones(len(d), np.int64) for d in digits]
         for t, row in zip(times, held, strict=True):
-            t[_unpack(row[3], "<u4")] = _unpack(row[4], "<u4")
+            t[_unpack(row[2], "<u4")] = _unpack(row[3], "<u4")
         sizes = np.array([len(d) for d in digits])
         digit, total = np.concatenate(digits), np.concatenate(times)
         _, at, count = np.unique(digit, return_inverse=True, return_counts=True)
@@ -259,21 +253,22 @@ def _shared_digits(units: DataFrame, buckets: int, length: int, gram: int, hot_r
         packed[1] = [_pack(np.frombuffer(x, np.uint8)) for x in packed[1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["unit", "bucket", "shared", "hot"])
 
-    sent = units.mapInArrow(send, "bucket int, unit long, low binary, high binary, many binary, times binary")
+    sent = units.mapInArrow(send, "bucket int, unit long, digits binary, many binary, times binary")
     met = sent.repartition(partitions(units), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "unit long, bucket int, shared binary, hot binary")
     return met.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "shared", "hot"))).alias("marks"))
 
 
 def _wanted(batch: pa.RecordBatch, k: int, buckets: int, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Runs]]:
     """As ``_slices_of`` with only the runs that may repeat; suffixes of hot digits stand alone."""
-    digit, several, _ = _tallied(batch, k, length, gram)
+    parts = list(_slices_of(batch, k, length, gram))
+    digit, several, _ = _tallied(parts)
     keep, hot = several.copy(), np.zeros(len(digit), bool)
     edges = _edges(digit, buckets)
     for mark in batch.column("marks")[k].as_py() or []:
         at, end = edges[mark["bucket"]], edges[mark["bucket"] + 1]
         keep[at:end] |= np.unpackbits(np.frombuffer(mark["shared"], np.uint8), count=end - at).astype(bool)
         hot[at:end] = np.unpackbits(_unpack(mark["hot"], np.uint8), count=end - at).astype(bool)
-    for ids, data, offsets, runs in _slices_of(batch, k, length, gram):
+    for ids, data, offsets, runs in parts:
         at = np.searchsorted(digit, runs.digit)
         pick = keep[at]
         some = Runs(data, *(x[pick] for x in (runs.start, runs.count, runs.digit, runs.doc)), length)
@@ -436,11 +431,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.where("id is not null").join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_anti")
     units = saved(_units(texts), "units")
     marks = saved(_shared_digits(units, buckets, length, gram, hot_runs), "marks")
-    size = marks.select(F.sum(F.expr("aggregate(marks, 0L, (a, x) -> a + length(x.shared) + length(x.hot) + 16)"))).first()[0] or 0
-    marked = units.join(F.broadcast(marks) if size <= FEW_BYTES else marks, "unit", "left")
+    marked = units.join(marks, "unit", "left")
     found = saved(_smaller(marked, buckets, length, gram), "found")
-    size = found.select(F.sum(F.expr("aggregate(found, 0L, (a, x) -> a + length(x.run) + length(x.begin) + length(x.size) + length(x.best) + 16)"))).first()[0] or 0
-    result = _cut(marked.join(F.broadcast(found) if size <= FEW_BYTES else found, "unit", "left"), buckets, length, gram, keep_text)
+    result = _cut(marked.join(found, "unit", "left"), buckets, length, gram, keep_text)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     gone = F.col("n_bytes") >= length
     extra = docs.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.lit(False).alias("gone"), "text")
