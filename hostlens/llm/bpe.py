@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlens.llm._common import slices
+from hostlens.llm._common import slices, tidied
 from hostlens.llm.pieces import PieceEncoder, runs
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -98,7 +98,7 @@ class PrefixEncoder:
         known = self.fits.get((a, b))
         if known is None:
             known = not any((r := self.rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(a, 1) for y, y_until in self._edge(b, 0))
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[a, b] = known
         return known
@@ -124,7 +124,7 @@ class PrefixEncoder:
             ids.append(last[at])
             at = back[at]
         ids.reverse()
-        if len(self.words) > 150_000:
+        if len(self.words) > 50_000:
             self.words.clear()
         if n < 64:
             self.words[word] = ids
@@ -151,7 +151,7 @@ class PrefixEncoder:
 def prefix_encoder(path: str) -> tuple[PrefixEncoder, PieceEncoder]:
     """One encoder for each worker process, with its piece cache."""
     encoder = PrefixEncoder(path)
-    return encoder, PieceEncoder(lambda texts: runs(encoder.encode_many(texts)), tuple(encoder.special))
+    return encoder, PieceEncoder(lambda texts: runs(encoder.encode_many(texts)), tuple(encoder.special), 200_000)
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -171,7 +171,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
                 ids, counts = pieces(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), packed_ids(ids, counts), pa.array(counts, pa.int64())], [*names, out, "n_tokens"])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, schema)
+    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def packed_ids(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -196,7 +196,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
                 texts = [None if x.as_py() is None else encoder.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, out])
 
-    return df.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
+    return df.select(*names).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.StringType())]))
 
 
 def sha256(text: str) -> str:

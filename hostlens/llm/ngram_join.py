@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings
+from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings, tidied
 from hostlens.llm.components import components
 
-GROUPS = 64  #: coordinates of a document's point
+GROUPS = 64  #: least coordinates of a document's point; larger sets have more, up to MOST_GROUPS, so that the bound stays sharp
+MOST_GROUPS = 1 << 16
 BUFFER = 1_000_000  #: leaf keys that a task holds before it passes them on
 BLOCK = 256  #: points of a rectangle
 CELL = 4096  #: points of a large leaf that one task holds
 SEEDS = 8
+SHARE = 256  #: pairs of one document that are verified together
 SMALL = 64  #: below this size any part with a shingle is usable
 FEW_IDS = 200_000  #: ids of at most this number are broadcast
 
@@ -160,6 +162,23 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
+def groups_of(size: np.ndarray) -> np.ndarray:
+    """Coordinates for a set of that size: a power of two, about a quarter of it. Groups nest: they are a hash's top bits."""
+    return (1 << np.ceil(np.log2(np.clip(size / 4, GROUPS, MOST_GROUPS))).astype(np.int64))
+
+
+def _folded(point: bytes, groups: int) -> np.ndarray:
+    """The point with fewer coordinates."""
+    x = np.frombuffer(point, "<u2").astype(np.int64)
+    return x if len(x) == groups else x.reshape(groups, -1).sum(axis=1)
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """The sum of the smaller coordinates, at the resolution that both points have."""
+    groups = min(len(x), len(y)) // 2
+    return int(np.minimum(_folded(x, groups), _folded(y, groups)).sum())
+
+
 def _points(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, sum1, sum2, counts): size, two order-free digests, and the point of each document's set."""
 
@@ -170,13 +189,13 @@ def _points(docs: DataFrame, k: int) -> DataFrame:
                 doc, h = shingles(*strings(part.column("text")), k)
                 size = np.bincount(doc, minlength=n)
                 sums = [_sums(doc, mixed(h + SEED_STEP[s]), size) for s in (1, 2)]
-                counts = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array([c.tobytes() for c in counts.reshape(n, GROUPS)], pa.binary())],
-                    ["id", "n", "sum1", "sum2", "counts"],
-                )
+                width = groups_of(size)
+                edges = np.concatenate([[0], np.cumsum(width)])
+                counts = np.bincount(edges[doc] + (h >> (np.uint64(64) - np.log2(width).astype(np.uint64)[doc])).astype(np.int64), minlength=edges[-1]).astype("<u2")
+                points = [counts[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array(points, pa.binary())], ["id", "n", "sum1", "sum2", "counts"])
 
-    return docs.mapInArrow(run, "id long, n long, sum1 long, sum2 long, counts binary")
+    return docs.mapInArrow(tidied(run), "id long, n long, sum1 long, sum2 long, counts binary")
 
 
 def _sums(doc: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -186,7 +205,7 @@ def _sums(doc: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total
 
 
-PACKED = "bucket int, keys binary, docs binary, leaders binary"
+PACKED = "bucket int, low binary, high binary, docs binary, leaders binary"
 
 
 def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
@@ -197,11 +216,12 @@ def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
     """
     buckets = partitions(docs, 16)
 
-    def packed(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
+    def packed(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, leader: np.ndarray | None) -> pa.RecordBatch:
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(edges))
         cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(key), cut(doc), cut(leader)], ["bucket", "keys", "docs", "leaders"])
+        led = pa.nulls(len(used), pa.binary()) if leader is None else cut(leader)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(key.astype("<u4")), cut((key >> np.uint64(32)).astype("<u2")), cut(doc), led], ["bucket", "low", "high", "docs", "leaders"])
 
     def grouped(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((doc, key))
@@ -212,9 +232,10 @@ def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, doc, leader, head = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-        yield packed(bucket[head], key[head], doc[head], doc[head])
-        rest = ~head & (doc != leader)
+        # 48 bits of a key travel, next to its bucket: a chance agreement only adds a pair that the bound rules out.
+        bucket = (((key >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        of, rest = np.argsort(bucket[head], kind="stable"), ~head & (doc != leader)
+        yield packed(bucket[head][of], key[head][of], doc[head][of], None)
         if rest.any():  # these are linked already and go anywhere
             spread = np.sort(doc[rest] % buckets)
             order = np.argsort(doc[rest] % buckets, kind="stable")
@@ -238,12 +259,13 @@ def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("keys", "docs", "leaders")), strict=True):
-                key, doc, leader = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.uint64, np.int64, np.int64), strict=True))
-                if doc[0] == leader[0]:
-                    held.append((key, doc))
+            for low, high, docs_in, led in zip(*(batch.column(c) for c in ("low", "high", "docs", "leaders")), strict=True):
+                key = np.frombuffer(low.as_buffer(), "<u4").astype(np.uint64) | np.frombuffer(high.as_buffer(), "<u2").astype(np.uint64) << np.uint64(32)
+                doc = np.frombuffer(docs_in.as_buffer(), np.int64)
+                if led.is_valid:
+                    yield out(key, doc, np.frombuffer(led.as_buffer(), np.int64))
                 else:
-                    yield out(key, doc, leader)
+                    held.append((key, doc))
         if held:
             key, doc, leader, _ = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
             del held
@@ -253,7 +275,7 @@ def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
     def out(key: np.ndarray, doc: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(leader)], ["key", "doc", "leader"])
 
-    return docs.mapInArrow(make, PACKED).repartition(buckets, "bucket").mapInArrow(meet, "key long, doc long, leader long")
+    return docs.mapInArrow(tidied(make), PACKED).repartition(buckets, "bucket").mapInArrow(tidied(meet), "key long, doc long, leader long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -263,11 +285,14 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Sets meet by b, b's own first, so a task holds two sets."""
-    to = pairs.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
-    own = pairs.select(F.col("b").alias("id")).distinct()
-    sent = to.join(own.withColumn("is_b", F.lit(True)), "id", "full").select("id", F.coalesce("others", F.array().cast("array<long>")).alias("others"), F.coalesce("is_b", F.lit(False)).alias("is_b"))
-    sent = saved(sent, "sent")
+    """The pairs (a, b) whose sets reach the threshold. Sets meet by b, b's own first, so a task holds two sets.
+
+    A b with many pairs has shares of them, and its own set goes once to each.
+    """
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    to = pairs.join(shares, "b").groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("b", "shares")).alias("others"))
+    sent = to.join(shares.select(F.col("b").alias("id"), F.col("shares").alias("own")), "id", "full")
+    sent = saved(sent.select("id", F.coalesce("others", F.array().cast("array<struct<b:bigint,shares:int>>")).alias("others"), F.coalesce("own", F.lit(0)).alias("own")), "sent")
     texts = docs.join(F.broadcast(sent) if sent.count() <= FEW_IDS else sent, "id").dropDuplicates(["id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +300,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFr
             for part in slices(batch, "text"):
                 doc, h = shingles(*strings(part.column("text")), k)
                 edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                for i, (name, others, is_b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "others", "is_b")), strict=True)):
-                    data, to = h[edges[i] : edges[i + 1]].tobytes(), others + [name] * is_b
-                    if to:
-                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([name] * len(to), pa.int64()), pa.array([False] * len(others) + [True] * is_b), pa.array([data] * len(to), pa.binary())], ["b", "a", "own", "set"])
-
-    rows = texts.mapInArrow(sets, "b long, a long, own boolean, set binary")
-    # A hot b has one set of its own for each share of the documents that are checked with it.
-    share = F.pmod(F.xxhash64("a"), F.lit(16))
-    rows = rows.withColumn("share", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(share.cast("int")))))
+                for i, (name, others, own) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "others", "own")), strict=True)):
+                    data = h[edges[i] : edges[i + 1]].tobytes()
+                    to = [(x["b"], name % x["shares"], False) for x in others] + [(name, s, True) for s in range(own)]
+                    for at in range(0, len(to), 64):
+                        bs, share, mine = zip(*to[at : at + 64], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int64()), pa.array(share, pa.int64()), pa.array([name] * len(bs), pa.int64()), pa.array(mine), pa.array([data] * len(bs), pa.binary())], ["b", "share", "a", "own", "set"])
+
+    rows = texts.mapInArrow(tidied(sets), "b long, share long, a long, own boolean, set binary")
     rows = rows.repartition(partitions(docs), "b", "share").sortWithinPartitions("b", "share", F.desc("own"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +324,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFr
                         hits.append((a.as_py(), name))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in hits], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(tidied(check), "a long, b long")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, parts: Parts) -> DataFrame:
@@ -310,16 +334,11 @@ def _bounded(pairs: DataFrame, points: DataFrame, parts: Parts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                x, y = (_counts(part.column(c)) for c in ("ca", "cb"))
-                may = parts.may_link(np.minimum(x, y).sum(axis=1, dtype=np.int64), part.column("na").to_numpy(), part.column("nb").to_numpy())
-                yield part.select(["a", "b"]).filter(pa.array(may))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
-
+            bound = np.array([overlap_bound(x.as_py(), y.as_py()) for x, y in zip(batch.column("ca"), batch.column("cb"), strict=True)], np.int64)
+            may = parts.may_link(bound, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(may))
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), GROUPS)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Parts) -> DataFrame:
@@ -361,7 +380,8 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
             return
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         ids, component, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
-        points = _counts(rows.column("counts")).astype(np.int64)
+        fine = rows.column("counts").to_pylist()
+        points = np.stack([_folded(x, GROUPS) for x in fine])
         # Rows come by size; a block's rectangle runs from 0 to the largest count of each coordinate.
         starts = range(0, len(ids), BLOCK)
         corners = [points[s : s + BLOCK].max(axis=0) for s in starts]
@@ -378,11 +398,13 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
                 for c in range(0, len(i), 8192):
                     a, b = i[c : c + 8192], j[c : c + 8192]
                     may = parts.may_link(np.minimum(points[a], points[b]).sum(axis=1), n[a], n[b])
+                    a, b = a[may], b[may]
+                    may = np.array([parts.may_link(overlap_bound(fine[u], fine[v]), n[u], n[v]) for u, v in zip(a, b, strict=True)], bool)
                     if may.any():
                         p, q = ids[a[may]], ids[b[may]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.llm._common import mixed, ragged, slices, strings
+from hostlens.llm._common import mixed, ragged, saved, slices, strings, tidied
 
 FEATURES = 256  #: random Fourier features
 GAMMA = 0.02  #: of the kernel exp(-GAMMA * squared distance)
@@ -162,12 +162,12 @@ def with_statistics(df: DataFrame, text_col: str = "text", out: str = "statistic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 1 << 19):
                 x = statistics(*strings(part.column("__text")))
                 made = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], [*names, out])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -195,7 +195,7 @@ def _summed(df: DataFrame, columns: list[str], product) -> np.ndarray:
                 held[i] = held[i] + x if i in held else x
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["i", "row"])
 
-    rows = df.select(*columns).mapInArrow(part, "i int, row array<double>").repartition("i").mapInArrow(add, "i int, row array<double>").collect()
+    rows = df.select(*columns).mapInArrow(tidied(part), "i int, row array<double>").repartition("i").mapInArrow(tidied(add), "i int, row array<double>").collect()
     return np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
 
 
@@ -271,11 +271,11 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 1 << 19):
                 made = pa.array(np.clip(model.score(statistics(*strings(part.column("__text")))), 0.0, 1.0))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], [*names, out])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, calibration: int = 3) -> Model:
@@ -283,4 +283,5 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     mine = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where(fold("__id") != held_out)
     # The labels are narrow; their documents' statistics are made before the join, so no text is shuffled.
     stats = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(fold("__id") != held_out))
-    return fit(stats.join(mine, "__id").withColumn("calibrate", fold("__id") == calibration))
+    # Saved, as fitting reads it three times: some 200 bytes for each labelled document.
+    return fit(saved(stats.join(mine, "__id").withColumn("calibrate", fold("__id") == calibration), "labelled"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings
+from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings, tidied
 
 LENGTH = 50
 GRAM = 24
@@ -176,7 +176,7 @@ def _units(docs: DataFrame) -> DataFrame:
         packed = [_pack(np.concatenate(ids)), _pack(np.concatenate(sizes)), _pack(np.array([len(x) for x in ids]))]
         return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(texts)], pa.list_(pa.binary()))], ["unit", "ids", "sizes", "slices", "texts"])
 
-    return docs.mapInArrow(run, UNITS)
+    return docs.mapInArrow(tidied(run), UNITS)
 
 
 def _slices_of(batch: pa.RecordBatch, k: int, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Runs]]:
@@ -253,8 +253,8 @@ def _shared_digits(units: DataFrame, buckets: int, length: int, gram: int, hot_r
         packed[1] = [_pack(np.frombuffer(x, np.uint8)) for x in packed[1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["unit", "bucket", "shared", "hot"])
 
-    sent = units.mapInArrow(send, "bucket int, unit long, digits binary, many binary, times binary")
-    met = sent.repartition(partitions(units), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "unit long, bucket int, shared binary, hot binary")
+    sent = units.mapInArrow(tidied(send), "bucket int, unit long, digits binary, many binary, times binary")
+    met = sent.repartition(partitions(units), "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), "unit long, bucket int, shared binary, hot binary")
     return met.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "shared", "hot"))).alias("marks"))
 
 
@@ -358,8 +358,8 @@ def _smaller(units: DataFrame, buckets: int, length: int, gram: int) -> DataFram
         packed = [[_pack(x[cut[i] : cut[i + 1]] - (edges[i] if j == 0 else 0)) for i in rows] for j, x in enumerate((of, begin, size, value[h]))]
         yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["unit", "bucket", "run", "begin", "size", "best"])
 
-    sent = units.mapInArrow(send, "bucket int, unit long, text binary, counts binary, least binary")
-    met = sent.repartition(buckets, F.floor(F.col("bucket") / FINE)).sortWithinPartitions("bucket").mapInArrow(meet, "unit long, bucket int, run binary, begin binary, size binary, best binary")
+    sent = units.mapInArrow(tidied(send), "bucket int, unit long, text binary, counts binary, least binary")
+    met = sent.repartition(buckets, F.floor(F.col("bucket") / FINE)).sortWithinPartitions("bucket").mapInArrow(tidied(meet), "unit long, bucket int, run binary, begin binary, size binary, best binary")
     return met.groupBy("unit").agg(F.collect_list(F.struct("bucket", "run", "begin", "size", "best")).alias("found"))
 
 
@@ -414,7 +414,7 @@ def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool
         columns = [pa.array(ids), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         return pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * keep_text], names)
 
-    return units.mapInArrow(run, f"id long, {RESULT}{', kept binary' * keep_text}")
+    return units.mapInArrow(tidied(run), f"id long, {RESULT}{', kept binary' * keep_text}")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_runs: int = HOT) -> DataFrame:

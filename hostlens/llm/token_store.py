@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import partitions, ragged, shared_dir, slices
+from hostlens.llm._common import partitions, ragged, shared_dir, slices, tidied
 from hostlens.llm.bpe import LARGE, byte_letters, tokenizer_path
 from hostlens.llm.pieces import CLEAN, PieceEncoder, Runs, runs
 
@@ -196,7 +196,7 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["shard_part", "shard_seq", "before", "n_docs", "n_ids", "image"])
 
     path = path or f"{shared_dir(spark)}/tokens"
-    ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(tidied(run), SHARDS).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -220,5 +220,5 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 starts = starts + batch.column("before")[k].as_py()
                 yield pa.RecordBatch.from_arrays([part, pa.array(doc_ids, pa.int64(), mask=null), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), packed], ["shard_part", "doc_id", "start", "n_tokens", "ids"])
 
-    rows = shards.select("shard_part", "before", "image").mapInArrow(run, "shard_part int, doc_id long, start long, n_tokens long, ids binary")
+    rows = shards.select("shard_part", "before", "image").mapInArrow(tidied(run), "shard_part int, doc_id long, start long, n_tokens long, ids binary")
     return rows.join(base, "shard_part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
