@@ -35,7 +35,7 @@ from hostlens.llm.components import components
 
 GROUPS = 64  #: least coordinates of a document's point; larger sets have more, up to MOST_GROUPS, so that the bound stays sharp
 MOST_GROUPS = 1 << 16
-BUFFER = 1_000_000  #: leaf keys that a task holds before it passes them on
+BUFFER = 500_000  #: leaf keys that a task holds before it passes them on
 BLOCK = 256  #: points of a rectangle
 CELL = 4096  #: points of a large leaf that one task holds
 SEEDS = 8

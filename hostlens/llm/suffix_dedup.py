@@ -37,8 +37,8 @@ from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strin
 
 LENGTH = 50
 GRAM = 24
-UNIT = 8 << 20  #: bytes of text in a unit
-SLICE = 1 << 20  #: bytes that are taken apart at a time
+UNIT = 4 << 20  #: bytes of text in a unit
+SLICE = 1 << 19  #: bytes that are taken apart at a time
 FINE = 8  #: sorted buckets in each shuffle partition
 HOT = 200_000  #: runs of one digit from which its suffixes are dealt one by one
 FEW_IDS = 200_000
