@@ -1,7 +1,8 @@
 """From documents to token ids, in five stages, each calling one operator of ``hostlens.llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
-columns of documents. Ids are taken to be unique and not null, as in the documents table.
+columns of documents. Each row is a document of its own: rows whose ids are null or repeated, and columns named like
+a stage's own, pass through every stage.
 """
 
 from __future__ import annotations
@@ -16,6 +17,14 @@ from hostlens.llm import bpe, mixing, ngram_join, quality, suffix_dedup
 from hostlens.llm._common import saved, table
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(key, row): a number for each row, and the row's columns within a struct, where their names clash with none.
+
+    Saved, so that the numbers stay; they are not null and unique, which ids need not be.
+    """
+    return saved(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "numbered")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose calibrated quality score is below the classifier's threshold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -26,29 +35,41 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"), k=5, num=8, den=10)
-    other = saved(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "other")
-    few = other.count() <= ngram_join.FEW_IDS
-    return docs.join((F.broadcast(other) if few else other).withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    named = rows.where("row.doc_id is not null").select("key", F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"))  # null ids join no group
+    groups = saved(ngram_join.jaccard_components(named, id_col="key", k=5, num=8, den=10).select("key", "component_id"), "groups")
+    ids = groups.join(named.select("key", "id"), "key")
+    first = saved(ids.groupBy("component_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component_id", "first"), "firsts")
+    other = saved(ids.join(_few(first), "component_id").where("id > first").select("key"), "other")
+    return rows.join(_few(other), "key", "left_anti").select("row.*")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= ngram_join.FEW_IDS else rows
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id holds; drop documents of which nothing is left by that."""
-    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), keep_text=True)
+    rows = numbered(docs)
+    cut = suffix_dedup.remove_repeats(rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), keep_text=True, key_col="key")
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:  # a cut may fall within a character; what is left of it goes too
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_removed": b["n_removed"], "__text": [bytes(x).decode("utf-8", "ignore") for x in b["kept"]]})
+            yield pd.DataFrame({"key": b["key"], "left": [bytes(x).decode("utf-8", "ignore") for x in b["kept"]]})
 
-    left = cut.select("doc_id", "n_removed", "kept").mapInPandas(text, "doc_id long, n_removed long, __text string")
-    left = left.where("n_removed = 0 or length(__text) > 0")
-    rows = docs.drop("text", "n_chars").join(left, "doc_id")
-    return rows.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).select(*docs.columns)
+    # Only the rows that are cut have another text than before; the others pass as they are.
+    changed = cut.where("n_removed > 0").select("key", "kept").mapInPandas(text, "key long, left string")
+    after = rows.join(changed, "key", "left").where("left is null or length(left) > 0")
+    whole = F.col("row").withField("text", F.col("left"))
+    if "n_chars" in docs.columns:
+        whole = whole.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    return after.select(F.when(F.col("left").isNull(), F.col("row")).otherwise(whole).alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights; the text's length follows where a document is cut at its target."""
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ BLOCK_WORDS = 100_000  #: a source has one block for so many words, up to MAX_BL
 MAX_BLOCKS = 65_536
 SHARDS = 16
 SEED = 7
+MADE = ("size", "source_size", "target", "taken", "shard", "place")  #: what a mix says of each document
 
 
 def words(text: str | Column) -> Column:
@@ -78,12 +79,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``keep`` keeps all other columns too, except ones named like an output. Repeated rows that meet at the point where a
     target is reached are each cut there.
     """
-    made = {"size", "source_size", "target", "taken", "shard", "place"}
-    extra = [c for c in docs.columns if c not in made | {id_col, source_col}] if keep else []
+    extra = [c for c in docs.columns if c not in {*MADE, id_col, source_col}] if keep else []
+    rows = _mixed(docs, id_col, text_col, source_col, shards, seed, extra)
+    return rows.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), *MADE, *[F.col(f"__x_{c}").alias(c) for c in extra])
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, extra: list[str]) -> DataFrame:
+    """__id, __source, MADE, and the columns ``extra`` with __x_ before their names, which clash with none of these."""
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), words(text_col).alias("size"), *[F.col(c).alias(f"__x_{c}") for c in extra])
     narrow = saved(sized.select("__id", "__source", "size"), "sizes")
     plan = _plan(narrow, shards, seed)
-    if not keep:
+    if not extra:
         sized = narrow
     rows = sized.join(_small(plan), sized["__source"].eqNullSafe(plan["source"]))
     rows = rows.withColumns(_position(seed))
@@ -94,10 +100,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = (F.col("whole") * F.col("size") + once).cast("long")
     began = F.filter("spans", lambda x: x["spot"] <= F.col("spot"))
     return rows.select(
-        F.col("__id").alias(id_col), F.col("__source").alias(source_col), "size", "source_size", "target", taken.alias("taken"),
+        "__id", "__source", "size", "source_size", "target", taken.alias("taken"),
         F.when(taken > 0, F.element_at(began, -1)["shard"]).alias("shard"),
         F.when(taken > 0, F.xxhash64("__id", F.lit(seed + 1))).alias("place"),
-        *[F.col(f"__x_{c}").alias(c) for c in extra],
+        *[f"__x_{c}" for c in extra],
     )
 
 
@@ -157,14 +163,15 @@ def _deal(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself with the columns of docs: whole passes repeat a row, a partial one keeps the text's first words.
 
-    Written in shards, each shuffled locally, the rows are ready for reading in order. docs mustn't have columns named
-    size, source_size, target, taken, shard or place that matter: those are dropped.
+    Written in shards, each shuffled locally, the rows are ready for reading in order. Columns of docs that are named
+    like an output of ``mix`` pass as they are.
     """
-    rows = mix(docs, id_col, text_col, source_col, seed=seed, keep=True).where("taken > 0")
+    rows = _mixed(docs, id_col, text_col, source_col, SHARDS, seed, docs.columns).where("taken > 0")
     passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     rows = rows.withColumn("__pass", F.explode(passes))
     rest = F.col("taken") - (F.col("__pass") - 1) * F.col("size")
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), rest.cast("int")), "")
-    text = F.when(rest < F.col("size"), head).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, text).repartition(partitions(rows), "shard", "place").sortWithinPartitions("shard", "place")
-    return rows.select(*[c for c in docs.columns if c in rows.columns])
+    whole = F.col(f"__x_{text_col}")
+    head = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), rest.cast("int")), "")
+    text = F.when(rest < F.col("size"), head).otherwise(whole)
+    rows = rows.withColumn(f"__x_{text_col}", text).repartition(partitions(rows), "shard", "place").sortWithinPartitions("shard", "place")
+    return rows.select(*[F.col(f"__x_{c}").alias(c) for c in docs.columns])

@@ -149,21 +149,21 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-UNITS = "unit long, ids binary, sizes binary, slices binary, texts array<binary>"
+UNITS = "unit long, ids binary, keys binary, sizes binary, slices binary, texts array<binary>"
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """Pack documents (id long, not null; text): ids, sizes, how many documents each slice has, compressed slices."""
+    """Pack documents (id long, not null; key long, not null; text): ids, keys, sizes, how many documents each slice has, compressed slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name, size = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 data, offsets = strings(part.column("text"))
-                held.append((part.column("id").to_numpy(), np.diff(offsets), zstandard.compress(data.tobytes(), 3)))
+                held.append((part.column("id").to_numpy(), part.column("key").to_numpy(), np.diff(offsets), zstandard.compress(data.tobytes(), 3)))
                 size += len(data)
                 if size >= UNIT:
                     yield unit(name, held)
@@ -172,9 +172,9 @@ def _units(docs: DataFrame) -> DataFrame:
             yield unit(name, held)
 
     def unit(name: int, held: list) -> pa.RecordBatch:
-        ids, sizes, texts = zip(*held, strict=True)
-        packed = [_pack(np.concatenate(ids)), _pack(np.concatenate(sizes)), _pack(np.array([len(x) for x in ids]))]
-        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(texts)], pa.list_(pa.binary()))], ["unit", "ids", "sizes", "slices", "texts"])
+        ids, keys, sizes, texts = zip(*held, strict=True)
+        packed = [*(_pack(np.concatenate(x)) for x in (ids, keys, sizes)), _pack(np.array([len(x) for x in ids]))]
+        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(texts)], pa.list_(pa.binary()))], ["unit", "ids", "keys", "sizes", "slices", "texts"])
 
     return docs.mapInArrow(tidied(run), UNITS)
 
@@ -367,9 +367,9 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool) -> DataFrame:
-    """Mark and cut: one row per document (id, RESULT, and the bytes left if asked)."""
+    """Mark and cut: one row per document (id, key, RESULT, and the bytes left if asked)."""
     fine = buckets * FINE
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
+    names = ["id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,13 +383,13 @@ def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool
                 of, begin, size, best = (np.concatenate(x) for x in zip(*spans, strict=True))
                 order = np.argsort(of, kind="stable")
                 of, begin, size, best = of[order], begin[order], size[order], best[order]
-                at = 0
+                at, row, keys = 0, 0, _unpack(batch.column("keys")[k].as_py(), "<i8")
                 for ids, data, offsets, runs in parts:
                     mine = kind[at : at + len(runs.start)]
-                    at += len(mine)
-                    yield done(ids, data, offsets, runs, mine, least, of, begin, size, best)
+                    at, row = at + len(mine), row + len(ids)
+                    yield done(ids, keys[row - len(ids) : row], data, offsets, runs, mine, least, of, begin, size, best)
 
-    def done(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, runs: Runs, kind: np.ndarray, least: np.ndarray, of: np.ndarray, begin: np.ndarray, size: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    def done(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, runs: Runs, kind: np.ndarray, least: np.ndarray, of: np.ndarray, begin: np.ndarray, size: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
         owner = ids[runs.doc]
         depth = np.zeros(len(data) + 1, np.int32)
         whole = owner > least[kind]  # an equal run of a smaller document is in this unit
@@ -411,24 +411,30 @@ def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool
         left = data[~gone]
         ends = np.cumsum(sizes - removed)
         kept = [left[e - n : e].tobytes() for e, n in zip(ends, sizes - removed, strict=True)]
-        columns = [pa.array(ids), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+        columns = [pa.array(ids), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         return pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * keep_text], names)
 
-    return units.mapInArrow(tidied(run), f"id long, {RESULT}{', kept binary' * keep_text}")
+    return units.mapInArrow(tidied(run), f"id long, key long, {RESULT}{', kept binary' * keep_text}")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_runs: int = HOT) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_runs: int = HOT, key_col: str | None = None) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked.
+
+    ``key_col`` (long, not null) passes, so that rows can be told apart whose ids are null or repeated.
+    """
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and below length")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = (F.col(key_col) if key_col else F.lit(0)).cast("long")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumns({"n_bytes": F.octet_length("text").cast("long"), "sha": F.sha2("text", 256)})
     buckets = partitions(docs, 12)
     # Equal texts: only the smallest id's can keep anything, so the rest needs no sorting.
-    same = saved(docs.where("id is not null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digests")
+    same = saved(docs.where("id is not null").select("id", "key", "n_bytes", "sha"), "digests")
     first = same.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = saved(same.join(first, "sha").where("id > first").select("id", "n_bytes", "sha").distinct(), "copies")
-    ids = copies.select("id").distinct()
-    texts = docs.where("id is not null").join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_anti")
+    copies = saved(same.join(first, "sha").where("id > first").select("id", "sha").distinct(), "copies")
+    # By id and text: another row of the same id may hold another text.
+    few = F.broadcast(copies) if copies.count() <= FEW_IDS else copies
+    texts = docs.where("id is not null").join(few, ["id", "sha"], "left_anti").select("id", "key", "text")
     units = saved(_units(texts), "units")
     marks = saved(_shared_digits(units, buckets, length, gram, hot_runs), "marks")
     marked = units.join(marks, "unit", "left")
@@ -436,16 +442,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result = _cut(marked.join(found, "unit", "left"), buckets, length, gram, keep_text)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     gone = F.col("n_bytes") >= length
-    extra = docs.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.lit(False).alias("gone"), "text")
-    plain = same.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id").select("id", "n_bytes", "sha", gone.alias("gone"))
-    if keep_text:
-        plain = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "text").select("id", "n_bytes", "sha", gone.alias("gone"), "text")
-    else:
-        extra = extra.drop("text")
+    names = ["id", "key", "n_bytes", "sha", "gone", *["text"] * keep_text]
+    extra = docs.where("id is null").withColumn("gone", F.lit(False)).select(names)
+    plain = (docs if keep_text else same).join(few, ["id", "sha"]).withColumn("gone", gone).select(names)
     other = plain.unionByName(extra).select(
-        "id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).alias("n_removed"), F.col("gone").cast("long").alias("n_spans"), F.when(F.col("gone"), empty).otherwise(F.col("sha")).alias("kept_sha256"),
+        "id", "key", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).alias("n_removed"), F.col("gone").cast("long").alias("n_spans"), F.when(F.col("gone"), empty).otherwise(F.col("sha")).alias("kept_sha256"),
         *[F.when(F.col("gone"), F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept")] * keep_text,
     )
-    return result.unionByName(other).withColumnRenamed("id", id_col)
-
-
+    rows = result.unionByName(other).withColumnRenamed("id", id_col)
+    return rows.withColumnRenamed("key", key_col) if key_col else rows.drop("key")

@@ -231,3 +231,36 @@ def test_pipeline(spark, tmp_path):
     assert passage not in cut.where("doc_id = 203").first().text and passage in cut.where("doc_id = 202").first().text
     assert cut.where("n_chars <> length(text)").count() == 0 and seen[4] == seen[3] and docs.where("length(ids) <> 4 * n_tokens").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_carry_every_row(spark, tmp_path):
+    """Null and repeated ids, null texts and columns named like a stage's own."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    first = prose(60)
+    passage = prose(30)
+    rows = [(3, first), (5, first), (5, prose(50)), (5, prose(40)), (None, prose(40)), (None, prose(45)), (None, first), (7, None), (8, prose(25) + " " + passage), (9, passage + " " + prose(20)), (9, prose(30)), (9, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), f"row {k}", f"row {k}", f"row {k}", k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, n_removed string, size string, shard string, key long, row long")
+    read = lambda df: {(r["row"], r.text) for r in df.collect() if r.n_removed == r["size"] == r.shard == f"row {r['row']}" and r.key == r["row"]}
+    everyone = set(enumerate(t for _, t in rows))
+
+    def stage(k):
+        out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and (k == 3 or out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType)
+        return out
+
+    one = stage(1)
+    assert read(one) == everyone - {(1, first)} and one.count() == len(rows) - 1
+    cut = stage(2)
+    want = {(k, t) for k, t in everyone if k not in (1, 9, 11)}
+    assert cut.count() == len(rows) - 2 and want <= read(cut)
+    (left,) = (t for k, t in read(cut) if k in (1, 9, 11))
+    assert rows[9][1].endswith(left) and passage not in left
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut.collect())
+    mixed = stage(3)
+    assert {r["row"] for r in mixed.collect()} == {k for k, _ in read(mixed)} != set()
+    spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = stage(0)
+    assert kept.count() == len(read(kept))
