@@ -3,15 +3,17 @@
 Vectors are scaled to length 1 in double precision; equal unit vectors are one point with a count. Coarse centroids
 (k-means on a bounded sample) cut the points into inverted lists; the residual to the centroid is cut into SUBSPACES
 parts, each coded by one of CODES centroids (k-means on residuals of the same sample). A query probes every list whose
-border it could cross with one of its neighbours, computes distances to the list's points from tables of its distances
-to all codes, keeps those that the stored coding error of the point can't rule out, and reranks these by exact cosine.
+border is within half the reach, so that of two neighbours at least one probes the other's list (see ``probes``); it
+computes distances to the list's points from tables of its distances to all codes, keeps those that the stored coding
+error of the point can't rule out, and reranks these by exact cosine. A pair counts for both ends: the one that asks
+credits the other where that one doesn't ask itself.
 
 The number of lists grows with the square root of the number of points. A list is cut into parts of at most PART
 points, and the queries of a part into sets, so a task holds one part and a batch of queries whatever the corpus holds.
 Tasks report counts and a spanning forest of the links they find, never pairs, so a group of copies costs no pair rows.
 
-Vectors that are null, zero, or hold null or non-finite components, or have another length than most, link with
-nothing. Of rows that repeat an id, each counts as a vector of its own for others; their results are one row each.
+Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of different lengths don't
+link; each length has an index of its own. Of rows that repeat an id, each counts as a vector of its own for others; their results are one row each.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm._common import partitions, saved, tidied
@@ -31,7 +33,6 @@ SAMPLE = 20_000  #: most points from which centroids and codes are learned
 SUBSPACES, CODES = 8, 256
 PART = 4096
 QUERIES = 1_000_000  #: a cell has one set of queries for so many points
-SLACK = 4.0  #: see ``probes``
 ROUNDS = 8
 SEED = 5
 
@@ -92,7 +93,7 @@ class Index:
         self.books = [kmeans(rest[:, c], CODES, rng) for c in self.cuts]
         gap = distances(self.centres, self.centres)
         np.fill_diagonal(gap, np.inf)
-        self.gap = np.sqrt(np.maximum(gap, 1e-12))
+        self.gap = np.sqrt(np.maximum(gap, 1e-8))  # a gap taken for larger only brings borders nearer
 
     def coded(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the length of what they miss."""
@@ -107,18 +108,16 @@ class Index:
             out[:, c] = b[codes[:, j]]
         return out
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs to search. The own list, and lists whose border is near.
+    def probes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which lists to search for each row: the own list, and lists whose border is within half the reach.
 
-        A neighbour at distance ``reach`` in no special direction moves by reach / sqrt(dims) along the normal of a
-        border, as a standard deviation; SLACK of these are allowed for. With SLACK = sqrt(dims) no neighbour can be
-        missed whatever its direction.
+        The distances of two neighbours in different lists to the border of these add up to at most the distance of the
+        neighbours, whatever the direction or number of dimensions. So one of them is within half the reach.
         """
         d = distances(x, self.centres)
-        own = d.argmin(1)
         border = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gap[own])
         border[np.arange(len(x)), own] = 0
-        return np.nonzero(border <= self.reach * min(1.0, SLACK / np.sqrt(self.dims)))
+        return border <= self.reach / 2 + 1e-6
 
     def candidates(self, x: np.ndarray, list_no: int, codes: np.ndarray, miss: np.ndarray) -> np.ndarray:
         """Which points of a list may be within reach of each query: table look-ups, less the point's coding error."""
@@ -135,11 +134,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = saved(unit_points(df, id_col, vector_col), "units")
     points = rows.where("point is not null").groupBy("point").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     points = saved(points.withColumn("size", F.length("unit")), "points")
-    lengths = points.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not lengths:
-        return _result(rows, None, id_col)
-    size, n = lengths[0]["size"], lengths[0]["count"]
-    points = points.where(F.col("size") == size)
+    known = None
+    for size, n in points.groupBy("size").count().orderBy("size").collect():  # one number per length
+        some = _known(spark, points.where(F.col("size") == size), n, threshold)
+        known = some if known is None else known.unionByName(some)
+    return _result(rows, known, id_col)
+
+
+def _known(spark: SparkSession, points: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(point, n_links, component) of n points that have one length."""
+    if n == 1:
+        return points.select("point", (F.col("copies") - 1).alias("n_links"), F.col("first").alias("component"))
     index = _fitted(points, n, threshold)
     shared = spark.sparkContext.broadcast(index)  # bounded: SAMPLE points at most
 
@@ -147,8 +152,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     counts = found.where("kind = 0").groupBy(F.col("a").alias("first")).agg(F.sum("b").alias("linked"))
     groups = components(found.where("kind = 1").select("a", "b"))
     known = points.select("point", "first", "copies").join(counts, "first", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
-    known = known.select("point", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
-    return _result(rows, known, id_col)
+    return known.select("point", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
 
 
 def _result(rows: DataFrame, known: DataFrame | None, id_col: str) -> DataFrame:
@@ -195,7 +199,8 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
             for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 own, point = piece.column("list").to_numpy(), piece.column("point").to_numpy()
                 cell = first_cell[own] + np.mod(point, np.maximum(several[own], 1))
-                row, to = index.probes(_units(piece))
+                asked = index.probes(_units(piece), own)
+                row, to = np.nonzero(asked)
                 times = several[to]
                 row, to = np.repeat(row, times), np.repeat(to, times)
                 step = np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times)
@@ -205,10 +210,13 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
                 cells = np.concatenate([cell[everyone] * sets + np.tile(np.arange(sets), piece.num_rows), (first_cell[to] + step) * sets + np.mod(point[row] // 64, sets)])
                 everything = np.concatenate([everyone, row])
                 sent = piece.take(pa.array(everything))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([own[everyone], to]), pa.int32()), pa.array(np.arange(len(everything)) >= n), *(sent.column(c) for c in ("first", "copies", "unit", "codes", "miss"))], names)
+                # Which lists a member asks itself, as bits; a query names the list where it is a member.
+                bits = [x.tobytes() for x in np.packbits(asked, axis=1)]
+                bits = pa.array([*(bits[k] for k in everyone), *[None] * len(row)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([own[everyone], to]), pa.int32()), pa.array(np.arange(len(everything)) >= n), pa.array(own[everything], pa.int32()), bits, *(sent.column(c) for c in ("first", "copies", "unit", "codes", "miss"))], names)
 
-    names = ["cell", "list", "asks", "first", "copies", "unit", "codes", "miss"]
-    sent = listed.mapInArrow(tidied(route), "cell long, list int, asks boolean, first long, copies long, unit binary, codes binary, miss double")
+    names = ["cell", "list", "asks", "home", "asked", "first", "copies", "unit", "codes", "miss"]
+    sent = listed.mapInArrow(tidied(route), "cell long, list int, asks boolean, home int, asked binary, first long, copies long, unit binary, codes binary, miss double")
     sent = sent.repartition(partitions(points), "cell").sortWithinPartitions("cell", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +241,12 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
                 if stored is None:
                     table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-                    stored = _units(table), codes, *(table.column(c).to_numpy() for c in ("miss", "first", "copies"))
+                    asked = np.frombuffer(b"".join(table.column("asked").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+                    stored = _units(table), codes, asked, *(table.column(c).to_numpy() for c in ("miss", "first", "copies"))
                 for i in range(0, run.num_rows, 512):
                     yield from linked(index, run.slice(i, 512), *stored)
 
-    def linked(index: Index, asking: pa.RecordBatch, y: np.ndarray, codes: np.ndarray, miss: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(index: Index, asking: pa.RecordBatch, y: np.ndarray, codes: np.ndarray, asked: np.ndarray, miss: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
         x, mine = _units(asking), asking.column("first").to_numpy()
         maybe = index.candidates(x, asking.column("list")[0].as_py(), codes, miss) & (mine[:, None] != ids[None, :])
         i, j = np.nonzero(maybe)
@@ -246,9 +255,14 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
         if len(i):
             total = np.bincount(i, weights=copies[j], minlength=len(mine)).astype(np.int64)
             some = np.flatnonzero(total)
+            # Members that don't ask in the query's list have this link from here.
+            home = asking.column("home").to_numpy()[i]
+            silent = (asked[j, home >> 3] >> (7 - (home & 7))) & 1 == 0
+            back = np.bincount(j[silent], weights=asking.column("copies").to_numpy()[i[silent]], minlength=len(ids)).astype(np.int64)
+            told = np.flatnonzero(back)
             vertex, root = forest(mine[i], ids[j])
             other = vertex != root
-            kinds = np.concatenate([np.zeros(len(some), np.int32), np.ones(int(other.sum()), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([mine[some], vertex[other]])), pa.array(np.concatenate([total[some], root[other]]))], ["kind", "a", "b"])
+            kinds = np.concatenate([np.zeros(len(some) + len(told), np.int32), np.ones(int(other.sum()), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([mine[some], ids[told], vertex[other]])), pa.array(np.concatenate([total[some], back[told], root[other]]))], ["kind", "a", "b"])
 
     return sent.mapInArrow(tidied(search), "kind int, a long, b long")

@@ -149,6 +149,23 @@ def test_embeddings(spark):
     assert all(got[i].n_links == hit[i].sum() - 1 and got[i].component_id == group.get(i, i) and got[i].kept == (group.get(i, i) == i) for i in range(len(x)))
 
 
+def test_embeddings_of_few_directions(spark):
+    """Vectors of 100 and 64 components that vary in two directions only: neighbours lie straight across borders."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for dims in (100, 64):
+        plane = np.linalg.qr(rng.normal(size=(dims, 3)))[0]
+        x = np.column_stack([rng.normal(size=(400, 2)), np.full(400, 0.5)]) @ plane.T
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hit = u @ u.T >= 0.9
+        at = len(rows)
+        group = joined([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True) if a != b])
+        want |= {at + i: (hit[i].sum() - 1, at + group.get(i, i)) for i in range(400)}
+        rows += [(at + i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()} == want
+
+
 def test_odd_vectors(spark):
     rows = [[1.0, 0.0], [2.0, 0.0], [0.0, 0.0], None, [1.0, None], [float("nan"), 1.0], [1e-200, 1e-200], [1e200, 1.1e200], [0.95, 0.1], [], [1.0, 0.0, 0.0], [float("inf"), 0.0]]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
