@@ -43,15 +43,51 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
-#: A copyright line: after marks and blanks it begins with the word or sign, or is a rights notice.
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: More wordings, which the SQL doesn't have. The enumeration of BSD conditions is by number, asterisk or hyphen.
+MORE = {
+    "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
+    "BSD-3-Clause": BSD_HEAD + BSD_NAMES + BSD_TAIL,
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+}
+#: Title lines with which a licence's text is published.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense",),
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of all built-in wordings, with and without a title."""
+    rows = []
+    for name, text in (KNOWN | MORE).items():
+        for one in {text, text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")} if name.startswith("BSD-") else {text}:
+            rows += [(name, one), *((name, f"{title}\n\n{one}") for title in TITLES.get(name, ()))]
+    return rows
+
+
+#: A copyright line, as the SQL has it: after marks and blanks it begins with the word or sign, or is a rights notice.
 COPYRIGHT_LINE = r"^[ \t#*/;>-]*(?:copyright(?: \(c\)| ©)?(?: |:)[^\n]*|\(c\) [^\n]*|© ?[^\n]*|all rights reserved\.?[ \t]*)$"
+#: The same without body lines that happen to begin with the word, as wrapped licence texts have them.
+NOTICE_LINE = COPYRIGHT_LINE.replace("copyright(?:", r"copyright(?! +(?:notice|holder|owner|law|license|licence|statement|interest|and|or|in|is|of|to)s?\b)(?:", 1)
 OTHER = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column | str) -> Column:
     """The normalised wording of a text (null: null)."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
-    text = F.regexp_replace(text, f"(?dm){COPYRIGHT_LINE}", "")  # d: only \n ends a line
+    text = F.regexp_replace(text, f"(?dm){NOTICE_LINE}", "")  # d: only \n ends a line
     # Two spaces between words, so that neighbouring words don't share one when they are looked up.
     text = F.concat(F.lit(" "), F.regexp_replace(text, OTHER, "  "), F.lit(" "))
     for one, other in SPELLINGS.items():
@@ -65,7 +101,7 @@ def digest(text: Column | str) -> Column:
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(license_id, digest), one row per digest. ``known``: a table (name, text); the built-in wordings by default."""
-    known = known if known is not None else spark.createDataFrame(list(KNOWN.items()), "name string, text string")
+    known = known if known is not None else spark.createDataFrame(known_texts(), "name string, text string")
     return known.select(F.col("name").alias("license_id"), digest("text").alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -76,7 +112,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def canonical_sql(text: str) -> str:
-    """The same normalising as DuckDB SQL."""
+    """The same normalising as DuckDB SQL, but for wrapped body lines that begin with the word copyright: those it drops."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     sql = f"regexp_replace(lower({text}), {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
     sql = f"concat(' ', regexp_replace({sql}, {quoted(OTHER)}, '  ', 'g'), ' ')"
@@ -86,7 +122,7 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql(docs: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """``scan`` as DuckDB SQL."""
+    """``scan`` as DuckDB SQL, with the wordings in KNOWN only."""
     rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in KNOWN.items())
     digest_of = lambda c: f"sha256(nullif({canonical_sql(c)}, ''))"
     return f"""WITH known AS (SELECT digest, min(name) AS license_id FROM (SELECT name, {digest_of("text")} AS digest FROM (VALUES {rows}) AS k(name, text)) GROUP BY digest),

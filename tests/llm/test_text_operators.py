@@ -127,6 +127,19 @@ def test_licences(spark):
     assert sorted(map(repr, con.execute(licenses.scan_sql()).fetchall())) == sorted(repr(tuple(r)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_licences_as_published(spark):
+    import textwrap
+
+    notice = "Copyright (c) 2024, Some Body\n\n"
+    wrap = lambda t, n=76: "\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    isc = licenses.KNOWN["ISC"].replace("copyright notice and this", "\ncopyright notice and this", 1)
+    rows = [(1, "ISC", "ISC License\n\n" + notice + isc), (2, "MIT", "MIT License\n\n" + notice + wrap(licenses.KNOWN["MIT"])), (3, "MIT", "The MIT License (MIT)\nCopyright © 2001 X\n" + wrap(licenses.KNOWN["MIT"], 60)), (4, None, "copyright notice")]
+    for n in range(50, 90):
+        rows += [(n * 10 + k, name, "\n\n".join([title, notice, wrap((licenses.KNOWN | licenses.MORE)[name], n)])) for k, (name, title) in enumerate([("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("Unlicense", ""), ("MIT", "")])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i].license_id for i, _, _ in rows} == {i: name for i, name, _ in rows} and got[4].digest is not None
+
+
 def test_chats(spark):
     rows = [(1, 0, "u", "Hello there\nsecond line\n\nNew para"), (1, 1, "a", "> hello  THERE\n> second line\n\nmy answer"), (1, 2, "u", ">> Hello there\n>> second line\n> my answer\n\nok"),
             (1, 3, "u", "> nothing known\nx"), (1, 4, "z", None), (None, 1, "q", "> a"), (2, 0, "u", ">>>"), (1, 5, "u", "> new para\nyes"), (1, 6, "u", "> later"), (1, 7, "u", "later")]
