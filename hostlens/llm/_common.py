@@ -13,9 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 19
+#: Bytes of a record batch on its way to a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,11 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """Broadcast a saved table where it is counted to be small; else Spark joins it as it does any table."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def partitions(df: DataFrame, least: int = 8) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -90,6 +99,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in small batches, giving freed memory back when a partition ends.
+
+    Spark limits a batch by rows, and by 64 MB: with long texts several of these per task, in the JVM and in Python.
+    The session's limit is lowered for that, unless it was set to another value than Spark's own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) == "67108864b":
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(tidied(run), schema)
+
+
 def tidied(run: Callable) -> Callable:
     """A function of record batches that gives freed memory back when its partition ends: idle workers keep it else."""
 

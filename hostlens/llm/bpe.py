@@ -15,20 +15,23 @@ import json
 from collections.abc import Iterator
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlens.llm._common import slices, tidied
-from hostlens.llm.pieces import PieceEncoder, runs
+from hostlens.llm._common import mapped, ragged, slices, strings
+from hostlens.llm._tables import Memory, Table
+from hostlens.llm.pieces import PieceEncoder, Runs, clean_rows
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The pattern of the byte-level pre-tokenizer; a fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LARGE = 1 << 60
+FITS = 20  #: bits: so many answers whether a token can follow another are remembered
+TABLE = 1 << 20  #: prefixes of words that are worked on at a time
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -46,6 +49,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Suffixes:
+    """The automaton of the tokens: its state after some bytes stands for their longest suffix that begins a token.
+
+    Arrays step many words at a time. ``longest[state]`` is the longest token that the bytes end with, ``shorter[token]``
+    the next longest.
+    """
+
+    def __init__(self, tokens: dict[bytes, int], size: int):
+        found: dict[bytes, int] = {b"": 0}
+        for token in tokens:
+            for end in range(1, len(token) + 1):
+                found.setdefault(token[:end], len(found))
+        self.fail, self.longest = np.zeros(len(found), np.int64), np.full(len(found), -1, np.int64)
+        self.shorter = np.full(size, -1, np.int64)
+        edges = np.array([(found[x[:-1]] << 8 | x[-1], state) for x, state in found.items() if x], np.int64).reshape(-1, 2)
+        self.edges = Table(edges[:, 0].astype(np.uint64), edges[:, 1])
+        for x, state in sorted(found.items(), key=lambda e: len(e[0])):
+            if not x:
+                continue
+            self.fail[state] = next(found[x[i:]] for i in range(1, len(x) + 1) if x[i:] in found)
+            below = self.longest[self.fail[state]]
+            if x in tokens:
+                self.longest[state], self.shorter[tokens[x]] = tokens[x], below
+            else:
+                self.longest[state] = below
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        after = self.edges.get((state << 8 | byte).astype(np.uint64)).astype(np.int64)
+        lost = np.flatnonzero(after < 0)
+        state = state[lost]
+        while len(lost):
+            deeper = state > 0
+            after[lost[~deeper]] = 0  # no token begins with the byte
+            lost, state = lost[deeper], self.fail[state[deeper]]
+            after[lost] = self.edges.get((state << 8 | byte[lost]).astype(np.uint64))
+            still = after[lost] < 0
+            lost, state = lost[still], state[still]
+        return after
+
+
 class PrefixEncoder:
     """Encoder and decoder of one byte-level BPE tokenizer file."""
 
@@ -56,102 +99,185 @@ class PrefixEncoder:
         raw = {token: bytes(letters[c] for c in token) for token in vocab if all(c in letters for c in token)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
-            self.bytes_of[i] = raw.get(token, b"")
+            bytes_of[i] = raw.get(token, b"")
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born = [-1] * size
+            bytes_of[i] = token.encode()
+        self.sizes = np.fromiter(map(len, bytes_of), np.int64, size)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.left, self.right, self.born = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        pairs = np.empty(len(spec["model"]["merges"]), np.uint64)
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            whole = vocab[a + b]
-            self.rank[vocab[a], vocab[b]] = rank
-            if whole not in self.parts:
-                self.parts[whole], self.born[whole] = (vocab[a], vocab[b]), rank
-        reachable = {vocab[token] for token, b in raw.items() if len(b) == 1} | set(self.parts)
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if i in reachable:
-                self.automaton.add_word(raw[token].decode("latin-1"), (len(raw[token]), i))
-        self.automaton.make_automaton()
+            whole, a, b = vocab[a + b], vocab[a], vocab[b]
+            pairs[rank] = a << 32 | b
+            if self.born[whole] < 0:
+                self.left[whole], self.right[whole], self.born[whole] = a, b, rank
+        _, first = np.unique(pairs[::-1], return_index=True)  # of a pair that is listed again the last rank holds
+        last = len(pairs) - 1 - first
+        self.rank = Table(pairs[last], last)
+        self.suffixes = Suffixes({b: vocab[token] for token, b in raw.items() if len(b) == 1 or self.born[vocab[token]] >= 0}, size)
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.fits = Memory(FITS)
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Tokens that stand at a side of ``token`` while it is built, each with the rank at which it is absorbed."""
-        found, until = [], LARGE
-        while True:
-            found.append((token, until))
-            if token not in self.parts:
-                return found
-            until, token = self.born[token], self.parts[token][side]
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether b can follow a: no pair of tokens that meet at the seam while both are built merges.
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each b can follow its a: no pair of tokens that meet at the seam while both are built merges.
 
-        A pair of equal rank on the left goes first, one on the right goes after.
+        The tokens at the seam are a and its right parts, b and its left parts, each until the rank at which it is
+        absorbed. A pair of equal rank on the left goes first, one on the right goes after.
         """
-        known = self.fits.get((a, b))
-        if known is None:
-            known = not any((r := self.rank.get((x, y))) is not None and r < x_until and r <= y_until for x, x_until in self._edge(a, 1) for y, y_until in self._edge(b, 0))
-            if len(self.fits) > 200_000:
-                self.fits.clear()
-            self.fits[a, b] = known
-        return known
-
-    def word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        ids = self.words.get(word)
-        if ids is not None:
-            return ids
-        letters = word.encode().decode("latin-1")
-        n = len(letters)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        fits, compatible = self.fits, self.compatible
-        for end, (size, token) in self.automaton.iter(letters):
-            at = end + 1
-            if last[at] < 0:
-                begin = at - size
-                before = last[begin]
-                if begin == 0 or before >= 0 and (ok if (ok := fits.get((before, token))) is not None else compatible(before, token)):
-                    last[at], back[at] = token, begin
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at = back[at]
-        ids.reverse()
-        if len(self.words) > 50_000:
-            self.words.clear()
-        if n < 64:
-            self.words[word] = ids
-        return ids
+        good = np.ones(len(a), bool)
+        row, x, x_until = np.arange(len(a)), a, np.full(len(a), LARGE)
+        while len(row):
+            at, left, y, y_until = row, x, b[row], np.full(len(row), LARGE)
+            x_end = x_until
+            while len(at):
+                rank = self.rank.get((left << 32 | y).astype(np.uint64)).astype(np.int64)
+                good[at[(rank >= 0) & (rank < x_end) & (rank <= y_until)]] = False
+                more = good[at] & (self.born[y] >= 0)
+                at, left, x_end, y = at[more], left[more], x_end[more], y[more]
+                y_until, y = self.born[y], self.left[y]
+            more = good[row] & (self.born[x] >= 0)
+            row, x = row[more], x[more]
+            x_until, x = self.born[x], self.right[x]
+        return good
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible``, remembered."""
+        key = (a << 32 | b).astype(np.uint64)
+        slot = self.fits.slots(key)
+        new = np.flatnonzero(~self.fits.known(slot, key))
+        found = self.fits.values[slot].astype(bool)
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            one = new[first]
+            good = self.compatible(a[one], b[one])
+            found[new] = good[back]
+            self.fits.put(slot[one], good, key[one])
+        return found
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Runs:
+        """Ids of pre-tokens, given as runs of bytes."""
+        counts, where = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        out, total = [np.empty(0, np.int32)], 0
+        order = np.argsort(-lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            # Words of like lengths go together; the table of last tokens stays below TABLE numbers.
+            some = order[at : at + max(1, TABLE // int(lengths[order[at]] + 1))]
+            ids, counts[some] = self._chunk(data, starts[some], lengths[some])
+            where[some] = total + np.cumsum(counts[some]) - counts[some]
+            out.append(ids)
+            total += len(ids)
+            at += len(some)
+        return np.concatenate(out), where, counts
+
+    def _chunk(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in order of length, longest first: the last token of every prefix, then the way back from the ends."""
+        n, most = len(starts), int(lengths[0]) if len(lengths) else 0
+        last = np.full((most + 1, n), -1, np.int32)
+        state = np.zeros(n, np.int64)
+        longer = n - np.searchsorted(lengths[::-1], np.arange(most), "right")  # words that have a byte at each place
+        shorter, longest, sizes = self.suffixes.shorter, self.suffixes.longest, self.sizes
+        for place in range(most):
+            m = longer[place]
+            state[:m] = self.suffixes.step(state[:m], data[starts[:m] + place])
+            word, token = np.arange(m), longest[state[:m]]
+            while len(word):
+                begin = place + 1 - sizes[token]
+                before = last[begin, word]
+                good = begin == 0
+                ask = np.flatnonzero(before >= 0)
+                good[ask] = self._fit(before[ask].astype(np.int64), token[ask])
+                last[place + 1, word[good]] = token[good]
+                word, token = word[~good], shorter[token[~good]]
+                word, token = word[token >= 0], token[token >= 0]
+        back: list[tuple[np.ndarray, np.ndarray]] = []
+        word, at = np.arange(n), lengths.copy()
+        while True:
+            word, at = word[at > 0], at[at > 0]
+            if not len(word):
+                break
+            token = last[at, word]
+            if (token < 0).any():
+                raise ValueError("the vocabulary lacks a byte")
+            back.append((word, token))
+            at = at - sizes[token]
+        counts = np.zeros(n, np.int64)
+        for word, _ in back:
+            counts[word] += 1
+        ids, ends = np.empty(int(counts.sum()), np.int32), np.cumsum(counts)
+        for turn, (word, token) in enumerate(back):
+            ids[ends[word] - 1 - turn] = token
+        return ids, counts
+
+    def _found(self, words: list[str]) -> Runs:
+        """Ids of pre-tokens and special tokens; repeated ones are worked out once."""
+        table = pa.array(words, pa.large_string()).dictionary_encode()
+        data, offsets = strings(table.dictionary)
+        ids, starts, counts = self.words(data, offsets[:-1], np.diff(offsets))
+        for token, i in self.special.items():  # the pattern never takes one for a pre-token
+            k = pc.index(table.dictionary, pa.scalar(token, pa.large_string())).as_py()
+            if k >= 0:
+                starts[k], counts[k], ids = len(ids), 1, np.append(ids, np.int32(i))
+        at = table.indices.to_numpy()
+        return ids, starts[at], counts[at]
+
+    def split(self, text: str) -> list[str]:
+        """A text's pre-tokens and special tokens."""
+        if not any(s in text for s in self.special):
+            return self.find(text)
+        return [word for part in self.cut.split(text) for word in ([part] if part in self.special else self.find(part))]
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]:
-            if part in self.special:
-                ids.append(self.special[part])
-            else:
-                for word in self.find(part):
-                    ids += self.word(word)
-        return ids
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode(t) for t in texts]
+        ids, starts, counts = self._found(self.split(text))
+        return ids[ragged(starts, counts)].tolist()
+
+    def encode_many(self, texts: pa.Array) -> Runs:
+        """Clean pieces are split into pre-tokens in one row, as they don't affect each other; others one by one."""
+        clean = clean_rows(texts, tuple(self.special))
+        data, offsets = strings(texts.filter(pa.array(clean)))
+        words = self.find(data.tobytes().decode())
+        ends = np.cumsum(pc.binary_length(pa.array(words, pa.large_string())).to_numpy())
+        last = np.searchsorted(ends, offsets[1:])
+        if (ends[last] != offsets[1:]).any():
+            raise ValueError("a pre-token reaches over the end of a piece")
+        times = np.zeros(len(texts), np.int64)
+        times[clean] = np.diff(last, prepend=-1)
+        first = np.zeros(len(texts), np.int64)
+        first[clean] = np.cumsum(times[clean]) - times[clean]
+        for k in np.flatnonzero(~clean):
+            some = self.split(texts[k].as_py())
+            first[k], times[k] = len(words), len(some)
+            words += some
+        ids, begins, sizes = self._found(words)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return ids[ragged(begins, sizes)], upto[first], upto[first + times] - upto[first]
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of runs of ids, one after another. Bytes that aren't UTF-8 become U+FFFD, as in the library."""
+        sizes = self.sizes[ids]
+        data = self.bytes[ragged(self.starts[ids], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = upto[np.concatenate([[0], np.cumsum(counts)])]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        try:
+            return raw.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
 
 @cache
 def prefix_encoder(path: str) -> tuple[PrefixEncoder, PieceEncoder]:
     """One encoder for each worker process, with its piece cache."""
     encoder = PrefixEncoder(path)
-    return encoder, PieceEncoder(lambda texts: runs(encoder.encode_many(texts)), tuple(encoder.special), 200_000)
+    return encoder, PieceEncoder(encoder.encode_many, tuple(encoder.special))
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -171,7 +297,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
                 ids, counts = pieces(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), packed_ids(ids, counts), pa.array(counts, pa.int64())], [*names, out, "n_tokens"])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), schema)
+    return df.select(*names, df[text_col].alias("__text")).transform(mapped, run, schema)
 
 
 def packed_ids(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -192,11 +318,14 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = prefix_encoder(path)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = [None if x.as_py() is None else encoder.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in part.column(ids_col)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, out])
-
-    return df.select(*names).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.StringType())]))
+            for part in slices(batch, ids_col, 2 << 20):
+                packed = part.column(ids_col).cast(pa.large_binary())
+                counts = pc.fill_null(pc.binary_length(packed), 0).to_numpy().astype(np.int64) // 4
+                ids = np.frombuffer(b"".join(x.as_buffer() for x in packed if x.is_valid), "<u4").astype(np.int64)
+                texts = pc.if_else(packed.is_valid(), encoder.decode_many(ids, counts), pa.scalar(None, pa.large_string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), texts.cast(pa.string())], [*names, out])
+
+    return df.select(*names).transform(mapped, run, T.StructType([*kept, T.StructField(out, T.StringType())]))
 
 
 def sha256(text: str) -> str:

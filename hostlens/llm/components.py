@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import saved, tidied
+from hostlens.llm._common import mapped, saved
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def shrunk(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
         other = vertex != root
         return pa.RecordBatch.from_arrays([pa.array(vertex[other]), pa.array(root[other])], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(tidied(run), "a long, b long")
+    return edges.select("a", "b").transform(mapped, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import partitions, saved, tidied
+from hostlens.llm._common import mapped, partitions, saved
 from hostlens.llm.components import components, forest
 
 SAMPLE = 20_000  #: most points from which centroids and codes are learned
@@ -55,7 +55,7 @@ def unit_points(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             points = [None if u is None else int.from_bytes(hashlib.blake2b(u, digest_size=8).digest(), "little", signed=True) for u in units]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(points, pa.int64()), pa.array(units, pa.binary())], ["id", "point", "unit"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(tidied(run), "id long, point long, unit binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).transform(mapped, run, "id long, point long, unit binary")
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -185,7 +185,7 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
             codes, miss = index.coded(x, at)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(batch.column(c) for c in ("point", "first", "copies", "unit")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss)], ["list", "point", "first", "copies", "unit", "codes", "miss"])
 
-    listed = points.select("point", "first", "copies", "unit").mapInArrow(tidied(assign), "list int, point long, first long, copies long, unit binary, codes binary, miss double")
+    listed = points.select("point", "first", "copies", "unit").transform(mapped, assign, "list int, point long, first long, copies long, unit binary, codes binary, miss double")
     listed = saved(listed, "lists")
     # Lists may be of any size: each is cut into parts by the point's digest.
     parts = listed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
@@ -216,7 +216,7 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([own[everyone], to]), pa.int32()), pa.array(np.arange(len(everything)) >= n), pa.array(own[everything], pa.int32()), bits, *(sent.column(c) for c in ("first", "copies", "unit", "codes", "miss"))], names)
 
     names = ["cell", "list", "asks", "home", "asked", "first", "copies", "unit", "codes", "miss"]
-    sent = listed.mapInArrow(tidied(route), "cell long, list int, asks boolean, home int, asked binary, first long, copies long, unit binary, codes binary, miss double")
+    sent = listed.transform(mapped, route, "cell long, list int, asks boolean, home int, asked binary, first long, copies long, unit binary, codes binary, miss double")
     sent = sent.repartition(partitions(points), "cell").sortWithinPartitions("cell", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +265,4 @@ def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
             kinds = np.concatenate([np.zeros(len(some) + len(told), np.int32), np.ones(int(other.sum()), np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([mine[some], ids[told], vertex[other]])), pa.array(np.concatenate([total[some], back[told], root[other]]))], ["kind", "a", "b"])
 
-    return sent.mapInArrow(tidied(search), "kind int, a long, b long")
+    return sent.transform(mapped, search, "kind int, a long, b long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlens.llm._common import slices, tidied
+from hostlens.llm._common import mapped, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW = 192  #: bytes of a picture row: 64 pixels of three samples
@@ -171,7 +171,7 @@ def with_png(df: DataFrame, text_col: str = "text", out: str = "media") -> DataF
                 made = [pa.array([len(x) for x in raw], pa.int64()), pa.array([encode_png(padded(x)) for x in raw], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, "n_bytes", out])
 
-    return df.select(*names, text_col).mapInArrow(tidied(encode), schema)
+    return df.select(*names, text_col).transform(mapped, encode, schema)
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -203,4 +203,4 @@ def read_png(df: DataFrame, media_col: str = "media", strict: bool = True) -> Da
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(f.name for f in added)])
 
-    return df.select(*names, media_col).mapInArrow(tidied(decode), T.StructType([*kept, *added]))
+    return df.select(*names, media_col).transform(mapped, decode, T.StructType([*kept, *added]))

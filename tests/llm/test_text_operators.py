@@ -43,7 +43,7 @@ def test_pieces_equal_whole_texts(library):
         for _ in range(2):  # the second time from the cache
             ids, counts = encoder(texts)
             assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
-    forgetful = pieces.PieceEncoder(lambda ts: pieces.runs([library.encode(t, add_special_tokens=False).ids for t in ts]), ("<|endoftext|>",), most=3)
+    forgetful = pieces.PieceEncoder(lambda ts: pieces.runs([library.encode(t, add_special_tokens=False).ids for t in ts.to_pylist()]), ("<|endoftext|>",), most=3)
     for t, w in zip(texts[:50], want, strict=False):
         assert forgetful([t])[0].tolist() == w
 
@@ -196,3 +196,43 @@ def test_quality_learns_and_holds_out(spark):
     assert {r.doc_id: r.score for r in quality.scored(docs, quality.fit_on_labels(docs, turned)).collect()} == score
     none = quality.fit_on_labels(docs, labels.limit(0))
     assert {r.score for r in quality.scored(docs, none).collect()} == {0.5} and quality.scored(docs.limit(0), model).count() == 0
+
+
+def test_quality_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "BUY!!", "mats.", "|", "12", "quietly"]) for _ in range(rng.randint(0, 60)))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("cat" in t)) for i, t in rows], "doc_id long, quality int")
+    runs = []
+    for n in (1, 3, 7):
+        model = quality.fit_on_labels(docs.repartition(n), labels.repartition(n + 1))
+        runs.append({r.doc_id: r.score for r in quality.scored(docs.repartition(2 * n), model).collect()})
+    assert runs[0] == runs[1] == runs[2]
+    # Repeated labels count once; a document with both labels is not learned from.
+    again = labels.unionByName(labels.where("doc_id < 50")).unionByName(labels.where("doc_id < 20"))
+    assert {r.doc_id: r.score for r in quality.scored(docs, quality.fit_on_labels(docs, again)).collect()} == runs[0]
+    both = labels.where("doc_id >= 100").unionByName(labels.where("doc_id = 50")).unionByName(spark.createDataFrame([(50, 0), (50, 1)], labels.schema))
+    assert {r.doc_id: r.score for r in quality.scored(docs, quality.fit_on_labels(docs, both)).collect()} == {r.doc_id: r.score for r in quality.scored(docs, quality.fit_on_labels(docs, labels.where("doc_id >= 100"))).collect()}
+
+
+def test_ridge_and_isotonic_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 2, (400, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0.8).astype(int)
+    rows = [(i, x[i].tolist(), int(y[i]), i % 4 == 3) for i in range(400)]
+    model = quality.fit(spark.createDataFrame(rows, "id int, statistics array<double>, label int, calibrate boolean").repartition(3))
+    # Ridge regression as a least-squares problem with one row for each penalty, on plain cosines in double precision.
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    assert np.allclose(model.mean, mean, atol=1e-3) and np.allclose(model.scale, scale, atol=1e-3)
+    z = np.cos(((x - model.mean) / model.scale) @ model.frequency + model.phase) * np.sqrt(2 / model.features)
+    z = np.column_stack([z, np.ones(400)])
+    share, fit = y.mean(), np.arange(400) % 4 != 3
+    root = np.sqrt(np.where(y == 1, 1 / (2 * share), 1 / (2 * (1 - share))))
+    penalties = np.sqrt(np.append(np.full(model.features, quality.RIDGE), 1e-9))
+    weights = np.linalg.lstsq(np.concatenate([z[fit] * root[fit, None], np.diag(penalties)]), np.concatenate([(y[fit] - 0.5) * root[fit], np.zeros(len(penalties))]), rcond=None)[0]
+    assert np.abs(model.raw(x) - z @ weights).max() < 1e-3
+    # The isotonic fit at i is the largest over starts up to i of the smallest over ends from i of the mean between them.
+    value, weight = rng.uniform(size=40) + np.arange(40) / 40, rng.integers(1, 9, 40).astype(float)
+    mean_of = lambda a, b: np.average(value[a : b + 1], weights=weight[a : b + 1])
+    want = [max(min(mean_of(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert np.allclose(quality.isotonic(value, weight), want)
