@@ -88,7 +88,7 @@ def syscall_dimension(spark: SparkSession) -> DataFrame:
 
 def with_category(df: DataFrame, dimension: DataFrame, syscall_col: str = "syscall") -> DataFrame:
     """Add category, sensitive, is_read, is_write; calls that the dimension lacks are ``other`` and nothing else."""
-    found = df.join(F.broadcast(dimension.withColumnRenamed("syscall", "__name")), F.col(syscall_col) == F.col("__name"), "left").drop("__name")
+    found = df.join(dimension.withColumnRenamed("syscall", "__name"), F.col(syscall_col) == F.col("__name"), "left").drop("__name")
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("sensitive", "is_read", "is_write")}
     return found.withColumns({"category": F.coalesce("category", F.lit("other")), **flags})
 
@@ -130,7 +130,7 @@ def rule_dimension(spark: SparkSession) -> DataFrame:
 
 
 def with_technique(df: DataFrame, rules: DataFrame, flag_col: str = "flag") -> DataFrame:
-    return df.join(F.broadcast(rules.select(F.col("flag").alias("__flag"), "technique")), F.col(flag_col) == F.col("__flag"), "left").drop("__flag")
+    return df.join(rules.select(F.col("flag").alias("__flag"), "technique"), F.col(flag_col) == F.col("__flag"), "left").drop("__flag")
 
 
 def lifecycle(end: Column, exit_code: Column) -> Column:

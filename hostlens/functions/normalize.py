@@ -96,3 +96,10 @@ def counter_delta(value: str | Column, by: list[str], order: list[str], clamp: b
     v = _c(value)
     d = v - F.lag(v).over(W.partitionBy(*by).orderBy(*order))
     return F.when(d < 0, F.lit(0) if clamp else v).otherwise(d)
+
+
+def counter_rate(counter: str | Column, seconds: str | Column, by: list[str], order: list[str]) -> Column:
+    """Growth of a counter since the row before, per second; 0 where it fell, null at the first row."""
+    w = W.partitionBy(*by).orderBy(*order)
+    grown, elapsed = _c(counter) - F.lag(_c(counter)).over(w), _c(seconds) - F.lag(_c(seconds)).over(w)
+    return F.when(grown.isNotNull(), F.greatest(grown, F.lit(0))) / F.greatest(elapsed, F.lit(1e-6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECRET, CREDENTIAL, SECRET_PATH = "[REDACTED]", "[REDACTED_CREDENTIAL]", "[REDACTED_PATH]"
 # Patterns of credentials in text (the second group is the secret), of sensitive paths, and words in keys.
@@ -64,13 +65,37 @@ def redact_text(text: str | Column) -> Column:
     return F.when(is_path, F.lit(SECRET_PATH)).otherwise(t)
 
 
+def redact_nested(value: str | Column, kind: T.DataType) -> Column:
+    """Redact a value of any type: text in structs, maps and lists at every depth; a text under a telling key is hidden
+    as a whole, another value under it becomes null. Numbers and the like stay."""
+    x = _c(value)
+    if isinstance(kind, T.StringType):
+        return redact_text(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: redact_nested(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        text = isinstance(kind.valueType, T.StringType)
+        hidden = F.lit(CREDENTIAL) if text else F.lit(None).cast(kind.valueType)
+        return F.transform_values(x, lambda k, v: F.when(_telling(k), hidden).otherwise(redact_nested(v, kind.valueType)))
+    if isinstance(kind, T.StructType):
+        told = lambda f: any(w in f.name.lower() for w in KEY_WORDS)
+        hidden = lambda f: F.lit(CREDENTIAL) if isinstance(f.dataType, T.StringType) else F.lit(None).cast(f.dataType)
+        fields = [(hidden(f) if told(f) else redact_nested(x[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    return x
+
+
+def _telling(key: Column) -> Column:
+    telling = F.lit(False)
+    for w in KEY_WORDS:
+        telling = telling | F.lower(key).contains(w)
+    return telling
+
+
 def redact_map(entries: str | Column) -> Column:
     """Hide values under telling keys, and credentials in the others."""
 
     def one(key: Column, value: Column) -> Column:
-        telling = F.lit(False)
-        for w in KEY_WORDS:
-            telling = telling | F.lower(key).contains(w)
-        return F.when(telling, F.lit(CREDENTIAL)).otherwise(redact_text(value))
+        return F.when(_telling(key), F.lit(CREDENTIAL)).otherwise(redact_text(value))
 
     return F.transform_values(_c(entries), one)

@@ -25,6 +25,8 @@ REGISTRY = {
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 NORMAL = 1.4826  #: scales a median absolute deviation to a standard deviation
 MINIMUM = 5
+# Activities that are typical of a program, by the counter that shows them.
+TYPICAL = {"file_open": "file_open_count", "file_modify": "file_write_count", "socket_connect": "net_connect_count", "fork": "child_process_count", "execve": "exec_count", "file_delete": "file_delete_count"}
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -82,13 +84,58 @@ def feature_baseline(long: DataFrame, keys: list[str], features: DataFrame, exac
     points = F.array(*map(F.lit, PERCENTILES))
     p = F.percentile("value", points) if exact else F.percentile_approx("value", points, 10_000)
     first = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), p.alias("p"))
-    second = long.join(first.select(*by, F.col("p")[1].alias("median")), by).groupBy(*by).agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    rows = first.join(second, by).join(F.broadcast(features.select("feature", "noise_floor")), "feature")
+    away = F.abs(F.col("value") - F.col("median"))
+    second = long.join(first.select(*by, F.col("p")[1].alias("median")), by).groupBy(*by).agg((F.median(away) if exact else F.percentile_approx(away, 0.5, 10_000)).alias("mad"))
+    return _scaled(first.join(second, by).join(features.select("feature", "noise_floor"), "feature"))
+
+
+def wide_baseline(windows: DataFrame, keys: list[str], names: list[str], features: DataFrame, exact: bool = True) -> DataFrame:
+    """``feature_baseline`` of wide windows: rows meet once by key for all features, and once more for the deviations.
+
+    ``exact=False`` takes percentiles and deviations from sketches of bounded size, for programs of very many windows.
+    """
+    points = F.array(*map(F.lit, PERCENTILES))
+    pct = (lambda c: F.percentile(c, points)) if exact else (lambda c: F.percentile_approx(c, points, 10_000))
+    mid = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
+    wide = windows.select(*keys, *[F.col(f).cast("double").alias(f) for f in names])
+    one = lambda f: F.struct(F.lit(f).alias("feature"), F.count(f).alias("n"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"), F.min(f).alias("low"), F.max(f).alias("high"), pct(f).alias("p")).alias(f)
+    first = wide.groupBy(*keys).agg(*map(one, names))
+    same = [wide[k].eqNullSafe(F.col(f"__{k}")) for k in keys]
+    medians = first.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"{f}.p")[1].alias(f"__m_{f}") for f in names])
+    second = wide.join(medians, same).groupBy(*keys).agg(*[mid(F.abs(F.col(f) - F.col(f"__m_{f}"))).alias(f"__mad_{f}") for f in names])
+    second = second.select(*[F.col(k).alias(f"__{k}") for k in keys], *[f"__mad_{f}" for f in names])
+    both = first.join(second, [first[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
+    rows = both.select(*keys, F.explode(F.array(*[F.struct(F.col(f).alias("s"), F.col(f"__mad_{f}").alias("mad")) for f in names])).alias("r")).select(*keys, "r.s.*", "r.mad")
+    return _scaled(rows.join(features.select("feature", "noise_floor"), "feature"))
+
+
+def _scaled(rows: DataFrame) -> DataFrame:
     named = {f"p{round(100 * q)}": F.col("p")[i] for i, q in enumerate(PERCENTILES)}
     rows = rows.withColumns(named).drop("p").withColumns({"median": F.col("p50"), "nmad": NORMAL * F.col("mad"), "iqr": F.greatest(F.lit(0.0), F.col("p75") - F.col("p25"))})
     return rows.withColumn("effective_scale", F.greatest("nmad", "std", 0.05 * F.abs("median"), "noise_floor"))
 
 
+def updated_baseline(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Baselines (keys, n, mean, std, low, high, median, noise_floor) brought up to date with moments of new windows.
+
+    Exact but for the median, of which moments know nothing: it is estimated halfway between the old one and the new mean
+    (``median_estimate``), and the scale is the deviation, at least the noise floor. Recompute for the exact ones.
+    """
+    squares = lambda df: df.withColumn("m2", F.col("std") ** 2 * F.col("n"))
+    rows = combined(squares(old), squares(new), keys).join(old.select(*keys, F.col("median").alias("__median"), "noise_floor"), keys, "left")
+    floor = F.coalesce("noise_floor", F.lit(1.0))
+    rows = rows.withColumns({"std": F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / F.col("n")), "median_estimate": (F.col("mean") + F.coalesce("__median", "mean")) / 2})
+    return rows.withColumn("effective_scale", F.greatest(F.col("std"), floor)).drop("m2", "__median", "noise_floor")
+
+
+def live_profiles(df: DataFrame, by: str, family: Column, kind_col: str, cols: tuple[str, ...] = ("cpu", "mem", "syscalls")) -> DataFrame:
+    """Per program: samples, mean and sample deviation of each live metric, family, and the kinds of events that it has had."""
+    made = [e for c in cols for e in (F.avg(c).alias(f"{c}_avg"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))]
+    rows = df.groupBy(by).agg(F.count("*").alias("samples"), *made)
+    kinds = df.select(by, kind_col).distinct().groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(kind_col)), ",").alias("typical"))
+    return rows.join(kinds, by).withColumn("family", family)
+
+
 def maturity(n: Column, instances: Column) -> tuple[Column, Column]:
     """How far a baseline can be trusted: level and confidence."""
     extra = F.least(F.lit(0.10), (instances - 1) * 0.02)
@@ -104,14 +151,16 @@ def maturity(n: Column, instances: Column) -> tuple[Column, Column]:
 
 def typical_events(sums: dict[str, Column]) -> Column:
     """Names of the activities whose sum is above 0."""
-    return F.array_compact(F.array(*[F.when(c > 0, name) for name, c in sums.items()]))
+    return F.array_compact(F.array(*[F.when(c > 0, name) for name, c in sums.items()])).cast("array<string>")
 
 
-def build_profiles(windows: DataFrame, features: DataFrame, key: str = "profile_id", instance_col: str = "instance_id", order_col: str = "start", label_col: str = "label_binary", minimum: int = MINIMUM, max_windows: int | None = None, as_of=None) -> DataFrame:
-    """Baselines of all programs in one job: (key, feature, statistics, observations, instances, maturity, confidence).
+def build_profiles(windows: DataFrame, features: DataFrame, key: str = "profile_id", instance_col: str = "instance_id", order_col: str = "start", label_col: str = "label_binary", minimum: int = MINIMUM, max_windows: int | None = 5000, as_of=None, typical: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
+    """Baselines of all programs in one job: (key, feature, statistics, observations, instances, period, maturity, confidence, typical).
 
-    Windows labelled as attacks don't count; ``max_windows`` keeps the oldest so many of each program.
+    Windows labelled as attacks don't count; ``max_windows`` keeps the oldest so many of each program (None: all).
+    ``typical`` names the activities that are typical where the sum of a column is above 0.
     """
+    typical = {k: c for k, c in (typical or TYPICAL).items() if c in windows.columns}
     clean = windows.where(F.coalesce(F.col(label_col), F.lit(0)) == 0)
     if as_of is not None:
         clean = clean.where(F.col(order_col) <= as_of)
@@ -119,7 +168,10 @@ def build_profiles(windows: DataFrame, features: DataFrame, key: str = "profile_
         from pyspark.sql import Window as W
 
         clean = clean.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order_col))).where(F.col("__n") <= max_windows).drop("__n")
-    seen = clean.groupBy(key).agg(F.count("*").alias("observations"), F.count_distinct(instance_col).alias("instances")).where(F.col("observations") >= minimum)
+    seen = clean.groupBy(key).agg(
+        F.count("*").alias("observations"), F.count_distinct(instance_col).alias("instances"), F.min(order_col).alias("period_start"), F.max(order_col).alias("period_end"),
+        typical_events({k: F.sum(c) for k, c in typical.items()}).alias("typical"),
+    ).where(F.col("observations") >= minimum)
     level, confidence = maturity(F.col("observations"), F.col("instances"))
     seen = seen.withColumns({"maturity": level, "confidence": confidence})
-    return feature_baseline(long_form(clean, [key]), [key], features).join(seen, key)
+    return wide_baseline(clean, [key], [f for f in REGISTRY if f in clean.columns], features, exact).join(seen, key)

@@ -14,7 +14,7 @@ CATEGORY_WEIGHTS = {"security": 1.2, "syscall": 0.8, "resource": 0.6, "network":
 def robust_deviation(long: DataFrame, baselines: DataFrame, features: DataFrame, key: str = "profile_id", threshold: float = THRESHOLD) -> DataFrame:
     """Per window and feature: robust score, classic score, whether it deviates, and the risk of an upward deviation."""
     rows = long.join(baselines.select(key, "feature", "median", "mean", "std", "high", "effective_scale", "maturity", "confidence"), [key, "feature"])
-    rows = rows.join(F.broadcast(features), "feature")
+    rows = rows.join(features, "feature")
     scale = F.when(F.col("effective_scale") <= TINY, F.col("noise_floor")).otherwise(F.col("effective_scale"))
     rows = rows.withColumn("robust_score", (F.col("value") - F.col("median")) / scale)
     rows = rows.withColumn("z_classic", (F.col("value") - F.col("mean")) / F.when(F.col("std") > TINY, F.col("std")).otherwise(scale))

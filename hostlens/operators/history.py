@@ -52,12 +52,16 @@ def interval_join(events: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return events.join(spans, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.coalesce(F.col(end), F.lit(2**62))))
 
 
-def instance_metrics(windows: DataFrame, by: str = "instance_id") -> DataFrame:
-    """Lifetime metrics of each instance from its windows."""
+def instance_metrics(windows: DataFrame, by: str = "instance_id", start_col: str = "start_s", end_col: str = "end_s") -> DataFrame:
+    """Lifetime metrics of each instance from its windows; columns that these lack count as 0."""
+    v = lambda c: F.col(c) if c in windows.columns else F.lit(0)
     z = lambda c: F.coalesce(c, F.lit(0))
+    total = {"total_duration_s": v("duration_s"), "total_syscalls": v("syscall_count"), "total_bytes_read": v("bytes_read"), "total_bytes_written": v("bytes_written"), "total_net_tx": v("tcp_tx_bytes") + v("udp_tx_bytes"),
+             "total_net_rx": v("tcp_rx_bytes"), "total_children": v("child_process_count"), "total_execs": v("exec_count"), "total_sensitive_syscalls": v("syscalls_sensitive")}
+    most = {"peak_cpu": "cpu_usage", "peak_memory": "memory_usage", "peak_memory_rss": "memory_rss_bytes", "max_unique_files": "unique_files", "max_unique_ips": "unique_dest_ips"}
     return windows.groupBy(by).agg(
-        F.count("*").alias("total_windows"), z(F.sum("bytes_read")).alias("total_bytes_read"), z(F.max("cpu_usage")).alias("peak_cpu"), z(F.avg("cpu_usage")).alias("avg_cpu"),
-        z(F.max("memory_usage")).alias("peak_memory"), z(F.max("bytes_read")).alias("max_bytes_read"), F.min("end_s").alias("first_end"), F.max("end_s").alias("last_end"),
+        F.count("*").alias("total_windows"), *[z(F.sum(c)).alias(n) for n, c in total.items()], *[z(F.max(v(c))).alias(n) for n, c in most.items()], z(F.avg(v("cpu_usage"))).alias("avg_cpu"),
+        F.min(v(start_col)).alias("first_window_start"), F.max(v(end_col)).alias("last_window_end"),
     )
 
 
@@ -65,11 +69,11 @@ def lifecycle_summary(processes: DataFrame, windows: DataFrame, events: DataFram
     """One row per instance. Each side is aggregated before its join, so nothing fans out."""
     from hostlens.functions.classify import lifecycle
 
-    w = instance_metrics(windows).select("instance_id", "total_windows", "peak_cpu", "avg_cpu")
+    w = instance_metrics(windows).drop("first_window_start", "last_window_end")
     e = events.groupBy("instance_id").agg(F.count("*").alias("total_events"))
     d = detections.groupBy("instance_id").agg(F.count("*").alias("detections"), F.max("risk_score").alias("max_risk"))
     rows = processes.join(w, "instance_id", "left").join(e, "instance_id", "left").join(d, "instance_id", "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("total_windows", "peak_cpu", "avg_cpu", "total_events", "detections", "max_risk")}
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in [*w.drop("instance_id").columns, "total_events", "detections", "max_risk"]}
     return rows.withColumns({**zero, "status": lifecycle(F.col("end_s"), F.col("exit_code")), "duration_s": F.greatest(F.lit(0), F.coalesce("end_s", F.lit(as_of)) - F.col("start_s"))})
 
 
@@ -84,6 +88,67 @@ def snapshot_changes(seen: DataFrame, key: str, snapshot: str) -> DataFrame:
     return start.unionByName(gone.select(key, (F.col(snapshot) + 1).alias(snapshot), F.lit("EXIT").alias("change")))
 
 
+def process_history(events: DataFrame, by: list[str], ts_col: str, id_col: str, as_of: Column, days: int = 7, limit: int = 200, cpu: str = "cpu", mem: str = "mem", net: str = "net_kb", syscalls: str = "syscalls", risk: str = "risk", status: str = "status") -> tuple[DataFrame, DataFrame]:
+    """Summary per program, and its rows in order of time: those of the last days, or all where it has none in these; of
+    them the oldest ``limit``."""
+    seconds = F.unix_seconds(F.col(ts_col).cast("timestamp"))
+    rows = events.withColumn("__new", seconds >= as_of - days * 86_400)
+    fresh = rows.groupBy(*by).agg(F.max("__new").alias("__any"))
+    rows = rows.join(fresh, by).where("__new or not __any").drop("__new", "__any")
+    rows = top_per_group(rows, by, [F.asc(ts_col), F.asc(id_col)], limit)
+    last = lambda c: F.max_by(c, "place")
+    mean = lambda c: F.avg(c)
+    summary = rows.groupBy(*by).agg(
+        F.count("*").alias("total_snapshots"), *[f(c).alias(f"{k}_{n}") for n, c in (("cpu", cpu), ("mem", mem)) for k, f in (("avg", mean), ("peak", F.max), ("min", F.min))],
+        mean(net).alias("avg_net_kb"), F.max(net).alias("peak_net_kb"), F.floor(F.avg(syscalls)).alias("avg_syscalls"), F.max(syscalls).alias("peak_syscalls"),
+        F.count_if(F.col(status).isin("ANOMALOUS", "SUSPICIOUS") | (F.col(risk) >= 40)).alias("anomaly_count"), last(status).alias("latest_status"), last(risk).alias("latest_risk"),
+    )
+    return summary, rows
+
+
+def recent_risk(df: DataFrame, risk_col: str, order: list[Column], n: int = 12, scale: float = 20.0) -> DataFrame:
+    """Mean risk of the last n rows (12 without rows), and that over the scale as a trend."""
+    mean = df.orderBy(*order).limit(n).agg(F.coalesce(F.avg(risk_col), F.lit(12.0)).alias("mean_risk"))
+    return mean.withColumn("trend", F.round(F.col("mean_risk") / scale + 1e-9, 2))
+
+
+def family_counts(df: DataFrame, by: list[str], family: Column, families: list[str], threads: Column) -> DataFrame:
+    """Per snapshot: processes of each family, their number, and the sum of threads (1 where unknown)."""
+    rows = df.withColumns({"__family": family, "__threads": F.coalesce(threads, F.lit(1))})
+    return rows.groupBy(*by).agg(*[F.count_if(F.col("__family") == f).alias(f"n_{f}") for f in families], F.count("*").alias("process_count"), F.sum("__threads").alias("thread_count"))
+
+
+def feed_search(df: DataFrame, needle: str = "", family: str = "", segment: str = "", columns: tuple[str, ...] = ("comm", "user", "pid", "eventType")) -> DataFrame:
+    """Feed rows by text, family and segment (cpu, memory, network, anomalies); an empty filter lets all rows pass."""
+    rows = search(df, list(columns), needle) if needle else df
+    if family:
+        rows = rows.where((F.col("family") == family) | F.contains("comm", F.lit(family)))
+    segments = {"cpu": F.col("cpu") > 2, "memory": F.col("mem") > 40, "network": (F.col("eventType") == "socket_connect") | F.col("comm").isin("nginx", "sshd", "curl"), "anomalies": F.col("status") == "ANOMALOUS"}
+    return rows.where(segments[segment]) if segment else rows
+
+
+def children(processes: DataFrame, id_col: str = "instance_id", parent_col: str = "parent_instance_id") -> tuple[DataFrame, DataFrame]:
+    """Edges (parent, child) between instances that are both known, and (instance, children) for all instances."""
+    known = processes.select(F.col(id_col).alias("parent"))
+    edges = processes.where(F.col(parent_col) != F.col(id_col)).select(F.col(parent_col).alias("parent"), F.col(id_col).alias("child")).join(known, "parent")
+    n = edges.groupBy("parent").agg(F.count("*").alias("children"))
+    return edges, processes.select(F.col(id_col).alias("parent")).join(n, "parent", "left").select(F.col("parent").alias(id_col), F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def current_with_baseline(events: DataFrame, profiles: DataFrame, by: str, order: list[str], family: Column) -> DataFrame:
+    """The latest event of each program with its profile: cpu as a share of 2.5 times the mean (of 5 where that is 0), at
+    most 100; the family is the event's, else the profile's, else the given one."""
+    now = events.groupBy(by).agg(F.max_by(F.struct("cpu", F.col("family").alias("event_family")), F.struct(*order)).alias("e"))
+    rows = now.join(profiles.select(by, "mean", F.col("family").alias("profile_family")), by, "left")
+    room = F.coalesce(F.nullif(F.col("mean") * 2.5, F.lit(0.0)), F.lit(5.0))
+    return rows.select(by, F.col("e.cpu").alias("current"), "mean", F.least(F.lit(100.0), F.col("e.cpu") / room * 100).alias("share"), F.coalesce("e.event_family", "profile_family", family).alias("family"))
+
+
+def programs(instances: DataFrame, windows: DataFrame, col: str = "profile_id") -> DataFrame:
+    """Distinct programs of instances and windows together."""
+    return instances.select(col).union(windows.select(col)).where(F.col(col).isNotNull() & (F.col(col).cast("string") != "")).distinct()
+
+
 def normalcy(df: DataFrame, status_col: str, order: list[Column], n: int = 500) -> DataFrame:
     """Share of rows that aren't anomalous among the last n, within 50 and 99; 96 without rows."""
     last = df.orderBy(*order).limit(n)

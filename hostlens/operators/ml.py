@@ -143,7 +143,7 @@ def forest_scores(df: DataFrame, id_col: str, vector_col: str, nodes: DataFrame,
 
 def with_anomaly(scores: DataFrame, contamination: float) -> DataFrame:
     """Add ``is_anomaly``: the share of highest scores."""
-    cut = scores.agg(F.percentile("score", F.lit(1 - contamination)).alias("__cut"))
+    cut = scores.agg(F.percentile_approx("score", F.lit(1 - contamination), 100_000).alias("__cut"))  # a sketch of bounded size
     return scores.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("score") > F.col("__cut")).drop("__cut")
 
 
@@ -185,3 +185,43 @@ def active_runs(ledger: DataFrame, keys: list[str], order: list[str]) -> DataFra
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     promoted = ledger.where("action = 'promote' and status = 'ACCEPTED'").withColumn("__n", F.row_number().over(w))
     return promoted.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col("run_id"))).alias("active"), F.max(F.when(F.col("__n") == 2, F.col("run_id"))).alias("previous"))
+
+
+LEDGER = "run_no long, dataset string, model string, action string, status string, path string, rows long, n_train long, n_test long, leakage_ratio double, recall double, fpr double, f1 double, reasons array<string>"
+
+
+def retrain(rows: DataFrame, features: list[str], id_col: str, label_col: str, folder: str, dataset: str, promote: bool = True, trees: int = 20, depth: int = 4, step: float = 0.1, **gate) -> dict:
+    """Validate, split, check for leakage, train, evaluate, save the model, gate it, and append what happened to the ledger.
+
+    An accepted model is promoted by another row. The gate compares with the model in force, on the same test rows.
+    Data that fails validation is not trained on. Returns the run's ledger row.
+    """
+    from pyspark.errors import AnalysisException
+    from pyspark.ml.classification import GBTClassificationModel
+
+    spark = rows.sparkSession
+    try:
+        old = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").where((F.col("dataset") == dataset) & (F.col("model") == "boosted"))
+        number = (old.agg(F.max("run_no").alias("n")).head()["n"] or 0) + 1
+        active = old.where("action = 'promote'").orderBy(F.desc("run_no")).limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        number, active = 1, []
+    split = stratified_split(rows, id_col, label_col)
+    train, test = split.where("is_train"), split.where("not is_train")
+    found = validate(rows, features, label_col).head()
+    entry = {"run_no": number, "dataset": dataset, "model": "boosted", "action": "train", "status": "INVALID", "path": "", "rows": found["rows"], "n_train": train.count(), "n_test": test.count(), "reasons": []}
+    if found["bad_labels"] + found["nulls"] + found["not_finite"] + found["not_numeric"] + found["missing_features"] == 0 and found["rows"] > 0:
+        model = train_boosted(train, features, label_col, trees, depth, step)
+        path = f"{folder}/models/{number}"
+        model.write().overwrite().save(path)
+        measure = lambda m: confusion(apply_boosted(m, test, features), label_col, "prediction").withColumn("model", F.lit("boosted"))
+        mine = measure(model)
+        base = measure(GBTClassificationModel.load(active[0]["path"])) if active else mine.limit(0)
+        judged = acceptance(mine, base, ["model"], **gate).head()
+        entry |= {"path": path, "status": "ACCEPTED" if judged["accepted"] else "REJECTED", "leakage_ratio": split_leakage(train, test, features).head()["leakage_ratio"], "recall": judged["recall"], "fpr": judged["fpr"], "f1": judged["f1"], "reasons": judged["reasons"]}
+    names = [c.split()[0] for c in LEDGER.split(", ")]
+    log = [entry, *([entry | {"action": "promote"}] if promote and entry["status"] == "ACCEPTED" else [])]
+    spark.createDataFrame([tuple(e.get(c) for c in names) for e in log], LEDGER).coalesce(1).write.mode("append").parquet(f"{folder}/ledger")
+    return entry

@@ -30,7 +30,11 @@ def feature_schema(df: DataFrame, tokens_col: str = "tokens", bigrams: int = TOP
     """(kind, position, gram, n): the vocabulary, and the most frequent bigrams and trigrams (ties in order of wording)."""
     from pyspark.sql import Window as W
 
-    vocab = counts(df, tokens_col).withColumn("kind", F.lit("token")).withColumn("position", F.row_number().over(W.orderBy("gram")) - 1)
+    # Tokens are numbered within blocks of equal beginnings; only the blocks' sizes are added up in one place.
+    vocab = counts(df, tokens_col).withColumn("__block", F.substring("gram", 1, 2))
+    blocks = vocab.groupBy("__block").agg(F.count("*").alias("__m")).withColumn("__before", F.sum("__m").over(W.orderBy("__block")) - F.col("__m"))
+    place = F.row_number().over(W.partitionBy("__block").orderBy("gram")) - 1
+    vocab = vocab.withColumn("__place", place).join(blocks, "__block").select("gram", "n", F.lit("token").alias("kind"), (F.col("__place") + F.col("__before")).cast("int").alias("position"))
     parts = [vocab]
     for n, kind, most in ((2, "bigram", bigrams), (3, "trigram", trigrams)):
         top = counts(df, tokens_col, n).orderBy(F.desc("n"), "gram").limit(most)
@@ -50,6 +54,39 @@ def sequence_stats(tokens: Column | str) -> dict[str, Column]:
     return {"length": size, "n_distinct": unique, "diversity": unique / per, "repeats": repeats, "repetition_ratio": 1 - unique / per}
 
 
+def int_stats(tokens: Column | str) -> dict[str, Column]:
+    """Mean, population deviation and extremes of a sequence of numbers (0 for an empty one)."""
+    t = F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda x: x.cast("double"))
+    n = F.greatest(F.lit(1), F.size(t))
+    mean = F.aggregate(t, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(t, F.struct(F.lit(0.0).alias("s"), mean.alias("m")), lambda a, x: F.struct((a["s"] + (x - a["m"]) * (x - a["m"])).alias("s"), a["m"].alias("m")))["s"]
+    return {"mean": mean, "std": F.sqrt(square / n), "low": F.coalesce(F.array_min(t), F.lit(0.0)), "high": F.coalesce(F.array_max(t), F.lit(0.0))}
+
+
+def schema_names(schema: DataFrame) -> DataFrame:
+    """(column, name): the names of a feature matrix's columns, tokens first, then bigrams and trigrams, each in its order."""
+    order = F.when(F.col("kind") == "token", 0).when(F.col("kind") == "bigram", 1).otherwise(2)
+    return schema.select(order.alias("part"), "position", F.concat_ws(":", "kind", "gram").alias("name"))
+
+
+def schema_from_names(names: DataFrame) -> DataFrame:
+    """(kind, position, gram) from the names of ``schema_names``: what an extractor needs is in the columns' names."""
+    cut = F.instr("name", ":")
+    return names.select(F.substring_index("name", ":", 1).alias("kind"), "position", F.substring(F.col("name"), cut + 1, F.length("name")).alias("gram"))
+
+
+def structural_features(df: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
+    """(key, SHARED): features that mean the same whatever the vocabulary, for models that pass between domains."""
+    stats = sequence_stats(tokens_col)
+    rows = df.select(key, *[stats[n].cast("double").alias(n) for n in ("length", "n_distinct", "diversity", "repeats")], run_features(tokens_col).alias("r"))
+    rows = rows.withColumns({"longest": F.col("r.longest").cast("double"), "n_runs": F.col("r.n_runs").cast("double")}).drop("r")
+    rows = rows.withColumn("run_ratio", F.col("n_runs") / F.greatest(F.lit(1.0), F.col("length")))
+    return rows.join(entropy(df, key, tokens_col), key, "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+
+
+SHARED = ("length", "n_distinct", "diversity", "repeats", "entropy", "longest", "n_runs", "run_ratio")
+
+
 def run_features(tokens: Column | str) -> Column:
     """struct(longest, n_runs): the longest run of one token, and the number of runs longer than 1."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens

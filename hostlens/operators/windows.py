@@ -29,16 +29,56 @@ def before(by: list[str], order: list[str]) -> W:
     return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def compare_then_update(df: DataFrame, by: list[str], order: list[str], value_col: str) -> DataFrame:
+def earlier_moments(df: DataFrame, by: list[str], order: list[str], cols: list[str], cut: Column | None = None) -> DataFrame:
+    """Add, for each column, how many earlier rows of the key have a value, their mean and sample deviation (null where
+    not defined), as ``__n_``, ``__mean_``, ``__std_``.
+
+    With ``cut``, a column that never falls along ``order`` (a date, say), no task holds a key's whole time line: rows
+    are put in order within (key, cut) only, and what is known of the cuts before comes from one row for each cut.
+    """
+    if cut is None:
+        w = before(by, order)
+        return df.withColumns({f"__{k}_{c}": f(F.col(c)).over(w) for c in cols for k, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))})
+    rows = df.withColumn("__cut", cut)
+    inside = [*by, "__cut"]
+    w = before(inside, order)
+    rows = rows.withColumns({f"__{k}_{c}": f(F.col(c)).over(w) for c in cols for k, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))})
+    made = [e for c in cols for e in (F.count(c).alias(f"__n_{c}"), F.avg(c).alias(f"__mean_{c}"), F.var_pop(c).alias(f"__var_{c}"))]
+    parts = df.withColumn("__cut", cut).groupBy(*inside).agg(*made)
+    past = W.partitionBy(*by).orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)
+    # Moments about a value near the key's own mean, so that their difference keeps its digits.
+    near = W.partitionBy(*by).orderBy("__cut").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    for c in cols:
+        n, mean, var = F.col(f"__n_{c}"), F.col(f"__mean_{c}"), F.col(f"__var_{c}")
+        parts = parts.withColumn(f"__near_{c}", F.first(mean, ignorenulls=True).over(near))
+        gap = mean - F.col(f"__near_{c}")
+        total, first, second = (F.sum(x).over(past) for x in (n, n * gap, n * (F.coalesce(var, F.lit(0.0)) + gap * gap)))
+        parts = parts.withColumns({f"__past_n_{c}": F.coalesce(total, F.lit(0)), f"__past_gap_{c}": F.coalesce(first / F.nullif(total, F.lit(0)), F.lit(0.0)), f"__past_sq_{c}": F.coalesce(second, F.lit(0.0))})
+    parts = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(inside)], *[f"__{k}_{c}" for c in cols for k in ("near", "past_n", "past_gap", "past_sq")])
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(inside)]
+    rows = rows.join(parts, same)
+    out = {}
+    for c in cols:
+        n1, n2 = F.col(f"__past_n_{c}"), F.col(f"__n_{c}")
+        mean1, mean2 = F.col(f"__near_{c}") + F.col(f"__past_gap_{c}"), F.coalesce(f"__mean_{c}", F.lit(0.0))
+        m2 = F.col(f"__past_sq_{c}") - n1 * F.col(f"__past_gap_{c}") ** 2 + n2 * F.coalesce(f"__var_{c}", F.lit(0.0))
+        n = n1 + n2
+        apart = F.when((n1 > 0) & (n2 > 0), (mean2 - mean1) ** 2 * n1 * n2 / n).otherwise(0.0)
+        mean = F.when(n > 0, (F.when(n1 > 0, n1 * mean1).otherwise(0.0) + n2 * mean2) / n)
+        out |= {f"__n_{c}": n, f"__mean_{c}": mean, f"__std_{c}": F.when(n > 1, F.sqrt(F.greatest(m2 + apart, F.lit(0.0)) / (n - 1)))}
+    return rows.withColumns(out).select(*df.columns, *out)
+
+
+def compare_then_update(df: DataFrame, by: list[str], order: list[str], value_col: str, cut: Column | None = None) -> DataFrame:
     """Compare a row with all earlier rows: mean, std, deviation, ratio, signed z (0 where it isn't defined)."""
-    w, v = before(by, order), F.col(value_col)
-    n, mean = F.count(v).over(w), F.coalesce(F.avg(v).over(w), F.lit(0.0))
-    std = F.coalesce(F.stddev_samp(v).over(w), F.lit(0.0))
-    df = df.withColumns({"n_before": n, "mean_before": mean, "std_before": std})
-    df = df.withColumn("deviation", v - F.col("mean_before"))
+    v = F.col(value_col)
+    rows = earlier_moments(df, by, order, [value_col], cut)
+    n, mean, std = (F.col(f"__{k}_{value_col}") for k in ("n", "mean", "std"))
+    rows = rows.withColumns({"n_before": n, "mean_before": F.coalesce(mean, F.lit(0.0)), "std_before": F.coalesce(std, F.lit(0.0))}).select(*df.columns, "n_before", "mean_before", "std_before")
+    rows = rows.withColumn("deviation", v - F.col("mean_before"))
     ratio = F.when(F.col("mean_before") == 0, 0.0).otherwise(v / F.col("mean_before"))
     z = F.when((F.col("n_before") < 2) | (F.col("std_before") == 0), 0.0).otherwise(F.col("deviation") / F.col("std_before"))
-    return df.withColumns({"ratio": ratio, "z": z})
+    return rows.withColumns({"ratio": ratio, "z": z})
 
 
 #: For each live metric the floor of its deviation and the noise band in which the score is capped.
@@ -46,26 +86,36 @@ LIVE = {"cpu": (2.0, 4.0), "mem": (25.0, 25.0), "syscalls": (50.0, 60.0)}
 NOISE_CAP = 1.5
 
 
-def live_deviation(df: DataFrame, by: list[str], order: list[str], two_sided: bool = True) -> DataFrame:
-    """Score of cpu, mem and syscalls against all earlier rows of the program; 0 until there are three."""
-    w = before(by, order)
-    n = F.count("*").over(w)
+def live_deviation(df: DataFrame, by: list[str], order: list[str], two_sided: bool = True, cut: Column | None = None) -> DataFrame:
+    """Score of cpu, mem and syscalls against all earlier rows of the program; 0 until there are three. ``cut``: see ``earlier_moments``."""
+    rows = earlier_moments(df.withColumn("__row", F.lit(1)), by, order, [*LIVE, "__row"], cut)
+    n = F.col("__n___row")
     out: dict[str, Column] = {}
     for m, (floor, band) in LIVE.items():
-        mean, std = F.avg(m).over(w), F.coalesce(F.stddev_samp(m).over(w), F.lit(0.0))
-        gap = F.col(m) - mean
-        z = (F.abs(gap) if two_sided else gap) / F.greatest(std, F.lit(floor))
+        gap = F.col(m) - F.col(f"__mean_{m}")
+        z = (F.abs(gap) if two_sided else gap) / F.greatest(F.coalesce(f"__std_{m}", F.lit(0.0)), F.lit(floor))
         out[f"{m}_z"] = F.when(n >= 3, F.when(F.abs(gap) < band, F.least(z, F.lit(NOISE_CAP))).otherwise(z)).otherwise(0.0)
         out[f"{m}_deviation"] = F.when(n >= 3, gap).otherwise(0.0)
-    df = df.withColumns(out)
-    return df.withColumn("max_z", F.greatest(*(F.col(f"{m}_z") for m in LIVE)))
+    rows = rows.withColumns(out).select(*df.columns, *out)
+    return rows.withColumn("max_z", F.greatest(*(F.col(f"{m}_z") for m in LIVE)))
 
 
 def window_number(df: DataFrame, epoch_col: str, seconds: int) -> DataFrame:
-    """Number of the window that a time falls into, and its rank among those that hold rows."""
+    """Number of the window that a time falls into."""
     return df.withColumn("window_index", F.floor(F.col(epoch_col) / seconds).cast("long"))
 
 
+def window_sequence(df: DataFrame, epoch_col: str, seconds: int, lost: Column) -> DataFrame:
+    """One row per window that holds rows: window_index, its sequence number from 1, events received and lost."""
+    counts = window_number(df, epoch_col, seconds).groupBy("window_index").agg(F.count("*").alias("events_received"), F.count_if(lost).alias("events_lost"))
+    # Ranks by blocks of windows: only the number of windows in each block is added up in one place.
+    counts = counts.withColumn("__block", F.floor(F.col("window_index") / 10_000))
+    blocks = counts.groupBy("__block").agg(F.count("*").alias("__m"))
+    blocks = blocks.select("__block", (F.sum("__m").over(W.orderBy("__block")) - F.col("__m")).alias("__before"))
+    rank = F.row_number().over(W.partitionBy("__block").orderBy("window_index"))
+    return counts.withColumn("sequence", rank).join(blocks, "__block").select("window_index", (F.col("sequence") + F.col("__before")).alias("sequence"), "events_received", "events_lost")
+
+
 def last_tokens(df: DataFrame, by: list[str], order: list[str], token_col: str, n: int = 64) -> DataFrame:
     """The last n tokens of the key at each row, oldest first."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)

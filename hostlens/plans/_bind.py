@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
+    sql: str | Callable[[], str] | None = None  #: or what makes it, where it uses names defined further down
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ PROC_SQL = """proc AS (SELECT o_orderkey AS instance_id, o_custkey AS profile_id
 CASE WHEN o_orderstatus = 'O' THEN NULL ELSE epoch(o_orderdate)::BIGINT + 2592000 END AS end_s, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS exit_code FROM orders)"""
 LINE_SQL = """line AS (SELECT l_orderkey AS instance_id, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, epoch(l_shipdate)::BIGINT AS end_s, l_quantity AS cpu_usage, l_extendedprice AS bytes_read,
 l_tax AS memory_usage, l_returnflag AS flag, l_linestatus AS status, l_discount AS score FROM lineitem)"""
+#: The same with the counters of a behaviour window, made up from the line's numbers.
+FULL = {
+    "start_s": ("end_s - 5 * n", lambda: F.col("end_s") - 5 * F.col("n")), "duration_s": ("n * 5.0::DOUBLE", lambda: F.col("n") * F.lit(5.0)), "syscall_count": ("cpu_usage::BIGINT", lambda: F.col("cpu_usage").cast("long")),
+    "bytes_written": ("supp * 10", lambda: F.col("supp") * 10), "tcp_tx_bytes": ("part % 1000", lambda: F.col("part") % 1000), "udp_tx_bytes": ("supp % 100", lambda: F.col("supp") % 100),
+    "tcp_rx_bytes": ("(part + supp) % 500", lambda: (F.col("part") + F.col("supp")) % 500), "child_process_count": ("n % 2", lambda: F.col("n") % 2), "exec_count": ("n % 3", lambda: F.col("n") % 3),
+    "syscalls_sensitive": ("part % 4", lambda: F.col("part") % 4), "memory_rss_bytes": ("part * 4096", lambda: F.col("part") * 4096), "unique_files": ("supp % 7", lambda: F.col("supp") % 7), "unique_dest_ips": ("part % 5", lambda: F.col("part") % 5),
+}
+FULL_SQL = "fullw AS (SELECT *, " + ", ".join(f"{sql} AS {c}" for c, (sql, _) in FULL.items()) + " FROM line)"
 DET_SQL = """det AS (SELECT instance_id, n, part, supp, end_s, score > 0.05 AS is_anomaly, cpu_usage * 2 AS risk_score, score FROM line WHERE flag = 'R')"""
 
 
@@ -69,5 +77,9 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def full_windows(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).withColumns({c: make() for c, (_, make) in FULL.items()})
+
+
 def detections(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).where("flag = 'R'").select("instance_id", "n", "part", "supp", "end_s", (F.col("score") > 0.05).alias("is_anomaly"), (F.col("cpu_usage") * 2).alias("risk_score"), "score")

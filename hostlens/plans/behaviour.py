@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.functions.classify import dedup_key, lifecycle
+from hostlens.functions.classify import dedup_key, family_by_parts, lifecycle
 from hostlens.operators import baseline as B
 from hostlens.operators import deviation as D
 from hostlens.operators import risk as R
@@ -67,7 +67,7 @@ def live(spark, d):
 
 
 def live_z(spark, d):
-    return Wn.live_deviation(live(spark, d), ["comm"], ["ts", "event_id"])
+    return Wn.live_deviation(live(spark, d), ["comm"], ["ts", "event_id"], cut=F.to_date("ts"))
 
 
 LIVE_SQL = """live AS (SELECT event_id, ts, user_id AS pid, event_type AS comm, value AS cpu, value * 2 AS mem, floor(value * 10) AS syscalls,
@@ -144,8 +144,7 @@ z AS (SELECT event_id, m, greatest(abs(value - m) / CASE WHEN s = 0 THEN 0.1 ELS
 SELECT event_id, (CASE WHEN m IS NULL THEN 78 WHEN z > 4.5 THEN least(99, floor(50 + z * 8 + 0.5)) WHEN z > 2.5 THEN floor(35 + z * 6 + 0.5) ELSE greatest(4, floor(z * 7 + 0.5)) END)::INT AS rating, CASE WHEN m IS NULL THEN 'SUSPICIOUS' WHEN z > 4.5 THEN 'ANOMALOUS' WHEN z > 2.5 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS rating_status FROM z""")
 
 # W5 to W8 ---------------------------------------------------------------------------------------------------------
-Q["W5_window_number"] = Query(lambda s, d: Wn.window_number(t(s, d, "events").withColumn("epoch", secs("ts")), "epoch", 3600).groupBy("window_index").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("lost")),
-                              "SELECT floor(epoch(ts) / 3600)::BIGINT AS window_index, count(*) AS n, count(*) FILTER (event_type = 'error') AS lost FROM events GROUP BY 1")
+Q["W5_window_number"] = Query(lambda s, d: Wn.window_sequence(t(s, d, "events").withColumn("epoch", secs("ts")), "epoch", 3600, F.col("event_type") == "error"), "SELECT h AS window_index, row_number() OVER (ORDER BY h) AS sequence, count(*) AS events_received, count(*) FILTER (event_type = 'error') AS events_lost FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS h FROM events) GROUP BY h")
 Q["W6_last_tokens"] = Query(lambda s, d: Wn.last_tokens(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", F.array_join("recent", " ").alias("recent"), F.size("recent").alias("n")),
                             "SELECT event_id, array_to_string(list(event_type) OVER w, ' ') AS recent, len(list(event_type) OVER w)::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)")
 Q["W7_latest_per_key"] = Query(lambda s, d: Wn.latest(t(s, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type"),
@@ -164,7 +163,7 @@ BASE_COLUMNS = ("mean", "std", "low", "high", *PCT, "median", "mad", "nmad", "iq
 
 
 def a16(spark, d):
-    rows = B.feature_baseline(B.long_form(daily_windows(spark, d), ["profile_id"], list(FEATURES)), ["profile_id"], B.registry(spark))
+    rows = B.wide_baseline(daily_windows(spark, d), ["profile_id"], list(FEATURES), B.registry(spark))
     return rounded(rows.select("profile_id", "feature", "n", *BASE_COLUMNS), *BASE_COLUMNS)
 
 
@@ -182,8 +181,9 @@ def a19(spark, d):
 
 
 Q["A19_combine_moments"] = Query(a19, "SELECT user_id, count(value) AS n, round(avg(value) + 1e-9, 4) AS mean, round(var_pop(value) * count(value) + 1e-9, 4) AS m2, round(min(value) + 1e-9, 4) AS low, round(max(value) + 1e-9, 4) AS high FROM events GROUP BY 1")
-Q["A23_live_profiles"] = Query(lambda s, d: rounded(t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("samples"), F.avg("value").alias("cpu_avg"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("cpu_std"), F.array_join(F.sort_array(F.collect_set(F.regexp_extract("props", "[0-9]+", 0))), ",").alias("typical")), "cpu_avg", "cpu_std"),
-                               "SELECT event_type, count(*) AS samples, round(avg(value) + 1e-9, 6) AS cpu_avg, round(coalesce(stddev_samp(value), 0) + 1e-9, 6) AS cpu_std, array_to_string(list_sort(list(DISTINCT regexp_extract(props, '[0-9]+'))), ',') AS typical FROM events GROUP BY 1")
+A23 = [f"{c}_{k}" for c in ("cpu", "mem", "syscalls") for k in ("avg", "std")]
+Q["A23_live_profiles"] = Query(lambda s, d: rounded(B.live_profiles(t(s, d, "events").select(F.col("event_type").alias("comm"), F.col("value").alias("cpu"), (F.col("value") * 2).alias("mem"), F.floor(F.col("value") * 10).alias("syscalls"), F.regexp_extract("props", "[0-9]+", 0).alias("kind")), "comm", family_by_parts("comm", F.lit("")), "kind"), *A23, digits=4),
+                               lambda: f"WITH live AS (SELECT event_type AS comm, value AS cpu, value * 2 AS mem, floor(value * 10) AS syscalls, props FROM events) SELECT comm, count(*) AS samples, {', '.join(f'round(coalesce({f}({c}), 0) + 1e-9, 4) AS {c}_{k}' for c in ('cpu', 'mem', 'syscalls') for k, f in (('avg', 'avg'), ('std', 'stddev_samp')))}, array_to_string(list_sort(list(DISTINCT regexp_extract(props, '[0-9]+'))), ',') AS typical, 'systemd' AS family FROM live GROUP BY 1")
 
 # P1 to P10 --------------------------------------------------------------------------------------------------------
 CLEAN_SQL = f"WITH {LONG_SQL}, {REG_SQL}, clean AS (SELECT long.* FROM long JOIN win USING (profile_id, day) WHERE coalesce(label_binary, 0) = 0), {BASE_SQL}"
@@ -194,11 +194,11 @@ CASE WHEN observations < 5 OR instances < 1 THEN least(0.40, greatest(0.10, obse
 
 def profiles(spark, d):
     w = daily_windows(spark, d).withColumns({"instance_id": F.col("day"), "start": F.col("day")})
-    return B.build_profiles(w, B.registry(spark).where(F.col("feature").isin(*FEATURES)))
+    return B.build_profiles(w, B.registry(spark).where(F.col("feature").isin(*FEATURES)), typical={"socket_connect": "syscalls_network", "execve": "syscalls_process"})
 
 
-Q["P1_build_profiles"] = Query(lambda s, d: rounded(profiles(s, d).select("profile_id", "feature", "n", "mean", "median", "effective_scale", "observations", "maturity", "confidence"), "mean", "median", "effective_scale", "confidence"),
-                               f"{CLEAN_SQL}, {MATURITY_SQL} SELECT profile_id, feature, n, round(mean + 1e-9, 6) AS mean, round(median + 1e-9, 6) AS median, round(effective_scale + 1e-9, 6) AS effective_scale, observations, maturity, round(confidence::DOUBLE + 1e-9, 6) AS confidence FROM base JOIN mat USING (profile_id)")
+Q["P1_build_profiles"] = Query(lambda s, d: rounded(profiles(s, d).select("profile_id", "feature", "n", "mean", "median", "effective_scale", "observations", "maturity", "confidence", F.array_join("typical", ",").alias("typical"), F.date_format("period_start", "yyyy-MM-dd").alias("period_start"), F.date_format("period_end", "yyyy-MM-dd").alias("period_end")), "mean", "median", "effective_scale", "confidence"),
+                               f"{CLEAN_SQL}, {MATURITY_SQL} SELECT profile_id, feature, n, round(mean + 1e-9, 6) AS mean, round(median + 1e-9, 6) AS median, round(effective_scale + 1e-9, 6) AS effective_scale, observations, maturity, round(confidence::DOUBLE + 1e-9, 6) AS confidence, typical, period_start, period_end FROM base JOIN mat USING (profile_id) JOIN (SELECT profile_id, array_to_string(list_filter([CASE WHEN sum(syscalls_network) > 0 THEN 'socket_connect' END, CASE WHEN sum(syscalls_process) > 0 THEN 'execve' END], lambda x: x IS NOT NULL), ',') AS typical, strftime(min(day), '%Y-%m-%d') AS period_start, strftime(max(day), '%Y-%m-%d') AS period_end FROM win WHERE coalesce(label_binary, 0) = 0 GROUP BY 1) USING (profile_id)")
 
 
 def p2(spark, d):
@@ -213,14 +213,17 @@ FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS k FROM
 
 
 def p3(spark, d):
-    long = B.long_form(daily_windows(spark, d).where("label_binary = 0"), ["profile_id", "day"], ["syscall_count", "cpu_usage"])
-    m = lambda x: x.groupBy("profile_id", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"), F.min("value").alias("low"), F.max("value").alias("high"))
-    cut = F.lit("2024-01-15").cast("date")
-    both = B.combined(m(long.where(F.col("day") < cut)), m(long.where(F.col("day") >= cut)), ["profile_id", "feature"])
-    return rounded(both.withColumn("std", F.sqrt(F.col("m2") / F.col("n"))).select("profile_id", "feature", "n", "mean", "std", "low", "high"), "mean", "std", "low", "high", digits=4)
+    clean = daily_windows(spark, d).where("label_binary = 0")
+    cut, by = F.lit("2024-01-15").cast("date"), ["profile_id", "feature"]
+    long = B.long_form(clean.where(F.col("day") >= cut), ["profile_id"], list(FEATURES))
+    new = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    both = B.updated_baseline(B.wide_baseline(clean.where(F.col("day") < cut), ["profile_id"], list(FEATURES), B.registry(spark)), new, by)
+    return rounded(both.select(*by, "n", *P3_COLUMNS), *P3_COLUMNS, digits=4)
 
 
-Q["P3_incremental_update"] = Query(p3, f"WITH {LONG_SQL} SELECT profile_id, feature, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(stddev_pop(value) + 1e-9, 4) AS std, round(min(value) + 1e-9, 4) AS low, round(max(value) + 1e-9, 4) AS high FROM long JOIN win USING (profile_id, day) WHERE label_binary = 0 AND feature IN ('syscall_count', 'cpu_usage') GROUP BY 1, 2")
+P3_COLUMNS = ("mean", "std", "low", "high", "median_estimate")
+Q["P3_incremental_update"] = Query(p3, f"""WITH {LONG_SQL} SELECT profile_id, feature, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(stddev_pop(value) + 1e-9, 4) AS std, round(min(value) + 1e-9, 4) AS low, round(max(value) + 1e-9, 4) AS high,
+round((avg(value) + coalesce(median(value) FILTER (day < DATE '2024-01-15'), avg(value))) / 2 + 1e-9, 4) AS median_estimate FROM long JOIN win USING (profile_id, day) WHERE label_binary = 0 GROUP BY 1, 2""")
 Q["P4_recompute_all"] = Query(lambda s, d: profiles(s, d).groupBy("maturity").agg(F.count_distinct("profile_id").alias("programs"), F.count("*").alias("n_features")), f"{CLEAN_SQL}, {MATURITY_SQL} SELECT maturity, count(DISTINCT profile_id) AS programs, count(*) AS n_features FROM base JOIN mat USING (profile_id) GROUP BY 1")
 DEV_SQL = f"""{CLEAN_SQL}, {MATURITY_SQL}, dv AS (SELECT l.profile_id, l.day, l.feature, l.value, b.median, b.high, category, weight, maturity, confidence, (l.value - b.median) / b.effective_scale AS robust_score, (l.value - b.mean) / CASE WHEN b.std > 0.001 THEN b.std ELSE b.effective_scale END AS z_classic
 FROM long l JOIN base b USING (profile_id, feature) JOIN mat USING (profile_id) JOIN reg USING (feature)),
@@ -237,7 +240,7 @@ def day_text():
     return F.date_format("day", "yyyy-MM-dd").alias("day")
 
 
-Q["J4_window_with_baseline"] = Query(lambda s, d: rounded(deviations(s, d).where("feature = 'cpu_usage'").select("profile_id", day_text(), "value", "median", "maturity"), "value", "median"), f"{DEV_SQL} SELECT profile_id, strftime(day, '%Y-%m-%d') AS day, round(value + 1e-9, 6) AS value, round(median + 1e-9, 6) AS median, maturity FROM fr WHERE feature = 'cpu_usage'")
+Q["J4_window_with_baseline"] = Query(lambda s, d: rounded(deviations(s, d).select("profile_id", day_text(), "feature", "value", "median", "maturity"), "value", "median"), f"{DEV_SQL} SELECT profile_id, strftime(day, '%Y-%m-%d') AS day, feature, round(value + 1e-9, 6) AS value, round(median + 1e-9, 6) AS median, maturity FROM fr")
 Q["P5_robust_deviation"] = Query(lambda s, d: rounded(deviations(s, d).select("profile_id", day_text(), "feature", "robust_score", "z_classic", "is_deviant"), "robust_score", "z_classic"), f"{DEV_SQL} SELECT profile_id, strftime(day, '%Y-%m-%d') AS day, feature, round(robust_score + 1e-9, 6) AS robust_score, round(z_classic + 1e-9, 6) AS z_classic, is_deviant FROM fr")
 CATS = [f"risk_{c}" for c in D.CATEGORY_WEIGHTS]
 CAT_SQL = DEV_SQL + ", cr AS (SELECT profile_id, day, " + ", ".join(f"max(CASE WHEN category = '{c}' THEN feature_risk ELSE 0 END)::DOUBLE AS risk_{c}" for c in D.CATEGORY_WEIGHTS) + ", count(*) FILTER (is_deviant) AS n_deviant, count(*) FILTER (feature_risk > 0) AS n_reasons, any_value(maturity) AS maturity, any_value(confidence) AS confidence FROM fr GROUP BY 1, 2)"

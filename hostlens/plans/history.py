@@ -8,7 +8,9 @@ from hostlens.functions.classify import risk_status
 from hostlens.operators import history as H
 from hostlens.operators import retention as Rt
 from hostlens.operators import windows as Wn
-from hostlens.plans._bind import DET_SQL, LINE_SQL, PROC_SQL, WINDOWS_SQL, Query, daily_windows, detections, lines, processes, secs, t
+from hostlens.functions.classify import FAMILY_PARTS, family_by_parts
+from hostlens.operators import baseline as B
+from hostlens.plans._bind import DET_SQL, FULL_SQL, LINE_SQL, PROC_SQL, WINDOWS_SQL, Query, daily_windows, detections, full_windows, lines, processes, secs, t
 from hostlens.plans.behaviour import rounded
 
 Q: dict[str, Query] = {}
@@ -43,16 +45,34 @@ Q["Q14_recent_profiles"] = Query(lambda s, d: versions(s, d).orderBy(F.desc("upd
 Q["Q15_active_alerts"] = Query(lambda s, d: H.newest(t(s, d, "events").where("event_type = 'error' and value > 100"), "ts", ["event_id"], 50).select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_type = 'error' AND value > 100 ORDER BY ts DESC, event_id DESC LIMIT 50")
 Q["Q16_alert_page"] = Query(lambda s, d: H.page(t(s, d, "events").where("event_type = 'error'"), [F.desc("ts"), F.desc("event_id")], 40, 20).select("event_id", "total"), "SELECT event_id, total FROM (SELECT event_id, ts, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error') ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")
 Q["Q17_alert_by_id"] = Query(lambda s, d: t(s, d, "events").withColumn("alert_id", F.concat(F.lit("AL-"), F.col("event_id"))).where((F.col("alert_id") == "AL-77") & F.col("alert_id").rlike("^AL-[0-9]+$")).select("alert_id", "event_type"), "SELECT 'AL-' || event_id AS alert_id, event_type FROM events WHERE event_id = 77")
-Q["Q18_feed_search"] = Query(lambda s, d: H.search(t(s, d, "events"), ["event_type", "user_id"], "UR").where("value > 40").select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE (contains(lower(event_type), 'ur') OR contains(user_id::VARCHAR, 'ur')) AND value > 40")
-Q["Q19_include_exclude"] = Query(lambda s, d: t(s, d, "pages").where(~F.col("url").startswith("https://www.")).where(F.col("page_id") % 3 != 0).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'https://www.') AND page_id % 3 <> 0")
+# The live feed: programs and users by turns, gauges from the value.
+FEED_COMMS, FEED_USERS = ["nginx", "sshd", "dockerd", "kworker", "python3", "bash", "systemd", "redis-server", "curl"], ["root", "alice", "", "system"]
+
+
+def live_feed(spark, d):
+    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("event_id") % len(xs) + 1).cast("int"))
+    e = ev(spark, d).withColumns({"comm": at(FEED_COMMS), "user": at(FEED_USERS), "pid": F.col("user_id"), "eventType": F.when(F.col("event_type") == "purchase", "socket_connect").otherwise(F.col("event_type"))})
+    return e.withColumns({"cpu": F.col("value") / 10, "mem": F.col("value") * 2, "net_kb": F.col("value") / 4, "syscalls": F.floor(F.col("value") * 10), "status": F.col("st"), "family": family_by_parts("comm", "user"), "threads": (F.col("event_id") % 8 + 1).cast("int")})
+
+
+HAS_SQL = {k: " OR ".join(f"contains(lower(comm), '{p}')" for p in v.split()) for k, v in FAMILY_PARTS.items()}
+FEED_SQL = f"""{{EV}}, f0 AS (SELECT *, [{', '.join(f"'{x}'" for x in FEED_COMMS)}][event_id % {len(FEED_COMMS)} + 1] AS comm, [{', '.join(f"'{x}'" for x in FEED_USERS)}][event_id % {len(FEED_USERS)} + 1] AS usr, user_id AS pid,
+CASE event_type WHEN 'purchase' THEN 'socket_connect' ELSE event_type END AS etype, value / 10 AS cpu, value * 2 AS mem, value / 4 AS net_kb, floor(value * 10)::BIGINT AS syscalls, (event_id % 8 + 1)::INT AS threads FROM ev),
+feed AS (SELECT *, CASE WHEN {HAS_SQL['nginx']} THEN 'nginx' WHEN {HAS_SQL['dockerd']} THEN 'dockerd' WHEN {HAS_SQL['bash']} OR usr = 'alice' THEN 'bash' ELSE 'systemd' END AS family FROM f0)"""
+Q["Q18_feed_search"] = Query(lambda s, d: H.feed_search(live_feed(s, d), "UR", "nginx", "cpu").select("event_id", "comm", "user", "family").withColumnRenamed("user", "usr").unionByName(H.feed_search(live_feed(s, d), "", "bash", "network").select("event_id", "comm", F.col("user").alias("usr"), "family")).unionByName(H.feed_search(live_feed(s, d), "ali", "", "anomalies").select("event_id", "comm", F.col("user").alias("usr"), "family")),
+                            lambda: f"""WITH {FEED_SQL.replace('{EV}', EV_SQL)} SELECT event_id, comm, usr, family FROM feed WHERE (contains(lower(comm), 'ur') OR contains(lower(usr), 'ur') OR contains(pid::VARCHAR, 'ur') OR contains(lower(etype), 'ur')) AND (family = 'nginx' OR contains(comm, 'nginx')) AND cpu > 2
+UNION ALL SELECT event_id, comm, usr, family FROM feed WHERE (family = 'bash' OR contains(comm, 'bash')) AND (etype = 'socket_connect' OR comm IN ('nginx', 'sshd', 'curl'))
+UNION ALL SELECT event_id, comm, usr, family FROM feed WHERE (contains(lower(comm), 'ali') OR contains(lower(usr), 'ali') OR contains(pid::VARCHAR, 'ali') OR contains(lower(etype), 'ali')) AND st = 'ANOMALOUS'""")
+Q["Q19_include_exclude"] = Query(lambda s, d: t(s, d, "pages").where(~F.col("url").startswith("https://www.") & ~F.element_at(F.split("url", "/"), 3).isin("example.com", "example.org")).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'https://www.') AND split_part(url, '/', 3) NOT IN ('example.com', 'example.org')")
 Q["Q20_drop_idle_windows"] = Query(lambda s, d: daily_windows(s, d).where("syscalls_network + syscalls_process + syscalls_sensitive > 0").groupBy("profile_id").agg(F.count("*").alias("n")), f"WITH {WINDOWS_SQL} SELECT profile_id, count(*) AS n FROM win WHERE syscalls_network + syscalls_process + syscalls_sensitive > 0 GROUP BY 1")
 Q["Q21_most_active_per_snapshot"] = Query(lambda s, d: H.top_per_group(daily_windows(s, d), ["day"], [F.desc("syscall_count"), F.desc("memory_usage"), F.asc("profile_id")], 3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "profile_id", "place"), f"WITH {WINDOWS_SQL} SELECT strftime(day, '%Y-%m-%d') AS day, profile_id, place::INT AS place FROM (SELECT day, profile_id, row_number() OVER (PARTITION BY day ORDER BY syscall_count DESC, memory_usage DESC, profile_id) AS place FROM win) WHERE place <= 3")
 
 # Joins --------------------------------------------------------------------------------------------------------------
 Q["J1_event_to_instance"] = Query(lambda s, d: H.interval_join(lines(s, d).select("instance_id", "n", "part", "supp", F.col("end_s").alias("at")), processes(s, d).select("instance_id", "start_s", "end_s"), ["instance_id"], "at", "start_s", "end_s").select("instance_id", "n", "part", "supp", "at"),
                                   f"WITH {LINE_SQL}, {PROC_SQL} SELECT instance_id, n, part, supp, line.end_s AS at FROM line JOIN proc USING (instance_id) WHERE line.end_s >= start_s AND line.end_s < coalesce(proc.end_s, 4611686018427387904)")
-Q["J2_children_of_parent"] = Query(lambda s, d: t(s, d, "region").join(t(s, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("children")), F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_name", F.coalesce("children", F.lit(0)).alias("children")),
-                                   "SELECT r_name, count(n_nationkey) AS children FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+TREE_SQL = "tree AS (SELECT instance_id, instance_id - instance_id % 7 AS parent_instance_id FROM proc)"
+Q["J2_children_of_parent"] = Query(lambda s, d: H.children(processes(s, d).withColumn("parent_instance_id", F.col("instance_id") - F.col("instance_id") % 7))[1],
+                                   f"WITH {PROC_SQL}, {TREE_SQL}, e AS (SELECT c.parent_instance_id AS parent FROM tree c JOIN proc p ON p.instance_id = c.parent_instance_id WHERE c.parent_instance_id <> c.instance_id) SELECT instance_id, (SELECT count(*) FROM e WHERE e.parent = proc.instance_id) AS children FROM proc")
 
 
 def j3(spark, d):
@@ -103,17 +123,19 @@ SELECT user_id, snap, 'START' AS change FROM x WHERE p IS NULL OR p < snap - 1 U
 
 
 def j12(spark, d):
-    e = t(spark, d, "events")
-    now = e.groupBy("event_type").agg(F.max_by("value", "event_id").alias("current"))
-    base = e.where("event_type <> 'view'").groupBy("event_type").agg(F.avg("value").alias("mean"))
-    return rounded(now.join(base, "event_type", "left").select("event_type", "current", F.least(F.lit(100.0), F.col("current") / (F.col("mean") * 2.5) * 100).alias("share")), "current", "share")
+    e = live_feed(spark, d).withColumn("family", F.when(F.col("event_id") % 3 == 0, F.col("family")))
+    base = B.live_profiles(live_feed(spark, d).where("comm <> 'bash'"), "comm", F.when(F.col("comm") != "curl", "known"), "event_type").select("comm", F.col("cpu_avg").alias("mean"), "family")
+    return rounded(H.current_with_baseline(e, base, "comm", ["ts", "event_id"], family_by_parts("comm", F.lit(""))), "current", "mean", "share")
 
 
-Q["J12_current_with_baseline"] = Query(j12, "WITH n AS (SELECT event_type, arg_max(value, event_id) AS current FROM events GROUP BY 1), b AS (SELECT event_type, avg(value) AS mean FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT event_type, round(current + 1e-9, 6) AS current, CASE WHEN mean IS NULL THEN 100.0 ELSE round(least(100.0, current / (mean * 2.5) * 100) + 1e-9, 6) END AS share FROM n LEFT JOIN b USING (event_type)")
+Q["J12_current_with_baseline"] = Query(j12, lambda: f"""WITH {FEED_SQL.replace('{EV}', EV_SQL)}, n AS (SELECT comm, arg_max(cpu, (ts, event_id)) AS current, arg_max(event_id, (ts, event_id)) AS last_id, arg_max(family, (ts, event_id)) AS fam FROM feed GROUP BY 1), b AS (SELECT comm, avg(cpu) AS mean FROM feed WHERE comm <> 'bash' GROUP BY 1)
+SELECT n.comm, round(current + 1e-9, 6) AS current, round(mean + 1e-9, 6) AS mean, round(least(100.0, current / coalesce(nullif(mean * 2.5, 0), 5.0) * 100) + 1e-9, 6) AS share,
+CASE WHEN last_id % 3 = 0 THEN fam WHEN b.comm IS NOT NULL AND n.comm <> 'curl' THEN 'known' WHEN {HAS_SQL['nginx'].replace('comm', 'n.comm')} THEN 'nginx' WHEN {HAS_SQL['dockerd'].replace('comm', 'n.comm')} THEN 'dockerd' WHEN {HAS_SQL['bash'].replace('comm', 'n.comm')} THEN 'bash' ELSE 'systemd' END AS family FROM n LEFT JOIN b USING (comm)""")
 
 # Aggregates ---------------------------------------------------------------------------------------------------------
-Q["A1_instance_metrics"] = Query(lambda s, d: rounded(H.instance_metrics(lines(s, d)), "total_bytes_read", "peak_cpu", "avg_cpu", "peak_memory", "max_bytes_read", digits=4),
-                                 f"{L} SELECT instance_id, count(*) AS total_windows, round(sum(bytes_read) + 1e-9, 4) AS total_bytes_read, round(max(cpu_usage) + 1e-9, 4) AS peak_cpu, round(avg(cpu_usage) + 1e-9, 4) AS avg_cpu, round(max(memory_usage) + 1e-9, 4) AS peak_memory, round(max(bytes_read) + 1e-9, 4) AS max_bytes_read, min(end_s) AS first_end, max(end_s) AS last_end FROM line GROUP BY 1")
+A1_FLOATS = ("total_duration_s", "total_bytes_read", "peak_cpu", "avg_cpu", "peak_memory")
+A1_SQL = "count(*) AS total_windows, sum(duration_s) AS total_duration_s, sum(syscall_count)::BIGINT AS total_syscalls, max(cpu_usage) AS peak_cpu, avg(cpu_usage) AS avg_cpu, max(memory_usage) AS peak_memory, max(memory_rss_bytes) AS peak_memory_rss, sum(bytes_read) AS total_bytes_read, sum(bytes_written)::BIGINT AS total_bytes_written, sum(tcp_tx_bytes + udp_tx_bytes)::BIGINT AS total_net_tx, sum(tcp_rx_bytes)::BIGINT AS total_net_rx, sum(child_process_count)::BIGINT AS total_children, sum(exec_count)::BIGINT AS total_execs, sum(syscalls_sensitive)::BIGINT AS total_sensitive_syscalls, max(unique_files) AS max_unique_files, max(unique_dest_ips) AS max_unique_ips, min(start_s) AS first_window_start, max(end_s) AS last_window_end"
+Q["A1_instance_metrics"] = Query(lambda s, d: rounded(H.instance_metrics(full_windows(s, d)), *A1_FLOATS, digits=4), f"{L}, {FULL_SQL} SELECT * REPLACE ({', '.join(f'round({c} + 1e-9, 4) AS {c}' for c in A1_FLOATS)}) FROM (SELECT instance_id, {A1_SQL} FROM fullw GROUP BY 1)")
 
 
 def a2(spark, d):
@@ -127,14 +149,17 @@ Q["A4_instances_per_program"] = Query(lambda s, d: processes(s, d).groupBy("prof
 
 
 def a5(spark, d):
-    e = t(spark, d, "events").withColumn("risk", F.least(F.lit(99), F.floor(F.col("value") / 3)).cast("int"))
-    e = e.withColumn("st", risk_status("risk"))
-    return rounded(e.groupBy("event_type").agg(F.count("*").alias("snapshots"), F.avg("value").alias("avg_cpu"), F.max("value").alias("peak_cpu"), F.min("value").alias("min_cpu"), F.floor(F.avg(F.floor(F.col("value") * 10))).alias("avg_syscalls"), F.count_if(F.col("st").isin("ANOMALOUS", "SUSPICIOUS") | (F.col("risk") >= 40)).alias("anomalies"), F.max_by("st", "event_id").alias("latest_status"), F.max_by("risk", "event_id").alias("latest_risk")), "avg_cpu", "peak_cpu", "min_cpu", digits=1)
+    last = F.lit(1_706_000_000)  # a fixed moment inside the data; programs without rows in the week before it show all
+    summary, _ = H.process_history(live_feed(spark, d), ["user_id"], "ts", "event_id", last, days=7, limit=40)
+    return rounded(summary, "avg_cpu", "peak_cpu", "min_cpu", "avg_mem", "peak_mem", "min_mem", "avg_net_kb", "peak_net_kb", digits=4)
 
 
 ST_SQL = "CASE WHEN risk >= 70 THEN 'ANOMALOUS' WHEN risk >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END"
 EV_SQL = f"ev AS (SELECT *, {ST_SQL} AS st FROM (SELECT *, least(99, floor(value / 3))::INT AS risk FROM events))"
-Q["A5_process_history"] = Query(a5, f"WITH {EV_SQL} SELECT event_type, count(*) AS snapshots, round(avg(value) + 1e-9, 1) AS avg_cpu, round(max(value) + 1e-9, 1) AS peak_cpu, round(min(value) + 1e-9, 1) AS min_cpu, floor(avg(floor(value * 10)))::BIGINT AS avg_syscalls, count(*) FILTER (risk >= 40) AS anomalies, arg_max(st, event_id) AS latest_status, arg_max(risk, event_id) AS latest_risk FROM ev GROUP BY 1")
+Q["A5_process_history"] = Query(a5, lambda: f"""WITH {FEED_SQL.replace('{EV}', EV_SQL)}, x AS (SELECT *, floor(epoch(ts)) >= 1706000000 - 7 * 86400 AS fresh FROM feed), y AS (SELECT *, bool_or(fresh) OVER (PARTITION BY user_id) AS recent FROM x),
+z AS (SELECT * FROM y WHERE fresh OR NOT recent QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 40)
+SELECT user_id, count(*) AS total_snapshots, {', '.join(f"round({f}({c}) + 1e-9, 4) AS {k}_{n}" for n, c in (("cpu", "cpu"), ("mem", "mem")) for k, f in (("avg", "avg"), ("peak", "max"), ("min", "min")))}, round(avg(net_kb) + 1e-9, 4) AS avg_net_kb, round(max(net_kb) + 1e-9, 4) AS peak_net_kb,
+floor(avg(syscalls))::BIGINT AS avg_syscalls, max(syscalls) AS peak_syscalls, count(*) FILTER (st IN ('ANOMALOUS', 'SUSPICIOUS') OR risk >= 40) AS anomaly_count, arg_max(st, (ts, event_id)) AS latest_status, arg_max(risk, (ts, event_id)) AS latest_risk FROM z GROUP BY 1""")
 
 
 def ev(spark, d):
@@ -155,9 +180,10 @@ def a8(spark, d):
 Q["A8_gauge_shares"] = Query(a8, f"""WITH {EV_SQL}, g AS (SELECT floor(count(*) FILTER (st = 'ANOMALOUS') / count(*) * 100 + 0.5)::BIGINT AS anomalous, floor(count(*) FILTER (st = 'SUSPICIOUS' OR risk BETWEEN 40 AND 69) / count(*) * 100 + 0.5)::BIGINT AS suspicious, floor(count(*) FILTER (event_type = 'view' AND st = 'SAFE') / count(*) * 100 + 0.5)::BIGINT AS system FROM ev)
 SELECT *, greatest(0, 100 - anomalous - suspicious - system) AS user, greatest(15, 100 - (anomalous * 6 + suspicious * 2)) AS health FROM g""")
 Q["A9_threat_distribution"] = Query(lambda s, d: ev(s, d).agg(F.count_if((F.col("st") == "SAFE") & (F.col("event_type") != "view")).alias("user"), F.count_if(F.col("st") == "SUSPICIOUS").alias("suspicious"), F.count_if(F.col("st") == "ANOMALOUS").alias("anomalous"), F.count("*").alias("total")), f"WITH {EV_SQL} SELECT count(*) FILTER (st = 'SAFE' AND event_type <> 'view') AS user, count(*) FILTER (st = 'SUSPICIOUS') AS suspicious, count(*) FILTER (st = 'ANOMALOUS') AS anomalous, count(*) AS total FROM ev")
-Q["A10_recent_risk"] = Query(lambda s, d: rounded(ev(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(12).agg(F.avg("risk").alias("mean_risk")), "mean_risk"), f"WITH {EV_SQL} SELECT round(avg(risk) + 1e-9, 6) AS mean_risk FROM (SELECT * FROM ev {LAST} 12)")
-Q["A11_family_counts"] = Query(lambda s, d: ev(s, d).groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")), "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
-Q["A18_distinct_programs"] = Query(lambda s, d: processes(s, d).agg(F.count_distinct("profile_id").alias("programs")), f"{P} SELECT count(DISTINCT profile_id) AS programs FROM proc")
+Q["A10_recent_risk"] = Query(lambda s, d: rounded(H.recent_risk(ev(s, d), "risk", [F.desc("ts"), F.desc("event_id")]), "mean_risk"), f"WITH {EV_SQL} SELECT round(avg(risk) + 1e-9, 6) AS mean_risk, round(avg(risk) / 20 + 1e-9, 2) AS trend FROM (SELECT * FROM ev {LAST} 12)")
+FAMILIES = ["systemd", "nginx", "bash", "dockerd"]
+Q["A11_family_counts"] = Query(lambda s, d: H.family_counts(live_feed(s, d).withColumn("day", F.to_date("ts").cast("string")), ["day"], F.col("family"), FAMILIES, F.when(F.col("threads") < 8, F.col("threads"))), lambda: f"WITH {FEED_SQL.replace('{EV}', EV_SQL)} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {', '.join(f"count(*) FILTER (family = '{x}') AS n_{x}" for x in FAMILIES)}, count(*) AS process_count, sum(CASE WHEN threads < 8 THEN threads ELSE 1 END)::BIGINT AS thread_count FROM feed GROUP BY 1")
+Q["A18_distinct_programs"] = Query(lambda s, d: H.programs(processes(s, d), daily_windows(s, d)).orderBy("profile_id"), f"{P} SELECT profile_id FROM proc UNION SELECT user_id FROM events")
 Q["A20_keep_top_profiles"] = Query(lambda s, d: t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(100), "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 100")
 
 # Sets ---------------------------------------------------------------------------------------------------------------
@@ -252,5 +278,6 @@ Q["K10_alert_status_change"] = Query(k10, "SELECT event_id AS id, CASE WHEN even
 
 
 # P11 and J10 are the summary of single instances and the pairing of measures, as library users call them ---------------
-Q["P11_instance_summary"] = Query(lambda s, d: rounded(H.lifecycle_summary(processes(s, d).where("instance_id <= 100"), lines(s, d), lines(s, d), detections(s, d), NOW).select("instance_id", "comm", "total_windows", "detections", "max_risk"), "max_risk"),
-                                  f"WITH {LINE_SQL}, {DET_SQL}, {PROC_SQL} SELECT instance_id, comm, (SELECT count(*) FROM line l WHERE l.instance_id = p.instance_id) AS total_windows, (SELECT count(*) FROM det x WHERE x.instance_id = p.instance_id) AS detections, round(coalesce((SELECT max(risk_score) FROM det x WHERE x.instance_id = p.instance_id), 0) + 1e-9, 6) AS max_risk FROM proc p WHERE instance_id <= 100")
+Q["P11_instance_summary"] = Query(lambda s, d: rounded(H.lifecycle_summary(processes(s, d), full_windows(s, d), lines(s, d), detections(s, d), NOW).select("instance_id", "comm", "total_windows", "total_syscalls", "total_net_tx", "detections", "max_risk"), "max_risk"),
+                                  f"""WITH {LINE_SQL}, {FULL_SQL}, {DET_SQL}, {PROC_SQL}, w AS (SELECT instance_id, count(*) AS total_windows, sum(syscall_count)::BIGINT AS total_syscalls, sum(tcp_tx_bytes + udp_tx_bytes)::BIGINT AS total_net_tx FROM fullw GROUP BY 1), x AS (SELECT instance_id, count(*) AS detections, max(risk_score) AS max_risk FROM det GROUP BY 1)
+SELECT instance_id, comm, coalesce(total_windows, 0) AS total_windows, coalesce(total_syscalls, 0) AS total_syscalls, coalesce(total_net_tx, 0) AS total_net_tx, coalesce(detections, 0) AS detections, round(coalesce(max_risk, 0) + 1e-9, 6) AS max_risk FROM proc LEFT JOIN w USING (instance_id) LEFT JOIN x USING (instance_id)""")

@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in _all().items() if q.sql}
+    return {name: q.sql() if callable(q.sql) else q.sql for name, q in _all().items() if q.sql}

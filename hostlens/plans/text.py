@@ -10,6 +10,7 @@ from hostlens.functions import privacy as Pv
 from hostlens.operators import sequence as S
 from hostlens.plans._bind import Query, secs, t
 from hostlens.plans.behaviour import rounded
+from hostlens.sources import scans
 
 Q: dict[str, Query] = {}
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -69,7 +70,22 @@ Q["F11_address_pseudonym"] = Query(lambda s, d: t(s, d, "customer").select("c_cu
 TOKEN_SQL = " OR ".join(f"contains(lower(x), {q(w)})" for w in Pv.TOKEN_WORDS)
 Q["F12_redact_command"] = Query(lambda s, d: t(s, d, "pages").select("page_id", Pv.redact_command(F.split(F.concat(F.lit("curl --token=abc "), F.col("url"), F.lit("?averylongparameter=1")), " ")).alias("command")), f"SELECT page_id, left(array_to_string(list_transform(string_split('curl --token=abc ' || url || '?averylongparameter=1', ' '), lambda x: CASE WHEN {TOKEN_SQL} OR (contains(x, '=') AND length(x) > 20) THEN '[REDACTED]' ELSE x END), ' '), 512) AS command FROM pages")
 Q["F13_redact_text"] = Query(lambda s, d: t(s, d, "documents").select("doc_id", F.md5(Pv.redact_text("text")).alias("redacted"), (Pv.redact_text("text") != F.col("text")).alias("changed")), None)
-Q["F14_redact_map"] = Query(lambda s, d: t(s, d, "customer").select("c_custkey", Pv.redact_map(F.create_map(F.lit("api_key"), F.col("c_name"), F.lit("cli"), F.concat(F.lit("run password="), F.col("c_mktsegment")))).alias("m")).select("c_custkey", F.col("m")["api_key"].alias("api_key"), F.col("m")["cli"].alias("cli")), "SELECT c_custkey, '[REDACTED_CREDENTIAL]' AS api_key, 'run [REDACTED]' AS cli FROM customer")
+
+
+def f14(spark, d):
+    c = t(spark, d, "customer")
+    text = F.concat(F.lit("run password="), F.col("c_mktsegment"))
+    inner = F.create_map(F.lit("Auth_Token"), F.col("c_name"), F.lit("note"), text)
+    v = F.struct(F.struct(F.col("c_name").alias("api_key"), text.alias("cli"), F.col("c_nationkey").alias("n")).alias("top"), F.create_map(F.lit("in"), inner, F.lit("my_secret"), inner).alias("maps"), F.array(text, F.col("c_mktsegment")).alias("items"), F.array(F.struct(text.alias("line"), F.lit(3).alias("passwd_len"))).alias("rows"))
+    rows = c.select("c_custkey", v.alias("v"))
+    return rows.select("c_custkey", Pv.redact_nested("v", rows.schema["v"].dataType).alias("v")).select(
+        "c_custkey", "v.top.api_key", "v.top.cli", "v.top.n", F.col("v.maps")["in"]["Auth_Token"].alias("token"), F.col("v.maps")["in"]["note"].alias("note"), F.col("v.maps")["my_secret"].isNull().alias("hidden"),
+        F.array_join("v.items", "|").alias("items"), F.col("v.rows")[0]["line"].alias("line"), F.col("v.rows")[0]["passwd_len"].alias("len"),
+    )
+
+
+RED = "'run [REDACTED]'"
+Q["F14_redact_map"] = Query(f14, f"SELECT c_custkey, '[REDACTED_CREDENTIAL]' AS api_key, {RED} AS cli, c_nationkey AS n, '[REDACTED_CREDENTIAL]' AS token, {RED} AS note, true AS hidden, {RED} || '|' || c_mktsegment AS items, {RED} AS line, NULL::INT AS len FROM customer")
 LABELS = ["benign", "Normal", "0", "unlabeled", "", "attack:ssh", "malicious"]
 
 
@@ -80,7 +96,16 @@ def f15(spark, d):
 
 
 Q["F15_label_binary"] = Query(f15, f"SELECT event_id, CASE event_id % {len(LABELS)} WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS label_binary, CASE event_id % {len(LABELS)} WHEN 5 THEN 'ssh' ELSE '' END AS scenario FROM events")
-Q["F16_fill_columns"] = Query(lambda s, d: t(s, d, "orders").select("o_orderkey", F.coalesce(F.nullif(F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderpriority")), F.lit("")), F.lit("session")).alias("host")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'session' ELSE o_orderpriority END AS host FROM orders")
+SESSION = {"dataset_session_id": "s1", "session_label": "benign", "host_os": "linux"}
+
+
+def f16(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("pid"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderpriority")).alias("session_label"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("host_os"), F.lit("x").alias("other"))
+    rows = scans.session_rows(o, SESSION)
+    return rows.select("pid", "session_label", "host_os", "dataset_session_id", "kernel_version", "command_line", F.lit(len(rows.columns)).alias("n_columns"))
+
+
+Q["F16_fill_columns"] = Query(f16, "SELECT o_orderkey::VARCHAR AS pid, CASE WHEN o_orderkey % 2 = 0 THEN 'benign' ELSE o_orderpriority END AS session_label, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'linux' END AS host_os, 's1' AS dataset_session_id, NULL::VARCHAR AS kernel_version, NULL::VARCHAR AS command_line, 55 AS n_columns FROM orders")
 
 
 def f17(spark, d):
@@ -117,7 +142,7 @@ def counters(spark, d):
 
 CNT_SQL = "(SELECT *, c - lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dlt, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS el FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN 0 ELSE floor(value)::BIGINT + event_id END AS c FROM events))"
 Q["F22_counter_delta"] = Query(lambda s, d: counters(s, d).select("event_id", N.counter_delta("counter", ["user_id"], ["ts", "event_id"]).alias("delta")), f"SELECT event_id, CASE WHEN dlt < 0 THEN c ELSE dlt END AS delta FROM {CNT_SQL}")
-Q["F23_clamped_delta"] = Query(lambda s, d: counters(s, d).select("event_id", N.counter_delta("counter", ["user_id"], ["ts", "event_id"], clamp=True).alias("delta")), f"SELECT event_id, greatest(dlt, CASE WHEN dlt IS NULL THEN NULL ELSE 0 END) AS delta FROM {CNT_SQL}")
+Q["F23_clamped_delta"] = Query(lambda s, d: rounded(counters(s, d).select("event_id", N.counter_delta("counter", ["user_id"], ["ts", "event_id"], clamp=True).alias("delta"), N.counter_rate("counter", secs("ts"), ["user_id"], ["ts", "event_id"]).alias("rate")), "rate"), f"SELECT event_id, greatest(dlt, CASE WHEN dlt IS NULL THEN NULL ELSE 0 END) AS delta, CASE WHEN dlt IS NOT NULL THEN round(greatest(dlt, 0) / greatest(fl, 1e-6) + 1e-9, 6) END AS rate FROM (SELECT *, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fl FROM {CNT_SQL})")
 Q["F24_endpoint"] = Query(lambda s, d: t(s, d, "supplier").select("s_suppkey", N.endpoint(F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string"))), F.col("s_nationkey")).alias("endpoint")), "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN '10.0.0.' || s_suppkey || ':' || s_nationkey END AS endpoint FROM supplier")
 SCORE = "(SELECT event_id, least(99, floor(value / 3))::INT AS score FROM events)"
 
@@ -146,13 +171,16 @@ sch AS (SELECT 'token' AS kind, (row_number() OVER (ORDER BY gram) - 1)::INT AS
 Q["M1_vocabulary_and_ngrams"] = Query(lambda s, d: S.feature_schema(tr(s, d)), f"WITH {GRAM_SQL} SELECT kind, position, gram, n FROM sch")
 STATS = ("diversity", "repetition_ratio")
 Q["M2_sequence_stats"] = Query(lambda s, d: rounded(tr(s, d).select("user_id", *[c.alias(n) for n, c in S.sequence_stats("tokens").items()]), *STATS), f"WITH {TR_SQL} SELECT user_id, count(*)::INT AS length, count(DISTINCT a)::INT AS n_distinct, round(count(DISTINCT a) / count(*) + 1e-9, 6) AS diversity, count(*) FILTER (a = b)::INT AS repeats, round(1 - count(DISTINCT a) / count(*) + 1e-9, 6) AS repetition_ratio FROM tok GROUP BY 1")
-Q["M3_int_trace_stats"] = Query(lambda s, d: rounded(t(s, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_partkey").alias("mean"), F.stddev_pop("l_partkey").alias("std"), F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high")), "mean", "std"), "SELECT l_orderkey, round(avg(l_partkey) + 1e-9, 6) AS mean, round(stddev_pop(l_partkey) + 1e-9, 6) AS std, min(l_partkey) AS low, max(l_partkey) AS high FROM lineitem GROUP BY 1")
+Q["M3_int_trace_stats"] = Query(lambda s, d: rounded(S.traces(t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey").select("l_orderkey", *[c.alias(n) for n, c in S.int_stats("tokens").items()]), "mean", "std"), "SELECT l_orderkey, round(avg(l_partkey) + 1e-9, 6) AS mean, round(stddev_pop(l_partkey) + 1e-9, 6) AS std, min(l_partkey)::DOUBLE AS low, max(l_partkey)::DOUBLE AS high FROM lineitem GROUP BY 1")
 Q["M4_run_features"] = Query(lambda s, d: tr(s, d).select("user_id", S.run_features("tokens").alias("r")).select("user_id", "r.longest", "r.n_runs"), f"WITH {TR_SQL}, g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n)::INT AS longest, count(*) FILTER (n > 1)::INT AS n_runs FROM r GROUP BY 1")
 Q["M5_token_entropy"] = Query(lambda s, d: rounded(S.entropy(tr(s, d), "user_id"), "entropy"), f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1) SELECT user_id, round(-sum(n / total * log2(n / total)) + 1e-9, 6) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1")
 MAT_SQL = GRAM_SQL + """, cnt AS (SELECT user_id, 'token' AS kind, a AS gram, count(*) AS count FROM tok GROUP BY ALL UNION ALL SELECT user_id, 'bigram', a || ' ' || b, count(*) FROM tok WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT user_id, 'trigram', a || ' ' || b || ' ' || c, count(*) FROM tok WHERE c IS NOT NULL GROUP BY ALL)"""
 Q["M6_gram_counts"] = Query(lambda s, d: S.gram_matrix(tr(s, d), "user_id", S.feature_schema(tr(s, d))), f"WITH {MAT_SQL} SELECT user_id, kind, position, gram, count FROM cnt JOIN sch USING (kind, gram)")
 Q["J8_grams_with_schema"] = Query(lambda s, d: S.gram_matrix(tr(s, d), "user_id", S.feature_schema(tr(s, d), bigrams=10, trigrams=0)).groupBy("kind", "gram").agg(F.sum("count").alias("n")), f"WITH {GRAM_SQL} SELECT kind, gram, n FROM sch WHERE kind = 'token' OR kind = 'bigram' AND position < 10".replace(" OR kind = 'bigram' AND position < 10", " OR (kind = 'bigram' AND position < 10)"))
-NAMED = [("token", "click"), ("token", "error"), ("bigram", "view view"), ("trigram", "click click click")]
+TYPES = ("click", "error", "purchase", "signup", "view")
+#: All grams that traces of these tokens can have: the schema's columns.
+NAMED = [("token", a) for a in TYPES] + [("bigram", f"{a} {b}") for a in TYPES for b in TYPES] + [("trigram", f"{a} {b} {c}") for a in TYPES for b in TYPES for c in TYPES]
+COUNT_SQL = ", ".join(f"count(*) FILTER ({' AND '.join(f'{x} = {q(v)}' for x, v in zip('abc', g.split(), strict=False))}) AS {g.replace(' ', '_')}" for _, g in NAMED)
 
 
 def m7(spark, d):
@@ -161,8 +189,8 @@ def m7(spark, d):
     return rounded(rows.select("user_id", "length", "longest", "entropy", *[F.col(f"{k}:{g}").alias(g.replace(" ", "_")) for k, g in NAMED]), "entropy")
 
 
-Q["M7_feature_matrix"] = Query(m7, f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1), en AS (SELECT user_id, -sum(n / total * log2(n / total)) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1), g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT user_id, count(*)::INT AS length, any_value(longest)::INT AS longest, round(any_value(entropy) + 1e-9, 6) AS entropy, count(*) FILTER (a = 'click') AS click, count(*) FILTER (a = 'error') AS error, count(*) FILTER (a = 'view' AND b = 'view') AS view_view, count(*) FILTER (a = 'click' AND b = 'click' AND c = 'click') AS click_click_click FROM tok JOIN en USING (user_id) JOIN r USING (user_id) GROUP BY user_id")
-Q["M8_schema_round_trip"] = Query(lambda s, d: S.feature_schema(tr(s, d)).select(F.concat_ws(":", "kind", "gram").alias("name"), "position").select(F.substring_index("name", ":", 1).alias("kind"), F.expr("substring(name, instr(name, ':') + 1)").alias("gram"), "position"), f"WITH {GRAM_SQL} SELECT kind, gram, position FROM sch")
+Q["M7_feature_matrix"] = Query(m7, f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1), en AS (SELECT user_id, -sum(n / total * log2(n / total)) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1), g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT user_id, count(*)::INT AS length, any_value(longest)::INT AS longest, round(any_value(entropy) + 1e-9, 6) AS entropy, {COUNT_SQL} FROM tok JOIN en USING (user_id) JOIN r USING (user_id) GROUP BY user_id")
+Q["M8_schema_round_trip"] = Query(lambda s, d: S.schema_from_names(S.schema_names(S.feature_schema(tr(s, d)))), f"WITH {GRAM_SQL} SELECT kind, gram, position FROM sch")
 DOC_SQL = "dt AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents)"
 
 

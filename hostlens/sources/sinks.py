@@ -47,6 +47,21 @@ def change_status(alerts: DataFrame, status: str, ids: list | None = None) -> Da
     return alerts.withColumns({"changed": hit, "status": F.when(hit, F.lit(status)).otherwise(F.col("status"))})
 
 
+def write_features(df: DataFrame, path: str, features: list[str], meta: list[str]) -> DataFrame:
+    """Write a feature matrix in its order of columns, with a table that names them; read both back and compare.
+
+    Returns (position, name, kind). ValueError if rows or columns don't come back as they were written.
+    """
+    spark = df.sparkSession
+    df.select(*features, *meta).write.mode("overwrite").parquet(f"{path}/matrix")
+    names = [(i, c, "feature") for i, c in enumerate(features)] + [(len(features) + i, c, "meta") for i, c in enumerate(meta)]
+    spark.createDataFrame(names, "position int, name string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+    back, schema = spark.read.parquet(f"{path}/matrix"), spark.read.parquet(f"{path}/schema")
+    if back.columns != [r["name"] for r in schema.orderBy("position").collect()] or back.count() != df.count():
+        raise ValueError("the feature matrix was not written as a whole")
+    return schema
+
+
 def rotating_csv(df: DataFrame, path: str, rows: int) -> None:
     df.write.option("maxRecordsPerFile", rows).option("header", True).mode("append").csv(path)
 

@@ -147,3 +147,44 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.id: (r.n_before, round(r.mean_before, 9), round(r.std_before, 9)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {r.id: (r.n_before, round(r.mean_before, 9), round(r.std_before, 9)) for r in W.compare_then_update(e, ["k"], ["ts"], "v").collect()}
     assert got == want
+
+
+def test_earlier_moments_by_cuts_equal_one_window(spark):
+    """A hot program's rows in order within days only give what one window over all of them gives."""
+    import random
+
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 else f"k{i % 7}", f"2024-01-{i // 40 + 1:02d}", i, None if i % 11 == 0 else 1e6 + rng.random(), 20.0 + rng.random(), 100.0 * rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, day string, t int, cpu double, mem double, syscalls double").repartition(5)
+    for f in (lambda cut: W.compare_then_update(df, ["k"], ["t"], "cpu", cut), lambda cut: W.live_deviation(df, ["k"], ["t"], cut=cut)):
+        one, other = ({r.t: r for r in f(cut).collect()} for cut in (None, F.col("day")))
+        assert len(one) == len(other) == 400
+        for t, r in one.items():
+            for c, x in r.asDict().items():
+                y = other[t][c]
+                assert x == y or abs(x - y) < 1e-6 * max(1, abs(x)), (t, c, x, y)
+
+
+def test_wide_baseline_equals_long(spark):
+    rows = [(p, i, float((i * 7 + p) % 13), None if i == 3 else float(i % 5)) for p in range(4) for i in range(30)]
+    w = spark.createDataFrame(rows, "profile_id int, i int, syscall_count double, cpu_usage double")
+    names = ["syscall_count", "cpu_usage"]
+    columns = ["profile_id", "feature", "n", "mean", "std", "low", "high", "p25", "p99", "median", "mad", "nmad", "iqr", "noise_floor", "effective_scale"]
+    wide = B.wide_baseline(w, ["profile_id"], names, B.registry(spark)).select(columns)
+    long = B.feature_baseline(B.long_form(w, ["profile_id"], names), ["profile_id"], B.registry(spark)).select(columns)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, long.collect())) and wide.count() == 8
+    rough = {(r.profile_id, r.feature): r for r in B.wide_baseline(w, ["profile_id"], names, B.registry(spark), exact=False).collect()}
+    assert all(abs(rough[r.profile_id, r.feature].median - r.median) <= 1 for r in long.collect())
+
+
+def test_retraining_gates_and_promotes(spark, tmp_path):
+    from hostlens.operators import ml
+
+    rows = [(i, int(i % 4 == 0), float(i % 4 == 0) + (i * 37 % 100) / 400, float(i * 13 % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, label int, a double, b double")
+    first = ml.retrain(df, ["a", "b"], "id", "label", str(tmp_path), "d", trees=2, depth=2)
+    bad = ml.retrain(df.withColumn("a", F.when(F.col("id") != 5, F.col("a"))), ["a", "b"], "id", "label", str(tmp_path), "d", trees=2, depth=2)
+    strict = ml.retrain(df, ["b"], "id", "label", str(tmp_path), "d", trees=2, depth=2)
+    assert (first["status"], bad["status"], strict["status"]) == ("ACCEPTED", "INVALID", "REJECTED") and strict["reasons"]
+    ledger = [(r.run_no, r.action, r.status) for r in spark.read.parquet(f"{tmp_path}/ledger").orderBy("run_no", F.desc("action")).collect()]
+    assert ledger == [(1, "train", "ACCEPTED"), (1, "promote", "ACCEPTED"), (2, "train", "INVALID"), (3, "train", "REJECTED")]
