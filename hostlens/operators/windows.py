@@ -24,6 +24,53 @@ def behaviour_windows(events: DataFrame, by: list[str], ts_col: str, length: str
     return grouped.withColumns({"start": F.col("w.start"), "end": F.col("w.end")}).drop("w")
 
 
+#: What a window keeps of the gauges of a process: the last value seen.
+GAUGES = ("cpu_usage", "memory_rss_bytes", "memory_vms_bytes", "memory_percent", "num_threads", "num_fds")
+SUMMED = ("bytes_read", "bytes_written", "tcp_tx_bytes", "tcp_rx_bytes", "udp_tx_bytes", "disk_read_bytes", "disk_write_bytes", "ctx_switches_voluntary", "ctx_switches_involuntary")
+KINDS = {"file_open_count": "file_open", "file_open_write_count": "file_open_write", "file_create_count": "file_create", "file_delete_count": "file_delete", "file_rename_count": "file_rename", "net_connect_count": "net_connect", "net_accept_count": "net_accept", "child_process_count": "child_process", "thread_create_count": "thread_create", "exec_count": "exec"}
+CATEGORIES = ("file", "network", "process", "memory", "ipc", "other")
+
+
+def process_windows(events: DataFrame, by: list[str], ts_col: str = "ts", length: str = "5 seconds") -> DataFrame:
+    """Behaviour windows of process instances with all their metrics, one row per instance and window that holds events.
+
+    Events have a ``kind`` (syscall, file_open, file_open_write, file_create, file_delete, file_rename, net_connect,
+    net_accept, child_process, thread_create, exec), and where it applies syscall, category, sensitive, is_read, is_write,
+    path, dest_ip, dest_port, SUMMED, GAUGES, exited, label. Missing columns count as null.
+    """
+    have = lambda c, kind: F.col(c) if c in events.columns else F.lit(None).cast(kind)
+    ts, kind = F.col(ts_col).cast("timestamp"), F.col("kind")
+    call = kind == "syscall"
+    true = lambda c: F.coalesce(have(c, "boolean"), F.lit(False))
+    distinct = lambda c, when: F.count_distinct(F.when(when, have(c, "string")))
+    last = lambda c, k="double": F.max_by(have(c, k), F.when(have(c, k).isNotNull(), F.struct(ts, *[F.col(x) for x in ("event_id",) if x in events.columns])))
+    grouped = events.groupBy(*by, F.window(ts, length).alias("__w")).agg(
+        F.count_if(call).alias("syscall_count"), *[F.count_if(call & (F.coalesce(have("category", "string"), F.lit("other")) == c)).alias(f"syscalls_{c}") for c in CATEGORIES],
+        F.count_if(call & true("sensitive")).alias("syscalls_sensitive"), distinct("syscall", call).alias("distinct_syscalls"), F.count_if(call & true("is_read")).alias("file_read_count"), F.count_if(call & true("is_write")).alias("file_write_count"),
+        *[F.count_if(kind == k).alias(name) for name, k in KINDS.items()], distinct("path", kind.startswith("file_")).alias("unique_files"), distinct("dest_ip", kind.startswith("net_")).alias("unique_dest_ips"), distinct("dest_port", kind.startswith("net_")).alias("unique_dest_ports"),
+        *[F.coalesce(F.sum(have(c, "long")), F.lit(0)).alias(c) for c in SUMMED], *[F.coalesce(last(c), F.lit(0.0)).alias(c) for c in GAUGES],
+        (1 - F.max(true("exited").cast("int"))).alias("alive_at_end"), last("label", "string").alias("label"), F.count("*").alias("events_received"),
+    )
+    more = {"network_count": F.col("net_connect_count") + F.col("net_accept_count"), "memory_usage": F.round(F.col("memory_rss_bytes") / 1_048_576, 3), "start_time": F.col("__w.start"), "end_time": F.col("__w.end")}
+    return grouped.withColumns(more).withColumn("duration_s", (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6).drop("__w")
+
+
+def feature_windows(events: DataFrame, name_col: str = "process_name", ts_col: str = "ts", length: str = "60 seconds") -> DataFrame:
+    """Feature windows of process names with their 13 metrics, from flat events; events without a name don't count."""
+    kind, n = F.col("event_type"), F.count_if
+    file, net = kind.startswith("FILE_"), kind.isin("NETWORK_CONNECT", "NETWORK_STATUS")
+    of = lambda c, k: F.when(k, F.nullif(F.col(c).cast("string"), F.lit("")))
+    mean = lambda c: F.coalesce(F.avg(F.when(kind == "PROCESS_METRIC", F.col(c))), F.lit(0.0))
+    sent = kind == "NETWORK_STATUS_BYTES"
+    total = lambda c: F.coalesce(F.sum(F.when(sent, F.col(c))), F.lit(0))
+    grouped = events.where(F.coalesce(name_col, F.lit("")) != "").groupBy(name_col, F.window(F.col(ts_col).cast("timestamp"), length).alias("__w")).agg(
+        n(kind == "SYSCALL").alias("syscall_count"), n(file).alias("file_event_count"), n(net).alias("network_connection_count"), n(kind == "PROCESS_START").alias("child_process_count"), mean("cpu_percent").alias("cpu_mean"), mean("memory_percent").alias("memory_mean"),
+        F.lit(0).alias("disk_read_bytes"), F.lit(0).alias("disk_write_bytes"), total("network_bytes_sent").alias("network_bytes_sent"), total("network_bytes_received").alias("network_bytes_received"),
+        F.count_distinct(of("dst_ip", net)).alias("unique_destinations"), F.count_distinct(of("dst_port", net)).alias("unique_ports"), F.count_distinct(of("file_path", file)).alias("unique_files"),
+    )
+    return grouped.withColumns({"start_time": F.col("__w.start"), "end_time": F.col("__w.end")}).drop("__w")
+
+
 def before(by: list[str], order: list[str]) -> W:
     """All earlier rows of the same key."""
     return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

@@ -23,25 +23,6 @@ REG_SQL = "reg(feature, category, noise_floor, weight) AS (VALUES " + ", ".join(
 PCT = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-# W1, W2 ------------------------------------------------------------------------------------------------------------
-def w1(spark, d):
-    e = t(spark, d, "events").withColumn("item", F.regexp_extract("props", "[0-9]+", 0))
-    w = Wn.behaviour_windows(e, ["user_id"], "ts", "1 day", "event_type", "value", "item", "error")
-    return rounded(w.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "syscall_count", "distinct_syscalls", "syscalls_sensitive", "unique_files", "cpu_usage", "memory_usage"), "cpu_usage", "memory_usage")
-
-
-Q["W1_behaviour_windows"] = Query(w1, f"""WITH {WINDOWS_SQL} SELECT profile_id AS user_id, strftime(day, '%Y-%m-%d') AS day, syscall_count, distinct_syscalls, syscalls_sensitive, unique_files, round(cpu_usage + 1e-9, 6) AS cpu_usage, round(memory_usage + 1e-9, 6) AS memory_usage FROM win""")
-
-
-def w2(spark, d):
-    e = t(spark, d, "events").withColumn("item", F.regexp_extract("props", "[0-9]+", 0))
-    w = Wn.behaviour_windows(e, ["event_type"], "ts", "60 seconds", "event_type", "value", "item", "error")
-    return rounded(w.select("event_type", F.unix_seconds("start").alias("start_s"), "syscall_count", "unique_files", "cpu_usage", "memory_usage"), "cpu_usage", "memory_usage")
-
-
-Q["W2_feature_windows"] = Query(w2, """SELECT event_type, (epoch(ts)::BIGINT // 60) * 60 AS start_s, count(*) AS syscall_count, count(DISTINCT regexp_extract(props, '[0-9]+')) AS unique_files, round(avg(value) + 1e-9, 6) AS cpu_usage, round(max(value) + 1e-9, 6) AS memory_usage
-FROM (SELECT *, epoch(date_trunc('second', ts)) AS s FROM events) GROUP BY event_type, epoch(ts)::BIGINT // 60""".replace("epoch(ts)::BIGINT", "s::BIGINT"))
-
 # W3: the flagship ----------------------------------------------------------------------------------------------------
 W3_COLUMNS = ("mean_before", "std_before", "deviation", "ratio", "z")
 W3_SQL = WINDOWS_SQL + """, b AS (SELECT profile_id, day, syscall_count, count(*) OVER w AS n_before, coalesce(avg(syscall_count) OVER w, 0) AS mean_before, coalesce(stddev_samp(syscall_count) OVER w, 0) AS std_before

@@ -8,6 +8,7 @@ from hostlens.functions import classify as C
 from hostlens.functions import normalize as N
 from hostlens.functions import privacy as Pv
 from hostlens.operators import sequence as S
+from hostlens.operators import windows as Wn
 from hostlens.plans._bind import Query, secs, t
 from hostlens.plans.behaviour import rounded
 from hostlens.sources import scans
@@ -49,6 +50,74 @@ def calls(spark, d):
 
 
 Q["F5_syscall_category"] = Query(lambda s, d: C.with_category(calls(s, d), C.syscall_dimension(s)).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("syscall").alias("names")), f"SELECT CASE {' '.join(f'WHEN syscall = {q(n)} THEN {q(c)}' for n, c in CATEGORY_OF.items())} END AS category, count(*) AS n, count(DISTINCT syscall) AS names FROM {NAME_SQL} GROUP BY 1")
+# W1 and W2: events as what a collector reports of processes and of names.
+KIND_OF = {"click": "syscall", "view": "file_open", "purchase": "net_connect", "signup": "child_process", "error": "exec"}
+W1_COUNTS = ["syscall_count", *[f"syscalls_{c}" for c in Wn.CATEGORIES], "syscalls_sensitive", "distinct_syscalls", "file_read_count", "file_write_count", *Wn.KINDS, "unique_files", "unique_dest_ips", "unique_dest_ports", *Wn.SUMMED, "network_count", "alive_at_end", "events_received"]
+W1_FLOATS = [*Wn.GAUGES, "memory_usage", "duration_s"]
+
+
+def process_events(spark, d):
+    e = C.with_category(calls(spark, d), C.syscall_dimension(spark))
+    kind = F.lit(None).cast("string")
+    for k, v in KIND_OF.items():
+        kind = F.when(F.col("event_type") == k, v).otherwise(kind)
+    return e.select(
+        "event_id", "user_id", "ts", kind.alias("kind"), "syscall", "category", "sensitive", "is_read", "is_write", F.regexp_extract("props", "[0-9]+", 0).alias("path"), F.concat(F.lit("10.0.0."), F.col("event_id") % 9).alias("dest_ip"), (F.col("event_id") % 5).alias("dest_port"),
+        F.floor("value").alias("bytes_read"), (F.col("event_id") % 7).alias("tcp_tx_bytes"), (F.col("value") / 10).alias("cpu_usage"), (F.col("event_id") * 4096).alias("memory_rss_bytes"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 8).alias("num_threads"),
+        ((F.col("event_type") == "error") & (F.col("value") > 150)).alias("exited"), F.col("event_type").alias("label"),
+    )
+
+
+def w1(spark, d):
+    out = None
+    for length in ("5 seconds", "1 day"):
+        w = Wn.process_windows(process_events(spark, d), ["user_id"], "ts", length)
+        w = rounded(w.select("user_id", F.unix_seconds("start_time").alias("start_s"), *W1_COUNTS, *W1_FLOATS, "label"), *W1_FLOATS, digits=4)
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+def w1_sql():
+    category = " ".join(f"WHEN syscall = {q(n)} THEN {q(c)}" for n, c in CATEGORY_OF.items())
+    flag = lambda names: f"syscall IN ({INL(names)})"
+    fields = f"""pe AS (SELECT *, CASE event_type {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in KIND_OF.items())} END AS kind, CASE {category} END AS category, regexp_extract(props, '[0-9]+') AS path, '10.0.0.' || (event_id % 9) AS ip, event_id % 5 AS port FROM {NAME_SQL})"""
+    call = "kind = 'syscall'"
+    n = lambda cond: f"count(*) FILTER ({cond})"
+    last = lambda x, cond="true": f"arg_max({x}, (ts, event_id)) FILTER ({cond})"
+    columns = {"syscall_count": n(call), **{f"syscalls_{c}": n(f"{call} AND category = {q(c)}") for c in Wn.CATEGORIES}, "syscalls_sensitive": n(f"{call} AND {flag(C.SENSITIVE)}"), "distinct_syscalls": f"count(DISTINCT syscall) FILTER ({call})",
+               "file_read_count": n(f"{call} AND {flag(C.READS)}"), "file_write_count": n(f"{call} AND {flag(C.WRITES)}"), **{c: n(f"kind = {q(k)}") for c, k in Wn.KINDS.items()}, "unique_files": "count(DISTINCT path) FILTER (starts_with(kind, 'file_'))",
+               "unique_dest_ips": "count(DISTINCT ip) FILTER (starts_with(kind, 'net_'))", "unique_dest_ports": "count(DISTINCT port) FILTER (starts_with(kind, 'net_'))", **dict.fromkeys(Wn.SUMMED, "0::BIGINT"), "bytes_read": "sum(floor(value))::BIGINT", "tcp_tx_bytes": "sum(event_id % 7)::BIGINT",
+               "network_count": n("kind IN ('net_connect', 'net_accept')"), "alive_at_end": "1 - max(CASE WHEN event_type = 'error' AND value > 150 THEN 1 ELSE 0 END)::INT", "events_received": "count(*)", "label": last("event_type")}
+    floats = {**dict.fromkeys(Wn.GAUGES, "0.0"), "cpu_usage": last("value / 10"), "memory_rss_bytes": last("event_id * 4096.0"), "num_threads": f"coalesce({last('(event_id % 8)::DOUBLE', 'event_id % 2 = 0')}, 0)", "memory_usage": f"round({last('event_id * 4096.0::DOUBLE')} / 1048576, 3)"}
+    one = lambda sec: f"SELECT user_id, b * {sec} AS start_s, {', '.join(f'{x} AS {c}' for c, x in columns.items())}, {', '.join(f'round(({x})::DOUBLE + 1e-9, 4) AS {c}' for c, x in floats.items())}, {sec}.0::DOUBLE AS duration_s FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM pe) GROUP BY user_id, b"
+    return f"WITH {fields} {one(5)} UNION ALL BY NAME {one(86400)}"
+
+
+FLAT = {"click": "SYSCALL", "view": "FILE_OPEN", "purchase": "NETWORK_CONNECT", "signup": "PROCESS_START", "error": "PROCESS_METRIC"}
+W2_COLUMNS = ("syscall_count", "file_event_count", "network_connection_count", "child_process_count", "disk_read_bytes", "disk_write_bytes", "network_bytes_sent", "network_bytes_received", "unique_destinations", "unique_ports", "unique_files")
+
+
+def w2(spark, d):
+    kind = F.lit(None).cast("string")
+    for k, v in FLAT.items():
+        kind = F.when(F.col("event_type") == k, v).otherwise(kind)
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), "NETWORK_STATUS_BYTES").otherwise(kind)
+    e = t(spark, d, "events").select("ts", F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("p"), F.col("user_id") % 20)).alias("process_name"), kind.alias("event_type"), F.concat(F.lit("10.0.0."), F.col("event_id") % 9).alias("dst_ip"), (F.col("event_id") % 5).alias("dst_port"), F.regexp_extract("props", "[0-9]+", 0).alias("file_path"), (F.col("value") / 10).alias("cpu_percent"), (F.col("value") / 20).alias("memory_percent"), F.floor("value").alias("network_bytes_sent"), (F.col("event_id") % 100).alias("network_bytes_received"))
+    w = Wn.feature_windows(e, length="60 minutes").unionByName(Wn.feature_windows(e))
+    return rounded(w.select("process_name", F.unix_seconds("start_time").alias("start_s"), (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("length"), *W2_COLUMNS, "cpu_mean", "memory_mean"), "cpu_mean", "memory_mean")
+
+
+def w2_sql():
+    kind = f"CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'NETWORK_STATUS_BYTES' {' '.join(f'WHEN event_type = {q(k)} THEN {q(v)}' for k, v in FLAT.items())} END"
+    net = "kind = 'NETWORK_CONNECT'"
+    one = lambda sec: f"""SELECT name AS process_name, b * {sec} AS start_s, {sec}::BIGINT AS length, count(*) FILTER (kind = 'SYSCALL') AS syscall_count, count(*) FILTER (kind = 'FILE_OPEN') AS file_event_count, count(*) FILTER ({net}) AS network_connection_count, count(*) FILTER (kind = 'PROCESS_START') AS child_process_count, 0 AS disk_read_bytes, 0 AS disk_write_bytes,
+coalesce(sum(floor(value)) FILTER (kind = 'NETWORK_STATUS_BYTES'), 0)::BIGINT AS network_bytes_sent, coalesce(sum(event_id % 100) FILTER (kind = 'NETWORK_STATUS_BYTES'), 0)::BIGINT AS network_bytes_received, count(DISTINCT event_id % 9) FILTER ({net}) AS unique_destinations, count(DISTINCT event_id % 5) FILTER ({net}) AS unique_ports, count(DISTINCT regexp_extract(props, '[0-9]+')) FILTER (kind = 'FILE_OPEN') AS unique_files,
+round(coalesce(avg(value / 10) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS cpu_mean, round(coalesce(avg(value / 20) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS memory_mean FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM fe) GROUP BY 1, b"""
+    return f"WITH fe AS (SELECT *, {kind} AS kind, 'p' || (user_id % 20) AS name FROM events WHERE user_id % 10 <> 0) {one(3600)} UNION ALL {one(60)}"
+
+
+Q["W1_behaviour_windows"] = Query(w1, w1_sql)
+Q["W2_feature_windows"] = Query(w2, w2_sql)
 INL = lambda names: ", ".join(map(q, names.split()))
 Q["F6_syscall_flags"] = Query(lambda s, d: C.with_category(calls(s, d), C.syscall_dimension(s)).agg(F.count_if("sensitive").alias("sensitive"), F.count_if("is_read").alias("reads"), F.count_if("is_write").alias("writes")), f"SELECT count(*) FILTER (syscall IN ({INL(C.SENSITIVE)})) AS sensitive, count(*) FILTER (syscall IN ({INL(C.READS)})) AS reads, count(*) FILTER (syscall IN ({INL(C.WRITES)})) AS writes FROM {NAME_SQL}")
 COMMS = ["nginx", "sshd", "dockerd", "kworker/0:1", "python3", "bash", "systemd", "init", "redis-server", "chrome", "Xorg", "caddy", ""]
