@@ -5,7 +5,7 @@ begin the line. A passage is a run of lines of one level without a blank line be
 (case, white space) and hashed. A quoted passage links to the first message of the conversation, before the quoting
 one, that has the same passage unquoted. The parent of a message is the latest message that its shallowest linked
 quotes name. A conversation in reply order lists each message after its parent, siblings by turn: ordering by
-(conversation, ``reply_path``) gives it, so no conversation has to fit in one task.
+(conversation, ``reply_path``), as ``conversations`` does, gives it, so no conversation has to fit in one task.
 
 Null texts count as empty. Messages without linked quotes have no parent and stand at their own turn. Null
 conversations or turns link with nothing. Of repeated (conversation, turn) rows all are kept; the first in order of
@@ -71,7 +71,8 @@ def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, parent_turn, depth, reply_path, n_quotes, n_linked, text (own).
 
-    ``reply_path`` is the list of turns from the first message of the thread to this one.
+    ``reply_path`` has the turns from the first message of the thread to this one as a text that sorts like the list:
+    19 digits each, with dots between (a negative turn begins with a minus and counts up from the smallest number).
     """
     links = quote_links(messages, conv_col, turn_col, text_col)
     by_message = links.groupBy("conv", "turn").agg(
@@ -86,10 +87,20 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     path = F.coalesce(F.col("path"), F.array(F.col("turn")))
     return rows.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "parent_turn", (F.size(path) - 1).alias("depth"),
-        F.array_join(path, ".").alias("reply_path"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("text").alias(text_col),
+        F.array_join(F.transform(path, _sortable), ".").alias("reply_path"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("text").alias(text_col),
     )
 
 
+def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The rows of ``format_chat``, conversation after conversation, each in the order of replies."""
+    return format_chat(messages, conv_col, turn_col, role_col, text_col).orderBy(conv_col, "reply_path", role_col, text_col)
+
+
+def _sortable(turn: Column) -> Column:
+    digits = F.lpad(turn.cast("long").bitwiseAND(F.lit(2**63 - 1)).cast("string"), 19, "0")
+    return F.when(turn < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
 def _paths(edges: DataFrame) -> DataFrame:
     """Turns from the top of the thread for each message with a parent. The known part of all paths doubles each round."""
     rows = edges.select("conv", "turn", F.array("turn").alias("path"), F.col("parent_turn").alias("top"))

@@ -28,7 +28,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ messages AS (SELECT conv_id, turn, sum(times)::BIGINT AS n_quotes, coalesce(sum(
 paths AS (SELECT conv_id, turn, parent_turn AS top, [turn] AS path FROM (SELECT DISTINCT c.conv_id, c.turn, m.parent_turn FROM conversations c LEFT JOIN messages m USING (conv_id, turn))
     UNION ALL SELECT p.conv_id, p.turn, m.parent_turn, list_prepend(p.top, p.path) FROM paths p LEFT JOIN messages m ON m.conv_id = p.conv_id AND m.turn = p.top WHERE p.top IS NOT NULL),
 own AS (SELECT conv_id, turn, regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '\A[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS text FROM lines GROUP BY conv_id, turn)
-SELECT c.conv_id, c.turn, c.role, m.parent_turn, len(p.path)::INT - 1 AS depth, array_to_string(p.path, '.') AS reply_path, coalesce(m.n_quotes, 0) AS n_quotes, coalesce(m.n_linked, 0) AS n_linked, coalesce(o.text, '') AS text
+SELECT c.conv_id, c.turn, c.role, m.parent_turn, len(p.path)::INT - 1 AS depth, array_to_string(list_transform(p.path, lambda t: CASE WHEN t < 0 THEN '-' ELSE '' END || lpad((t::BIGINT & 9223372036854775807)::VARCHAR, 19, '0')), '.') AS reply_path, coalesce(m.n_quotes, 0) AS n_quotes, coalesce(m.n_linked, 0) AS n_linked, coalesce(o.text, '') AS text
 FROM conversations c LEFT JOIN messages m USING (conv_id, turn) JOIN paths p ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.top IS NULL JOIN own o ON o.conv_id = c.conv_id AND o.turn = c.turn"""
 
 ORACLE_SQL: dict[str, str] = {
