@@ -2,7 +2,7 @@
 
 Normalising lower-cases, drops copyright lines, maps equivalent spellings to one, and turns every run of other
 characters than letters and digits into one space. Equal digests then mean equal wording. Texts that are null or
-normalise to nothing have a null digest and match no licence. Repeated rows are kept; the known texts are a parameter
+normalise to nothing have a null digest and match no licence. Rows are kept as they are, with repeated and null ids; the known texts are a parameter
 table (name, text), which may hold several texts of one licence; a text that equals several names takes the first.
 """
 
@@ -49,7 +49,7 @@ BSD_HEAD = """Redistribution and use in source and binary forms, with or without
 """
 BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-#: More wordings, which the SQL doesn't have. The enumeration of BSD conditions is by number, asterisk or hyphen.
+#: More wordings. The enumeration of BSD conditions is by number, asterisk or hyphen.
 MORE = {
     "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
     "BSD-3-Clause": BSD_HEAD + BSD_NAMES + BSD_TAIL,
@@ -68,6 +68,21 @@ TITLES = {
 }
 
 
+#: Digests of the canonical wording of long licences as published; where there are two, the second is of
+#: the text up to and with the line END OF TERMS AND CONDITIONS, without the appendix.
+LONG = {
+    "Apache-2.0": ("045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847", "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87"),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.3": ("961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc",),
+    "GPL-2.0": ("cf74dfa78ca9ac981c7ae9e50c4ecfb828df2e5ef2f1646368388676215766b5", "c33d2f29477d94c3f3e48ae230c47966a4f4c05a0f6087cf607e1589848d2986"),
+    "GPL-3.0": ("50d4bc7394c6bd89b2ec17ed7bbe4d2135d9f88685bbb3c7e130dd23a31ddaff", "f26652974b5fa996c37c31bfe06e91058b0a6e0e25fd201082f3016dc97810e8"),
+    "LGPL-2.1": ("ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5", "2858f5a00f6672bd47f63b69b9bf4e1bc31f3541b08a5a263e59d9b384f72fdc"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354",),
+    "MPL-2.0": ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",),
+}
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(name, text) of all built-in wordings, with and without a title."""
     rows = []
@@ -77,10 +92,11 @@ def known_texts() -> list[tuple[str, str]]:
     return rows
 
 
-#: A copyright line, as the SQL has it: after marks and blanks it begins with the word or sign, or is a rights notice.
+#: A copyright line: after marks and blanks it begins with the word or sign, or is a rights notice.
 COPYRIGHT_LINE = r"^[ \t#*/;>-]*(?:copyright(?: \(c\)| ©)?(?: |:)[^\n]*|\(c\) [^\n]*|© ?[^\n]*|all rights reserved\.?[ \t]*)$"
 #: The same without body lines that happen to begin with the word, as wrapped licence texts have them.
-NOTICE_LINE = COPYRIGHT_LINE.replace("copyright(?:", r"copyright(?! +(?:notice|holder|owner|law|license|licence|statement|interest|and|or|in|is|of|to)s?\b)(?:", 1)
+BODY = r" +(?:notice|holder|owner|law|license|licence|statement|interest|and|or|in|is|of|to)s?\b"
+NOTICE_LINE = COPYRIGHT_LINE.replace("copyright(?:", rf"copyright(?!{BODY})(?:", 1)
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -101,8 +117,11 @@ def digest(text: Column | str) -> Column:
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(license_id, digest), one row per digest. ``known``: a table (name, text); the built-in wordings by default."""
-    known = known if known is not None else spark.createDataFrame(known_texts(), "name string, text string")
-    return known.select(F.col("name").alias("license_id"), digest("text").alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    texts = known if known is not None else spark.createDataFrame(known_texts(), "name string, text string")
+    rows = texts.select(F.col("name").alias("license_id"), digest("text").alias("digest")).where("digest is not null")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame([(name, x) for name, some in LONG.items() for x in some], "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,9 +131,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def canonical_sql(text: str) -> str:
-    """The same normalising as DuckDB SQL, but for wrapped body lines that begin with the word copyright: those it drops."""
+    """The same normalising as DuckDB SQL. Its patterns can't look ahead, so lines are tested one by one."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    sql = f"regexp_replace(lower({text}), {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
+    body = "^[ \\t#*/;>-]*copyright" + BODY
+    sql = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda line: NOT regexp_matches(line, {quoted(COPYRIGHT_LINE)}) OR regexp_matches(line, {quoted(body)})), chr(10))"
     sql = f"concat(' ', regexp_replace({sql}, {quoted(OTHER)}, '  ', 'g'), ' ')"
     for one, other in SPELLINGS.items():
         sql = f"replace({sql}, {quoted(f' {one} '.replace(' ', '  ')[1:-1])}, {quoted(f' {other} '.replace(' ', '  ')[1:-1])})"
@@ -122,9 +142,12 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql(docs: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """``scan`` as DuckDB SQL, with the wordings in KNOWN only."""
-    rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in KNOWN.items())
-    digest_of = lambda c: f"sha256(nullif({canonical_sql(c)}, ''))"
-    return f"""WITH known AS (SELECT digest, min(name) AS license_id FROM (SELECT name, {digest_of("text")} AS digest FROM (VALUES {rows}) AS k(name, text)) GROUP BY digest),
+    """``scan`` with the built-in wordings as DuckDB SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    texts = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known_texts())
+    long = ", ".join(f"({quoted(name)}, {quoted(x)})" for name, some in LONG.items() for x in some)
+    digest_of = lambda c: f"CASE WHEN {c} IS NOT NULL THEN sha256(nullif({canonical_sql(c)}, '')) END"
+    return f"""WITH named AS (SELECT name, {digest_of("text")} AS digest FROM (VALUES {texts}) AS k(name, text) UNION ALL SELECT * FROM (VALUES {long}) AS l(name, digest)),
+known AS (SELECT digest, min(name) AS license_id FROM named WHERE digest IS NOT NULL GROUP BY digest),
 mine AS (SELECT {id_col}, {digest_of(text_col)} AS digest FROM {docs})
 SELECT mine.{id_col}, mine.digest, known.license_id FROM mine LEFT JOIN known ON mine.digest = known.digest"""
