@@ -1,8 +1,8 @@
 """Media columns: PNG files in binary columns, read back with checks, and perceptual hashes of them.
 
-``with_png`` stores a text as an 8-bit RGB picture 64 pixels wide; ``read_png`` reads pictures back (any of the
-five row filters, any split of the data into chunks, every checksum tested) and adds a low-frequency
-cosine-transform hash. A picture that fails a test raises in strict mode and gives nulls otherwise.
+``with_png`` stores a text as an 8-bit RGB picture 64 pixels wide, each row by the filter that suits it; ``read_png``
+reads pictures back (any of the five row filters, any split of the data into chunks, every checksum tested) and adds a
+low-frequency cosine-transform hash. A picture that fails a test raises in strict mode and gives nulls otherwise.
 Null texts count as empty; equal texts give equal pictures; other columns are kept untouched.
 """
 
@@ -36,72 +36,105 @@ def padded(raw: bytes, to: int = ROW) -> bytes:
     return raw + b" " * (-len(raw) % to or (0 if raw else to))
 
 
-def encode_png(payload: bytes, pixel_bytes: int = 3, row: int = ROW, row_filter: int = 0) -> bytes:
-    """A PNG of 8-bit samples (3: RGB, 1: grey) whose rows are ``payload`` cut into runs of ``row`` bytes."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, row)
+def _guesses(rows: np.ndarray, first: np.ndarray, pixel_bytes: int) -> Iterator[np.ndarray]:
+    """What each of the five filters expects of all rows. ``first``: rows at the top of a picture."""
+    yield np.zeros_like(rows)
     left = np.zeros_like(rows)
     left[:, pixel_bytes:] = rows[:, :-pixel_bytes]
+    yield left
     above = np.zeros_like(rows)
     above[1:] = rows[:-1]
-    if row_filter == 0:
-        guess = np.zeros_like(rows)
-    elif row_filter == 1:
-        guess = left
-    elif row_filter == 2:
-        guess = above
-    elif row_filter == 3:
-        guess = ((left.astype(np.uint16) + above) >> 1).astype(np.uint8)
-    else:
-        corner = np.zeros_like(rows)
-        corner[1:, pixel_bytes:] = rows[:-1, :-pixel_bytes]
-        guess = _paeth(left, above, corner)
-    lines = np.empty((len(rows), row + 1), np.uint8)
-    lines[:, 0] = row_filter
-    lines[:, 1:] = rows - guess
-    packed = zlib.compress(lines.tobytes(), LEVEL)
-    head = struct.pack(">IIBBBBB", row // pixel_bytes, len(rows), 8, 2 if pixel_bytes == 3 else 0, 0, 0, 0)
+    above[first] = 0
+    yield above
+    yield ((left.astype(np.uint16) + above) >> 1).astype(np.uint8)
+    corner = np.zeros_like(rows)
+    corner[:, pixel_bytes:] = above[:, :-pixel_bytes]
+    yield _paeth(left, above, corner)
+
+
+def filtered(rows: np.ndarray, first: np.ndarray, pixel_bytes: int, row_filter: int | None = None) -> np.ndarray:
+    """Rows of one or more pictures as filtered lines. Of the filters a row takes the one (the first of equal ones) whose
+    differences, as signed bytes, have the smallest sum; or all rows take ``row_filter``."""
+    lines = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    for kind, guess in enumerate(_guesses(rows, first, pixel_bytes)):
+        if row_filter in (None, kind):
+            rest = rows - guess
+            cost = np.minimum(rest, 0 - rest).sum(axis=1, dtype=np.int64)
+            better = np.flatnonzero(cost < least)
+            least[better] = cost[better]
+            lines[better, 0], lines[better, 1:] = kind, rest[better]
+    return lines
+
+
+def png(lines: np.ndarray, pixel_bytes: int) -> bytes:
+    """The file of a picture's filtered lines."""
+    packed = zlib.compress(np.ascontiguousarray(lines), LEVEL)
+    head = struct.pack(">IIBBBBB", (lines.shape[1] - 1) // pixel_bytes, len(lines), 8, 2 if pixel_bytes == 3 else 0, 0, 0, 0)
     data = b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))
     return SIGNATURE + _chunk(b"IHDR", head) + data + _chunk(b"IEND", b"")
 
 
+def encode_png(payload: bytes, pixel_bytes: int = 3, row: int = ROW, row_filter: int | None = None) -> bytes:
+    """A PNG of 8-bit samples (3: RGB, 1: grey) whose rows are ``payload`` cut into runs of ``row`` bytes."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, row)
+    return png(filtered(rows, np.arange(len(rows)) == 0, pixel_bytes, row_filter), pixel_bytes)
+
+
 def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and corner the one nearest to left + above - corner; the first of equally near ones."""
     a, b, c = (x.astype(np.int16) for x in (a, b, c))
-    p = a + b - c
-    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c)).astype(np.uint8)
+    to_a, to_b = b - c, a - c
+    to_c = np.abs(to_a + to_b)
+    to_a, to_b = np.abs(to_a), np.abs(to_b)
+    return np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c)).astype(np.uint8)
 
 
-def unfiltered(lines: np.ndarray, pixel_bytes: int) -> np.ndarray:
-    """Undo the row filters. Runs of rows that need only themselves or the row above are undone at once."""
-    kinds, rows = lines[:, 0], lines[:, 1:].copy()
+def unfiltered(lines: np.ndarray, pixel_bytes: int, heights: np.ndarray | None = None) -> np.ndarray:
+    """Undo the row filters of pictures that stand one below the other (``heights``: their rows; by default it is one).
+
+    A pixel needs those on its left, above and between. All pixels of all pictures for which column + row is the same
+    are undone at once.
+    """
+    kinds = lines[:, 0]
     if (kinds > 4).any():
         raise ValueError("unknown row filter")
-    at = 0
-    while at < len(rows):
-        kind, stop = kinds[at], at + 1
-        while stop < len(rows) and kinds[stop] == kind:
-            stop += 1
-        run = rows[at:stop]
-        above = rows[at - 1] if at else np.zeros(rows.shape[1], np.uint8)
-        if kind == 1:
-            run[:] = np.cumsum(run.reshape(len(run), -1, pixel_bytes), axis=1, dtype=np.uint8).reshape(run.shape)
-        elif kind == 2:
-            run[:] = np.cumsum(run, axis=0, dtype=np.uint8) + above
-        elif kind >= 3:
-            for line in run:
-                left = corner = np.zeros(pixel_bytes, np.uint8)
-                for x in range(0, len(line), pixel_bytes):
-                    up = above[x : x + pixel_bytes]
-                    guess = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8) if kind == 3 else _paeth(left, up, corner)
-                    line[x : x + pixel_bytes] += guess
-                    left, corner = line[x : x + pixel_bytes], up
-                above = line
-        at = stop
-    return rows
+    heights = np.array([len(lines)]) if heights is None else heights
+    n, width = len(lines), (lines.shape[1] - 1) // pixel_bytes
+    row = np.arange(n) - np.repeat(np.cumsum(heights) - heights, heights)
+    order = np.argsort(row, kind="stable")
+    row, kinds = row[order], kinds[order]
+    # One column and one row of zeros more, for the pixels beside and above a picture.
+    out = np.zeros((n + 1, width + 1, pixel_bytes), np.uint8)
+    out[:n, 1:] = lines[:, 1:].reshape(n, width, pixel_bytes)
+    out = out.reshape(-1, pixel_bytes)
+    above = np.where(row > 0, order - 1, n) * (width + 1)
+    mine = order * (width + 1)
+    begins = np.searchsorted(row, np.arange(int(heights.max(initial=0)) + width))
+    for step in range(int(heights.max(initial=0)) + width - 1):
+        low, high = begins[max(0, step - width + 1)], begins[step + 1] if step + 1 < len(begins) else n
+        x = step - row[low:high] + 1
+        at, up = mine[low:high] + x, above[low:high] + x
+        kind = kinds[low:high]
+        guess = np.zeros((high - low, pixel_bytes), np.uint8)
+        for k in (1, 2, 3, 4):
+            some = np.flatnonzero(kind == k)
+            if len(some):
+                a = out[at[some] - 1] if k != 2 else None
+                b = out[up[some]] if k != 1 else None
+                guess[some] = a if k == 1 else b if k == 2 else ((a.astype(np.uint16) + b) >> 1).astype(np.uint8) if k == 3 else _paeth(a, b, out[up[some] - 1])
+        out[at] += guess
+    return np.ascontiguousarray(out.reshape(n + 1, width + 1, pixel_bytes)[:n, 1:]).reshape(n, -1)
 
 
 def decode_png(data: bytes) -> tuple[np.ndarray, int]:
     """The picture's rows of samples and the samples of a pixel; ValueError if a test fails."""
+    lines, pixel_bytes = lines_of(data)
+    return unfiltered(lines, pixel_bytes), pixel_bytes
+
+
+def lines_of(data: bytes) -> tuple[np.ndarray, int]:
+    """The filtered lines of a PNG and the samples of a pixel; ValueError if a test fails."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, packed, ended = 8, None, [], False
@@ -129,8 +162,10 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
     raw = zlib.decompress(b"".join(packed))
     if len(raw) != height * (width * pixel_bytes + 1):
         raise ValueError("wrong size")
-    lines = np.frombuffer(raw, np.uint8).reshape(height, -1)
-    return unfiltered(lines, pixel_bytes), pixel_bytes
+    lines = np.frombuffer(raw, np.uint8).reshape(height, width * pixel_bytes + 1)
+    if (lines[:, 0] > 4).any():
+        raise ValueError("unknown row filter")
+    return lines, pixel_bytes
 
 
 def _cosines() -> np.ndarray:
@@ -166,41 +201,64 @@ def with_png(df: DataFrame, text_col: str = "text", out: str = "media") -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
-                raw = [(x or "").encode() for x in part.column(text_col).to_pylist()]
-                made = [pa.array([len(x) for x in raw], pa.int64()), pa.array([encode_png(padded(x)) for x in raw], pa.binary())]
+            for part in slices(batch, "__text", 1 << 20):
+                raw = [(x or "").encode() for x in part.column("__text").to_pylist()]
+                rows = [padded(x) for x in raw]
+                ends = np.cumsum([len(x) // ROW for x in rows])
+                first = np.zeros(ends[-1], bool)
+                first[np.append(0, ends[:-1])] = True
+                lines = filtered(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, ROW), first, 3)
+                made = [pa.array([len(x) for x in raw], pa.int64()), pa.array([png(x, 3) for x in np.split(lines, ends[:-1])], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, "n_bytes", out])
 
-    return df.select(*names, text_col).transform(mapped, encode, schema)
+    return df.select(*names, df[text_col].alias("__text")).transform(mapped, encode, schema)
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_png(df: DataFrame, media_col: str = "media", strict: bool = True) -> DataFrame:
-    """Read the pictures of a binary column back: sizes, digests and hash of each; the column itself is dropped."""
-    kept = [f for f in df.schema.fields if f.name != media_col]
+    """Read the pictures of a binary column back: sizes, digests and hash of each; the column itself is dropped.
+
+    Columns named like one that is added are replaced by it.
+    """
     added = T._parse_datatype_string(READ).fields
+    kept = [f for f in df.schema.fields if f.name not in {media_col, *(f.name for f in added)}]
     names = [f.name for f in kept]
 
-    def one(data: bytes | None) -> tuple:
+    def lines(data: bytes | None) -> tuple[np.ndarray, int] | None:
         try:
             if data is None:
                 raise ValueError("no picture")
-            rows, pixel_bytes = decode_png(data)
+            return lines_of(data)
         except (ValueError, zlib.error, struct.error):
             if strict:
                 raise
-            return (None,) * 6
+            return None
+
+    def one(data: bytes, rows: np.ndarray, pixel_bytes: int) -> tuple:
         payload = rows.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(rows, pixel_bytes)
 
+    def several(pictures: list[bytes | None]) -> list[tuple]:
+        found: list[tuple] = [(None,) * 6] * len(pictures)
+        alike: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for k, data in enumerate(pictures):
+            if (got := lines(data)) is not None:
+                alike.setdefault((got[0].shape[1], got[1]), []).append((k, got[0]))
+        for (_, pixel_bytes), group in alike.items():
+            heights = np.array([len(x) for _, x in group])
+            rows = unfiltered(np.concatenate([x for _, x in group]), pixel_bytes, heights)
+            for (k, _), x in zip(group, np.split(rows, np.cumsum(heights)[:-1]), strict=True):
+                found[k] = one(pictures[k], x, pixel_bytes)
+        return found
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            found = [one(x.as_py()) for x in batch.column(media_col)]
-            columns = zip(*found, strict=True) if found else [[]] * 6
-            made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(f.name for f in added)])
+            for part in slices(batch, media_col, 1 << 20):
+                columns = zip(*several(part.column(media_col).to_pylist()), strict=True)
+                made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(f.name for f in added)])
 
     return df.select(*names, media_col).transform(mapped, decode, T.StructType([*kept, *added]))
