@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import partitions, saved
+from hostlens.llm._common import partitions, saved, small
 
 WEIGHTS = (3, 1, 2)
 FACTOR, MOST = 1.5, 2.0
 BLOCK_WORDS = 100_000  #: a source has one block for so many words, up to MAX_BLOCKS; blocks then grow with the source
 MAX_BLOCKS = 65_536
-SHARDS = 16
+SHARDS = 16  #: at least; there is one for each SHARD_WORDS of the corpus
+SHARD_WORDS = 50_000_000
 SEED = 7
 MADE = ("size", "source_size", "target", "taken", "shard", "place")  #: what a mix says of each document
 
@@ -72,7 +73,7 @@ def split_blocks(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_blocks(drawn, left, rng), split_blocks(counts - drawn, shards - left, rng)])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = SEED, keep: bool = False) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words the mix takes), shard and place in it.
 
     ``shard`` and ``place`` say where a document's taken words go and in which order (null where none are taken).
@@ -84,14 +85,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), *MADE, *[F.col(f"__x_{c}").alias(c) for c in extra])
 
 
-def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, extra: list[str]) -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int | None, seed: int, extra: list[str]) -> DataFrame:
     """__id, __source, MADE, and the columns ``extra`` with __x_ before their names, which clash with none of these."""
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), words(text_col).alias("size"), *[F.col(c).alias(f"__x_{c}") for c in extra])
     narrow = saved(sized.select("__id", "__source", "size"), "sizes")
+    shards = shards or max(SHARDS, (narrow.agg(F.sum("size").alias("n")).head()["n"] or 0) // SHARD_WORDS)
     plan = _plan(narrow, shards, seed)
     if not extra:
         sized = narrow
-    rows = sized.join(_small(plan), sized["__source"].eqNullSafe(plan["source"]))
+    rows = sized.join(small(plan), sized["__source"].eqNullSafe(plan["source"]))
     rows = rows.withColumns(_position(seed))
     after = F.struct("spot", "block") > F.struct("edge_spot", "edge_block")
     at_edge = F.struct("spot", "block") == F.struct("edge_spot", "edge_block")
@@ -123,13 +125,13 @@ def _plan(narrow: DataFrame, shards: int, seed: int) -> DataFrame:
     goal = goal.withColumns({"n_blocks": n_blocks, "goal": F.floor(F.col("target") + 0.5), "source_key": F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null")))})
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0))
     goal = saved(goal.withColumn("rest", F.col("goal") - F.col("whole") * F.col("source_size")), "goals")
-    keyed = narrow.join(_small(goal), narrow["__source"].eqNullSafe(goal["source"])).drop("__source").withColumns(_position(seed))
+    keyed = narrow.join(small(goal), narrow["__source"].eqNullSafe(goal["source"])).drop("__source").withColumns(_position(seed))
     blocks = keyed.groupBy("source_key", "spot", "block", "whole", "rest").agg(F.sum("size").alias("block_size"))
     order = W.partitionBy("source_key").orderBy("spot", "block")
     blocks = saved(blocks.withColumn("before", F.sum("block_size").over(order) - F.col("block_size")), "blocks")
     edge = blocks.where("before < rest and before + block_size >= rest").select("source_key", F.col("spot").alias("edge_spot"), F.col("block").alias("edge_block"), (F.col("rest") - F.col("before")).alias("left"))
     # One block of each source, so of bounded size: the only place where documents themselves are put in order.
-    inside = keyed.join(_small(edge), "source_key").where("spot = edge_spot and block = edge_block")
+    inside = keyed.join(small(edge), "source_key").where("spot = edge_spot and block = edge_block")
     turns = W.partitionBy("source_key").orderBy("turn", F.col("size").desc()).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("here", F.sum("size").over(turns) - F.col("size")).where("here < left and here + size >= left")
     last = inside.groupBy("source_key").agg(F.min_by(F.struct("turn", (F.col("left") - F.col("here")).alias("part")), "here").alias("last"))
@@ -138,11 +140,6 @@ def _plan(narrow: DataFrame, shards: int, seed: int) -> DataFrame:
     return saved(plan.drop("goal", "rest"), "plan")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Broadcast a saved table of sources where it is checked to be small; else Spark joins it as it does any table."""
-    return F.broadcast(rows) if rows.count() <= 10_000 else rows
-
-
 def _deal(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     """For each source the spots from which its drawn blocks go to each shard. The tree works on one count per source."""
     drawn = blocks.where("block_size > 0 and (whole > 0 or before < rest)")
@@ -160,18 +157,18 @@ def _deal(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return begins.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("spot", "shard"))).alias("spans"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shards: int | None = None) -> DataFrame:
     """The mix itself with the columns of docs: whole passes repeat a row, a partial one keeps the text's first words.
 
-    Written in shards, each shuffled locally, the rows are ready for reading in order. Columns of docs that are named
-    like an output of ``mix`` pass as they are.
+    Rows are dealt to partitions by ranges of shard and place and in order there, so files read one after another give
+    shard after shard, each shuffled within. Columns of docs named like an output of ``mix`` pass as they are.
     """
-    rows = _mixed(docs, id_col, text_col, source_col, SHARDS, seed, docs.columns).where("taken > 0")
+    rows = _mixed(docs, id_col, text_col, source_col, shards, seed, docs.columns).where("taken > 0")
     passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     rows = rows.withColumn("__pass", F.explode(passes))
     rest = F.col("taken") - (F.col("__pass") - 1) * F.col("size")
     whole = F.col(f"__x_{text_col}")
     head = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), rest.cast("int")), "")
     text = F.when(rest < F.col("size"), head).otherwise(whole)
-    rows = rows.withColumn(f"__x_{text_col}", text).repartition(partitions(rows), "shard", "place").sortWithinPartitions("shard", "place")
+    rows = rows.withColumn(f"__x_{text_col}", text).repartitionByRange(partitions(rows), "shard", "place").sortWithinPartitions("shard", "place")
     return rows.select(*[F.col(f"__x_{c}").alias(c) for c in docs.columns])
