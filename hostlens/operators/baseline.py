@@ -68,10 +68,11 @@ def percentiles(df: DataFrame, by: list[str], value_col: str, exact: bool = True
     return rows.select(*by, *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)])
 
 
-def median_and_mad(df: DataFrame, by: list[str], value_col: str) -> DataFrame:
-    """Median, median absolute deviation, and that scaled to a deviation."""
-    med = df.groupBy(*by).agg(F.median(value_col).alias("median"))
-    away = df.join(med, by).groupBy(*by, "median").agg(F.median(F.abs(F.col(value_col) - F.col("median"))).alias("mad"))
+def median_and_mad(df: DataFrame, by: list[str], value_col: str, exact: bool = True) -> DataFrame:
+    """Median, median absolute deviation, and that scaled to a deviation; ``exact=False`` uses sketches of bounded memory."""
+    mid = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
+    med = df.groupBy(*by).agg(mid(F.col(value_col)).alias("median"))
+    away = df.join(med, by).groupBy(*by, "median").agg(mid(F.abs(F.col(value_col) - F.col("median"))).alias("mad"))
     return away.withColumn("nmad", NORMAL * F.col("mad"))
 
 

@@ -337,7 +337,7 @@ def t1(spark, d):
 
 CLOSED = "(h + 1) * 3600 <= (SELECT max(epoch(ts)) FROM events) - 600"
 Q["T1_streamed_windows"] = Query(t1, f"SELECT event_type, h * 3600 AS start_s, count(*) AS syscall_count, count(DISTINCT regexp_extract(props, '[0-9]+')) AS unique_files, round(avg(value) + 1e-9, 6) AS cpu_usage FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS h FROM events) WHERE {CLOSED} GROUP BY event_type, h")
-Q["T2_running_stats"] = Query(lambda s, d: rounded(streamed(s, J.running_stats(feed(s, d), "event_type", "value", "event_id")), "mean_before", "std_before", digits=4), "SELECT event_type, event_id, count(*) OVER w AS n_before, round(coalesce(avg(value) OVER w, 0) + 1e-9, 4) AS mean_before, round(coalesce(stddev_samp(value) OVER w, 0) + 1e-9, 4) AS std_before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+Q["T2_running_stats"] = Query(lambda s, d: rounded(streamed(s, J.running_stats(feed(s, d), "user_id", "value", "event_id")), "mean_before", "std_before", digits=4), "SELECT user_id, event_id, count(*) OVER w AS n_before, round(coalesce(avg(value) OVER w, 0) + 1e-9, 4) AS mean_before, round(coalesce(stddev_samp(value) OVER w, 0) + 1e-9, 4) AS std_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 
 
 def t3(spark, d):

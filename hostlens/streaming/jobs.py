@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +39,15 @@ def running_stats(events: DataFrame, key: str, value: str, id_col: str) -> DataF
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["ts", id_col])
-        out = []
-        for event, x in zip(rows[id_col], rows[value], strict=True):
-            out.append((k[0], event, n, mean, (m2 / (n - 1)) ** 0.5 if n > 1 else 0.0))
-            n += 1
-            gap = x - mean
-            mean += gap / n
-            m2 += gap * (x - mean)
-        state.update((n, mean, m2))
-        yield pd.DataFrame(out, columns=[key, id_col, "n_before", "mean_before", "std_before"])
+        x = rows[value].to_numpy(float)
+        base = mean if n or not len(x) else x[0]  # sums of what lies above it; that of the values in the state is 0
+        first, second = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x - base, (x - base) ** 2))
+        count = n + np.arange(len(x) + 1)
+        means = np.where(count > 0, base + first / np.maximum(count, 1), 0.0)
+        squares = np.maximum(m2 + second - first * first / np.maximum(count, 1), 0.0)
+        std = np.where(count > 1, np.sqrt(squares / np.maximum(count - 1, 1)), 0.0)
+        state.update((int(count[-1]), float(means[-1]), float(squares[-1])))
+        yield pd.DataFrame({key: k[0], id_col: rows[id_col].to_numpy(), "n_before": count[:-1], "mean_before": means[:-1], "std_before": std[:-1]})
 
     kinds = dict(events.dtypes)
     schema = f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, n_before long, mean_before double, std_before double"
