@@ -28,7 +28,7 @@ RUN = f"[{SPACE}]{{3}}|[{SPACE}]{{2}}\\z"
 CLEAN = rf"\A [^{SPACE}]\z|\A [^{SPACE}](?s:.*)[^{SPACE}]\z"
 SHORT = 15  #: bytes, without the space at the beginning
 SLOTS = 19  #: bits: so many short pieces are remembered
-MOST_IDS, MOST_LONG = 4_000_000, 20_000  #: from these on all pieces are forgotten
+MOST_IDS, MOST_LONG = 4_000_000, 4 << 20  #: ids, and bytes of long pieces, from which on all pieces are forgotten
 CALL = 65_536  #: pieces that are encoded at a time
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]  #: ids, and where each piece's run of them starts and how long it is
@@ -63,6 +63,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.seen = Memory(self.bits, 2, np.int64)  # a value is start << 32 | length of a run of ids
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.ids = [np.empty(0, np.int32)]
         self.n = 0
 
@@ -78,7 +79,7 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) one after another, and the number of ids of each."""
-        if self.n > self.most or len(self.long) > MOST_LONG:
+        if self.n > self.most or self.long_bytes > MOST_LONG:
             self._forget()
         texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, RUN)
@@ -147,6 +148,7 @@ class PieceEncoder:
         raw = [data[s : s + n].tobytes() for s, n in zip(start[pick], length[pick], strict=True)]
         new = list(dict.fromkeys(x for x in raw if x not in self.long))
         if new:
+            self.long_bytes += sum(map(len, new))
             self.long.update(zip(new, self._added(pa.array(new, pa.large_binary()).cast(pa.large_string())).tolist(), strict=True))
         values[pick] = np.fromiter(map(self.long.__getitem__, raw), np.int64, len(raw))
 
