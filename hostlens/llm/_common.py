@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -29,26 +31,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the cluster names none, as in local tests, a temporary folder is set as the checkpoint folder.
+    Only a local session, as in tests, may do without: it gets a temporary folder, set as the checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and known.isDefined():
+        base = known.get()
+    elif not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+def saved(df: DataFrame, what: str = "table", into: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    ``into`` gets the folder's name, for ``dropped``.
+    """
     path = f"{shared_dir(df.sparkSession)}/{what}"
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Remove saved tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are over and saved.
+
+    It does so when the driver's garbage is collected, in Python and in the JVM, which by itself may take half an hour.
+    """
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
     """Broadcast a saved table where it is counted to be small; else Spark joins it as it does any table."""
     return F.broadcast(rows) if rows.count() <= most else rows
@@ -103,10 +131,10 @@ def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFram
     """``mapInArrow`` in small batches, giving freed memory back when a partition ends.
 
     Spark limits a batch by rows, and by 64 MB: with long texts several of these per task, in the JVM and in Python.
-    The session's limit is lowered for that, unless it was set to another value than Spark's own.
+    The session's limit is lowered for that, unless it is set already.
     """
     conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING, None) == "67108864b":
+    if conf.get(BATCH_SETTING, None) is None:
         conf.set(BATCH_SETTING, BATCH_BYTES)
     return df.mapInArrow(tidied(run), schema)
 

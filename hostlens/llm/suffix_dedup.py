@@ -15,7 +15,8 @@ GRAM-byte strings in the first LENGTH bytes. Neighbouring suffixes mostly share
 4. each unit marks the bytes and cuts them.
 
 A digit with very many different runs (the edges of a passage that much of the corpus shares) would fill one bucket:
-its suffixes are dealt one by one by their whole hash instead. Units, buckets and runs have bounded sizes.
+its suffixes are dealt one by one by their whole hash instead. The number of buckets follows the corpus (one for
+BUCKET bytes), so a bucket's size doesn't; units have UNIT bytes and at least one text.
 
 Null texts are empty. Null ids keep all their bytes and count for no other row. Rows that repeat an id don't count as
 smaller than each other. A text shorter than LENGTH bytes never changes.
@@ -33,12 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings, tidied
+from hostlens.llm._common import mapped, mixed, partitions, ragged, released, saved, slices, small, strings
 
 LENGTH = 50
 GRAM = 24
 UNIT = 4 << 20  #: bytes of text in a unit
 SLICE = 1 << 19  #: bytes that are taken apart at a time
+BUCKET = 16 << 20  #: bytes of the corpus for which there is a bucket
 FINE = 8  #: sorted buckets in each shuffle partition
 HOT = 200_000  #: runs of one digit from which its suffixes are dealt one by one
 FEW_IDS = 200_000
@@ -176,7 +178,7 @@ def _units(docs: DataFrame) -> DataFrame:
         packed = [*(_pack(np.concatenate(x)) for x in (ids, keys, sizes)), _pack(np.array([len(x) for x in ids]))]
         return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(texts)], pa.list_(pa.binary()))], ["unit", "ids", "keys", "sizes", "slices", "texts"])
 
-    return docs.mapInArrow(tidied(run), UNITS)
+    return docs.transform(mapped, run, UNITS)
 
 
 def _slices_of(batch: pa.RecordBatch, k: int, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Runs]]:
@@ -253,8 +255,8 @@ def _shared_digits(units: DataFrame, buckets: int, length: int, gram: int, hot_r
         packed[1] = [_pack(np.frombuffer(x, np.uint8)) for x in packed[1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["unit", "bucket", "shared", "hot"])
 
-    sent = units.mapInArrow(tidied(send), "bucket int, unit long, digits binary, many binary, times binary")
-    met = sent.repartition(partitions(units), "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), "unit long, bucket int, shared binary, hot binary")
+    sent = units.transform(mapped, send, "bucket int, unit long, digits binary, many binary, times binary")
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(mapped, meet, "unit long, bucket int, shared binary, hot binary")
     return met.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "shared", "hot"))).alias("marks"))
 
 
@@ -358,16 +360,16 @@ def _smaller(units: DataFrame, buckets: int, length: int, gram: int) -> DataFram
         packed = [[_pack(x[cut[i] : cut[i + 1]] - (edges[i] if j == 0 else 0)) for i in rows] for j, x in enumerate((of, begin, size, value[h]))]
         yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["unit", "bucket", "run", "begin", "size", "best"])
 
-    sent = units.mapInArrow(tidied(send), "bucket int, unit long, text binary, counts binary, least binary")
-    met = sent.repartition(buckets, F.floor(F.col("bucket") / FINE)).sortWithinPartitions("bucket").mapInArrow(tidied(meet), "unit long, bucket int, run binary, begin binary, size binary, best binary")
+    sent = units.transform(mapped, send, "bucket int, unit long, text binary, counts binary, least binary")
+    met = sent.repartition(buckets, F.floor(F.col("bucket") / FINE)).sortWithinPartitions("bucket").transform(mapped, meet, "unit long, bucket int, run binary, begin binary, size binary, best binary")
     return met.groupBy("unit").agg(F.collect_list(F.struct("bucket", "run", "begin", "size", "best")).alias("found"))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool) -> DataFrame:
-    """Mark and cut: one row per document (id, key, RESULT, and the bytes left if asked)."""
+def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool, as_text: bool) -> DataFrame:
+    """Mark and cut: one row per document (id, key, RESULT, and the bytes or characters left if asked)."""
     fine = buckets * FINE
     names = ["id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
 
@@ -412,14 +414,17 @@ def _cut(units: DataFrame, buckets: int, length: int, gram: int, keep_text: bool
         ends = np.cumsum(sizes - removed)
         kept = [left[e - n : e].tobytes() for e, n in zip(ends, sizes - removed, strict=True)]
         columns = [pa.array(ids), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * keep_text], names)
+        if keep_text:  # a cut may fall within a character; what is left of it goes too
+            columns.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return units.mapInArrow(tidied(run), f"id long, key long, {RESULT}{', kept binary' * keep_text}")
+    return units.transform(mapped, run, f"id long, key long, {RESULT}{f', kept {"string" if as_text else "binary"}' * keep_text}")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_runs: int = HOT, key_col: str | None = None) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_runs: int = HOT, key_col: str | None = None, as_text: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` if asked.
 
+    ``kept`` has the bytes that are left, or with ``as_text`` the characters of which all bytes are left.
     ``key_col`` (long, not null) passes, so that rows can be told apart whose ids are null or repeated.
     """
     if not 8 <= gram < length:
@@ -427,27 +432,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = (F.col(key_col) if key_col else F.lit(0)).cast("long")
     docs = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumns({"n_bytes": F.octet_length("text").cast("long"), "sha": F.sha2("text", 256)})
-    buckets = partitions(docs, 12)
     # Equal texts: only the smallest id's can keep anything, so the rest needs no sorting.
     same = saved(docs.where("id is not null").select("id", "key", "n_bytes", "sha"), "digests")
-    first = same.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = saved(same.join(first, "sha").where("id > first").select("id", "sha").distinct(), "copies")
-    # By id and text: another row of the same id may hold another text.
-    few = F.broadcast(copies) if copies.count() <= FEW_IDS else copies
+    # Saved before its join, as Spark splits a hot group of a join only where both sides come as they are.
+    first = saved(same.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
+    # By id and text, as another row of the same id may hold another text. A pair may come up twice: it is only looked up.
+    few = small(saved(same.join(first, "sha").where("id > first").select("id", "sha"), "copies"), FEW_IDS)
+    total = same.agg(F.sum("n_bytes").alias("n")).head()["n"] or 0
+    buckets = max(partitions(docs, 12), -(-total // BUCKET))
     texts = docs.where("id is not null").join(few, ["id", "sha"], "left_anti").select("id", "key", "text")
     units = saved(_units(texts), "units")
+    released(docs.sparkSession)
     marks = saved(_shared_digits(units, buckets, length, gram, hot_runs), "marks")
+    released(docs.sparkSession)
     marked = units.join(marks, "unit", "left")
     found = saved(_smaller(marked, buckets, length, gram), "found")
-    result = _cut(marked.join(found, "unit", "left"), buckets, length, gram, keep_text)
+    released(docs.sparkSession)
+    result = _cut(marked.join(found, "unit", "left"), buckets, length, gram, keep_text, as_text)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     gone = F.col("n_bytes") >= length
     names = ["id", "key", "n_bytes", "sha", "gone", *["text"] * keep_text]
     extra = docs.where("id is null").withColumn("gone", F.lit(False)).select(names)
-    plain = (docs if keep_text else same).join(few, ["id", "sha"]).withColumn("gone", gone).select(names)
+    plain = (docs if keep_text else same).join(few, ["id", "sha"], "left_semi").withColumn("gone", gone).select(names)
     other = plain.unionByName(extra).select(
         "id", "key", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).alias("n_removed"), F.col("gone").cast("long").alias("n_spans"), F.when(F.col("gone"), empty).otherwise(F.col("sha")).alias("kept_sha256"),
-        *[F.when(F.col("gone"), F.lit("")).otherwise(F.col("text")).cast("binary").alias("kept")] * keep_text,
+        *[F.when(F.col("gone"), F.lit("")).otherwise(F.col("text")).cast("string" if as_text else "binary").alias("kept")] * keep_text,
     )
     rows = result.unionByName(other).withColumnRenamed("id", id_col)
     return rows.withColumnRenamed("key", key_col) if key_col else rows.drop("key")
