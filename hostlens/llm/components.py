@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mapped, saved
+from hostlens.llm._common import dropped, mapped, saved
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +57,9 @@ def shrunk(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id in ``edges`` (a long, b long, no nulls): component is the smallest connected id."""
-    edges = saved(shrunk(edges.where("a <> b")).distinct(), "edges")
-    labels = saved(edges.select(F.col("a").alias("id"), F.least("a", "b").alias("component")).union(edges.select("b", F.least("a", "b"))).groupBy("id").agg(F.min("component").alias("component")), "labels")
+    spark, temporary, before = edges.sparkSession, [], []
+    edges = saved(shrunk(edges.where("a <> b")).distinct(), "edges", temporary)
+    labels = saved(edges.select(F.col("a").alias("id"), F.least("a", "b").alias("component")).union(edges.select("b", F.least("a", "b"))).groupBy("id").agg(F.min("component").alias("component")), "labels", before)
     while True:
         left = labels.select(F.col("id").alias("a"), F.col("component").alias("la"))
         right = labels.select(F.col("id").alias("b"), F.col("component").alias("lb"))
@@ -66,10 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
         # Each end, and each end's present label, may take the smaller label.
         low, high = F.least("la", "lb"), F.greatest("la", "lb")
         offers = open_edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), low.alias("offer")), F.struct(F.col("b").alias("id"), low.alias("offer")), F.struct(high.alias("id"), low.alias("offer")))).alias("o")).select("o.*")
-        offers = saved(offers.groupBy("id").agg(F.min("offer").alias("offer")), "offers")
+        offers = saved(offers.groupBy("id").agg(F.min("offer").alias("offer")), "offers", temporary)
         if offers.isEmpty():
+            dropped(spark, temporary)
             return labels
         hooked = labels.join(offers, "id", "left").select("id", F.least("component", F.coalesce("offer", "component")).alias("component"))
-        hooked = saved(hooked, "hooked")
+        hooked = saved(hooked, "hooked", temporary)
         upper = hooked.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        labels = saved(hooked.join(upper, "component", "left").select("id", F.coalesce("above", "component").alias("component")), "labels")
+        temporary += before
+        before = []
+        labels = saved(hooked.join(upper, "component", "left").select("id", F.coalesce("above", "component").alias("component")), "labels", before)

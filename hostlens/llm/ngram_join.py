@@ -13,10 +13,12 @@ search in a part has radius 0: documents whose points are equal in one part meet
 the hash of the part's point. A part with few shingles is not usable (it would join unrelated texts); a document with
 too few usable parts is dealt again with other hashes, and only then may it meet by a key for all such documents.
 
-Documents of a leaf aren't paired: each is checked with the leaf's smallest document (bound, then sets). Only leaves
-whose documents don't all fall into one component by that are searched on: blocks of points with their rectangles,
-bound by rectangle and by point, so that no link between different texts is lost. Equal sets are one point from the
-start. Only component membership and verified links are kept, so a group of copies costs no pair rows.
+Documents of a leaf aren't paired. First each document is checked (bound, then sets) with the smallest one that has the
+same smallest key: that joins most of a group of near copies, at one check for each. Then each is checked with the
+smallest document of each of its leaves that is not in its component yet. Only leaves whose documents still don't all
+fall into one component are searched on: blocks of points with their rectangles, bound by rectangle and by point, so
+that no link between different texts is lost. Equal sets are one point from the start. Only component membership and
+verified links are kept, so a group of copies costs no pair rows.
 
 Null ids: the set's size is given, the component is null. Rows that repeat an id are each given the id's component.
 """
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mixed, partitions, ragged, saved, slices, strings, tidied
+from hostlens.llm._common import dropped, mapped, mixed, partitions, ragged, released, saved, slices, small, strings
 from hostlens.llm.components import components
 
 GROUPS = 64  #: least coordinates of a document's point; larger sets have more, up to MOST_GROUPS, so that the bound stays sharp
 MOST_GROUPS = 1 << 16
 BUFFER = 500_000  #: leaf keys that a task holds before it passes them on
+BUCKET = 2_000_000  #: leaf keys for which there is a bucket
 BLOCK = 256  #: points of a rectangle
 CELL = 4096  #: points of a large leaf that one task holds
 SEEDS = 8
@@ -179,8 +182,8 @@ def overlap_bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(_folded(x, groups), _folded(y, groups)).sum())
 
 
-def _points(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, sum1, sum2, counts): size, two order-free digests, and the point of each document's set."""
+def _points(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
+    """(id, n, sum1, sum2, door, counts): size, two order-free digests, smallest key, and the point of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +196,12 @@ def _points(docs: DataFrame, k: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(width)])
                 counts = np.bincount(edges[doc] + (h >> (np.uint64(64) - np.log2(width).astype(np.uint64)[doc])).astype(np.int64), minlength=edges[-1]).astype("<u2")
                 points = [counts[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.array(points, pa.binary())], ["id", "n", "sum1", "sum2", "counts"])
+                door = np.full(n, 2**64 - 1, np.uint64)
+                texts, keys = parts.keys(doc, h, size)
+                np.minimum.at(door, texts, keys)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), *(pa.array(s.view(np.int64)) for s in (*sums, door)), pa.array(points, pa.binary())], ["id", "n", "sum1", "sum2", "door", "counts"])
 
-    return docs.mapInArrow(tidied(run), "id long, n long, sum1 long, sum2 long, counts binary")
+    return docs.transform(mapped, run, "id long, n long, sum1 long, sum2 long, door long, counts binary")
 
 
 def _sums(doc: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -205,50 +211,52 @@ def _sums(doc: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total
 
 
-PACKED = "bucket int, low binary, high binary, docs binary, leaders binary"
+PACKED = "bucket int, low binary, high binary, docs binary, groups binary, leaders binary, leader_groups binary"
 
 
-def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
-    """(key, doc, leader): documents that meet another in a leaf, each with a smaller document of the leaf.
+def _leaves(docs: DataFrame, k: int, parts: Parts, shingles_in_all: int) -> DataFrame:
+    """(key, doc, component, leader, of_leader): documents (id, text, component) that meet another in a leaf, each with a
+    smaller document of the leaf and the components of both.
 
     Keys travel packed. A task first groups the keys that it holds, and passes on one document of each group, so a
     leaf that much of the corpus falls into arrives as one row per run of keys.
     """
-    buckets = partitions(docs, 16)
+    # A set has at most one key for each of its shingles and class; the number of buckets follows the corpus.
+    buckets = max(partitions(docs, 16), -(-2 * shingles_in_all // BUCKET))
 
-    def packed(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, leader: np.ndarray | None) -> pa.RecordBatch:
+    def packed(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, group: np.ndarray, leader: np.ndarray | None, of_leader: np.ndarray | None) -> pa.RecordBatch:
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(edges))
-        cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())
-        led = pa.nulls(len(used), pa.binary()) if leader is None else cut(leader)
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(key.astype("<u4")), cut((key >> np.uint64(32)).astype("<u2")), cut(doc), led], ["bucket", "low", "high", "docs", "leaders"])
+        cut = lambda x: pa.nulls(len(used), pa.binary()) if x is None else pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), cut(key.astype("<u4")), cut((key >> np.uint64(32)).astype("<u2")), *map(cut, (doc, group, leader, of_leader))], [f.split()[0] for f in PACKED.split(", ")])
 
-    def grouped(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def grouped(key: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+        key, doc, group = key[order], doc[order], group[order]
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
-        return key, doc, doc[head][np.cumsum(head) - 1], head
+        first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.empty(0, np.int64)
+        return key, doc, group, doc[first], group[first], head
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, leader, head = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, group, leader, of_leader, head = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
         # 48 bits of a key travel, next to its bucket: a chance agreement only adds a pair that the bound rules out.
         bucket = (((key >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         of, rest = np.argsort(bucket[head], kind="stable"), ~head & (doc != leader)
-        yield packed(bucket[head][of], key[head][of], doc[head][of], None)
+        yield packed(bucket[head][of], *(x[head][of] for x in (key, doc, group)), None, None)
         if rest.any():  # these are linked already and go anywhere
-            spread = np.sort(doc[rest] % buckets)
-            order = np.argsort(doc[rest] % buckets, kind="stable")
-            yield packed(spread, key[rest][order], doc[rest][order], leader[rest][order])
+            spread = doc[rest] % buckets
+            order = np.argsort(spread, kind="stable")
+            yield packed(spread[order], *(x[rest][order] for x in (key, doc, group, leader, of_leader)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, h = shingles(*strings(part.column("text")), k)
                 texts, keys = parts.keys(doc, h, np.bincount(doc, minlength=part.num_rows))
-                held.append((keys, part.column("id").to_numpy()[texts]))
+                held.append((keys, *(part.column(c).to_numpy()[texts] for c in ("id", "component"))))
                 size += len(keys)
                 if size >= BUFFER:
                     yield from flush(held)
@@ -259,32 +267,31 @@ def _leaves(docs: DataFrame, k: int, parts: Parts) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for low, high, docs_in, led in zip(*(batch.column(c) for c in ("low", "high", "docs", "leaders")), strict=True):
+            for low, high, *rest in zip(*(batch.column(c) for c in ("low", "high", "docs", "groups", "leaders", "leader_groups")), strict=True):
                 key = np.frombuffer(low.as_buffer(), "<u4").astype(np.uint64) | np.frombuffer(high.as_buffer(), "<u2").astype(np.uint64) << np.uint64(32)
-                doc = np.frombuffer(docs_in.as_buffer(), np.int64)
-                if led.is_valid:
-                    yield out(key, doc, np.frombuffer(led.as_buffer(), np.int64))
+                rest = [np.frombuffer(x.as_buffer(), np.int64) for x in rest if x.is_valid]
+                if len(rest) == 4:
+                    yield out(key, *rest)
                 else:
-                    held.append((key, doc))
+                    held.append((key, *rest))
         if held:
-            key, doc, leader, _ = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            key, doc, group, leader, of_leader, _ = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
             del held
             other = doc != leader
-            yield out(key[other], doc[other], leader[other])
+            yield out(*(x[other] for x in (key, doc, group, leader, of_leader)))
 
-    def out(key: np.ndarray, doc: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(leader)], ["key", "doc", "leader"])
+    def out(key: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, rest)], ["key", "doc", "component", "leader", "of_leader"])
 
-    return docs.mapInArrow(tidied(make), PACKED).repartition(buckets, "bucket").mapInArrow(tidied(meet), "key long, doc long, leader long")
+    return docs.transform(mapped, make, PACKED).repartition(buckets, "bucket").transform(mapped, meet, "key long, doc long, component long, leader long, of_leader long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi- or anti-join of the texts with a saved table of ids; the ids are broadcast where they are few."""
-    ids = ids.select("id").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", how)
+    return docs.join(small(ids.select("id").distinct(), FEW_IDS), "id", how)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts, temporary: list[str]) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Sets meet by b, b's own first, so a task holds two sets.
 
     A b with many pairs has shares of them, and its own set goes once to each.
@@ -292,8 +299,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFr
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     to = pairs.join(shares, "b").groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("b", "shares")).alias("others"))
     sent = to.join(shares.select(F.col("b").alias("id"), F.col("shares").alias("own")), "id", "full")
-    sent = saved(sent.select("id", F.coalesce("others", F.array().cast("array<struct<b:bigint,shares:int>>")).alias("others"), F.coalesce("own", F.lit(0)).alias("own")), "sent")
-    texts = docs.join(F.broadcast(sent) if sent.count() <= FEW_IDS else sent, "id").dropDuplicates(["id"])
+    sent = saved(sent.select("id", F.coalesce("others", F.array().cast("array<struct<b:bigint,shares:int>>")).alias("others"), F.coalesce("own", F.lit(0)).alias("own")), "sent", temporary)
+    texts = docs.join(small(sent, FEW_IDS), "id").dropDuplicates(["id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +314,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFr
                         bs, share, mine = zip(*to[at : at + 64], strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int64()), pa.array(share, pa.int64()), pa.array([name] * len(bs), pa.int64()), pa.array(mine), pa.array([data] * len(bs), pa.binary())], ["b", "share", "a", "own", "set"])
 
-    rows = texts.mapInArrow(tidied(sets), "b long, share long, a long, own boolean, set binary")
+    rows = texts.transform(mapped, sets, "b long, share long, a long, own boolean, set binary")
     rows = rows.repartition(partitions(docs), "b", "share").sortWithinPartitions("b", "share", F.desc("own"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +331,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: Parts) -> DataFr
                         hits.append((a.as_py(), name))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in hits], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(tidied(check), "a long, b long")
+    return rows.transform(mapped, check, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, parts: Parts) -> DataFrame:
@@ -338,20 +345,23 @@ def _bounded(pairs: DataFrame, points: DataFrame, parts: Parts) -> DataFrame:
             may = parts.may_link(bound, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(tidied(run), "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").transform(mapped, run, "a long, b long")
 
 
-def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Parts) -> DataFrame:
+def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Parts, temporary: list[str]) -> DataFrame:
     """Pairs (a, b) under one leader but of different components that the bound can't rule out.
 
     All documents of a leaf have one leader, and near copies share most of their leaves: by leader, a pair comes up once.
+    ``groups`` has the components by now of those in the leaves: first the few components under each leader are looked at.
     """
-    named = groups.select(F.col("id").alias("doc"), F.col("component").alias("of_doc"))
-    lead = groups.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
-    rows = leaves.join(named, "doc", "left").join(lead, "leader", "left")
-    rows = rows.select("doc", "leader", F.coalesce("of_doc", "doc").alias("of_doc"), F.coalesce("of_leader", "leader").alias("of_leader"))
-    several = rows.groupBy("leader").agg(F.min(F.least("of_doc", "of_leader")).alias("low"), F.max(F.greatest("of_doc", "of_leader")).alias("high"), F.count("*").alias("m")).where("low <> high")
-    several = saved(several.select(F.col("leader").alias("key"), F.ceil((F.col("m") + 1) / CELL).cast("int").alias("cells")), "several")
+    now = groups.select(F.col("id").alias("was"), F.col("component").alias("now"))
+    under = leaves.select("leader", F.explode(F.array_distinct(F.array("component", "of_leader"))).alias("was"), F.lit(1).alias("m"))
+    under = under.groupBy("leader", "was").agg(F.sum("m").alias("m")).join(now, "was", "left").withColumn("now", F.coalesce("now", "was"))
+    several = under.groupBy("leader").agg(F.min("now").alias("low"), F.max("now").alias("high"), F.sum("m").alias("m")).where("low <> high")
+    several = saved(several.select(F.col("leader").alias("key"), F.ceil((F.col("m") + 1) / CELL).cast("int").alias("cells")), "several", temporary)
+    some = leaves.join(several.select(F.col("key").alias("leader")), "leader", "left_semi")
+    renew = lambda rows, c: rows.join(now.select(F.col("was").alias(c), F.col("now").alias(f"{c}_now")), c, "left").withColumn(c, F.coalesce(f"{c}_now", c)).drop(f"{c}_now")
+    rows = renew(renew(some, "component"), "of_leader").select("doc", "leader", F.col("component").alias("of_doc"), "of_leader")
     own = rows.select(F.col("leader").alias("key"), F.col("leader").alias("id"), F.col("of_leader").alias("component")).distinct()
     members = rows.select(F.col("leader").alias("key"), F.col("doc").alias("id"), F.col("of_doc").alias("component")).unionByName(own).join(several, "key")
     # A large leaf is searched as pairs of cells; every document goes to all pairs that its cell is in.
@@ -404,7 +414,7 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
                         p, q = ids[a[may]], ids[b[may]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
 
-    return members.mapInArrow(tidied(run), "a long, b long").distinct()
+    return members.transform(mapped, run, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -421,21 +431,37 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The links connect what all links of the join connect; they leave out links inside what is connected already.
     """
-    parts = Parts(num, den)
+    parts, spark, temporary = Parts(num, den), df.sparkSession, []
     docs = _docs(df, id_col, text_col)
-    points = saved(_points(docs, k), "points")
-    same = points.where("n > 0 and id is not null").groupBy("n", "sum1", "sum2").agg(F.min("id").alias("representative"))
-    sets = saved(points.drop("counts").join(same, ["n", "sum1", "sum2"], "left").select("id", "n", "representative"), "sets")
+    points = saved(_points(docs, k, parts), "points", temporary)
+    # Saved before its join, as Spark splits a hot group of a join only where both sides come as they are.
+    same = points.where("n > 0 and id is not null").groupBy("n", "sum1", "sum2").agg(F.min("id").alias("same"), F.count("*").alias("times")).where("times > 1").drop("times")
+    same = saved(same, "same", temporary)
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("same", "id"))
+    sets = saved(points.drop("counts", "door").join(same, ["n", "sum1", "sum2"], "left").select("id", "n", own.alias("representative")), "sets")
     copies = sets.where("id is not null and (n = 0 or representative <> id)")
     single = _only(docs.where("id is not null"), copies, "left_anti")
     points = points.where("n > 0 and id is not null").join(sets.where("representative = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    met = saved(_leaves(single, k, parts), "met")
+    total = sets.where("representative = id").agg(F.sum("n").alias("n")).head()["n"] or 0
+    # Documents with one smallest key, each with the smallest of them.
+    doors = points.select("id", "door")
+    first = saved(doors.groupBy("door").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").drop("last"), "doors", temporary)
+    stars = doors.join(first, "door").where("id > b").select(F.col("id").alias("a"), "b")
+    links = saved(_verified(single, saved(_bounded(stars, points, parts), "stars", temporary), k, parts, temporary), "links")
+    groups = components(links)
+    named = single.join(small(groups, FEW_IDS), "id", "left").select("id", "text", F.coalesce("component", "id").alias("component"))
+    met = saved(_leaves(named, k, parts, total), "met", temporary)
     # A document linked before the shuffle has the leader of its run of keys, whose own row names the leaf's leader.
-    top = met.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"))
-    leaves = saved(met.join(top, ["key", "leader"], "left").select("doc", F.coalesce("top", "leader").alias("leader")).distinct(), "leaves")
-    stars = leaves.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    links = saved(_verified(single, saved(_bounded(stars, points, parts), "stars"), k, parts), "links")
-    rest = saved(_searched(leaves, points, components(links), parts), "rest")
+    top = met.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("of_leader").alias("of_top"))
+    leaves = met.join(top, ["key", "leader"], "left").select("doc", "component", F.coalesce("top", "leader").alias("leader"), F.coalesce("of_top", "of_leader").alias("of_leader"))
+    leaves = saved(leaves.distinct(), "leaves", temporary)
+    released(spark)
+    stars = leaves.where("component <> of_leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    links = links.unionByName(saved(_verified(single, saved(_bounded(stars, points, parts), "stars", temporary), k, parts, temporary), "links"))
+    released(spark)
+    rest = saved(_searched(leaves, points, components(links), parts, temporary), "rest", temporary)
     if not rest.isEmpty():
-        links = links.unionByName(saved(_verified(single, rest, k, parts), "more"))
+        links = links.unionByName(saved(_verified(single, rest, k, parts, temporary), "more"))
+    dropped(spark, temporary)
+    released(spark)
     return sets, links
