@@ -7,22 +7,21 @@ a stage's own, pass through every stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm import bpe, mixing, ngram_join, quality, suffix_dedup
-from hostlens.llm._common import saved, table
+from hostlens.llm._common import dropped, saved, small, table
+
 
+def names() -> list[Column]:
+    """What finds a row again by its id and text, on which all decisions depend: rows alike are treated alike."""
+    return [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes")]
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(key, row): a number for each row, and the row's columns within a struct, where their names clash with none.
 
-    Saved, so that the numbers stay; they are not null and unique, which ids need not be.
-    """
-    return saved(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "numbered")
+def named(docs: DataFrame) -> DataFrame:
+    """The names, and the row's columns within a struct, where theirs clash with none."""
+    return docs.select(*names(), F.struct(*docs.columns).alias("row"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,32 +33,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    rows = numbered(docs)
-    named = rows.where("row.doc_id is not null").select("key", F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"))  # null ids join no group
-    groups = saved(ngram_join.jaccard_components(named, id_col="key", k=5, num=8, den=10).select("key", "component_id"), "groups")
-    ids = groups.join(named.select("key", "id"), "key")
-    first = saved(ids.groupBy("component_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component_id", "first"), "firsts")
-    other = saved(ids.join(_few(first), "component_id").where("id > first").select("key"), "other")
-    return rows.join(_few(other), "key", "left_anti").select("row.*")
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= ngram_join.FEW_IDS else rows
+    """Keep the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more. Null ids join no group."""
+    temporary: list[str] = []
+    # Saved, so that the numbers stay; they are unique, which ids need not be.
+    rows = saved(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("number"), *names(), "text"), "numbered", temporary)
+    groups = ngram_join.jaccard_components(rows.select("number", "text"), id_col="number", k=5, num=8, den=10).select("number", "component_id")
+    ids = saved(groups, "groups", temporary).join(rows.drop("text"), "number")
+    first = saved(ids.groupBy("component_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component_id", "first"), "firsts", temporary)
+    other = saved(ids.join(small(first, ngram_join.FEW_IDS), "component_id").where("id > first").select("id", "key", "n_bytes").distinct(), "other")
+    dropped(spark, temporary)
+    return named(docs).join(small(other, ngram_join.FEW_IDS), ["id", "key", "n_bytes"], "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id holds; drop documents of which nothing is left by that."""
-    rows = numbered(docs)
-    cut = suffix_dedup.remove_repeats(rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), keep_text=True, key_col="key")
-
-    def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:  # a cut may fall within a character; what is left of it goes too
-            yield pd.DataFrame({"key": b["key"], "left": [bytes(x).decode("utf-8", "ignore") for x in b["kept"]]})
-
+    cut = suffix_dedup.remove_repeats(docs.select(*names(), "text"), id_col="id", keep_text=True, key_col="key", as_text=True)
     # Only the rows that are cut have another text than before; the others pass as they are.
-    changed = cut.where("n_removed > 0").select("key", "kept").mapInPandas(text, "key long, left string")
-    after = rows.join(changed, "key", "left").where("left is null or length(left) > 0")
+    changed = cut.where("n_removed > 0").groupBy("id", "key", "n_bytes").agg(F.first("kept").alias("left"))
+    after = named(docs).join(changed, ["id", "key", "n_bytes"], "left").where("left is null or length(left) > 0")
     whole = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
         whole = whole.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
