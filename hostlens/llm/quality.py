@@ -5,8 +5,13 @@ approximate a Gaussian kernel; ridge scores come from normal equations summed ov
 of FEATURES + 1 columns, whatever the corpus holds); an isotonic fit on a held-back part of the training labels,
 pooled over BINS score bins, turns raw scores into probabilities.
 
+All sums over rows are sums of integers (features and scores are rounded to multiples of a power of two first), and the
+weights are rounded so that a score is one too: neither the order of rows nor how they are dealt changes a result.
+
 Null texts count as empty; an empty text has all statistics at 0 and is scored like any other. Labels that are null
-or not 0/1 are not learned from. Without usable labels of both kinds every score is the share of label 1 (0.5 if none).
+or not 0/1 are not learned from. A document counts once, however often its label is repeated; one with both labels is
+not learned from. Null ids have no label. Rows that repeat an id all have its label. Other columns pass or are dropped,
+as each function says. Without usable labels of both kinds every score is the share of label 1 (0.5 if none).
 """
 
 from __future__ import annotations
@@ -21,13 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.llm._common import mixed, ragged, saved, slices, strings, tidied
+from hostlens.llm._common import mapped, mixed, ragged, saved, slices, strings
 
 FEATURES = 256  #: random Fourier features
 GAMMA = 0.02  #: of the kernel exp(-GAMMA * squared distance)
 RIDGE = 0.3
 BINS = 512
+STEP = 1 << 12  #: statistics are whole numbers of 1 / STEP where their mean and spread are worked out
+GROUP = 64  #: tasks whose sums are added up together first
 SEED = 20_011
+ONE = 1 << 16  #: features are whole numbers of 1 / ONE; their products are below 2^32, so sums of 2^31 rows fit
 THRESHOLD = 0.7
 #: Statistics of a text; all are ratios or logarithms and so bounded whatever the text's length.
 STATISTICS = (
@@ -123,6 +131,7 @@ class Model:
     steps: np.ndarray | None = None
     share: float = 0.5
     features: int = FEATURES
+    unit: float = 1.0
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(SEED)
@@ -130,12 +139,21 @@ class Model:
         self.phase = rng.uniform(0, 2 * np.pi, self.features)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
-        """Random Fourier features and a constant."""
-        z = np.cos(((x - self.mean) / self.scale) @ self.frequency + self.phase) * np.sqrt(2 / self.features)
-        return np.column_stack([z, np.ones(len(x))])
+        """Cosines of random Fourier features and a constant, as whole numbers of 1 / ONE. Added up column by column, so
+        that a row's features don't depend on the rows beside it."""
+        angle = np.broadcast_to(self.phase, (len(x), self.features)).copy()
+        for column, frequency in zip(((x - self.mean) / self.scale).T, self.frequency, strict=True):
+            angle += column[:, None] * frequency
+        return np.column_stack([np.round(np.cos(angle) * ONE), np.full(len(x), ONE)])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.lifted(x) @ self.weights
+        """Scores before calibration. Products and sums are of whole numbers below 2^53, so they are exact."""
+        return (self.lifted(x) @ self.weights) * self.unit
+
+    def weigh(self, weights: np.ndarray) -> None:
+        """Take weights of cosines, rounded to 27 bits of the largest."""
+        exponent = int(np.ceil(np.log2(max(np.abs(weights).max(), 1e-9)))) - 27
+        self.weights, self.unit = np.round(weights * 2.0**-exponent), 2.0**exponent / ONE
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -167,7 +185,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", out: str = "statistic
                 made = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], [*names, out])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return df.select(*names, df[text_col].alias("__text")).transform(mapped, run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -176,16 +194,20 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _summed(df: DataFrame, columns: list[str], product) -> np.ndarray:
-    """Sum over all rows of product(batch): a matrix of fixed size, added up in each task and then row by row."""
+    """Sum over all rows of product(batch): a matrix of integers of fixed size. Added up in each task, then row by row:
+    first those of GROUP tasks, then all."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = None
         for batch in batches:
-            if batch.num_rows:
-                made = product(batch)
+            for at in range(0, batch.num_rows, 2048):
+                made = product(batch.slice(at, 2048))
                 total = made if total is None else total + made
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+            task = np.full(len(total), TaskContext.get().partitionId() // GROUP)
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.int64()))], ["task", "i", "row"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -193,9 +215,11 @@ def _summed(df: DataFrame, columns: list[str], product) -> np.ndarray:
             for i, row in zip(batch.column("i").to_pylist(), batch.column("row"), strict=True):
                 x = row.values.to_numpy(zero_copy_only=False)
                 held[i] = held[i] + x if i in held else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["i", "row"])
 
-    rows = df.select(*columns).mapInArrow(tidied(part), "i int, row array<double>").repartition("i").mapInArrow(tidied(add), "i int, row array<double>").collect()
+    rows = df.select(*columns).transform(mapped, part, "task int, i int, row array<long>")
+    rows = rows.repartition("task", "i").select("i", "row").transform(mapped, add, "i int, row array<long>")
+    rows = rows.repartition("i").transform(mapped, add, "i int, row array<long>").collect()  # one matrix of fixed size
     return np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
 
 
@@ -205,56 +229,64 @@ def fit(labelled: DataFrame, label_col: str = "label", calibrate_col: str = "cal
     m = len(STATISTICS)
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
-        x = _matrix(batch, "x")
-        y = batch.column("y").to_numpy()
-        out = np.zeros((3, m))
+        x = np.round(_matrix(batch, "x") * STEP).astype(np.int64)
+        out = np.zeros((3, m), np.int64)
         out[0], out[1] = x.sum(axis=0), (x * x).sum(axis=0)
-        out[2, :2] = len(x), y.sum()
+        out[2, :2] = len(x), batch.column("y").to_numpy().sum()
         return out
 
     s = _summed(rows, ["x", "y"], moments)
     if not len(s):
         return Model(np.zeros(m), np.ones(m))
-    n, ones = s[2, :2]
-    mean = s[0] / n
-    spread = np.sqrt(np.maximum(s[1] / n - mean * mean, 0))
+    n, ones = (int(v) for v in s[2, :2])
+    mean = s[0] / n / STEP
+    spread = np.sqrt(np.maximum(s[1] / n / STEP**2 - mean * mean, 0))
     model = Model(mean, np.maximum(spread, 1e-3), share=ones / n)
     if ones in (0, n):
         return model
 
-    # Rows of the rarer label weigh as much in all as those of the other, so the regression looks at both.
-    weight = np.array([n / (2 * (n - ones)), n / (2 * ones)])
-
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        z = model.lifted(_matrix(batch, "x"))
-        y = batch.column("y").to_numpy()
-        w = weight[y][:, None]
-        return np.column_stack([z.T @ (z * w), z.T @ ((y[:, None] - 0.5) * w)])
+        """Products of features for label 0, the same for label 1; the last column of each is also the sum of features."""
+        z, y = model.lifted(_matrix(batch, "x")), batch.column("y").to_numpy()
+        return np.concatenate([(z[y == k].T @ z[y == k]).astype(np.int64) for k in (0, 1)])
 
     a = _summed(rows.where("not c"), ["x", "y"], normal)
     if not len(a):
         return model
-    penalty = np.eye(len(a)) * RIDGE
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(a[:, :-1] + penalty, a[:, -1])
+    model.weigh(ridge(*np.split(a, 2), ones / n))
     edges = np.linspace(-1, 1, BINS - 1)
 
     def binned(batch: pa.RecordBatch) -> np.ndarray:
         raw, y = model.raw(_matrix(batch, "x")), batch.column("y").to_numpy()
         at = np.searchsorted(edges, raw)
-        return np.stack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS), np.bincount(at, weights=raw, minlength=BINS)]).astype(float)
+        total = np.zeros(BINS, np.int64)
+        np.add.at(total, at, np.round(raw * ONE).astype(np.int64))
+        return np.stack([np.bincount(at, minlength=BINS), np.bincount(at[y == 1], minlength=BINS), total])
 
     b = _summed(rows.where("c"), ["x", "y"], binned)
     if not len(b):
         b = _summed(rows, ["x", "y"], binned)
     used = b[0] > 0
-    count, positive, raw = b[0][used], b[1][used], b[2][used]
+    count, positive, raw = b[0][used], b[1][used], b[2][used] / ONE
     # A pseudo-count keeps the ends off 0 and 1; a vanishing slope keeps ranks within a step.
     model.bins = raw / count
     model.steps = np.clip(isotonic((positive + model.share) / (count + 1), count) * 0.999 + 0.001 * (model.bins + 1) / 2, 0, 1)
     return model
 
 
+def ridge(zero: np.ndarray, one: np.ndarray, share: float, penalty: float = RIDGE) -> np.ndarray:
+    """Weights of cosines (and of the constant) from the summed products of features of either label.
+
+    Rows of the rarer label weigh as much in all as those of the other, so the regression looks at both. The goal is
+    1/2 for label 1, -1/2 for label 0. The penalty is on weights of features of length sqrt(2 / number of features).
+    """
+    low, high = 1 / (2 * (1 - share)), 1 / (2 * share)
+    length = np.append(np.full(len(zero) - 1, np.sqrt(2 / (len(zero) - 1))), 1.0) / ONE
+    a = (zero * low + one * high) * np.outer(length, length)
+    goal = (one[:, -1] * high - zero[:, -1] * low) * length / ONE * 0.5
+    return np.linalg.solve(a + np.diag(np.append(np.full(len(a) - 1, penalty), 1e-9)), goal) * length * ONE
+
+
 def fold(id_col: str | Column) -> Column:
     """crc32 of the id as text, modulo 4 (null: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 if isinstance(id_col, str) else F.crc32(id_col.cast("string").cast("binary")) % 4
@@ -275,12 +307,13 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "scor
                 made = pa.array(np.clip(model.score(statistics(*strings(part.column("__text")))), 0.0, 1.0))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], [*names, out])
 
-    return df.select(*names, df[text_col].alias("__text")).mapInArrow(tidied(run), T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return df.select(*names, df[text_col].alias("__text")).transform(mapped, run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, calibration: int = 3) -> Model:
     """Fit on the labelled documents outside the held-out fold; one fold of those calibrates."""
-    mine = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where(fold("__id") != held_out)
+    mine = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")).where((fold("__id") != held_out) & F.col("label").isin(0, 1))
+    mine = mine.groupBy("__id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     # The labels are narrow; their documents' statistics are made before the join, so no text is shuffled.
     stats = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(fold("__id") != held_out))
     # Saved, as fitting reads it three times: some 200 bytes for each labelled document.
