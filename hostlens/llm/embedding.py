@@ -13,7 +13,8 @@ points, and the queries of a part into sets, so a task holds one part and a batc
 Tasks report counts and a spanning forest of the links they find, never pairs, so a group of copies costs no pair rows.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of different lengths don't
-link; each length has an index of its own. Of rows that repeat an id, each counts as a vector of its own for others; their results are one row each.
+link; each length has an index of its own. Each row is a vector of its own, whatever its id: rows that repeat an id or
+have none are counted as links, have links and get a result row of their own. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,39 +24,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm._common import mapped, partitions, saved
+from hostlens.llm._common import dropped, mapped, mixed, partitions, released, saved
 from hostlens.llm.components import components, forest
 
 SAMPLE = 20_000  #: most points from which centroids and codes are learned
 SUBSPACES, CODES = 8, 256
-PART = 4096
+PART = 4096  #: most members of a cell
+ROWS = 512  #: members whose distances are looked up at a time
 QUERIES = 1_000_000  #: a cell has one set of queries for so many points
 ROUNDS = 8
 SEED = 5
 
 
 def unit_points(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, point, unit): unit vectors as little-endian doubles and a digest of them; null for vectors that don't count."""
+    """(id, digest, unit): unit vectors as little-endian doubles and a digest of them; null for vectors that don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units: list[bytes | None] = []
-            for x in batch.column("v").to_pylist():
-                unit = None
-                if x and None not in x:
-                    v = np.array(x, np.float64)
-                    big = np.abs(v).max()
-                    if np.isfinite(v).all() and big > 0:
-                        v = v / big  # so that squares neither overflow nor vanish
-                        unit = (np.round(v / np.sqrt((v * v).sum()), 15) + 0.0).astype("<f8").tobytes()
-                units.append(unit)
-            points = [None if u is None else int.from_bytes(hashlib.blake2b(u, digest_size=8).digest(), "little", signed=True) for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(points, pa.int64()), pa.array(units, pa.binary())], ["id", "point", "unit"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).transform(mapped, run, "id long, point long, unit binary")
+            units = _scaled(batch.column("v"))
+            digests = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], ["id", "digest", "unit"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).transform(mapped, run, "id long, digest binary, unit binary")
+
+
+def _scaled(column: pa.Array) -> list[bytes | None]:
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    units: list[bytes | None] = [None] * len(column)
+    for size in np.unique(sizes[sizes > 0]):  # rows of one length together
+        rows = np.flatnonzero(sizes == size)
+        v = values[starts[rows][:, None] + np.arange(size)]
+        big = np.abs(v).max(axis=1)  # NaN if any component is
+        good = np.isfinite(big) & (big > 0)
+        v = v[good] / big[good][:, None]  # so that squares neither overflow nor vanish
+        v = np.round(v / np.sqrt((v * v).sum(axis=1))[:, None], 15) + 0.0
+        for row, unit in zip(rows[good], v.astype("<f8"), strict=True):
+            units[row] = unit.tobytes()
+    return units
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -91,9 +103,6 @@ class Index:
         rest = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = np.array_split(np.arange(self.dims), min(SUBSPACES, self.dims))
         self.books = [kmeans(rest[:, c], CODES, rng) for c in self.cuts]
-        gap = distances(self.centres, self.centres)
-        np.fill_diagonal(gap, np.inf)
-        self.gap = np.sqrt(np.maximum(gap, 1e-8))  # a gap taken for larger only brings borders nearer
 
     def coded(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the length of what they miss."""
@@ -115,154 +124,188 @@ class Index:
         neighbours, whatever the direction or number of dimensions. So one of them is within half the reach.
         """
         d = distances(x, self.centres)
-        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gap[own])
+        some, at = np.unique(own, return_inverse=True)
+        gap = np.sqrt(np.maximum(distances(self.centres[some], self.centres), 1e-8))[at]  # too large a gap only brings borders nearer
+        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * gap)
         border[np.arange(len(x)), own] = 0
         return border <= self.reach / 2 + 1e-6
 
-    def candidates(self, x: np.ndarray, list_no: int, codes: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        """Which points of a list may be within reach of each query: table look-ups, less the point's coding error."""
+    def candidates(self, x: np.ndarray, list_no: int, codes: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (point of a list, query) that may be within reach: table look-ups, less the point's coding error.
+
+        A table has a row for each code and a column for each query, so a look-up copies a row of distances.
+        """
         rest = x - self.centres[list_no]
-        total = np.zeros((len(x), len(codes)), np.float32)
-        for j, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            total += distances(rest[:, c], b).astype(np.float32)[:, codes[:, j]]
-        return np.sqrt(total) <= (self.reach + miss + 1e-4)[None, :].astype(np.float32)
+        tables = [np.ascontiguousarray(distances(rest[:, c], b).T, np.float32) for c, b in zip(self.cuts, self.books, strict=True)]
+        limit = ((self.reach + miss + 1e-4) ** 2).astype(np.float32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(codes), ROWS):
+            some = codes[at : at + ROWS]
+            total = tables[0][some[:, 0]]
+            for j in range(1, len(tables)):
+                total += tables[j][some[:, j]]
+            i, q = np.nonzero(total <= limit[at : at + ROWS, None])
+            found.append((i + at, q))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """One row per vector: id, n_links (other vectors at that cosine or above), component_id, kept."""
-    spark = df.sparkSession
+    """One row per vector: id, n_links (other vectors at that cosine or above), component_id, kept.
+
+    ``component_id`` is the smallest id that is reached by links; null where none that is reached has an id.
+    """
     rows = saved(unit_points(df, id_col, vector_col), "units")
-    points = rows.where("point is not null").groupBy("point").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    points = saved(points.withColumn("size", F.length("unit")), "points")
+    points = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    points = saved(points.withColumn("size", F.length("unit")).withColumn("point", F.monotonically_increasing_id()), "points")
     known = None
     for size, n in points.groupBy("size").count().orderBy("size").collect():  # one number per length
-        some = _known(spark, points.where(F.col("size") == size), n, threshold)
+        some = _known(points.where(F.col("size") == size), n, threshold)
         known = some if known is None else known.unionByName(some)
-    return _result(rows, known, id_col)
+    if known is None:
+        known = rows.select("digest", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")).limit(0)
+    component = F.coalesce("component", "id")
+    found = rows.select("id", "digest").join(known, "digest", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _known(spark: SparkSession, points: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(point, n_links, component) of n points that have one length."""
+def _known(points: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(digest, n_links, component) of n points that have one length."""
     if n == 1:
-        return points.select("point", (F.col("copies") - 1).alias("n_links"), F.col("first").alias("component"))
-    index = _fitted(points, n, threshold)
-    shared = spark.sparkContext.broadcast(index)  # bounded: SAMPLE points at most
-
-    found = saved(_search(points, shared, threshold, n), "found")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("first")).agg(F.sum("b").alias("linked"))
-    groups = components(found.where("kind = 1").select("a", "b"))
-    known = points.select("point", "first", "copies").join(counts, "first", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
-    return known.select("point", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
-
-
-def _result(rows: DataFrame, known: DataFrame | None, id_col: str) -> DataFrame:
-    if known is None:
-        known = rows.select("point", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")).limit(0)
-    component = F.coalesce("component", "id")
-    return rows.join(known, "point", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+        return points.select("digest", (F.col("copies") - 1).alias("n_links"), F.col("first").alias("component"))
+    spark, temporary = points.sparkSession, []
+    shared = spark.sparkContext.broadcast(_fitted(points, n, threshold))  # bounded: SAMPLE points at most
+    found = saved(_search(points, shared, threshold, n, temporary), "found", temporary)
+    released(spark)
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("point")).agg(F.sum("b").alias("linked"))
+    groups = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "point")
+    known = saved(points.select("digest", "point", "first", "copies").join(counts, "point", "left").join(groups, "point", "left"), "known")
+    dropped(spark, temporary)
+    # Points are numbered at random as to ids: the smallest id of each component that has links at all.
+    least = known.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    known = known.join(least, "component", "left")
+    return known.select("digest", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component"))
 
 
 def _fitted(points: DataFrame, n: int, threshold: float) -> Index:
     """Learn from a bounded sample in a fixed order (by digest)."""
-    sample = points.orderBy("point").limit(SAMPLE) if n > SAMPLE else points
-    units = [bytes(r["unit"]) for r in sample.select("point", "unit").orderBy("point").toLocalIterator()]
+    sample = points.orderBy("digest").limit(SAMPLE) if n > SAMPLE else points.orderBy("digest")
+    units = [bytes(r["unit"]) for r in sample.select("unit").toLocalIterator()]
     return Index(np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1), n, threshold)
 
 
-def _units(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("unit").to_pylist()), "<f8").reshape(batch.num_rows, -1)
+def _units(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<f8").reshape(n, -1)
+
 
+#: A row holds many members or queries of a cell: each column has their values one after another.
+PACKED = "cell long, asks boolean, list int, n int, unit binary, point binary, copies binary, home binary, codes binary, miss binary, asked binary"
 
-def _search(points: DataFrame, shared, threshold: float, n: int) -> DataFrame:
+
+def _search(points: DataFrame, shared, threshold: float, n: int, temporary: list[str]) -> DataFrame:
     """Rows (kind, a, b): 0: point a has links to b vectors of other points; 1: a and b are connected."""
+    names = [f.split()[0] for f in PACKED.split(", ")]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _units(batch)
+            x = _units(b"".join(batch.column("unit").to_pylist()), batch.num_rows)
             at = nearest(x, index.centres)
             codes, miss = index.coded(x, at)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(batch.column(c) for c in ("point", "first", "copies", "unit")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss)], ["list", "point", "first", "copies", "unit", "codes", "miss"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(batch.column(c) for c in ("point", "copies", "unit")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss)], ["list", "point", "copies", "unit", "codes", "miss"])
 
-    listed = points.select("point", "first", "copies", "unit").transform(mapped, assign, "list int, point long, first long, copies long, unit binary, codes binary, miss double")
-    listed = saved(listed, "lists")
-    # Lists may be of any size: each is cut into parts by the point's digest.
+    listed = points.select("point", "copies", "unit").transform(mapped, assign, "list int, point long, copies long, unit binary, codes binary, miss double")
+    listed = saved(listed, "lists", temporary)
+    # Lists may be of any size: each is cut into parts by the point's number.
     parts = listed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     sets = n // QUERIES + 1
     parts_of = {r["list"]: r["parts"] for r in parts.collect()}  # one number per list, as many as the index has centroids
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         several = np.array([parts_of.get(k, 0) for k in range(len(index.centres))])
         first_cell = np.concatenate([[0], np.cumsum(several)])
         for batch in batches:
             for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                own, point = piece.column("list").to_numpy(), piece.column("point").to_numpy()
-                cell = first_cell[own] + np.mod(point, np.maximum(several[own], 1))
-                asked = index.probes(_units(piece), own)
+                m = piece.num_rows
+                own, point, copies, miss = (piece.column(c).to_numpy() for c in ("list", "point", "copies", "miss"))
+                x = _units(b"".join(piece.column("unit").to_pylist()), m)
+                codes = np.frombuffer(b"".join(piece.column("codes").to_pylist()), np.uint8).reshape(m, -1)
+                asked = index.probes(x, own)
+                # Which lists a member asks itself, as bits; a query names the list where it is a member.
+                columns = {"unit": x, "point": point, "copies": copies, "home": own, "codes": codes, "miss": miss, "asked": np.packbits(asked, axis=1)}
+                spread = mixed(point.astype(np.uint64)).view(np.int64) & (2**62 - 1)
+                cell = first_cell[own] + spread % several[own]
+                # Members go to each of the cell's sets of queries, a query to one of them in each part of a list.
+                member = np.repeat(np.arange(m), sets)
+                yield from packed(cell[member] * sets + np.tile(np.arange(sets), m), member, own, columns, False)
                 row, to = np.nonzero(asked)
                 times = several[to]
                 row, to = np.repeat(row, times), np.repeat(to, times)
                 step = np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times)
-                # Members go to each of the cell's sets of queries, a query to one of them.
-                n = piece.num_rows * sets
-                everyone = np.repeat(np.arange(piece.num_rows), sets)
-                cells = np.concatenate([cell[everyone] * sets + np.tile(np.arange(sets), piece.num_rows), (first_cell[to] + step) * sets + np.mod(point[row] // 64, sets)])
-                everything = np.concatenate([everyone, row])
-                sent = piece.take(pa.array(everything))
-                # Which lists a member asks itself, as bits; a query names the list where it is a member.
-                bits = [x.tobytes() for x in np.packbits(asked, axis=1)]
-                bits = pa.array([*(bits[k] for k in everyone), *[None] * len(row)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([own[everyone], to]), pa.int32()), pa.array(np.arange(len(everything)) >= n), pa.array(own[everything], pa.int32()), bits, *(sent.column(c) for c in ("first", "copies", "unit", "codes", "miss"))], names)
-
-    names = ["cell", "list", "asks", "home", "asked", "first", "copies", "unit", "codes", "miss"]
-    sent = listed.transform(mapped, route, "cell long, list int, asks boolean, home int, asked binary, first long, copies long, unit binary, codes binary, miss double")
+                yield from packed((first_cell[to] + step) * sets + spread[row] // 64 % sets, row, to, columns, True)
+
+    def packed(cell: np.ndarray, row: np.ndarray, to: np.ndarray, columns: dict[str, np.ndarray], asks: bool) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(cell, kind="stable")
+        cell, row, to = cell[order], row[order], to[order] if asks else to[row[order]]
+        edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        kept = {"unit", "point", "copies", "home"} if asks else {"unit", "point", "copies", "codes", "miss", "asked"}
+        for k in range(0, len(edges) - 1, 32):  # some 32 cells a batch
+            spans = list(zip(edges[k : k + 32], edges[k + 1 : k + 33], strict=False))
+            heads = np.array([a for a, _ in spans])
+            made = {"cell": pa.array(cell[heads], pa.int64()), "asks": pa.array([asks] * len(spans)), "list": pa.array(to[heads], pa.int32()), "n": pa.array([b - a for a, b in spans], pa.int32())}
+            made |= {c: pa.array([columns[c][row[a:b]].tobytes() for a, b in spans], pa.binary()) if c in kept else pa.nulls(len(spans), pa.binary()) for c in columns}
+            yield pa.RecordBatch.from_arrays([made[c] for c in names], names)
+
+    sent = listed.transform(mapped, route, PACKED)
     sent = sent.repartition(partitions(points), "cell").sortWithinPartitions("cell", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells come one after another, members first: a task holds one cell's members and one batch of queries."""
+        """Cells come one after another, members first: a task holds one cell's members and one row of queries."""
         index: Index = shared.value
-        held: list[pa.RecordBatch] = []
-        now, stored = None, None
+        now, held, stored = None, [], None
         for batch in batches:
-            cells, asks = batch.column("cell").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
-            for at, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if at == stop:
-                    continue
-                run = batch.slice(at, stop - at)
-                if cells[at] != now:
-                    now, held, stored = cells[at], [], None
-                if not asks[at]:
-                    held.append(run)
-                    continue
-                if not held:
-                    continue
-                if stored is None:
-                    table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-                    asked = np.frombuffer(b"".join(table.column("asked").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-                    stored = _units(table), codes, asked, *(table.column(c).to_numpy() for c in ("miss", "first", "copies"))
-                for i in range(0, run.num_rows, 512):
-                    yield from linked(index, run.slice(i, 512), *stored)
-
-    def linked(index: Index, asking: pa.RecordBatch, y: np.ndarray, codes: np.ndarray, asked: np.ndarray, miss: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, mine = _units(asking), asking.column("first").to_numpy()
-        maybe = index.candidates(x, asking.column("list")[0].as_py(), codes, miss) & (mine[:, None] != ids[None, :])
-        i, j = np.nonzero(maybe)
-        real = np.einsum("ij,ij->i", x[i], y[j]) >= threshold if len(i) < 100_000 else (x @ y.T >= threshold)[i, j]
-        i, j = i[real], j[real]
+            for r in batch.to_pylist():
+                if r["cell"] != now:
+                    now, held, stored = r["cell"], [], None
+                if not r["asks"]:
+                    held.append(r)
+                elif held:
+                    if stored is None:
+                        stored = members(held)
+                    x, mine, copies, home = (np.frombuffer(r[c], k).reshape(r["n"], -1) for c, k in (("unit", "<f8"), ("point", np.int64), ("copies", np.int64), ("home", np.int32)))
+                    for i in range(0, r["n"], 256):
+                        yield from linked(index, r["list"], *(a[i : i + 256] for a in (x, mine.ravel(), copies.ravel(), home.ravel())), *stored)
+
+    def members(held: list[dict]) -> tuple[np.ndarray, ...]:
+        n = sum(r["n"] for r in held)
+        join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in held), kind).reshape(n, -1)
+        return join("unit", "<f8"), join("codes", np.uint8), join("asked", np.uint8), join("miss", np.float64).ravel(), join("point", np.int64).ravel(), join("copies", np.int64).ravel()
+
+    def linked(index: Index, list_no: int, x: np.ndarray, mine: np.ndarray, times: np.ndarray, home: np.ndarray, y: np.ndarray, codes: np.ndarray, asked: np.ndarray, miss: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+        j, i = index.candidates(x, list_no, codes, miss)
+        other = mine[i] != ids[j]
+        j, i = j[other], i[other]
+        real = np.concatenate([np.einsum("ij,ij->i", x[i[at : at + 32_768]], y[j[at : at + 32_768]]) >= threshold for at in range(0, len(i), 32_768)] or [np.empty(0, bool)])
+        j, i = j[real], i[real]
         if len(i):
             total = np.bincount(i, weights=copies[j], minlength=len(mine)).astype(np.int64)
             some = np.flatnonzero(total)
             # Members that don't ask in the query's list have this link from here.
-            home = asking.column("home").to_numpy()[i]
-            silent = (asked[j, home >> 3] >> (7 - (home & 7))) & 1 == 0
-            back = np.bincount(j[silent], weights=asking.column("copies").to_numpy()[i[silent]], minlength=len(ids)).astype(np.int64)
+            lists = home[i]
+            silent = (asked[j, lists >> 3] >> (7 - (lists & 7))) & 1 == 0
+            back = np.bincount(j[silent], weights=times[i[silent]], minlength=len(ids)).astype(np.int64)
             told = np.flatnonzero(back)
-            vertex, root = forest(mine[i], ids[j])
-            other = vertex != root
-            kinds = np.concatenate([np.zeros(len(some) + len(told), np.int32), np.ones(int(other.sum()), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([mine[some], ids[told], vertex[other]])), pa.array(np.concatenate([total[some], back[told], root[other]]))], ["kind", "a", "b"])
+            # Pairs come by member: a member is tied to its first query, and its other queries to that one.
+            head = np.diff(j, prepend=-1) > 0
+            first = i[head][np.cumsum(head) - 1]
+            tied = np.zeros((len(mine), len(mine)), bool)
+            tied[i, first] = True
+            p, q = np.nonzero(tied)
+            vertex, root = forest(np.concatenate([ids[j[head]], mine[p]]), np.concatenate([mine[i[head]], mine[q]]))
+            rest = vertex != root
+            kinds = np.concatenate([np.zeros(len(some) + len(told), np.int32), np.ones(int(rest.sum()), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([mine[some], ids[told], vertex[rest]])), pa.array(np.concatenate([total[some], back[told], root[rest]]))], ["kind", "a", "b"])
 
     return sent.transform(mapped, search, "kind int, a long, b long")
