@@ -174,6 +174,38 @@ def test_odd_vectors(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_are_told_apart_by_rows_not_ids(spark):
+    rows = [(2, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.05]), (None, [1.0, 0.0]), (None, [0.0, 2.0, 0.0]), (None, None), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.01]), (None, [0.0, -1.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(9) for c in ("id", "point", "digest", "unit", "n_links", "list")})
+    got = sorted(map(repr, (tuple(r) for r in embedding.near_duplicates(df.repartition(3)).collect())))
+    want = [(2, 3, 2, True), (2, 3, 2, True), (2, 0, 2, True), (3, 3, 2, False), (None, 3, 2, False), (None, 0, None, True), (None, 0, None, True), (5, 1, 5, True), (6, 1, 5, False), (None, 0, None, True)]
+    assert got == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "towards others", "clusters", "copies"])
+def test_no_link_is_lost(spark, shape):
+    """Recall is 1 on random directions, on neighbours that lie straight towards another vector, in clusters and in a hot group."""
+    rng = np.random.default_rng(8)
+    dims, n = {"isotropic": 24, "towards others": 128, "clusters": 64, "copies": 32}[shape], 1500
+    x = rng.normal(size=(n, dims))
+    if shape == "isotropic":
+        x[n // 2 :] = x[: n // 2] + rng.normal(size=(n // 2, dims)) * np.linalg.norm(x[: n // 2], axis=1)[:, None] * 0.45 / np.sqrt(dims)
+    elif shape == "towards others":
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        x = np.concatenate([u[: n // 2], 0.72 * u[: n // 2] + 0.34 * u[n // 2 :]])
+    elif shape == "clusters":
+        x = x[rng.integers(0, 10, n)] + rng.normal(size=(n, dims)) * 0.33
+    else:
+        x[: n // 2] = x[0] + rng.normal(size=(n // 2, dims)) * 0.1
+        x[n // 2 : n // 2 + 200] = x[0]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.9
+    group = joined([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True) if a != b])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()}
+    assert hit.sum() > n and got == {i: (hit[i].sum() - 1, group.get(i, i)) for i in range(n)}
+
+
 def brute_targets(sizes, weights=(3, 1, 2), factor=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}

@@ -138,6 +138,25 @@ def test_licences_as_published(spark):
         rows += [(n * 10 + k, name, "\n\n".join([title, notice, wrap((licenses.KNOWN | licenses.MORE)[name], n)])) for k, (name, title) in enumerate([("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("Unlicense", ""), ("MIT", "")])]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
     assert {i: got[i].license_id for i, _, _ in rows} == {i: name for i, name, _ in rows} and got[4].digest is not None
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [[i, t] for i, _, t in rows])
+    assert {i: (d, n) for i, d, n in con.execute(licenses.scan_sql()).fetchall()} == {i: (r.digest, r.license_id) for i, r in got.items()}
+
+
+def test_long_licences(spark):
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    folder, end = Path("/usr/share/common-licenses"), "END OF TERMS AND CONDITIONS"
+    texts = [(name, (folder / file).read_text()) for name, file in files.items() if (folder / file).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    texts += [(name, t[: t.index(end)] + end) for name, t in texts if len(licenses.LONG[name]) > 1]
+    # Upper case, other line lengths and an added copyright line are the same wording; a word less is another.
+    rows = [(k, t.upper() if k % 2 else " \n".join(t.split("\n")) + "\nCopyright (c) 2020 Somebody") for k, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame([*rows, (99, rows[0][1].replace("Work", "", 1)), (None, rows[0][1])], "doc_id long, text string").withColumn("digest", F.lit("x"))).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in texts] and got[99] is None and got[None] == texts[0][0]
 
 
 def test_chats(spark):
@@ -146,7 +165,7 @@ def test_chats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(1)).withColumn("path", F.lit("x"))
     got = {(r.conv_id, r.turn): r for r in chat.format_chat(df).collect()}
     assert [got[1, t].parent_turn for t in range(8)] == [None, 0, 1, None, None, 0, None, None]
-    assert [k for k, _ in sorted(((t, got[1, t].reply_path.split(".")) for t in range(8)), key=lambda x: list(map(int, x[1])))] == [0, 1, 2, 5, 3, 4, 6, 7]
+    assert sorted(range(8), key=lambda t: got[1, t].reply_path) == [0, 1, 2, 5, 3, 4, 6, 7]
     assert got[1, 2].depth == 2 and (got[1, 2].n_quotes, got[1, 2].n_linked) == (2, 2) and got[1, 2].text == "ok" and got[1, 4].text == "" and got[2, 0].text == ""
     assert chat.format_chat(df.limit(0)).count() == 0
     duckdb = pytest.importorskip("duckdb")
@@ -160,7 +179,17 @@ def test_chats(spark):
 def test_long_threads(spark):
     rows = [(1, t, "u", f"> line {t - 1}\nline {t}") for t in range(40)]
     got = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[39].depth == 39 and got[39].reply_path == ".".join(map(str, range(40)))
+    assert got[39].depth == 39 and [int(x) for x in got[39].reply_path.split(".")] == list(range(40))
+
+
+def test_conversations_come_in_order(spark, tmp_path):
+    """The registered query on threads of more than ten turns, with negative and repeated ones."""
+    rows = [(7, 0, "u", "root"), *[(7, t, "a", f"> root\nreply {t}") for t in range(1, 14)], (7, 14, "u", "> reply 2\nto two"), (7, 15, "u", "> reply 11\nto eleven"), (7, 16, "u", "> to two\nagain")]
+    rows += [(8, -3, "u", "early"), (8, -20, "u", "earlier"), (8, 4, "u", "> early\nlate"), (8, 4, "u", "> early\nlate"), (9, 10**15, "u", "far")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.conv_id, r.turn) for r in queries.op4_chat_format(spark, str(tmp_path)).collect()]
+    assert got == [(7, t) for t in [0, 1, 2, 14, 16, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 12, 13]] + [(8, -20), (8, -3), (8, 4), (8, 4), (9, 10**15)]
+    assert {r.n_linked for r in queries.op4_chat_format(spark, str(tmp_path)).where("turn = 16").collect()} == {1}
 
 
 def test_chat_stays_in_the_engine(spark):
