@@ -9,7 +9,8 @@ error of the point can't rule out, and reranks these by exact cosine. A pair cou
 credits the other where that one doesn't ask itself.
 
 The number of lists grows with the square root of the number of points. A list is cut into parts of at most PART
-points, and the queries of a part into sets, so a task holds one part and a batch of queries whatever the corpus holds.
+points, and the queries of a part into sets; parts are dealt to buckets of some MEMBERS points, to which a query is sent
+once, so a task holds one bucket's points and a batch of queries whatever the corpus holds.
 Tasks report counts and a spanning forest of the links they find, never pairs, so a group of copies costs no pair rows.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of different lengths don't
@@ -35,6 +36,7 @@ SAMPLE = 20_000  #: most points from which centroids and codes are learned
 SUBSPACES, CODES = 8, 256
 PART = 4096  #: most members of a cell
 ROWS = 512  #: members whose distances are looked up at a time
+MEMBERS = 50_000  #: a task holds about so many members of cells
 QUERIES = 1_000_000  #: a cell has one set of queries for so many points
 ROUNDS = 8
 SEED = 5
@@ -197,8 +199,9 @@ def _units(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<f8").reshape(n, -1)
 
 
-#: A row holds many members or queries of a cell: each column has their values one after another.
-PACKED = "cell long, asks boolean, list int, n int, unit binary, point binary, copies binary, home binary, codes binary, miss binary, asked binary"
+#: A row holds many members of a bucket's cells, or many queries and which cell each asks: each column has their values
+#: one after another. ``row`` and ``cell`` say which of the vectors belongs to, or asks in, which cell; ``to`` is its list.
+PACKED = "bucket int, asks boolean, n int, unit binary, point binary, copies binary, home binary, codes binary, miss binary, asked binary, row binary, cell binary, to binary"
 
 
 def _search(points: DataFrame, shared, threshold: float, n: int, temporary: list[str]) -> DataFrame:
@@ -220,6 +223,7 @@ def _search(points: DataFrame, shared, threshold: float, n: int, temporary: list
     # Lists may be of any size: each is cut into parts by the point's number.
     parts = listed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     sets = n // QUERIES + 1
+    buckets = max(partitions(points), n * sets // MEMBERS + 1)
     parts_of = {r["list"]: r["parts"] for r in parts.collect()}  # one number per list, as many as the index has centroids
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +243,7 @@ def _search(points: DataFrame, shared, threshold: float, n: int, temporary: list
                 cell = first_cell[own] + spread % several[own]
                 # Members go to each of the cell's sets of queries, a query to one of them in each part of a list.
                 member = np.repeat(np.arange(m), sets)
-                yield from packed(cell[member] * sets + np.tile(np.arange(sets), m), member, own, columns, False)
+                yield from packed(cell[member] * sets + np.tile(np.arange(sets), m), member, own[member], columns, False)
                 row, to = np.nonzero(asked)
                 times = several[to]
                 row, to = np.repeat(row, times), np.repeat(to, times)
@@ -247,41 +251,62 @@ def _search(points: DataFrame, shared, threshold: float, n: int, temporary: list
                 yield from packed((first_cell[to] + step) * sets + spread[row] // 64 % sets, row, to, columns, True)
 
     def packed(cell: np.ndarray, row: np.ndarray, to: np.ndarray, columns: dict[str, np.ndarray], asks: bool) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(cell, kind="stable")
-        cell, row, to = cell[order], row[order], to[order] if asks else to[row[order]]
-        edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        """A vector goes to a bucket once, however many of its cells it is in or asks."""
+        order = np.lexsort((cell, cell % buckets))
+        cell, row, to = cell[order], row[order], to[order]
+        edges = np.flatnonzero(np.diff(cell % buckets, prepend=-1, append=-1))
         kept = {"unit", "point", "copies", "home"} if asks else {"unit", "point", "copies", "codes", "miss", "asked"}
-        for k in range(0, len(edges) - 1, 32):  # some 32 cells a batch
-            spans = list(zip(edges[k : k + 32], edges[k + 1 : k + 33], strict=False))
-            heads = np.array([a for a, _ in spans])
-            made = {"cell": pa.array(cell[heads], pa.int64()), "asks": pa.array([asks] * len(spans)), "list": pa.array(to[heads], pa.int32()), "n": pa.array([b - a for a, b in spans], pa.int32())}
-            made |= {c: pa.array([columns[c][row[a:b]].tobytes() for a, b in spans], pa.binary()) if c in kept else pa.nulls(len(spans), pa.binary()) for c in columns}
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some, at = np.unique(row[a:b], return_inverse=True)
+            made = {"bucket": pa.array([cell[a] % buckets], pa.int32()), "asks": pa.array([asks]), "n": pa.array([len(some)], pa.int32())}
+            made |= {c: pa.array([columns[c][some].tobytes() if c in kept else None], pa.binary()) for c in columns}
+            made |= {c: pa.array([x.astype(np.int64).tobytes()], pa.binary()) for c, x in (("row", at), ("cell", cell[a:b]), ("to", to[a:b]))}
             yield pa.RecordBatch.from_arrays([made[c] for c in names], names)
 
     sent = listed.transform(mapped, route, PACKED)
-    sent = sent.repartition(partitions(points), "cell").sortWithinPartitions("cell", "asks")
+    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells come one after another, members first: a task holds one cell's members and one row of queries."""
+        """Buckets come one after another, members first: a task holds one bucket's members and one row of queries."""
         index: Index = shared.value
-        now, held, stored = None, [], None
+        now, held, cells = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["cell"] != now:
-                    now, held, stored = r["cell"], [], None
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if r["bucket"] != now:
+                    now, held, cells = r["bucket"], [], None
                 if not r["asks"]:
                     held.append(r)
-                elif held:
-                    if stored is None:
-                        stored = members(held)
-                    x, mine, copies, home = (np.frombuffer(r[c], k).reshape(r["n"], -1) for c, k in (("unit", "<f8"), ("point", np.int64), ("copies", np.int64), ("home", np.int32)))
-                    for i in range(0, r["n"], 256):
-                        yield from linked(index, r["list"], *(a[i : i + 256] for a in (x, mine.ravel(), copies.ravel(), home.ravel())), *stored)
-
-    def members(held: list[dict]) -> tuple[np.ndarray, ...]:
-        n = sum(r["n"] for r in held)
-        join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in held), kind).reshape(n, -1)
-        return join("unit", "<f8"), join("codes", np.uint8), join("asked", np.uint8), join("miss", np.float64).ravel(), join("point", np.int64).ravel(), join("copies", np.int64).ravel()
+                    continue
+                if cells is None:
+                    cells, held = members(held), []
+                x, mine, copies, home = (np.frombuffer(r[c], k).reshape(r["n"], -1) for c, k in (("unit", "<f8"), ("point", np.int64), ("copies", np.int64), ("home", np.int32)))
+                row, cell, to = (np.frombuffer(r[c], np.int64) for c in ("row", "cell", "to"))
+                edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if cell[a] in cells:
+                        stored = cells[cell[a]]
+                        for i in range(a, b, 256):
+                            some = row[i : min(i + 256, b)]
+                            yield from linked(index, int(to[a]), x[some], mine.ravel()[some], copies.ravel()[some], home.ravel()[some], *stored)
+
+    def members(held: list[dict]) -> dict[int, tuple[np.ndarray, ...]]:
+        """The members of each cell: vectors, codes, lists asked, coding errors, numbers, copies."""
+        if not held:
+            return {}
+        kinds = (("unit", "<f8"), ("codes", np.uint8), ("asked", np.uint8), ("miss", np.float64), ("point", np.int64), ("copies", np.int64))
+        parts = [[np.frombuffer(r[c], kind).reshape(r["n"], -1) for r in held] for c, kind in kinds]
+        whole = [np.concatenate(x) for x in parts]
+        base = np.cumsum([0, *(r["n"] for r in held)])
+        row = np.concatenate([np.frombuffer(r["row"], np.int64) + b for r, b in zip(held, base, strict=False)])
+        cell = np.concatenate([np.frombuffer(r["cell"], np.int64) for r in held])
+        order = np.argsort(cell, kind="stable")
+        edges = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1))
+        out = {}
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            unit, codes, asked, *rest = (x[row[order[a:b]]] for x in whole)
+            out[cell[order[a]]] = unit, codes, asked, *(x.ravel() for x in rest)
+        return out
 
     def linked(index: Index, list_no: int, x: np.ndarray, mine: np.ndarray, times: np.ndarray, home: np.ndarray, y: np.ndarray, codes: np.ndarray, asked: np.ndarray, miss: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
         j, i = index.candidates(x, list_no, codes, miss)
