@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlens.llm._common import mapped, ragged, slices, strings
+from hostlens.llm._common import mapped, ragged, slices, strings, trim
 from hostlens.llm._tables import Memory, Table
 from hostlens.llm.pieces import PieceEncoder, Runs, clean_rows
 
@@ -277,6 +277,7 @@ class PrefixEncoder:
 def prefix_encoder(path: str) -> tuple[PrefixEncoder, PieceEncoder]:
     """One encoder for each worker process, with its piece cache."""
     encoder = PrefixEncoder(path)
+    trim()  # reading the file takes more memory than what is kept of it
     return encoder, PieceEncoder(encoder.encode_many, tuple(encoder.special))
 
 
@@ -293,7 +294,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = prefix_encoder(path)
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, "__text", 1 << 20):
                 ids, counts = pieces(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), packed_ids(ids, counts), pa.array(counts, pa.int64())], [*names, out, "n_tokens"])
 
@@ -318,7 +319,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = prefix_encoder(path)
         for batch in batches:
-            for part in slices(batch, ids_col, 2 << 20):
+            for part in slices(batch, ids_col, 1 << 20):
                 packed = part.column(ids_col).cast(pa.large_binary())
                 counts = pc.fill_null(pc.binary_length(packed), 0).to_numpy().astype(np.int64) // 4
                 ids = np.frombuffer(b"".join(x.as_buffer() for x in packed if x.is_valid), "<u4").astype(np.int64)

@@ -28,7 +28,7 @@ RUN = f"[{SPACE}]{{3}}|[{SPACE}]{{2}}\\z"
 CLEAN = rf"\A [^{SPACE}]\z|\A [^{SPACE}](?s:.*)[^{SPACE}]\z"
 SHORT = 15  #: bytes, without the space at the beginning
 SLOTS = 19  #: bits: so many short pieces are remembered
-MOST_IDS, MOST_LONG = 4_000_000, 4 << 20  #: ids, and bytes of long pieces, from which on all pieces are forgotten
+MOST_IDS, MOST_LONG = 2_000_000, 4 << 20  #: ids, and bytes of long pieces, from which on all pieces are forgotten
 CALL = 65_536  #: pieces that are encoded at a time
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]  #: ids, and where each piece's run of them starts and how long it is
