@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, embedding, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
+from hostlens.llm import bpe, chat, embedding, importance, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
 from hostlens.llm._common import table
 
 
@@ -61,6 +61,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (quality.fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 #: Components of links(a, b) over all(id), as the last part of a WITH clause.
@@ -123,10 +129,30 @@ own AS (SELECT conv_id, turn, regexp_replace(string_agg(body, chr(10) ORDER BY i
 SELECT c.conv_id, c.turn, c.role, m.parent_turn, len(p.path)::INT - 1 AS depth, array_to_string(list_transform(p.path, lambda t: CASE WHEN t < 0 THEN '-' ELSE '' END || lpad((t::BIGINT & 9223372036854775807)::VARCHAR, 19, '0')), '.') AS reply_path, coalesce(m.n_quotes, 0) AS n_quotes, coalesce(m.n_linked, 0) AS n_linked, coalesce(o.text, '') AS text
 FROM conversations c LEFT JOIN messages m USING (conv_id, turn) JOIN paths p ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.top IS NULL JOIN own o ON o.conv_id = c.conv_id AND o.turn = c.turn"""
 
+#: crc32 takes a byte at a time through the checksums of single bytes, eight halvings each.
+HALF_SQL = "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)"
+OP11_SQL = rf"""WITH one AS (SELECT list(list_reduce(range(8), {HALF_SQL}, b) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL SELECT 'b', row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+each AS MATERIALIZED (SELECT kind, id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM (SELECT kind, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words) WINDOW o AS (PARTITION BY kind, id ORDER BY i)),
+found AS MATERIALIZED (SELECT kind, id, x AS f FROM each UNION ALL SELECT kind, id, x || ' ' || y FROM each WHERE y IS NOT NULL UNION ALL SELECT kind, id, x || ' ' || y || ' ' || z FROM each WHERE z IS NOT NULL),
+kinds AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM found)),
+codes AS (SELECT f, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM kinds, one),
+tallied AS (SELECT kind, id, bucket, count(*) AS n FROM found JOIN codes USING (f) GROUP BY ALL),
+buckets AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM tallied GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM buckets),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM buckets, sums),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM tallied JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scores AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w)::BIGINT AS n_words,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM words LEFT JOIN weights USING (id) WHERE kind = 'd'),
+fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank, n_words FROM scores LEFT JOIN fit USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op1_embedding_near_duplicates": OP1_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op7_suffix_dedup": OP7_SQL,
     "op8_license_scan": licenses.scan_sql(),
+    "op11_importance_resampling": OP11_SQL,
 }
