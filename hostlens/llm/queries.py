@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, embedding, importance, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
+from hostlens.llm import bpe, chat, debruijn, embedding, importance, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
 from hostlens.llm._common import table
 
 
@@ -66,6 +66,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
+def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_debruijn_dedup": op12_debruijn_dedup,
 }
 
 #: Components of links(a, b) over all(id), as the last part of a WITH clause.
@@ -148,6 +153,14 @@ scores AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(
 fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank, n_words FROM scores LEFT JOIN fit USING (doc_id)"""
 
+OP12_SQL = r"""WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS MATERIALIZED (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM split),
+windows AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s FROM words) WHERE i <= n - 34),
+again AS (SELECT doc_id, i FROM windows JOIN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1) USING (s)),
+gone AS (SELECT doc_id, x, i, max(again.i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN again USING (doc_id, i)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op1_embedding_near_duplicates": OP1_SQL,
@@ -155,4 +168,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": OP7_SQL,
     "op8_license_scan": licenses.scan_sql(),
     "op11_importance_resampling": OP11_SQL,
+    "op12_debruijn_dedup": OP12_SQL,
 }
