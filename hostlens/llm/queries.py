@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, chat, debruijn, embedding, importance, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
+from hostlens.llm import bpe, chat, debruijn, embedding, filter_audit, importance, licenses, media, mixing, ngram_join, quality, suffix_dedup, token_store
 from hostlens.llm._common import table
 
 
@@ -70,6 +70,10 @@ def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_debruijn_dedup": op12_debruijn_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Components of links(a, b) over all(id), as the last part of a WITH clause.
@@ -161,6 +166,22 @@ gone AS (SELECT doc_id, x, i, max(again.i) OVER (PARTITION BY doc_id ORDER BY i
 kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""
 
+OP13_SQL = r"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+known AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN first < docs.doc_id THEN 16 ELSE 0 END AS mask FROM docs JOIN firsts USING (text) LEFT JOIN known ON known.doc_id = docs.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM orders, range(1, 6) r(i)),
+per AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM per"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op1_embedding_near_duplicates": OP1_SQL,
@@ -169,4 +190,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_license_scan": licenses.scan_sql(),
     "op11_importance_resampling": OP11_SQL,
     "op12_debruijn_dedup": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
