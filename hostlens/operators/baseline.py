@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hostlens.sources.sinks import stored
+
 # Category, noise floor and weight of each feature of a behaviour window.
 REGISTRY = {
     "syscall_count": ("syscall", 5.0, 1.0), "distinct_syscalls": ("syscall", 1.0, 1.0), "syscalls_file": ("syscall", 2.0, 0.8),
@@ -60,40 +62,85 @@ def combined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value_col: str, points: tuple[float, ...] = PERCENTILES, digits: int = 1024) -> DataFrame:
+    """(by, n, p): exact quantiles of each group, by linear interpolation, as an array in the order of ``points``.
+
+    A selection by digits: the range of each rank that is looked for is divided into ``digits`` parts whose rows are
+    counted (before they are shuffled), and the part that holds the rank is divided next, until all its values are equal.
+    No task holds a group's values, so a group may have a third of all rows. Nulls and NaN don't count.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(by, keys, strict=True)], F.col(value_col).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    total = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    spots = F.array(*[F.lit(p) * (F.col("n") - 1) for p in points])
+    ranks = F.array_distinct(F.concat(F.transform(spots, lambda x: F.floor(x)), F.transform(spots, lambda x: F.ceil(x))))
+    open_ = total.select(*keys, "low", "high", F.explode(ranks).alias("rank")).withColumn("left", F.col("rank"))
+    found = open_.where("low = high")
+    open_ = stored(open_.where("low < high"))
+    while not open_.isEmpty():
+        ranges = open_.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        inside = rows.join(ranges, [*same, F.col("v") >= F.col("_low"), F.col("v") <= F.col("_high")])
+        share = (F.col("v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        cells = inside.withColumn("cell", F.least(F.floor(share * digits), F.lit(digits - 1))).groupBy(*keys, "_low", "cell").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.sum("c").over(Window.partitionBy(*keys, "_low").orderBy("cell")) - F.col("c")  # of ``digits`` rows at most
+        cells = cells.withColumn("before", before).withColumnsRenamed({k: f"_{k}" for k in keys})
+        hit = open_.join(cells, [*same, F.col("low") == F.col("_low"), F.col("left") >= F.col("before"), F.col("left") < F.col("before") + F.col("c")])
+        next_ = stored(hit.select(*keys, F.col("least").alias("low"), F.col("most").alias("high"), "rank", (F.col("left") - F.col("before")).alias("left")))
+        found, open_ = found.unionByName(next_.where("low = high")), next_.where("low < high")
+    values = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    out = total.join(values, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    value = lambda x: F.element_at("at", F.floor(x)) + (F.element_at("at", F.ceil(x)) - F.element_at("at", F.floor(x))) * (x - F.floor(x))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(by, keys, strict=True)], "n", F.transform(spots, value).alias("p"))
+
+
 def percentiles(df: DataFrame, by: list[str], value_col: str, exact: bool = True) -> DataFrame:
-    """Percentiles by linear interpolation; ``exact=False`` uses a sketch with bounded memory instead."""
-    points = F.array(*map(F.lit, PERCENTILES))
-    p = F.percentile(value_col, points) if exact else F.percentile_approx(value_col, points, 10_000)
-    rows = df.groupBy(*by).agg(p.alias("p"))
+    """Percentiles by linear interpolation; ``exact=False`` takes them from sketches, in one pass."""
+    if exact:
+        rows = exact_quantiles(df, by, value_col)
+    else:
+        rows = df.groupBy(*by).agg(F.percentile_approx(value_col, F.array(*map(F.lit, PERCENTILES)), 10_000).alias("p"))
     return rows.select(*by, *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)])
 
 
 def median_and_mad(df: DataFrame, by: list[str], value_col: str, exact: bool = True) -> DataFrame:
-    """Median, median absolute deviation, and that scaled to a deviation; ``exact=False`` uses sketches of bounded memory."""
-    mid = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    med = df.groupBy(*by).agg(mid(F.col(value_col)).alias("median"))
-    away = df.join(med, by).groupBy(*by, "median").agg(mid(F.abs(F.col(value_col) - F.col("median"))).alias("mad"))
-    return away.withColumn("nmad", NORMAL * F.col("mad"))
+    """Median, median absolute deviation, and that scaled to a deviation; ``exact=False`` takes them from sketches."""
+
+    def middle(rows: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
+        if exact:
+            return exact_quantiles(rows, keys, c, (0.5,)).select(*keys, F.col("p")[0].alias(name))
+        return rows.groupBy(*keys).agg(F.percentile_approx(c, 0.5, 10_000).alias(name))
+
+    med = middle(df, by, value_col, "median")
+    away = df.join(med, by).withColumn("__away", F.abs(F.col(value_col) - F.col("median")))
+    return middle(away, [*by, "median"], "__away", "mad").withColumn("nmad", NORMAL * F.col("mad"))
 
 
 def feature_baseline(long: DataFrame, keys: list[str], features: DataFrame, exact: bool = True) -> DataFrame:
     """All statistics of (keys, feature, value) rows, with the scale by which deviations are measured.
 
-    One grouped pass gives moments and percentiles; a second, joined on the median, gives the absolute deviations.
+    Groups may be of any size: exact percentiles are selected by counting, others come from sketches.
     """
     by = [*keys, "feature"]
-    points = F.array(*map(F.lit, PERCENTILES))
-    p = F.percentile("value", points) if exact else F.percentile_approx("value", points, 10_000)
-    first = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), p.alias("p"))
-    away = F.abs(F.col("value") - F.col("median"))
-    second = long.join(first.select(*by, F.col("p")[1].alias("median")), by).groupBy(*by).agg((F.median(away) if exact else F.percentile_approx(away, 0.5, 10_000)).alias("mad"))
-    return _scaled(first.join(second, by).join(features.select("feature", "noise_floor"), "feature"))
+    first = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    if exact:
+        p = exact_quantiles(long, by, "value").drop("n")
+    else:
+        p = long.groupBy(*by).agg(F.percentile_approx("value", F.array(*map(F.lit, PERCENTILES)), 10_000).alias("p"))
+    mad = median_and_mad(long, by, "value", exact).select(*by, "mad")
+    return _scaled(first.join(p, by).join(mad, by).join(features.select("feature", "noise_floor"), "feature"))
+
+
+def oldest(windows: DataFrame, key: str, order_col: str, most: int) -> DataFrame:
+    """The oldest so many windows of each program."""
+    return windows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order_col))).where(F.col("__n") <= most).drop("__n")
 
 
 def wide_baseline(windows: DataFrame, keys: list[str], names: list[str], features: DataFrame, exact: bool = True) -> DataFrame:
     """``feature_baseline`` of wide windows: rows meet once by key for all features, and once more for the deviations.
 
-    ``exact=False`` takes percentiles and deviations from sketches of bounded size, for programs of very many windows.
+    Exact percentiles hold a program's values, so its windows must be bounded (``oldest``); ``exact=False`` takes them from
+    sketches, and ``feature_baseline`` selects exact ones whatever the number of windows.
     """
     points = F.array(*map(F.lit, PERCENTILES))
     pct = (lambda c: F.percentile(c, points)) if exact else (lambda c: F.percentile_approx(c, points, 10_000))
@@ -116,16 +163,31 @@ def _scaled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("effective_scale", F.greatest("nmad", "std", 0.05 * F.abs("median"), "noise_floor"))
 
 
+SKETCH = 400  #: the sketches' size; up to so many values they are exact
+
+
+def new_moments(long: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mean, std, low, high, sketch) of (by, value) rows: what ``updated_baseline`` needs of new windows."""
+    v = F.col("value")
+    return long.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.kll_sketch_agg_double(v, SKETCH).alias("sketch"))
+
+
 def updated_baseline(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Baselines (keys, n, mean, std, low, high, median, noise_floor) brought up to date with moments of new windows.
 
-    Exact but for the median, of which moments know nothing: it is estimated halfway between the old one and the new mean
-    (``median_estimate``), and the scale is the deviation, at least the noise floor. Recompute for the exact ones.
+    Exact but for the median, of which moments know nothing: ``median_estimate`` is halfway between the old one and the
+    mean, and the scale is the deviation, at least the noise floor. With sketches on both sides (column ``sketch``) these
+    are merged, and ``median`` is theirs.
     """
     squares = lambda df: df.withColumn("m2", F.col("std") ** 2 * F.col("n"))
-    rows = combined(squares(old), squares(new), keys).join(old.select(*keys, F.col("median").alias("__median"), "noise_floor"), keys, "left")
+    sketches = "sketch" in old.columns and "sketch" in new.columns
+    rows = combined(squares(old), squares(new), keys).join(old.select(*keys, F.col("median").alias("__median"), "noise_floor", *["sketch"] * sketches), keys, "left")
     floor = F.coalesce("noise_floor", F.lit(1.0))
     rows = rows.withColumns({"std": F.sqrt(F.greatest(F.col("m2"), F.lit(0.0)) / F.col("n")), "median_estimate": (F.col("mean") + F.coalesce("__median", "mean")) / 2})
+    if sketches:
+        rows = rows.join(new.select(*keys, F.col("sketch").alias("__new")), keys, "left")
+        both = F.when(F.col("sketch").isNull(), F.col("__new")).when(F.col("__new").isNull(), F.col("sketch")).otherwise(F.kll_sketch_merge_double("sketch", "__new"))
+        rows = rows.withColumn("sketch", both).withColumn("median", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5))).drop("__new")
     return rows.withColumn("effective_scale", F.greatest(F.col("std"), floor)).drop("m2", "__median", "noise_floor")
 
 
@@ -166,9 +228,7 @@ def build_profiles(windows: DataFrame, features: DataFrame, key: str = "profile_
     if as_of is not None:
         clean = clean.where(F.col(order_col) <= as_of)
     if max_windows is not None:
-        from pyspark.sql import Window as W
-
-        clean = clean.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order_col))).where(F.col("__n") <= max_windows).drop("__n")
+        clean = oldest(clean, key, order_col, max_windows)
     seen = clean.groupBy(key).agg(
         F.count("*").alias("observations"), F.count_distinct(instance_col).alias("instances"), F.min(order_col).alias("period_start"), F.max(order_col).alias("period_end"),
         typical_events({k: F.sum(c) for k, c in typical.items()}).alias("typical"),

@@ -12,17 +12,25 @@ CATEGORY_WEIGHTS = {"security": 1.2, "syscall": 0.8, "resource": 0.6, "network":
 
 
 def robust_deviation(long: DataFrame, baselines: DataFrame, features: DataFrame, key: str = "profile_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Per window and feature: robust score, classic score, whether it deviates, and the risk of an upward deviation."""
+    """Per window and feature: robust score and classic score (2 digits), whether it deviates, and the risk of an upward
+    deviation, which is that of the rounded score; whether it deviates is decided before rounding."""
     rows = long.join(baselines.select(key, "feature", "median", "mean", "std", "high", "effective_scale", "maturity", "confidence"), [key, "feature"])
     rows = rows.join(features, "feature")
     scale = F.when(F.col("effective_scale") <= TINY, F.col("noise_floor")).otherwise(F.col("effective_scale"))
-    rows = rows.withColumn("robust_score", (F.col("value") - F.col("median")) / scale)
-    rows = rows.withColumn("z_classic", (F.col("value") - F.col("mean")) / F.when(F.col("std") > TINY, F.col("std")).otherwise(scale))
-    rows = rows.withColumn("is_deviant", F.col("robust_score") >= threshold - 1e-9)  # a score of just the threshold counts, however it was rounded
+    score = (F.col("value") - F.col("median")) / scale
+    rows = rows.withColumns({
+        "is_deviant": score >= threshold - 1e-9,  # a score of just the threshold counts, however it came out
+        "robust_score": two_digits(score), "z_classic": two_digits((F.col("value") - F.col("mean")) / F.when(F.col("std") > TINY, F.col("std")).otherwise(scale)),
+    })
     risk = F.least(F.lit(40.0), (F.col("robust_score") - threshold + 1) * 10 * F.col("weight"))
     return rows.withColumn("feature_risk", F.when(F.col("is_deviant") & (F.col("value") > F.col("median")), risk).otherwise(0.0))
 
 
+def two_digits(x: Column) -> Column:
+    """Rounded to two digits; the small addend takes halves up, however they came out."""
+    return F.round(x + F.when(x < 0, -1e-9).otherwise(1e-9), 2)
+
+
 def category_risk(deviations: DataFrame, keys: list[str]) -> DataFrame:
     """Highest risk of each category of a window, and how many features deviate."""
     best = [F.max(F.when(F.col("category") == c, F.col("feature_risk")).otherwise(0.0)).alias(f"risk_{c}") for c in CATEGORY_WEIGHTS]

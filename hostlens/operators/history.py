@@ -48,8 +48,38 @@ def search(df: DataFrame, columns: list[str], needle: str) -> DataFrame:
 
 
 def interval_join(events: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Each event with the spans of its key that it falls into; an open end lasts for ever. An equi-join with a range test."""
-    return events.join(spans, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.coalesce(F.col(end), F.lit(2**62))))
+    """Each event with the spans of its key that it falls into; an open end lasts for ever. Times are whole numbers.
+
+    Spans are sorted into bins as wide as they are long, to the next power of two, so each lies in one or two; an event
+    looks into one bin of each width in use (at most 64). So a key that was used ten thousand times, one after another,
+    isn't all its spans times all its events: a bin holds no more spans than can be there at about one time.
+    """
+    length = F.col(end) - F.col(start)
+    level = F.when(F.col(end).isNull(), 63).otherwise(F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int"))
+    # Open spans have one bin for all times. A bin of level n is n bits of time wide.
+    bin_of = lambda c, n: F.when(n == 63, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", c.cast("long"), n))
+    rows = spans.where(F.col(end).isNull() | (length > 0)).withColumn("__level", level)
+    rows = rows.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(F.col(start), F.col("__level")), bin_of(F.coalesce(F.col(end), F.lit(0)) - 1, F.col("__level"))))))
+    levels = sorted(r[0] for r in rows.select("__level").distinct().collect())
+    looks = events.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    looks = looks.withColumn("__bin", bin_of(F.col(at), F.col("__level")))
+    return looks.join(rows, [*keys, "__level", "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.coalesce(F.col(end), F.lit(2**62)))).drop("__level", "__bin")
+
+
+def connection_events(seen: DataFrame, keys: list[str], snapshot: str, forget: int | None = None) -> DataFrame:
+    """Sightings of connections as events: CONNECT where one is first seen, STATUS each time after that.
+
+    One that was gone and is back is still known, unless it was missing from more than ``forget`` snapshots.
+    """
+    rows = seen.distinct()
+    if forget is None:
+        first = rows.groupBy(*keys).agg(F.min(snapshot).alias("__first"))
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        rows = rows.join(first.withColumnsRenamed({k: f"__{k}" for k in keys}), same).withColumn("new", F.col(snapshot) == F.col("__first"))
+    else:
+        before = F.lag(snapshot).over(W.partitionBy(*keys).orderBy(snapshot))
+        rows = rows.withColumn("__before", before).withColumn("new", F.col("__before").isNull() | (F.col(snapshot) - F.col("__before") > forget + 1))
+    return rows.select(*seen.columns, F.when(F.col("new"), "CONNECT").otherwise("STATUS").alias("change"))
 
 
 def instance_metrics(windows: DataFrame, by: str = "instance_id", start_col: str = "start_s", end_col: str = "end_s") -> DataFrame:

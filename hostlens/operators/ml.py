@@ -82,10 +82,10 @@ def isolation_forest(normal: DataFrame, id_col: str, vector_col: str, trees: int
     """
     total = normal.count()
     share = min(1.0, 2.0 * sample / max(1, total))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = normal.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), tree)
-    key = F.xxhash64("id", "tree", F.lit(seed))
-    rows = rows.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).withColumn("key", key)
+    rows = normal.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Only the trees that draw a row get a copy of it.
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    rows = rows.select("*", F.explode(drawn).alias("tree")).withColumn("key", F.xxhash64("id", "tree", F.lit(seed)))
 
     def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, k[0]])
@@ -158,8 +158,25 @@ def acceptance(candidate: DataFrame, baseline: DataFrame, keys: list[str], min_r
     return rows.withColumns({"reasons": reasons, "accepted": F.size(reasons) == 0})
 
 
-def validate(df: DataFrame, features: list[str], label_col: str | None = "label") -> DataFrame:
-    """One row of counts by which training data is judged: rows, missing columns, bad labels, nulls, NaN or infinite values, repeated rows."""
+# Columns of a collector's own events, of which no two are in a feature matrix.
+COLLECTOR_COLUMNS = "event_id instance_id event_type syscall_category comm ts_epoch tid"
+
+
+def foreign_columns(columns: list[str], tokens: str | None = None) -> tuple[list[str], list[str]]:
+    """Columns of collector events, and ``sc_`` columns whose tokens are of another kind than ``tokens`` ("numbers" or "names")."""
+    raw = [c for c in columns if c in COLLECTOR_COLUMNS.split()]
+    number = lambda c: c[3:].split("_")[0].isdigit()
+    mixed = [c for c in columns if c.startswith("sc_") and tokens is not None and number(c) != (tokens == "numbers")]
+    return raw, mixed
+
+
+def validate(df: DataFrame, features: list[str], label_col: str | None = "label", tokens: str | None = None) -> DataFrame:
+    """One row of counts by which training data is judged: rows, missing columns, bad labels, nulls, NaN or infinite values, repeated rows.
+
+    ``raw_columns`` counts columns of collector events, which must be made features first, and ``mixed_columns`` those of
+    another data set's schema; ``usable`` is false with two raw columns, a mixed one, or without rows.
+    """
+    raw, mixed = foreign_columns(df.columns, tokens)
     have = [f for f in features if f in df.columns]
     number = [F.col(f).try_cast("double") for f in have]
     null = sum((F.when(F.col(f).isNull(), 1).otherwise(0) for f in have), F.lit(0))
@@ -170,6 +187,7 @@ def validate(df: DataFrame, features: list[str], label_col: str | None = "label"
     return df.agg(
         F.count("*").alias("rows"), F.lit(len(features) - len(have)).alias("missing_features"), F.count_if(label.isNull() | ~label.isin(0.0, 1.0)).alias("bad_labels"), F.coalesce(F.sum(null), F.lit(0)).alias("nulls"),
         F.coalesce(F.sum(odd), F.lit(0)).alias("not_finite"), F.coalesce(F.sum(text), F.lit(0)).alias("not_numeric"), (F.count("*") - F.count_distinct(key)).alias("repeated_rows"), F.count_distinct(label).alias("classes"),
+        F.lit(len(raw)).alias("raw_columns"), F.lit(len(mixed)).alias("mixed_columns"), ((F.count("*") > 0) & F.lit(len(raw) < 2 and not mixed)).alias("usable"),
     )
 
 
@@ -212,7 +230,7 @@ def retrain(rows: DataFrame, features: list[str], id_col: str, label_col: str, f
     train, test = split.where("is_train"), split.where("not is_train")
     found = validate(rows, features, label_col).head()
     entry = {"run_no": number, "dataset": dataset, "model": "boosted", "action": "train", "status": "INVALID", "path": "", "rows": found["rows"], "n_train": train.count(), "n_test": test.count(), "reasons": []}
-    if found["bad_labels"] + found["nulls"] + found["not_finite"] + found["not_numeric"] + found["missing_features"] == 0 and found["rows"] > 0:
+    if found["bad_labels"] + found["nulls"] + found["not_finite"] + found["not_numeric"] + found["missing_features"] == 0 and found["usable"]:
         model = train_boosted(train, features, label_col, trees, depth, step)
         path = f"{folder}/models/{number}"
         model.write().overwrite().save(path)

@@ -1,12 +1,15 @@
-"""Retention: what each table keeps. All are anti-joins that null keys can't empty; nothing is deleted in place."""
+"""Retention: what each table keeps, by anti-joins that null keys can't empty, and expiry from tables by date."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.sources import sinks
+
 DAY = 86_400
 
 
@@ -75,3 +78,33 @@ def expired_processes(processes: DataFrame, left: list[DataFrame], policy: Polic
 
 def kept(df: DataFrame, expired: DataFrame, key: list[str]) -> DataFrame:
     return df.join(expired.select(*key).distinct(), key, "left_anti")
+
+
+def expire_table(spark: SparkSession, path: str, cutoff: int, expired: Callable[[DataFrame], DataFrame], part: str = "date", dry_run: bool = False) -> DataFrame:
+    """Expire rows of a table that is partitioned by a date, the day (or the month, year) of the rows' times.
+
+    Only partitions up to the cutoff's date are read. ``expired`` takes their rows and gives those to go, with all columns.
+    Partitions of which nothing stays are dropped, those of which some rows go are written again, and all others are
+    left alone. Returns (part, n_rows, n_expired) of the partitions that were read, as they were before.
+    """
+    last = spark.range(1).select(F.to_date(F.timestamp_seconds(F.lit(cutoff)))).head()[0]
+    old = spark.read.parquet(path).where(F.col(part) <= F.lit(last))
+    gone = expired(old)
+    names = [c for c in old.columns if c != part]
+    counts = old.groupBy(part).agg(F.count("*").alias("n_rows")).join(gone.groupBy(part).agg(F.count("*").alias("n_expired")), part, "left").na.fill(0, ["n_expired"])
+    counts = sinks.stored(counts)
+    if dry_run:
+        return counts
+    dates = counts.where("n_expired > 0").collect()  # one row for each date that loses rows
+    some = [r[part] for r in dates if r["n_expired"] < r["n_rows"]]
+    if some:
+        # Rows that are alike are told apart by their number.
+        counted = lambda df, name: df.where(F.col(part).isin(some)).groupBy(*names, part).agg(F.count("*").alias(name))
+        left, out = counted(old, "__times"), counted(gone, "__times_gone").withColumnsRenamed({c: f"__of_{c}" for c in [*names, part]})
+        rows = left.join(out, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in [*names, part]], "left").withColumn("__times", F.col("__times") - F.coalesce("__times_gone", F.lit(0)))
+        rows = rows.where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+        sinks.replace_partitions(rows.select(*names, part), path, part)
+    for r in dates:
+        if r["n_expired"] == r["n_rows"]:
+            sinks.removed(spark, f"{path}/{part}={r[part]}")
+    return counts

@@ -7,68 +7,90 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def behaviour_windows(events: DataFrame, by: list[str], ts_col: str, length: str, kind_col: str, value_col: str, item_col: str, sensitive: str, watermark: str | None = None) -> DataFrame:
-    """Tumbling windows of events: counts by kind, distinct items, resource gauges. Works on streams with a watermark.
+#: What a window keeps of the gauges of a process: the last value seen.
+GAUGES = ("cpu_usage", "memory_rss_bytes", "memory_vms_bytes", "memory_percent", "num_threads", "num_fds")
+SUMMED = ("bytes_read", "bytes_written", "tcp_tx_bytes", "tcp_rx_bytes", "udp_tx_bytes", "disk_read_bytes", "disk_write_bytes", "ctx_switches_voluntary", "ctx_switches_involuntary")
+KINDS = {"file_open_count": "file_open", "file_open_write_count": "file_open_write", "file_create_count": "file_create", "file_delete_count": "file_delete", "file_rename_count": "file_rename", "net_connect_count": "net_connect", "net_accept_count": "net_accept", "child_process_count": "child_process", "thread_create_count": "thread_create", "exec_count": "exec"}
+CATEGORIES = ("file", "network", "process", "memory", "ipc", "other")
+
+
+def _tagged(rows: DataFrame, by: list[str], ts_col: str, length: str, watermark: str | None, tags: list[tuple[Column, str, Column]]) -> DataFrame:
+    """Rows by key and window ``__w``, each once for every item to be told apart (``__what``, ``__item``), ``__main`` once.
 
-    Distinct counts on a stream use the size of a bounded set of the window's values.
+    What is grouped by these too, and then by key and window alone, has each different item in one row: distinct counts
+    need neither sets nor a copy of the rows for each of them, and work on streams.
     """
     ts = F.col(ts_col).cast("timestamp")
     if watermark:
-        events = events.withColumn(ts_col, ts).withWatermark(ts_col, watermark)
-    distinct = (lambda c: F.size(F.collect_set(c)).cast("long")) if watermark else F.count_distinct
-    kind = F.col(kind_col)
-    grouped = events.groupBy(*by, F.window(F.col(ts_col) if watermark else ts, length).alias("w")).agg(
-        F.count("*").alias("syscall_count"), distinct(kind).alias("distinct_syscalls"), F.count_if(kind == sensitive).alias("syscalls_sensitive"),
-        distinct(F.col(item_col)).alias("unique_files"), F.avg(value_col).alias("cpu_usage"), F.max(value_col).alias("memory_usage"),
-    )
-    return grouped.withColumns({"start": F.col("w.start"), "end": F.col("w.end")}).drop("w")
+        rows = rows.withColumn(ts_col, ts).withWatermark(ts_col, watermark)
+        ts = F.col(ts_col)
+    none = F.struct(F.lit("").alias("what"), F.lit(None).cast("string").alias("item"))
+    found = F.array_compact(F.array(*[F.when(cond & item.isNotNull(), F.struct(F.lit(what).alias("what"), item.cast("string").alias("item"))) for cond, what, item in tags]))
+    rows = rows.select("*", F.window(ts, length).alias("__w"), F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(none))).alias("__at", "__tag"))
+    return rows.select("*", F.col("__tag.what").alias("__what"), F.col("__tag.item").alias("__item"), (F.col("__at") == 0).alias("__main")).drop("__at", "__tag")
 
 
-#: What a window keeps of the gauges of a process: the last value seen.
-GAUGES = ("cpu_usage", "memory_rss_bytes", "memory_vms_bytes", "memory_percent", "num_threads", "num_fds")
-SUMMED = ("bytes_read", "bytes_written", "tcp_tx_bytes", "tcp_rx_bytes", "udp_tx_bytes", "disk_read_bytes", "disk_write_bytes", "ctx_switches_voluntary", "ctx_switches_involuntary")
-KINDS = {"file_open_count": "file_open", "file_open_write_count": "file_open_write", "file_create_count": "file_create", "file_delete_count": "file_delete", "file_rename_count": "file_rename", "net_connect_count": "net_connect", "net_accept_count": "net_accept", "child_process_count": "child_process", "thread_create_count": "thread_create", "exec_count": "exec"}
-CATEGORIES = ("file", "network", "process", "memory", "ipc", "other")
+def _in_window(by: list[str], length: str, watermark: str | None) -> list:
+    return [*by, F.window(F.window_time("__w"), length).alias("__v") if watermark else F.col("__w").alias("__v")]
 
 
-def process_windows(events: DataFrame, by: list[str], ts_col: str = "ts", length: str = "5 seconds") -> DataFrame:
+def process_windows(events: DataFrame, by: list[str], ts_col: str = "ts", length: str = "5 seconds", watermark: str | None = None) -> DataFrame:
     """Behaviour windows of process instances with all their metrics, one row per instance and window that holds events.
 
     Events have a ``kind`` (syscall, file_open, file_open_write, file_create, file_delete, file_rename, net_connect,
     net_accept, child_process, thread_create, exec), and where it applies syscall, category, sensitive, is_read, is_write,
-    path, dest_ip, dest_port, SUMMED, GAUGES, exited, label. Missing columns count as null.
+    path, dest_ip, dest_port, SUMMED, GAUGES, exited, label, process_start. Missing columns count as null. A window
+    doesn't start before its process. With a ``watermark`` events are a stream, and windows come when they are closed.
     """
     have = lambda c, kind: F.col(c) if c in events.columns else F.lit(None).cast(kind)
-    ts, kind = F.col(ts_col).cast("timestamp"), F.col("kind")
+    kind = F.col("kind")
     call = kind == "syscall"
     true = lambda c: F.coalesce(have(c, "boolean"), F.lit(False))
-    distinct = lambda c, when: F.count_distinct(F.when(when, have(c, "string")))
-    last = lambda c, k="double": F.max_by(have(c, k), F.when(have(c, k).isNotNull(), F.struct(ts, *[F.col(x) for x in ("event_id",) if x in events.columns])))
-    grouped = events.groupBy(*by, F.window(ts, length).alias("__w")).agg(
-        F.count_if(call).alias("syscall_count"), *[F.count_if(call & (F.coalesce(have("category", "string"), F.lit("other")) == c)).alias(f"syscalls_{c}") for c in CATEGORIES],
-        F.count_if(call & true("sensitive")).alias("syscalls_sensitive"), distinct("syscall", call).alias("distinct_syscalls"), F.count_if(call & true("is_read")).alias("file_read_count"), F.count_if(call & true("is_write")).alias("file_write_count"),
-        *[F.count_if(kind == k).alias(name) for name, k in KINDS.items()], distinct("path", kind.startswith("file_")).alias("unique_files"), distinct("dest_ip", kind.startswith("net_")).alias("unique_dest_ips"), distinct("dest_port", kind.startswith("net_")).alias("unique_dest_ports"),
-        *[F.coalesce(F.sum(have(c, "long")), F.lit(0)).alias(c) for c in SUMMED], *[F.coalesce(last(c), F.lit(0.0)).alias(c) for c in GAUGES],
-        (1 - F.max(true("exited").cast("int"))).alias("alive_at_end"), last("label", "string").alias("label"), F.count("*").alias("events_received"),
+    file, net = kind.startswith("file_"), kind.startswith("net_")
+    rows = _tagged(events, by, ts_col, length, watermark, [(call, "syscall", have("syscall", "string")), (file, "path", have("path", "string")), (net, "ip", have("dest_ip", "string")), (net, "port", have("dest_port", "string"))])
+    main, order = F.col("__main"), [F.col(ts_col).cast("timestamp").alias("at"), *[F.col(x) for x in ("event_id",) if x in events.columns]]
+    last = lambda c, k="double": F.max(F.when(main & have(c, k).isNotNull(), F.struct(*order, have(c, k).alias("x")))).alias(c)
+    counts = {
+        "syscall_count": call, **{f"syscalls_{c}": call & (F.coalesce(have("category", "string"), F.lit("other")) == c) for c in CATEGORIES}, "syscalls_sensitive": call & true("sensitive"),
+        "file_read_count": call & true("is_read"), "file_write_count": call & true("is_write"), **{name: kind == k for name, k in KINDS.items()}, "events_received": F.lit(True),
+    }
+    lasts = {**dict.fromkeys(GAUGES, "double"), "label": "string"}
+    parts = rows.groupBy(*by, "__w", "__what", "__item").agg(
+        *[F.count_if(main & when).alias(c) for c, when in counts.items()], *[F.sum(F.when(main, have(c, "long"))).alias(c) for c in SUMMED], *[last(c, k) for c, k in lasts.items()],
+        F.max(true("exited").cast("int")).alias("exited"), F.min(have("process_start", "timestamp")).alias("process_start"),
     )
-    more = {"network_count": F.col("net_connect_count") + F.col("net_accept_count"), "memory_usage": F.round(F.col("memory_rss_bytes") / 1_048_576, 3), "start_time": F.col("__w.start"), "end_time": F.col("__w.end")}
-    return grouped.withColumns(more).withColumn("duration_s", (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6).drop("__w")
-
-
-def feature_windows(events: DataFrame, name_col: str = "process_name", ts_col: str = "ts", length: str = "60 seconds") -> DataFrame:
-    """Feature windows of process names with their 13 metrics, from flat events; events without a name don't count."""
-    kind, n = F.col("event_type"), F.count_if
-    file, net = kind.startswith("FILE_"), kind.isin("NETWORK_CONNECT", "NETWORK_STATUS")
-    of = lambda c, k: F.when(k, F.nullif(F.col(c).cast("string"), F.lit("")))
-    mean = lambda c: F.coalesce(F.avg(F.when(kind == "PROCESS_METRIC", F.col(c))), F.lit(0.0))
-    sent = kind == "NETWORK_STATUS_BYTES"
-    total = lambda c: F.coalesce(F.sum(F.when(sent, F.col(c))), F.lit(0))
-    grouped = events.where(F.coalesce(name_col, F.lit("")) != "").groupBy(name_col, F.window(F.col(ts_col).cast("timestamp"), length).alias("__w")).agg(
-        n(kind == "SYSCALL").alias("syscall_count"), n(file).alias("file_event_count"), n(net).alias("network_connection_count"), n(kind == "PROCESS_START").alias("child_process_count"), mean("cpu_percent").alias("cpu_mean"), mean("memory_percent").alias("memory_mean"),
-        F.lit(0).alias("disk_read_bytes"), F.lit(0).alias("disk_write_bytes"), total("network_bytes_sent").alias("network_bytes_sent"), total("network_bytes_received").alias("network_bytes_received"),
-        F.count_distinct(of("dst_ip", net)).alias("unique_destinations"), F.count_distinct(of("dst_port", net)).alias("unique_ports"), F.count_distinct(of("file_path", file)).alias("unique_files"),
+    distinct = lambda what: F.count_if(F.col("__what") == what)
+    windows = parts.groupBy(*_in_window(by, length, watermark)).agg(
+        *[F.sum(c).alias(c) for c in counts], distinct("syscall").alias("distinct_syscalls"), distinct("path").alias("unique_files"), distinct("ip").alias("unique_dest_ips"), distinct("port").alias("unique_dest_ports"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMMED], *[F.max(c).alias(c) for c in lasts], (1 - F.max("exited")).alias("alive_at_end"), F.min("process_start").alias("process_start"),
     )
-    return grouped.withColumns({"start_time": F.col("__w.start"), "end_time": F.col("__w.end")}).drop("__w")
+    windows = windows.withColumns({**{c: F.coalesce(F.col(f"{c}.x"), F.lit(0.0)) for c in GAUGES}, "label": F.col("label.x"), "network_count": F.col("net_connect_count") + F.col("net_accept_count")})
+    windows = windows.withColumns({"memory_usage": F.round(F.col("memory_rss_bytes") / 1_048_576, 3), "end_time": F.col("__v.end"), "duration_s": (F.unix_micros("__v.end") - F.unix_micros("__v.start")) / 1e6})
+    return windows.withColumn("start_time", F.greatest("__v.start", F.coalesce("process_start", "__v.start"))).drop("__v", "process_start")
+
+
+def feature_windows(events: DataFrame, name_col: str = "process_name", ts_col: str = "ts", length: str = "60 seconds", watermark: str | None = None) -> DataFrame:
+    """Feature windows of process names with their 13 metrics, from flat events; events without a name don't count.
+
+    With a ``watermark`` events are a stream, and windows come when they are closed.
+    """
+    kind = F.col("event_type")
+    file, net, metric, sent = kind.startswith("FILE_"), kind.isin("NETWORK_CONNECT", "NETWORK_STATUS"), kind == "PROCESS_METRIC", kind == "NETWORK_STATUS_BYTES"
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    rows = _tagged(events.where(F.coalesce(name_col, F.lit("")) != ""), [name_col], ts_col, length, watermark, [(net, "ip", text("dst_ip")), (net, "port", text("dst_port")), (file, "path", text("file_path"))])
+    main = F.col("__main")
+    counts = {"syscall_count": kind == "SYSCALL", "file_event_count": file, "network_connection_count": net, "child_process_count": kind == "PROCESS_START"}
+    sums = {"network_bytes_sent": sent, "network_bytes_received": sent, "cpu_percent": metric, "memory_percent": metric}
+    parts = rows.groupBy(name_col, "__w", "__what", "__item").agg(
+        *[F.count_if(main & when).alias(c) for c, when in counts.items()], *[F.sum(F.when(main & when, F.col(c))).alias(c) for c, when in sums.items()], *[F.count(F.when(main & metric, F.col(c))).alias(f"n_{c}") for c in ("cpu_percent", "memory_percent")],
+    )
+    mean = lambda c: F.coalesce(F.sum(c) / F.nullif(F.sum(f"n_{c}"), F.lit(0)), F.lit(0.0))
+    distinct = lambda what: F.count_if(F.col("__what") == what)
+    windows = parts.groupBy(*_in_window([name_col], length, watermark)).agg(
+        *[F.sum(c).alias(c) for c in counts], mean("cpu_percent").alias("cpu_mean"), mean("memory_percent").alias("memory_mean"), F.lit(0).alias("disk_read_bytes"), F.lit(0).alias("disk_write_bytes"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("network_bytes_sent", "network_bytes_received")], distinct("ip").alias("unique_destinations"), distinct("port").alias("unique_ports"), distinct("path").alias("unique_files"),
+    )
+    return windows.withColumns({"start_time": F.col("__v.start"), "end_time": F.col("__v.end")}).drop("__v")
 
 
 def before(by: list[str], order: list[str]) -> W:
@@ -133,9 +155,32 @@ LIVE = {"cpu": (2.0, 4.0), "mem": (25.0, 25.0), "syscalls": (50.0, 60.0)}
 NOISE_CAP = 1.5
 
 
-def live_deviation(df: DataFrame, by: list[str], order: list[str], two_sided: bool = True, cut: Column | None = None) -> DataFrame:
-    """Score of cpu, mem and syscalls against all earlier rows of the program; 0 until there are three. ``cut``: see ``earlier_moments``."""
+def live_moments(df: DataFrame, by: str) -> DataFrame:
+    """(by, metric, n, mean, m2, low, high) of the live metrics, and of ``__row``, which counts rows."""
+    rows = df.withColumn("__row", F.lit(1)).select(by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in (*LIVE, "__row")])).alias("v")).select(by, "v.*")
+    return rows.groupBy(by, "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def after_known(rows: DataFrame, known: DataFrame, by: str, cols: list[str]) -> DataFrame:
+    """Bring the columns of ``earlier_moments`` up to date with moments known from before: (by, metric, n, mean, m2)."""
+    wide = known.groupBy(by).agg(*[F.max(F.when(F.col("metric") == c, F.struct("n", "mean", "m2"))).alias(f"__known_{c}") for c in cols]).withColumnRenamed(by, "__by")
+    both = rows.join(wide, F.col(by).eqNullSafe(F.col("__by")), "left")
+    out: dict[str, Column] = {}
+    for c in cols:
+        n1, n2 = F.coalesce(f"__known_{c}.n", F.lit(0)), F.col(f"__n_{c}")
+        mean1, mean2 = F.coalesce(f"__known_{c}.mean", F.lit(0.0)), F.coalesce(f"__mean_{c}", F.lit(0.0))
+        n, gap = n1 + n2, mean2 - mean1
+        m2 = F.coalesce(f"__known_{c}.m2", F.lit(0.0)) + F.coalesce(F.col(f"__std_{c}") ** 2 * (n2 - 1), F.lit(0.0)) + F.when((n1 > 0) & (n2 > 0), gap * gap * n1 * n2 / n).otherwise(0.0)
+        out |= {f"__n_{c}": n, f"__mean_{c}": F.when(n > 0, mean1 + F.when(n2 > 0, gap * n2 / n).otherwise(0.0)), f"__std_{c}": F.when(n > 1, F.sqrt(m2 / (n - 1)))}
+    return both.withColumns(out).select(*rows.columns)
+
+
+def live_deviation(df: DataFrame, by: list[str], order: list[str], two_sided: bool = True, cut: Column | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Score of cpu, mem and syscalls against all earlier rows of the program; 0 until there are three. ``cut``: see
+    ``earlier_moments``. ``known`` has the moments of rows before these, as from ``live_moments`` (one key only)."""
     rows = earlier_moments(df.withColumn("__row", F.lit(1)), by, order, [*LIVE, "__row"], cut)
+    if known is not None:
+        rows = after_known(rows, known, by[0], [*LIVE, "__row"])
     n = F.col("__n___row")
     out: dict[str, Column] = {}
     for m, (floor, band) in LIVE.items():
@@ -169,9 +214,9 @@ def last_tokens(df: DataFrame, by: list[str], order: list[str], token_col: str,
     return df.withColumn("recent", F.collect_list(token_col).over(w))
 
 
-def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first in the given order."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
+def latest(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    """The first n rows of each key in the given order."""
+    return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
 def label_in_force(rows: DataFrame, labels: DataFrame, by: list[str], ts_col: str, label_col: str = "label") -> DataFrame:

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.operators import baseline
+
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -23,26 +25,37 @@ def secs(c: str) -> F.Column:
     return F.unix_seconds(F.col(c).cast("timestamp"))
 
 
-#: Daily behaviour windows of programs (users), with the features that the events give.
-WINDOWS_SQL = """win AS (SELECT user_id AS profile_id, CAST(ts AS DATE) AS day, count(*) AS syscall_count, count(DISTINCT event_type) AS distinct_syscalls,
-count(*) FILTER (event_type IN ('click', 'view')) AS syscalls_file, count(*) FILTER (event_type = 'purchase') AS syscalls_network,
-count(*) FILTER (event_type = 'signup') AS syscalls_process, count(*) FILTER (event_type = 'error') AS syscalls_other, count(*) FILTER (event_type = 'error') AS syscalls_sensitive,
-count(DISTINCT regexp_extract(props, '[0-9]+')) AS unique_files, avg(value) AS cpu_usage, max(value) AS memory_usage,
+#: The features of a daily behaviour window of a program (a user), as text that both engines read: events that count ...
+COUNTED = {
+    "syscalls_file": "event_type IN ('click', 'view')", "syscalls_network": "event_type = 'purchase'", "syscalls_process": "event_type = 'signup'", "syscalls_memory": "event_id % 11 = 0", "syscalls_ipc": "event_id % 13 = 0",
+    "syscalls_other": "event_type = 'error'", "syscalls_sensitive": "event_type = 'error'", "file_read_count": "event_type = 'view'", "file_write_count": "event_type = 'click' AND value > 50", "file_open_count": "event_type IN ('click', 'view') AND value > 20",
+    "file_open_write_count": "event_type = 'click' AND value > 80", "file_create_count": "event_type = 'view' AND value > 100", "file_delete_count": "event_type = 'view' AND value > 150", "file_rename_count": "event_type = 'view' AND value < 5",
+    "network_count": "event_type IN ('purchase', 'signup')", "net_connect_count": "event_type = 'purchase' AND value > 10", "net_accept_count": "event_type = 'signup' AND value > 10", "child_process_count": "event_type = 'signup' AND event_id % 2 = 0",
+    "thread_create_count": "event_type = 'signup' AND event_id % 3 = 0", "exec_count": "event_type = 'signup' AND value > 60",
+}
+#: ... what is added up ...
+ADDED = {
+    "bytes_read": "CASE WHEN event_type = 'view' THEN value * 1000 ELSE 0 END", "bytes_written": "CASE WHEN event_type = 'click' THEN value * 1000 ELSE 0 END", "tcp_tx_bytes": "value * 512", "tcp_rx_bytes": "event_id % 1000", "udp_tx_bytes": "event_id % 97 * 100",
+    "disk_read_bytes": "event_id % 31 * 4096", "disk_write_bytes": "event_id % 37 * 4096", "ctx_switches_voluntary": "event_id % 41", "ctx_switches_involuntary": "event_id % 7", "duration_s": "5",
+}
+#: ... and gauges, of which the highest counts.
+HIGHEST = {"memory_usage": "value", "memory_rss_bytes": "value * 4096", "memory_vms_bytes": "value * 8192", "memory_percent": "value / 4", "num_threads": "event_id % 19", "num_fds": "event_id % 53"}
+DISTINCT = {"distinct_syscalls": ("event_type",) * 2, "unique_files": ("regexp_extract(props, '[0-9]+', 0)", "regexp_extract(props, '[0-9]+')"), "unique_dest_ips": ("event_id % 9",) * 2, "unique_dest_ports": ("event_id % 5",) * 2}
+MADE = {"syscall_count": "count(*)", "cpu_usage": "avg(value)", **{f: f"sum(CASE WHEN {x} THEN 1 ELSE 0 END)" for f, x in COUNTED.items()}, **{f: f"sum(CAST(floor({x}) AS BIGINT))" for f, x in ADDED.items()}, **{f: f"max({x})" for f, x in HIGHEST.items()}}
+FEATURES = tuple(baseline.REGISTRY)
+WINDOWS_SQL = f"""win AS (SELECT user_id AS profile_id, CAST(ts AS DATE) AS day, {', '.join(f"({x})::{'DOUBLE' if f in ('cpu_usage', *HIGHEST) else 'BIGINT'} AS {f}" for f, x in MADE.items())}, {', '.join(f'count(DISTINCT {x[1]}) AS {f}' for f, x in DISTINCT.items())},
 max(CASE WHEN event_type = 'error' AND value > 150 THEN 1 ELSE 0 END) AS label_binary FROM events GROUP BY 1, 2)"""
-FEATURES = ("syscall_count", "distinct_syscalls", "syscalls_file", "syscalls_network", "syscalls_process", "syscalls_other", "syscalls_sensitive", "unique_files", "cpu_usage", "memory_usage")
 LONG_SQL = WINDOWS_SQL + ", long AS (" + " UNION ALL ".join(f"SELECT profile_id, day, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM win" for f in FEATURES) + ")"
 
 
 def daily_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events")
-    n = lambda cond: F.count_if(cond)
-    kind = F.col("event_type")
-    return e.groupBy(F.col("user_id").alias("profile_id"), F.to_date("ts").alias("day")).agg(
-        F.count("*").alias("syscall_count"), F.count_distinct("event_type").alias("distinct_syscalls"),
-        n(kind.isin("click", "view")).alias("syscalls_file"), n(kind == "purchase").alias("syscalls_network"), n(kind == "signup").alias("syscalls_process"),
-        n(kind == "error").alias("syscalls_other"), n(kind == "error").alias("syscalls_sensitive"),
-        F.count_distinct(F.regexp_extract("props", "[0-9]+", 0)).alias("unique_files"), F.avg("value").alias("cpu_usage"), F.max("value").alias("memory_usage"),
-        F.max(F.when((kind == "error") & (F.col("value") > 150), 1).otherwise(0)).alias("label_binary"),
+    """Daily windows with all features of the registry. Items to be told apart are in one row each before they are counted."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("profile_id"), F.to_date("ts").alias("day"), "*")
+    aggs = {f: F.expr(x) for f, x in MADE.items()}
+    counts = {f: F.size(F.collect_set(F.expr(x))).cast("long") for f, (x, _) in DISTINCT.items()}  # few different values a day
+    return e.groupBy("profile_id", "day").agg(
+        *[x.cast("double" if f in HIGHEST else "long" if f != "cpu_usage" else "double").alias(f) for f, x in aggs.items()], *[x.alias(f) for f, x in counts.items()],
+        F.max(F.expr("CASE WHEN event_type = 'error' AND value > 150 THEN 1 ELSE 0 END")).alias("label_binary"),
     )
 
 

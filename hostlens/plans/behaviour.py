@@ -10,6 +10,7 @@ from hostlens.operators import deviation as D
 from hostlens.operators import risk as R
 from hostlens.operators import windows as Wn
 from hostlens.plans._bind import FEATURES, LONG_SQL, PROC_SQL, WINDOWS_SQL, Query, daily_windows, processes, secs, t
+from hostlens.sources.sinks import stored
 
 Q: dict[str, Query] = {}
 
@@ -41,14 +42,13 @@ CASE WHEN abs(z) >= 3 THEN 'ANOMALOUS' WHEN abs(z) >= 2 THEN 'SUSPICIOUS' ELSE '
 
 
 # W4 and the live scoring chain ----------------------------------------------------------------------------------------
-def live(spark, d):
-    e = t(spark, d, "events")
+def live(e):
     return e.select("event_id", "ts", F.col("user_id").alias("pid"), F.col("event_type").alias("comm"), F.col("value").alias("cpu"), (F.col("value") * 2).alias("mem"), F.floor(F.col("value") * 10).cast("double").alias("syscalls"),
                     F.when((F.col("event_type") == "error") & (F.col("value") > 150), F.array(F.lit("mass_file_traversal"))).when((F.col("event_type") == "purchase") & (F.col("value") > 300), F.array(F.lit("crypto_mining"))).otherwise(F.array().cast("array<string>")).alias("flags"))
 
 
 def live_z(spark, d):
-    return Wn.live_deviation(live(spark, d), ["comm"], ["ts", "event_id"], cut=F.to_date("ts"))
+    return Wn.live_deviation(live(t(spark, d, "events")), ["comm"], ["ts", "event_id"], cut=F.to_date("ts"))
 
 
 LIVE_SQL = """live AS (SELECT event_id, ts, user_id AS pid, event_type AS comm, value AS cpu, value * 2 AS mem, floor(value * 10) AS syscalls,
@@ -80,7 +80,7 @@ def p13(spark, d):
 
 Q["P13_model_points"] = Query(p13, """SELECT vec_id, round(CASE WHEN s > 0.5 OR s < 0 THEN least(35.0, abs(s) * 120 + 20) ELSE 0 END + 1e-9, 6) AS p_forest, round(CASE WHEN p > 0.5 THEN least(45.0, p * 45) ELSE 0 END + 1e-9, 6) AS p_classifier
 FROM (SELECT vec_id, embedding[1]::DOUBLE AS s, abs(embedding[2]::DOUBLE) AS p FROM embeddings)""")
-Q["P14_rule_points"] = Query(lambda s, d: live(s, d).select("event_id", R.rule_points(F.concat("flags", "flags", F.array(F.lit("unknown")))).alias("p_rule")), f"WITH {LIVE_SQL}, {POINTS_SQL} SELECT event_id, p_rule::DOUBLE AS p_rule FROM pts")
+Q["P14_rule_points"] = Query(lambda s, d: live(t(s, d, "events")).select("event_id", R.rule_points(F.concat("flags", "flags", F.array(F.lit("unknown")))).alias("p_rule")), f"WITH {LIVE_SQL}, {POINTS_SQL} SELECT event_id, p_rule::DOUBLE AS p_rule FROM pts")
 
 
 def scored(spark, d, enabled=True):
@@ -144,7 +144,8 @@ BASE_COLUMNS = ("mean", "std", "low", "high", *PCT, "median", "mad", "nmad", "iq
 
 
 def a16(spark, d):
-    rows = B.wide_baseline(daily_windows(spark, d), ["profile_id"], list(FEATURES), B.registry(spark))
+    windows = B.oldest(daily_windows(spark, d), "profile_id", "day", 5000)
+    rows = B.wide_baseline(stored(windows), ["profile_id"], list(FEATURES), B.registry(spark))
     return rounded(rows.select("profile_id", "feature", "n", *BASE_COLUMNS), *BASE_COLUMNS)
 
 
@@ -173,9 +174,9 @@ mat AS (SELECT *, CASE WHEN observations < 5 OR instances < 1 THEN 'COLD_START'
 CASE WHEN observations < 5 OR instances < 1 THEN least(0.40, greatest(0.10, observations * 0.08)) WHEN observations < 30 THEN least(0.79, 0.45 + 0.30 * (observations - 5) / 25 + least(0.10, (instances - 1) * 0.02)) ELSE least(1.0, 0.80 + least(0.10, (observations - 30) / 100) + least(0.10, (instances - 1) * 0.02)) END AS confidence FROM seen)"""
 
 
-def profiles(spark, d):
-    w = daily_windows(spark, d).withColumns({"instance_id": F.col("day"), "start": F.col("day")})
-    return B.build_profiles(w, B.registry(spark).where(F.col("feature").isin(*FEATURES)), typical={"socket_connect": "syscalls_network", "execve": "syscalls_process"})
+def profiles(spark, d, windows=None):
+    w = (stored(daily_windows(spark, d)) if windows is None else windows).withColumns({"instance_id": F.col("day"), "start": F.col("day")})
+    return B.build_profiles(w, B.registry(spark), typical={"socket_connect": "syscalls_network", "execve": "syscalls_process"})
 
 
 Q["P1_build_profiles"] = Query(lambda s, d: rounded(profiles(s, d).select("profile_id", "feature", "n", "mean", "median", "effective_scale", "observations", "maturity", "confidence", F.array_join("typical", ",").alias("typical"), F.date_format("period_start", "yyyy-MM-dd").alias("period_start"), F.date_format("period_end", "yyyy-MM-dd").alias("period_end")), "mean", "median", "effective_scale", "confidence"),
@@ -194,27 +195,28 @@ FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS k FROM
 
 
 def p3(spark, d):
-    clean = daily_windows(spark, d).where("label_binary = 0")
+    clean = stored(daily_windows(spark, d).where("label_binary = 0"))
     cut, by = F.lit("2024-01-15").cast("date"), ["profile_id", "feature"]
-    long = B.long_form(clean.where(F.col("day") >= cut), ["profile_id"], list(FEATURES))
-    new = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
-    both = B.updated_baseline(B.wide_baseline(clean.where(F.col("day") < cut), ["profile_id"], list(FEATURES), B.registry(spark)), new, by)
+    old = B.wide_baseline(clean.where(F.col("day") < cut), ["profile_id"], list(FEATURES), B.registry(spark))
+    old = old.join(B.new_moments(B.long_form(clean.where(F.col("day") < cut), ["profile_id"], list(FEATURES)), by).select(*by, "sketch"), by)
+    both = B.updated_baseline(old, B.new_moments(B.long_form(clean.where(F.col("day") >= cut), ["profile_id"], list(FEATURES)), by), by)
     return rounded(both.select(*by, "n", *P3_COLUMNS), *P3_COLUMNS, digits=4)
 
 
-P3_COLUMNS = ("mean", "std", "low", "high", "median_estimate")
+P3_COLUMNS = ("mean", "std", "low", "high", "median_estimate", "median")
 Q["P3_incremental_update"] = Query(p3, f"""WITH {LONG_SQL} SELECT profile_id, feature, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(stddev_pop(value) + 1e-9, 4) AS std, round(min(value) + 1e-9, 4) AS low, round(max(value) + 1e-9, 4) AS high,
-round((avg(value) + coalesce(median(value) FILTER (day < DATE '2024-01-15'), avg(value))) / 2 + 1e-9, 4) AS median_estimate FROM long JOIN win USING (profile_id, day) WHERE label_binary = 0 GROUP BY 1, 2""")
+round((avg(value) + coalesce(median(value) FILTER (day < DATE '2024-01-15'), avg(value))) / 2 + 1e-9, 4) AS median_estimate, round(quantile_disc(value, 0.5) + 1e-9, 4) AS median FROM long JOIN win USING (profile_id, day) WHERE label_binary = 0 GROUP BY 1, 2""")
 Q["P4_recompute_all"] = Query(lambda s, d: profiles(s, d).groupBy("maturity").agg(F.count_distinct("profile_id").alias("programs"), F.count("*").alias("n_features")), f"{CLEAN_SQL}, {MATURITY_SQL} SELECT maturity, count(DISTINCT profile_id) AS programs, count(*) AS n_features FROM base JOIN mat USING (profile_id) GROUP BY 1")
-DEV_SQL = f"""{CLEAN_SQL}, {MATURITY_SQL}, dv AS (SELECT l.profile_id, l.day, l.feature, l.value, b.median, b.high, category, weight, maturity, confidence, (l.value - b.median) / b.effective_scale AS robust_score, (l.value - b.mean) / CASE WHEN b.std > 0.001 THEN b.std ELSE b.effective_scale END AS z_classic
+DEV_SQL = f"""{CLEAN_SQL}, {MATURITY_SQL}, dv AS (SELECT l.profile_id, l.day, l.feature, l.value, b.median, b.high, category, weight, maturity, confidence, (l.value - b.median) / b.effective_scale AS raw_score, (l.value - b.mean) / CASE WHEN b.std > 0.001 THEN b.std ELSE b.effective_scale END AS raw_z
 FROM long l JOIN base b USING (profile_id, feature) JOIN mat USING (profile_id) JOIN reg USING (feature)),
-fr AS (SELECT *, robust_score >= 3 - 1e-9 AS is_deviant, CASE WHEN robust_score >= 3 - 1e-9 AND value > median THEN least(40.0, (robust_score - 2) * 10 * weight) ELSE 0 END AS feature_risk FROM dv)"""
+two AS (SELECT *, raw_score >= 3 - 1e-9 AS is_deviant, round(raw_score + CASE WHEN raw_score < 0 THEN -1e-9 ELSE 1e-9 END, 2) AS robust_score, round(raw_z + CASE WHEN raw_z < 0 THEN -1e-9 ELSE 1e-9 END, 2) AS z_classic FROM dv),
+fr AS (SELECT *, CASE WHEN is_deviant AND value > median THEN least(40.0, (robust_score - 2) * 10 * weight) ELSE 0 END AS feature_risk FROM two)"""
 
 
-def deviations(spark, d):
-    features = B.registry(spark).where(F.col("feature").isin(*FEATURES))
-    long = B.long_form(daily_windows(spark, d), ["profile_id", "day"], list(FEATURES))
-    return D.robust_deviation(long, profiles(spark, d), features)
+def deviations(spark, d, windows=None):
+    windows = stored(daily_windows(spark, d)) if windows is None else windows
+    long = B.long_form(windows, ["profile_id", "day"], list(FEATURES))
+    return D.robust_deviation(long, profiles(spark, d, windows), B.registry(spark))
 
 
 def day_text():
@@ -228,17 +230,17 @@ CAT_SQL = DEV_SQL + ", cr AS (SELECT profile_id, day, " + ", ".join(f"max(CASE W
 Q["P6_category_risk"] = Query(lambda s, d: rounded(D.category_risk(deviations(s, d), ["profile_id", "day"]).select("profile_id", day_text(), *CATS, "n_deviant"), *CATS), f"{CAT_SQL} SELECT profile_id, strftime(day, '%Y-%m-%d') AS day, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in CATS)}, n_deviant FROM cr")
 
 
-def new_events(spark, d):
-    w = daily_windows(spark, d)
-    high = w.where("label_binary = 0").groupBy("profile_id").agg(F.max("syscalls_network").alias("h_net"), F.max("syscalls_sensitive").alias("h_sens"), F.max("syscalls_process").alias("h_exec"), B.typical_events({"socket_connect": F.sum("syscalls_network"), "execve": F.sum("syscalls_process")}).alias("typical"))
+def new_events(spark, d, windows=None):
+    w = daily_windows(spark, d) if windows is None else windows
+    high = w.where("label_binary = 0").groupBy("profile_id").agg(F.max("file_delete_count").alias("h_del"), F.max("syscalls_network").alias("h_net"), F.max("syscalls_sensitive").alias("h_sens"), F.max("syscalls_process").alias("h_exec"), B.typical_events({"socket_connect": F.sum("syscalls_network"), "execve": F.sum("syscalls_process")}).alias("typical"))
     rows = w.join(high, "profile_id")
-    made = D.unprecedented({"connect": F.col("syscalls_network"), "sensitive": F.col("syscalls_sensitive"), "exec": F.col("syscalls_process"), "delete": F.lit(0)}, {"connect": F.col("h_net"), "sensitive": F.col("h_sens"), "exec": F.col("h_exec"), "delete": F.lit(0)}, F.col("typical"))
+    made = D.unprecedented({"connect": F.col("syscalls_network"), "sensitive": F.col("syscalls_sensitive"), "exec": F.col("syscalls_process"), "delete": F.col("file_delete_count")}, {"connect": F.col("h_net"), "sensitive": F.col("h_sens"), "exec": F.col("h_exec"), "delete": F.col("h_del")}, F.col("typical"))
     return rows.select("profile_id", "day", made.alias("new"))
 
 
-NEW_SQL = """hi AS (SELECT profile_id, max(syscalls_network) AS h_net, max(syscalls_sensitive) AS h_sens, max(syscalls_process) AS h_exec FROM win WHERE label_binary = 0 GROUP BY 1),
-nw AS (SELECT profile_id, day, list_filter([CASE WHEN syscalls_network > 0 AND h_net = 0 THEN 'socket_connect' END, CASE WHEN syscalls_sensitive > 0 AND h_sens = 0 THEN 'sensitive_syscall' END, CASE WHEN syscalls_process > 0 AND h_exec = 0 THEN 'execve' END], lambda x: x IS NOT NULL) AS events,
-greatest(CASE WHEN syscalls_network > 0 AND h_net = 0 THEN 45.0 ELSE 0 END, CASE WHEN syscalls_sensitive > 0 AND h_sens = 0 THEN 50.0 ELSE 0 END, CASE WHEN syscalls_process > 0 AND h_exec = 0 THEN 40.0 ELSE 0 END) AS new_risk FROM win JOIN hi USING (profile_id))"""
+NEW_SQL = """hi AS (SELECT profile_id, max(file_delete_count) AS h_del, max(syscalls_network) AS h_net, max(syscalls_sensitive) AS h_sens, max(syscalls_process) AS h_exec FROM win WHERE label_binary = 0 GROUP BY 1),
+nw AS (SELECT profile_id, day, list_filter([CASE WHEN syscalls_network > 0 AND h_net = 0 THEN 'socket_connect' END, CASE WHEN syscalls_sensitive > 0 AND h_sens = 0 THEN 'sensitive_syscall' END, CASE WHEN syscalls_process > 0 AND h_exec = 0 THEN 'execve' END, CASE WHEN file_delete_count > 5 AND h_del = 0 THEN 'file_delete' END], lambda x: x IS NOT NULL) AS events,
+greatest(CASE WHEN syscalls_network > 0 AND h_net = 0 THEN 45.0 ELSE 0 END, CASE WHEN syscalls_sensitive > 0 AND h_sens = 0 THEN 50.0 ELSE 0 END, CASE WHEN syscalls_process > 0 AND h_exec = 0 THEN 40.0 ELSE 0 END, CASE WHEN file_delete_count > 5 AND h_del = 0 THEN 40.0 ELSE 0 END) AS new_risk FROM win JOIN hi USING (profile_id))"""
 
 
 def new_risk():
@@ -249,7 +251,8 @@ Q["P7_unprecedented_events"] = Query(lambda s, d: new_events(s, d).select("profi
 
 
 def verdicts(spark, d):
-    risk = D.category_risk(deviations(spark, d), ["profile_id", "day"]).join(new_events(spark, d), ["profile_id", "day"])
+    windows = stored(daily_windows(spark, d))  # read three times
+    risk = D.category_risk(deviations(spark, d, windows), ["profile_id", "day"]).join(new_events(spark, d, windows), ["profile_id", "day"])
     return D.composite_risk(risk.withColumn("risk_security", F.greatest("risk_security", new_risk())), F.size("new"))
 
 

@@ -68,8 +68,17 @@ Q["Q20_drop_idle_windows"] = Query(lambda s, d: daily_windows(s, d).where("sysca
 Q["Q21_most_active_per_snapshot"] = Query(lambda s, d: H.top_per_group(daily_windows(s, d), ["day"], [F.desc("syscall_count"), F.desc("memory_usage"), F.asc("profile_id")], 3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "profile_id", "place"), f"WITH {WINDOWS_SQL} SELECT strftime(day, '%Y-%m-%d') AS day, profile_id, place::INT AS place FROM (SELECT day, profile_id, row_number() OVER (PARTITION BY day ORDER BY syscall_count DESC, memory_usage DESC, profile_id) AS place FROM win) WHERE place <= 3")
 
 # Joins --------------------------------------------------------------------------------------------------------------
-Q["J1_event_to_instance"] = Query(lambda s, d: H.interval_join(lines(s, d).select("instance_id", "n", "part", "supp", F.col("end_s").alias("at")), processes(s, d).select("instance_id", "start_s", "end_s"), ["instance_id"], "at", "start_s", "end_s").select("instance_id", "n", "part", "supp", "at"),
-                                  f"WITH {LINE_SQL}, {PROC_SQL} SELECT instance_id, n, part, supp, line.end_s AS at FROM line JOIN proc USING (instance_id) WHERE line.end_s >= start_s AND line.end_s < coalesce(proc.end_s, 4611686018427387904)")
+
+
+def j1(spark, d):
+    # A customer is as a pid that one order after another uses: events know the pid only, and find the lifetimes they fall into.
+    p = processes(spark, d).select("instance_id", F.col("profile_id").alias("pid"), "start_s", "end_s")
+    e = lines(spark, d).join(p.select("instance_id", "pid"), "instance_id").select("pid", F.col("instance_id").alias("line_of"), "n", "part", "supp", F.col("end_s").alias("at_s"))
+    return H.interval_join(e, p, ["pid"], "at_s", "start_s", "end_s").select("pid", "line_of", "n", "part", "supp", "at_s", "instance_id")
+
+
+Q["J1_event_to_instance"] = Query(j1, f"""WITH {LINE_SQL}, {PROC_SQL}, e AS (SELECT profile_id AS pid, instance_id AS line_of, n, part, supp, line.end_s AS at_s FROM line JOIN proc USING (instance_id))
+SELECT pid, line_of, n, part, supp, at_s, instance_id FROM e JOIN proc ON pid = profile_id WHERE at_s >= start_s AND at_s < coalesce(proc.end_s, 4611686018427387904)""")
 TREE_SQL = "tree AS (SELECT instance_id, instance_id - instance_id % 7 AS parent_instance_id FROM proc)"
 Q["J2_children_of_parent"] = Query(lambda s, d: H.children(processes(s, d).withColumn("parent_instance_id", F.col("instance_id") - F.col("instance_id") % 7))[1],
                                    f"WITH {PROC_SQL}, {TREE_SQL}, e AS (SELECT c.parent_instance_id AS parent FROM tree c JOIN proc p ON p.instance_id = c.parent_instance_id WHERE c.parent_instance_id <> c.instance_id) SELECT instance_id, (SELECT count(*) FROM e WHERE e.parent = proc.instance_id) AS children FROM proc")
@@ -118,8 +127,21 @@ def snapshots(spark, d):
 
 
 SNAP_SQL = "snaps AS (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))::INT AS snap FROM events)"
-Q["J11_snapshot_changes"] = Query(lambda s, d: H.snapshot_changes(snapshots(s, d), "user_id", "snap"), f"""WITH {SNAP_SQL}, x AS (SELECT user_id, snap, lag(snap) OVER w AS p, lead(snap) OVER w AS n, (SELECT max(snap) FROM snaps) AS last FROM snaps WINDOW w AS (PARTITION BY user_id ORDER BY snap))
-SELECT user_id, snap, 'START' AS change FROM x WHERE p IS NULL OR p < snap - 1 UNION ALL SELECT user_id, (snap + 1)::INT, 'EXIT' FROM x WHERE (n IS NULL OR n > snap + 1) AND snap < last""")
+CONN_SQL = "conn AS (SELECT DISTINCT user_id, event_id % 5 AS dst_port, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))::INT AS snap FROM events WHERE event_type IN ('purchase', 'view'))"
+
+
+def j11(spark, d):
+    """Processes that start and exit between snapshots; connections first seen and seen again, without and with forgetting."""
+    seen = t(spark, d, "events").where("event_type IN ('purchase', 'view')").select("user_id", (F.col("event_id") % 5).alias("dst_port"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("snap"))
+    again = H.connection_events(seen, ["user_id", "dst_port"], "snap", forget=3)
+    changes = H.snapshot_changes(snapshots(spark, d), "user_id", "snap").withColumn("dst_port", F.lit(None).cast("long"))
+    return changes.unionByName(H.connection_events(seen, ["user_id", "dst_port"], "snap")).unionByName(again.withColumn("change", F.concat("change", F.lit(" again"))))
+
+
+Q["J11_snapshot_changes"] = Query(j11, f"""WITH {SNAP_SQL}, {CONN_SQL}, x AS (SELECT user_id, snap, lag(snap) OVER w AS p, lead(snap) OVER w AS n, (SELECT max(snap) FROM snaps) AS last FROM snaps WINDOW w AS (PARTITION BY user_id ORDER BY snap))
+SELECT user_id, snap, 'START' AS change, NULL::BIGINT AS dst_port FROM x WHERE p IS NULL OR p < snap - 1 UNION ALL SELECT user_id, (snap + 1)::INT, 'EXIT', NULL FROM x WHERE (n IS NULL OR n > snap + 1) AND snap < last
+UNION ALL SELECT user_id, snap, CASE WHEN snap = min(snap) OVER (PARTITION BY user_id, dst_port) THEN 'CONNECT' ELSE 'STATUS' END, dst_port FROM conn
+UNION ALL SELECT user_id, snap, CASE WHEN snap - lag(snap, 1, -100) OVER (PARTITION BY user_id, dst_port ORDER BY snap) > 4 THEN 'CONNECT again' ELSE 'STATUS again' END, dst_port FROM conn""")
 
 
 def j12(spark, d):
@@ -230,18 +252,55 @@ def r6(spark, d):
 Q["R6_retention_dry_run"] = Query(r6, f"{FLAG_SQL}, {R1_SQL}, {R2_SQL}, {R5_SQL} SELECT 'events' AS name, (SELECT count(*) FROM r1) AS n UNION ALL SELECT 'windows', (SELECT count(*) FROM r2) UNION ALL SELECT 'metrics', (SELECT count(*) FROM line WHERE end_s < {C['metrics']}) UNION ALL SELECT 'detections', (SELECT count(*) FROM det WHERE end_s < {C['detections']}) UNION ALL SELECT 'processes', (SELECT count(*) FROM r5)")
 
 
+def r7(spark, d):
+    """Retention run on tables partitioned by month: what each keeps, and how many of its partitions were left alone."""
+    from hostlens.sources import sinks
+
+    folder, de = sinks.scratch(spark), detections(spark, d)
+    source = {"events": lines(spark, d), "windows": lines(spark, d), "metrics": lines(spark, d), "detections": de}
+    expire = {
+        "events": lambda old: Rt.expired_events(old, de, POLICY, AT), "windows": lambda old: Rt.expired_windows(old, de, POLICY, AT, LKEY),
+        "metrics": lambda old: Rt.expired_metrics(old, POLICY, AT), "detections": lambda old: Rt.expired_detections(old, POLICY, AT),
+    }
+    out = None
+    for name, rows in source.items():
+        path = f"{folder}/{name}"
+        sinks.append(rows.withColumn("end_ts", F.timestamp_seconds("end_s")), path, "end_ts", every="year")
+        Rt.expire_table(spark, path, C[name], expire[name])
+        kept = spark.read.parquet(path)
+        sums = kept.agg(F.lit(name).alias("name"), F.count("*").alias("n_kept"), F.sum("part").alias("part_sum"), F.min("end_s").alias("oldest"), F.count_distinct("date").alias("partitions"))
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+KEPT_SQL = "SELECT '{}' AS name, count(*) AS n_kept, sum(part)::BIGINT AS part_sum, min(end_s) AS oldest, count(DISTINCT year(to_timestamp(end_s))) AS partitions FROM {} x WHERE {}"
+NOT_IN = "NOT EXISTS (SELECT 1 FROM {r} r WHERE " + " AND ".join(f"r.{c} = x.{c}" for c in LKEY) + ")"
+Q["R6_retention_run"] = Query(r7, f"{FLAG_SQL}, {R1_SQL}, {R2_SQL} " + " UNION ALL ".join([KEPT_SQL.format("events", "line", NOT_IN.format(r="r1")), KEPT_SQL.format("windows", "line", NOT_IN.format(r="r2")), KEPT_SQL.format("metrics", "line", f"end_s >= {C['metrics']}"), KEPT_SQL.format("detections", "det", f"end_s >= {C['detections']}")]))
+
+
 # Sinks whose result is a table --------------------------------------------------------------------------------------
 def k1(spark, d):
-    from hostlens.sources.sinks import upsert
+    """A table of processes by buckets of their ids, and a batch of news that is merged into it, twice."""
+    from hostlens.sources import sinks
 
-    p = processes(spark, d).select("instance_id", "comm", "end_s", "exit_code")
-    old = p.where("instance_id % 3 <> 0")
-    new = p.where("instance_id % 2 = 0").select("instance_id", F.when(F.col("instance_id") % 4 == 0, F.concat("comm", F.lit("!"))).alias("comm"), (F.col("end_s") + 1).alias("end_s"), F.lit(9).alias("exit_code"))
-    return upsert(old, new, ["instance_id"], overwrite=["end_s", "exit_code"], fill=["comm"])
+    more = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v.cast("string") for _, v in pairs]))
+    p = processes(spark, d).select("instance_id", "comm", "end_s", "exit_code", "profile_id")
+    old = p.where("instance_id % 3 <> 0").select("instance_id", "comm", "end_s", "exit_code", more(("by", F.col("profile_id")), ("seen", F.lit("old"))).alias("metadata"))
+    new = p.where("instance_id % 2 = 0").select(
+        "instance_id", F.when(F.col("instance_id") % 4 == 0, F.concat("comm", F.lit("!"))).alias("comm"), (F.col("end_s") + 1).alias("end_s"), F.lit(9).alias("exit_code"),
+        F.when(F.col("instance_id") % 5 != 0, more(("seen", F.lit("new")), ("n", F.col("instance_id")))).alias("metadata"),
+    )
+    path, how = sinks.scratch(spark), {"overwrite": ["end_s", "exit_code"], "fill": ["comm"], "merge_maps": ["metadata"]}
+    for rows in (old, new, new):
+        sinks.merge_into(path, rows, ["instance_id"], 8, **how)
+    out = spark.read.parquet(path)
+    entries = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.concat_ws("=", k, F.element_at("metadata", k)))
+    return out.select("instance_id", "comm", "end_s", "exit_code", F.array_join(entries, ",").alias("metadata"))
 
 
-Q["K1_upsert_process"] = Query(k1, f"""{P}, o AS (SELECT instance_id, comm, end_s, exit_code FROM proc WHERE instance_id % 3 <> 0), n AS (SELECT instance_id, CASE WHEN instance_id % 4 = 0 THEN comm || '!' END AS comm, end_s + 1 AS end_s, 9 AS exit_code FROM proc WHERE instance_id % 2 = 0)
-SELECT instance_id, coalesce(n.comm, o.comm) AS comm, CASE WHEN n.exit_code IS NOT NULL THEN n.end_s ELSE o.end_s END AS end_s, coalesce(n.exit_code, o.exit_code) AS exit_code FROM o FULL JOIN n USING (instance_id)""")
+Q["K1_upsert_process"] = Query(k1, f"""{P}, o AS (SELECT instance_id, comm, end_s, exit_code, profile_id FROM proc WHERE instance_id % 3 <> 0), n AS (SELECT instance_id, CASE WHEN instance_id % 4 = 0 THEN comm || '!' END AS comm, end_s + 1 AS end_s, 9 AS exit_code, instance_id % 5 <> 0 AS more FROM proc WHERE instance_id % 2 = 0)
+SELECT instance_id, coalesce(n.comm, o.comm) AS comm, CASE WHEN n.exit_code IS NOT NULL THEN n.end_s ELSE o.end_s END AS end_s, coalesce(n.exit_code, o.exit_code) AS exit_code,
+CASE WHEN o.profile_id IS NULL AND NOT more THEN NULL ELSE concat_ws(',', 'by=' || o.profile_id, CASE WHEN more THEN 'n=' || instance_id END, CASE WHEN more THEN 'seen=new' ELSE 'seen=old' END) END AS metadata FROM o FULL JOIN n USING (instance_id)""")
 
 
 def k2(spark, d):
@@ -256,14 +315,30 @@ Q["K2_record_exit"] = Query(k2, f"{P} SELECT instance_id, CASE WHEN instance_id
 
 
 def k7(spark, d):
-    from hostlens.sources.sinks import upsert
+    from hostlens.sources import sinks
 
-    v = versions(spark, d).select("profile_id", "version", "n", "updated_s")
-    return upsert(v, v.where("version % 2 = 0").withColumns({"n": F.col("n") + 100, "updated_s": F.lit(None).cast("long")}), ["profile_id", "version"], overwrite=["n"], fill=["updated_s"])
+    v, path = versions(spark, d).select("profile_id", "version", "n", "updated_s"), sinks.scratch(spark)
+    news = v.where("version % 2 = 0").withColumns({"n": F.col("n") + 100, "updated_s": F.lit(None).cast("long")})
+    for rows in (v, news):
+        sinks.merge_into(path, rows, ["profile_id", "version"], 8, overwrite=["n"], fill=["updated_s"])
+    return spark.read.parquet(path).drop(sinks.BUCKET)
 
 
 Q["K7_upsert_profile"] = Query(k7, f"WITH {VER_SQL} SELECT profile_id, version, CASE WHEN version % 2 = 0 THEN n + 100 ELSE n END AS n, updated_s FROM ver")
 Q["K8_delete_profile"] = Query(lambda s, d: versions(s, d).join(s.createDataFrame([(5,), (7,)], "profile_id long"), "profile_id", "left_anti").select("profile_id", "version"), f"WITH {VER_SQL} SELECT profile_id, version FROM ver WHERE profile_id NOT IN (5, 7)")
+def k9(spark, d):
+    """Live rows come in three batches; each replaces the rows of its keys, and the second comes twice."""
+    from hostlens.sources import sinks
+
+    e, path = t(spark, d, "events").select("event_type", "user_id", "event_id", "ts", "value"), sinks.scratch(spark)
+    for k in (0, 1, 1, 2):
+        batch = Wn.latest(e.where(F.col("event_id") % 3 == k), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")])
+        sinks.merge_into(path, batch, ["event_type", "user_id"], 8, overwrite=["event_id", "ts", "value"])
+    return spark.read.parquet(path).select("event_type", "user_id", "event_id", "value")
+
+
+Q["K9_insert_or_replace"] = Query(k9, """WITH l AS (SELECT event_type, user_id, event_id % 3 AS k, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2, 3)
+SELECT event_type, user_id, max_by(event_id, k) AS event_id, max_by(value, k) AS value FROM l GROUP BY 1, 2""")
 Q["K9_keep_last_per_id"] = Query(lambda s, d: Wn.latest(t(s, d, "events"), ["event_type", "user_id"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "user_id", "event_id"), "SELECT event_type, user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 
 

@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from hostlens.operators import ml as M
 from hostlens.operators import sequence as S
+from hostlens.operators import trace as Tr
 from hostlens.operators import windows as Wn
 from hostlens.plans._bind import FULL, FULL_SQL, LINE_SQL, PROC_SQL, Query, full_windows, processes, secs, t
-from hostlens.plans.behaviour import rounded
-from hostlens.plans.text import TR_SQL, tr
+from hostlens.plans.behaviour import ALERT_SQL, KEY_SQL, LIVE_SQL, alert_rows, live, rounded
+from hostlens.plans.text import ORDER, TR_SQL, W1_COUNTS, W1_FLOATS, W2_COLUMNS, flat_events, process_events, tok, tr, w1_parts, w2_parts
 from hostlens.sources import layouts, scans, sinks
 from hostlens.sources.ingest import ingest_experiment
+from hostlens.sources.sinks import scratch
 from hostlens.streaming import jobs as J
+from hostlens.streaming.scoring import LiveScoring
 
 Q: dict[str, Query] = {}
 
 
-def scratch(spark) -> str:
-    """A new folder where the cluster keeps shared files. Without spark.checkpoint.dir only a local session has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-scratch-')}/{uuid.uuid4().hex}"
-
-
 # Scans --------------------------------------------------------------------------------------------------------------
 def as_csv(spark, df):
     path = scratch(spark)
@@ -186,9 +178,8 @@ Q["K12_persist_profiles"] = Query(lambda s, d: written(s, t(s, d, "events").grou
 
 
 def k13(spark, d):
-    stats = S.sequence_stats("tokens")
-    m, path = tr(spark, d).select("user_id", *[c.alias(n) for n, c in stats.items()]), scratch(spark)
-    schema = sinks.write_features(m, path, list(stats), ["user_id"])
+    m, path = Tr.stats(tok(spark, d), "user_id").drop("entropy"), scratch(spark)
+    schema = sinks.write_features(m, path, m.columns[1:], m.columns[:1])
     rows = spark.read.parquet(f"{path}/matrix").agg(F.count("*").alias("rows"))
     return schema.crossJoin(F.broadcast(rows))  # one row
 
@@ -272,18 +263,29 @@ def j10(spark, d):
 
 
 Q["J10_candidate_with_approved"] = Query(j10, f"WITH {VEC_SQL} SELECT vec_id % 4 AS model, round(count(*) FILTER (label = 1 AND prediction = 1) / greatest(1, count(*) FILTER (label = 1)) + 1e-9, 6) AS candidate, round(count(*) FILTER (label = 1 AND f1 > 0) / greatest(1, count(*) FILTER (label = 1)) + 1e-9, 6) AS approved FROM vec GROUP BY 1")
-Q["M17_validate_training_data"] = Query(lambda s, d: M.validate(t(s, d, "lineitem").select(F.col("l_quantity").alias("a"), F.when(F.col("l_linenumber") == 2, F.lit(None).cast("double")).otherwise(F.col("l_discount")).alias("b"), F.when(F.col("l_linenumber") == 4, float("nan")).otherwise(F.col("l_tax")).alias("c"), F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0).otherwise(2).alias("label")), ["a", "b", "c", "z"]),
-                                        """WITH x AS (SELECT l_quantity AS a, CASE WHEN l_linenumber <> 2 THEN l_discount END AS b, CASE WHEN l_linenumber = 4 THEN 'NaN'::DOUBLE ELSE l_tax END AS c, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 0 ELSE 2 END AS label FROM lineitem)
-SELECT count(*) AS rows, 1 AS missing_features, count(*) FILTER (label = 2) AS bad_labels, count(*) FILTER (b IS NULL) AS nulls, count(*) FILTER (isnan(c)) AS not_finite, 0 AS not_numeric, count(*) - count(DISTINCT (a, b, c)) AS repeated_rows, count(DISTINCT label) AS classes FROM x""")
+def m17(spark, d):
+    """Training data as it should be, with two columns of raw events, and with numbered tokens among named ones."""
+    li = t(spark, d, "lineitem")
+    rows = li.select(F.col("l_quantity").alias("a"), F.when(F.col("l_linenumber") == 2, F.lit(None).cast("double")).otherwise(F.col("l_discount")).alias("b"), F.when(F.col("l_linenumber") == 4, float("nan")).otherwise(F.col("l_tax")).alias("c"), F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0).otherwise(2).alias("label"))
+    raw = rows.withColumns({"comm": F.lit("x"), "tid": F.lit(1)})
+    mixed = rows.withColumns({"sc_open": F.lit(1), "sc_12": F.lit(1), "sc_3_4": F.lit(2)})
+    found = [M.validate(df, ["a", "b", "c", "z"], tokens="names").withColumn("data", F.lit(name)) for name, df in (("plain", rows), ("raw", raw), ("mixed", mixed))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+Q["M17_validate_training_data"] = Query(m17, """WITH x AS (SELECT l_quantity AS a, CASE WHEN l_linenumber <> 2 THEN l_discount END AS b, CASE WHEN l_linenumber = 4 THEN 'NaN'::DOUBLE ELSE l_tax END AS c, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 0 ELSE 2 END AS label FROM lineitem),
+s AS (SELECT count(*) AS rows, 1 AS missing_features, count(*) FILTER (label = 2) AS bad_labels, count(*) FILTER (b IS NULL) AS nulls, count(*) FILTER (isnan(c)) AS not_finite, 0 AS not_numeric, count(*) - count(DISTINCT (a, b, c)) AS repeated_rows, count(DISTINCT label) AS classes FROM x)
+SELECT s.*, k.* FROM s, (VALUES (0, 0, true, 'plain'), (2, 0, false, 'raw'), (0, 2, false, 'mixed')) k(raw_columns, mixed_columns, usable, data)""")
 Q["M18_split_leakage"] = Query(lambda s, d: rounded(M.split_leakage(t(s, d, "lineitem").where("l_orderkey % 5 <> 0"), t(s, d, "lineitem").where("l_orderkey % 5 = 0"), ["l_quantity", "l_discount", "l_tax"]), "leakage_ratio"), """WITH a AS (SELECT DISTINCT l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey % 5 <> 0), b AS (SELECT DISTINCT l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey % 5 = 0), o AS (SELECT * FROM a INTERSECT SELECT * FROM b)
 SELECT (SELECT count(*) FROM a) AS n_train, (SELECT count(*) FROM b) AS n_val, (SELECT count(*) FROM o) AS overlap, round((SELECT count(*) FROM o) / greatest(1, (SELECT count(*) FROM b)) + 1e-9, 6) AS leakage_ratio""")
 
 
 def shared_features(spark, d):
     """Structural features of user traces and of document traces, with their labels."""
-    users = tr(spark, d)
+    links = tok(spark, d)
     docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("doc_id", F.col("toxic").alias("label"), F.split("text", r"\s+").alias("tokens"))
-    users = S.structural_features(users, "user_id").join(users.select("user_id", F.when(F.array_contains(F.slice("tokens", 1, 5), "error"), 1).otherwise(0).alias("label")), "user_id")
+    early = Wn.latest(t(spark, d, "events"), ["user_id"], [F.asc(c) for c in ORDER], 5).groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("label"))
+    users = Tr.structural_features(links, "user_id", ORDER).join(early, "user_id")
     return users, S.structural_features(docs, "doc_id").join(docs.select("doc_id", "label"), "doc_id")
 
 
@@ -296,7 +298,7 @@ def m19(spark, d):
 
 
 Q["M19_transfer"] = Query(m19)
-Q["M20_schema_overlap"] = Query(lambda s, d: S.counts(tr(s, d).where("user_id < 30"), "tokens", 3).select("gram").intersect(S.counts(tr(s, d).where("user_id >= 30"), "tokens", 3).select("gram")), f"WITH {TR_SQL} SELECT a || ' ' || b || ' ' || c AS gram FROM tok WHERE c IS NOT NULL AND user_id < 30 INTERSECT SELECT a || ' ' || b || ' ' || c FROM tok WHERE c IS NOT NULL AND user_id >= 30")
+Q["M20_schema_overlap"] = Query(lambda s, d: Tr.grams(tok(s, d, "user_id < 30"), "trigram").select("gram").intersect(Tr.grams(tok(s, d, "user_id >= 30"), "trigram").select("gram")), f"WITH {TR_SQL} SELECT a || ' ' || b || ' ' || c AS gram FROM tok WHERE c IS NOT NULL AND user_id < 30 INTERSECT SELECT a || ' ' || b || ' ' || c FROM tok WHERE c IS NOT NULL AND user_id >= 30")
 
 
 def m21(spark, d):
@@ -330,53 +332,80 @@ def streamed(spark, df, mode="append"):
 
 
 def t1(spark, d):
-    e = feed(spark, d).withColumn("item", F.regexp_extract("props", "[0-9]+", 0))
-    w = Wn.behaviour_windows(e, ["event_type"], "ts", "1 hour", "event_type", "value", "item", "error", J.WATERMARK)
-    return rounded(streamed(spark, w).select("event_type", F.unix_seconds("start").alias("start_s"), "syscall_count", "unique_files", "cpu_usage"), "cpu_usage")
+    w = Wn.process_windows(process_events(spark, feed(spark, d)), ["user_id"], "ts", "1 hour", J.WATERMARK)
+    return rounded(streamed(spark, w.select("user_id", F.unix_seconds("start_time").alias("start_s"), *W1_COUNTS, *W1_FLOATS, "label")), *W1_FLOATS, digits=4)
 
 
-CLOSED = "(h + 1) * 3600 <= (SELECT max(epoch(ts)) FROM events) - 600"
-Q["T1_streamed_windows"] = Query(t1, f"SELECT event_type, h * 3600 AS start_s, count(*) AS syscall_count, count(DISTINCT regexp_extract(props, '[0-9]+')) AS unique_files, round(avg(value) + 1e-9, 6) AS cpu_usage FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS h FROM events) WHERE {CLOSED} GROUP BY event_type, h")
-Q["T2_running_stats"] = Query(lambda s, d: rounded(streamed(s, J.running_stats(feed(s, d), "user_id", "value", "event_id")), "mean_before", "std_before", digits=4), "SELECT user_id, event_id, count(*) OVER w AS n_before, round(coalesce(avg(value) OVER w, 0) + 1e-9, 4) AS mean_before, round(coalesce(stddev_samp(value) OVER w, 0) + 1e-9, 4) AS std_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def t1b(spark, d):
+    w = Wn.feature_windows(flat_events(feed(spark, d)), length="60 minutes", watermark=J.WATERMARK)
+    return rounded(streamed(spark, w.select("process_name", F.unix_seconds("start_time").alias("start_s"), *W2_COLUMNS, "cpu_mean", "memory_mean")), "cpu_mean", "memory_mean")
 
 
-def t3(spark, d):
-    a = feed(spark, d).where("event_type = 'error'").withColumn("bucket", F.floor(F.unix_seconds("ts") / 86400))
-    return streamed(spark, J.first_alerts(a, ["user_id", "bucket"])).groupBy("bucket").agg(F.count("*").alias("n"))
+#: A window is closed once an event has come that is later than its end by the watermark.
+CLOSED = "(b + 1) * 3600 <= (SELECT max(epoch(ts)) FROM {}) - 600"
 
 
-Q["T3_streamed_alert_dedup"] = Query(t3)
+def t1_sql():
+    fields, one = w1_parts()
+    return f"WITH {fields} {one(3600, CLOSED.format('events'))}"
 
 
-def t4(spark, d):
+def t1b_sql():
+    fields, one = w2_parts()
+    return f"WITH {fields} SELECT * EXCLUDE (length) FROM ({one(3600, CLOSED.format('fe'))})"
+
+
+Q["T1_streamed_windows"] = Query(t1, t1_sql)
+Q["T1_streamed_feature_windows"] = Query(t1b, t1b_sql)
+#: Keys are idle after two days; their state begins anew then.
+IDLE_S = 2 * 86400
+LIVES_SQL = f"lives AS (SELECT *, sum(CASE WHEN gap > {IDLE_S} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM (SELECT * REPLACE (date_trunc('milliseconds', ts) AS ts) FROM events)))"
+Q["T2_running_stats"] = Query(lambda s, d: rounded(streamed(s, J.running_stats(feed(s, d), "user_id", "value", "event_id", IDLE_S * 1000)), "mean_before", "std_before", digits=4), f"WITH {LIVES_SQL} SELECT user_id, event_id, count(*) OVER w AS n_before, round(coalesce(avg(value) OVER w, 0) + 1e-9, 4) AS mean_before, round(coalesce(stddev_samp(value) OVER w, 0) + 1e-9, 4) AS std_before FROM lives WINDOW w AS (PARTITION BY user_id, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+
+
+def t3(spark, d):
+    # Alerts by their times come as a feed of their own.
     path = scratch(spark)
+    rows = sinks.stored(alert_rows(spark, d).select("event_id", "ts", "dedup_key"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).head()
+    for k in range(4):  # files one after another, as a feed reads them in the order in which they came
+        share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))) / F.greatest(F.lit(1), F.unix_micros(F.lit(high).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")))
+        rows.where(F.least(F.floor(share * 4), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    return streamed(spark, J.first_alerts(J.read_events(spark, path, 1), ["dedup_key"]).select("dedup_key"))
 
-    def store(batch, n):
-        batch.where("event_type = 'error' and value > 100").select("event_id", "user_id", "value").write.mode("append").parquet(f"{path}/alerts")
 
-    J.run_batches(feed(spark, d), store, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/alerts")
+Q["T3_streamed_alert_dedup"] = Query(t3, lambda: f"WITH {LIVE_SQL}, {ALERT_SQL}, k AS (SELECT {KEY_SQL} AS dedup_key FROM al) SELECT DISTINCT dedup_key FROM k")
 
 
-Q["T4_score_and_store"] = Query(t4, "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 100")
+def t4(spark, d):
+    path = scratch(spark)
+    store = LiveScoring(f"{path}/store", models=lambda rows: rows.withColumns({"ml_available": F.lit(True), "if_pred": F.lit(1), "if_score": F.lit(0.1), "xgb_prob": F.lit(0.0), "xgb_attack": F.lit(False)}))
+    J.run_batches(live(feed(spark, d)), store.on_batch, f"{path}/checkpoint")
+    return store.alerts(spark).select("event_id", "comm", "pid", "risk_score", "risk_category", "dedup_key", "alert_id", "alert_status")
+
+
+Q["T4_score_and_store"] = Query(t4, lambda: f"WITH {LIVE_SQL}, {ALERT_SQL}, k AS (SELECT *, {KEY_SQL} AS dedup_key FROM al) SELECT event_id, comm, pid, risk_score, risk_category, dedup_key, 'AL-' || left(sha256(dedup_key || ':' || event_id), 16) AS alert_id, 'ACTIVE' AS alert_status FROM k QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY ts, event_id) = 1")
 
 
 def t5(spark, d):
-    e = feed(spark, d).withColumn("value", F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double")).otherwise(F.col("value")))
+    e = feed(spark, d).withColumn("value", F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double")).when(F.col("event_id") % 101 == 0, -F.col("value")).otherwise(F.col("value")))
     path = scratch(spark)
 
     def store(batch, n):
         good, bad = J.split_bad(batch, "value is null or value < 0")
-        good.select("event_id").write.mode("append").parquet(f"{path}/good")
-        bad.select("event_id").write.mode("append").parquet(f"{path}/bad")
+        good.select("event_id").write.mode("overwrite").parquet(f"{path}/good/batch={n}")
+        bad.select("event_id").write.mode("overwrite").parquet(f"{path}/bad/batch={n}")
 
-    J.run_batches(e, store, f"{path}/checkpoint")
-    count = lambda k: spark.read.parquet(f"{path}/{k}").agg(F.lit(k).alias("kind"), F.count("*").alias("n"))
-    return count("good").unionByName(count("bad"))
+    counters = {"received": F.count("*"), "invalid": F.count_if(F.col("value").isNull()), "failed": F.count_if(F.col("value") < 0)}
+    counts = J.run_counted(e, counters, store, f"{path}/checkpoint", f"ingest-{path.rsplit('/', 1)[-1]}")
+    stored = spark.read.parquet(f"{path}/good").select(F.lit("stored").alias("kind")).unionByName(spark.read.parquet(f"{path}/bad").select(F.lit("quarantined").alias("kind")))
+    observed = spark.createDataFrame(list(counts.items()), "kind string, n long")
+    return stored.groupBy("kind").agg(F.count("*").alias("n")).unionByName(observed)
 
 
-Q["T5_quarantine"] = Query(t5, "SELECT CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1")
-Q["T6_last_tokens_state"] = Query(lambda s, d: streamed(s, J.last_tokens(feed(s, d), "user_id", "event_type", "event_id")).select("event_id", "recent"), "SELECT event_id, array_to_string(list(event_type) OVER w, ' ') AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)")
+Q["T5_quarantine"] = Query(t5, """WITH e AS (SELECT CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN -value ELSE value END AS value FROM events)
+SELECT unnest(['received', 'invalid', 'failed', 'stored', 'quarantined']) AS kind, unnest([count(*), count(*) FILTER (value IS NULL), count(*) FILTER (value < 0), count(*) FILTER (value >= 0), count(*) FILTER (value IS NULL OR value < 0)]) AS n FROM e""")
+Q["T6_last_tokens_state"] = Query(lambda s, d: streamed(s, J.last_tokens(feed(s, d), "user_id", "event_type", "event_id", idle_ms=IDLE_S * 1000)).select("event_id", "recent"), f"WITH {LIVES_SQL} SELECT event_id, array_to_string(list(event_type) OVER w, ' ') AS recent FROM lives WINDOW w AS (PARTITION BY user_id, life ORDER BY ts, event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)")
 
 
 def t7(spark, d):
@@ -384,7 +413,23 @@ def t7(spark, d):
     return streamed(spark, e.select(F.unix_seconds("w.start").alias("start_s"), "received", "lost"))
 
 
-Q["T7_event_counters"] = Query(t7, f"SELECT h * 3600 AS start_s, count(*) AS received, count(*) FILTER (event_type = 'error') AS lost FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS h FROM events) WHERE {CLOSED} GROUP BY h")
-Q["T8_exit_closes_state"] = Query(lambda s, d: streamed(s, J.last_tokens(feed(s, d), "user_id", "event_type", "event_id", 1000, "signup")).select("event_id", F.size(F.split("recent", " ")).alias("n")), "SELECT event_id, count(*) OVER (PARTITION BY user_id, g ORDER BY ts, event_id)::INT AS n FROM (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events)")
-Q["T9_latest_feed"] = Query(lambda s, d: streamed(s, feed(s, d).select("event_id", "ts", "value")).orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+Q["T7_event_counters"] = Query(t7, f"SELECT b * 3600 AS start_s, count(*) AS received, count(*) FILTER (event_type = 'error') AS lost FROM (SELECT *, floor(epoch(ts) / 3600)::BIGINT AS b FROM events) WHERE {CLOSED.format('events')} GROUP BY b")
+Q["T8_exit_closes_state"] = Query(lambda s, d: streamed(s, J.last_tokens(feed(s, d), "user_id", "event_type", "event_id", 1000, "signup", IDLE_S * 1000)).select("event_id", F.size(F.split("recent", " ")).alias("n")), f"WITH {LIVES_SQL} SELECT event_id, count(*) OVER (PARTITION BY user_id, life, g ORDER BY ts, event_id)::INT AS n FROM (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM lives)")
+
+
+def t9(spark, d):
+    path = scratch(spark)
+    feeds = J.Newest(f"{path}/events", 500, ["ts", "event_id"]), J.Newest(f"{path}/alerts", 100, ["ts", "event_id"])
+
+    def keep(batch, k):
+        rows = batch.select("event_id", "ts", "value", "event_type")
+        feeds[0].on_batch(rows, k)
+        feeds[1].on_batch(rows.where("event_type = 'error'"), k)
+
+    J.run_batches(feed(spark, d), keep, f"{path}/checkpoint")
+    both = [f.rows(spark, f.latest).select(F.lit(name).alias("feed"), "event_id", "value") for f, name in zip(feeds, ("events", "alerts"), strict=True)]
+    return both[0].unionByName(both[1])
+
+
+Q["T9_latest_feed"] = Query(t9, "(SELECT 'events' AS feed, event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) UNION ALL (SELECT 'alerts', event_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100)")
 Q["S12_live_feed"] = Query(lambda s, d: streamed(s, feed(s, d).select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

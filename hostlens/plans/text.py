@@ -8,6 +8,7 @@ from hostlens.functions import classify as C
 from hostlens.functions import normalize as N
 from hostlens.functions import privacy as Pv
 from hostlens.operators import sequence as S
+from hostlens.operators import trace as Tr
 from hostlens.operators import windows as Wn
 from hostlens.plans._bind import Query, secs, t
 from hostlens.plans.behaviour import rounded
@@ -46,7 +47,11 @@ NAME_SQL = f"(SELECT *, [{', '.join(map(q, NAMES))}][event_id % {len(NAMES)} + 1
 
 
 def calls(spark, d):
-    return t(spark, d, "events").withColumn("syscall", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES) + 1).cast("int")))
+    return named_calls(t(spark, d, "events"))
+
+
+def named_calls(e):
+    return e.withColumn("syscall", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES) + 1).cast("int")))
 
 
 Q["F5_syscall_category"] = Query(lambda s, d: C.with_category(calls(s, d), C.syscall_dimension(s)).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("syscall").alias("names")), f"SELECT CASE {' '.join(f'WHEN syscall = {q(n)} THEN {q(c)}' for n, c in CATEGORY_OF.items())} END AS category, count(*) AS n, count(DISTINCT syscall) AS names FROM {NAME_SQL} GROUP BY 1")
@@ -56,28 +61,29 @@ W1_COUNTS = ["syscall_count", *[f"syscalls_{c}" for c in Wn.CATEGORIES], "syscal
 W1_FLOATS = [*Wn.GAUGES, "memory_usage", "duration_s"]
 
 
-def process_events(spark, d):
-    e = C.with_category(calls(spark, d), C.syscall_dimension(spark))
+def process_events(spark, events):
+    e = C.with_category(named_calls(events), C.syscall_dimension(spark))
     kind = F.lit(None).cast("string")
     for k, v in KIND_OF.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
     return e.select(
         "event_id", "user_id", "ts", kind.alias("kind"), "syscall", "category", "sensitive", "is_read", "is_write", F.regexp_extract("props", "[0-9]+", 0).alias("path"), F.concat(F.lit("10.0.0."), F.col("event_id") % 9).alias("dest_ip"), (F.col("event_id") % 5).alias("dest_port"),
         F.floor("value").alias("bytes_read"), (F.col("event_id") % 7).alias("tcp_tx_bytes"), (F.col("value") / 10).alias("cpu_usage"), (F.col("event_id") * 4096).alias("memory_rss_bytes"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 8).alias("num_threads"),
-        ((F.col("event_type") == "error") & (F.col("value") > 150)).alias("exited"), F.col("event_type").alias("label"),
+        ((F.col("event_type") == "error") & (F.col("value") > 150)).alias("exited"), F.col("event_type").alias("label"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - F.col("event_id") % 7).alias("process_start"),
     )
 
 
 def w1(spark, d):
     out = None
     for length in ("5 seconds", "1 day"):
-        w = Wn.process_windows(process_events(spark, d), ["user_id"], "ts", length)
+        w = Wn.process_windows(process_events(spark, t(spark, d, "events")), ["user_id"], "ts", length)
         w = rounded(w.select("user_id", F.unix_seconds("start_time").alias("start_s"), *W1_COUNTS, *W1_FLOATS, "label"), *W1_FLOATS, digits=4)
         out = w if out is None else out.unionByName(w)
     return out
 
 
-def w1_sql():
+def w1_parts():
+    """What W1's SQL selects from, and its statement for a length of windows and a condition on a window's number ``b``."""
     category = " ".join(f"WHEN syscall = {q(n)} THEN {q(c)}" for n, c in CATEGORY_OF.items())
     flag = lambda names: f"syscall IN ({INL(names)})"
     fields = f"""pe AS (SELECT *, CASE event_type {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in KIND_OF.items())} END AS kind, CASE {category} END AS category, regexp_extract(props, '[0-9]+') AS path, '10.0.0.' || (event_id % 9) AS ip, event_id % 5 AS port FROM {NAME_SQL})"""
@@ -89,7 +95,12 @@ def w1_sql():
                "unique_dest_ips": "count(DISTINCT ip) FILTER (starts_with(kind, 'net_'))", "unique_dest_ports": "count(DISTINCT port) FILTER (starts_with(kind, 'net_'))", **dict.fromkeys(Wn.SUMMED, "0::BIGINT"), "bytes_read": "sum(floor(value))::BIGINT", "tcp_tx_bytes": "sum(event_id % 7)::BIGINT",
                "network_count": n("kind IN ('net_connect', 'net_accept')"), "alive_at_end": "1 - max(CASE WHEN event_type = 'error' AND value > 150 THEN 1 ELSE 0 END)::INT", "events_received": "count(*)", "label": last("event_type")}
     floats = {**dict.fromkeys(Wn.GAUGES, "0.0"), "cpu_usage": last("value / 10"), "memory_rss_bytes": last("event_id * 4096.0"), "num_threads": f"coalesce({last('(event_id % 8)::DOUBLE', 'event_id % 2 = 0')}, 0)", "memory_usage": f"round({last('event_id * 4096.0::DOUBLE')} / 1048576, 3)"}
-    one = lambda sec: f"SELECT user_id, b * {sec} AS start_s, {', '.join(f'{x} AS {c}' for c, x in columns.items())}, {', '.join(f'round(({x})::DOUBLE + 1e-9, 4) AS {c}' for c, x in floats.items())}, {sec}.0::DOUBLE AS duration_s FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM pe) GROUP BY user_id, b"
+    one = lambda sec, when="true": f"SELECT user_id, greatest(b * {sec}, min(floor(epoch(ts))::BIGINT - event_id % 7)) AS start_s, {', '.join(f'{x} AS {c}' for c, x in columns.items())}, {', '.join(f'round(({x})::DOUBLE + 1e-9, 4) AS {c}' for c, x in floats.items())}, {sec}.0::DOUBLE AS duration_s FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM pe) WHERE {when} GROUP BY user_id, b"
+    return fields, one
+
+
+def w1_sql():
+    fields, one = w1_parts()
     return f"WITH {fields} {one(5)} UNION ALL BY NAME {one(86400)}"
 
 
@@ -97,23 +108,32 @@ FLAT = {"click": "SYSCALL", "view": "FILE_OPEN", "purchase": "NETWORK_CONNECT",
 W2_COLUMNS = ("syscall_count", "file_event_count", "network_connection_count", "child_process_count", "disk_read_bytes", "disk_write_bytes", "network_bytes_sent", "network_bytes_received", "unique_destinations", "unique_ports", "unique_files")
 
 
-def w2(spark, d):
+def flat_events(events):
     kind = F.lit(None).cast("string")
     for k, v in FLAT.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
     kind = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), "NETWORK_STATUS_BYTES").otherwise(kind)
-    e = t(spark, d, "events").select("ts", F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("p"), F.col("user_id") % 20)).alias("process_name"), kind.alias("event_type"), F.concat(F.lit("10.0.0."), F.col("event_id") % 9).alias("dst_ip"), (F.col("event_id") % 5).alias("dst_port"), F.regexp_extract("props", "[0-9]+", 0).alias("file_path"), (F.col("value") / 10).alias("cpu_percent"), (F.col("value") / 20).alias("memory_percent"), F.floor("value").alias("network_bytes_sent"), (F.col("event_id") % 100).alias("network_bytes_received"))
+    return events.select("ts", F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("p"), F.col("user_id") % 20)).alias("process_name"), kind.alias("event_type"), F.concat(F.lit("10.0.0."), F.col("event_id") % 9).alias("dst_ip"), (F.col("event_id") % 5).alias("dst_port"), F.regexp_extract("props", "[0-9]+", 0).alias("file_path"), (F.col("value") / 10).alias("cpu_percent"), (F.col("value") / 20).alias("memory_percent"), F.floor("value").alias("network_bytes_sent"), (F.col("event_id") % 100).alias("network_bytes_received"))
+
+
+def w2(spark, d):
+    e = flat_events(t(spark, d, "events"))
     w = Wn.feature_windows(e, length="60 minutes").unionByName(Wn.feature_windows(e))
     return rounded(w.select("process_name", F.unix_seconds("start_time").alias("start_s"), (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("length"), *W2_COLUMNS, "cpu_mean", "memory_mean"), "cpu_mean", "memory_mean")
 
 
-def w2_sql():
+def w2_parts():
     kind = f"CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'NETWORK_STATUS_BYTES' {' '.join(f'WHEN event_type = {q(k)} THEN {q(v)}' for k, v in FLAT.items())} END"
     net = "kind = 'NETWORK_CONNECT'"
-    one = lambda sec: f"""SELECT name AS process_name, b * {sec} AS start_s, {sec}::BIGINT AS length, count(*) FILTER (kind = 'SYSCALL') AS syscall_count, count(*) FILTER (kind = 'FILE_OPEN') AS file_event_count, count(*) FILTER ({net}) AS network_connection_count, count(*) FILTER (kind = 'PROCESS_START') AS child_process_count, 0 AS disk_read_bytes, 0 AS disk_write_bytes,
+    one = lambda sec, when="true": f"""SELECT name AS process_name, b * {sec} AS start_s, {sec}::BIGINT AS length, count(*) FILTER (kind = 'SYSCALL') AS syscall_count, count(*) FILTER (kind = 'FILE_OPEN') AS file_event_count, count(*) FILTER ({net}) AS network_connection_count, count(*) FILTER (kind = 'PROCESS_START') AS child_process_count, 0 AS disk_read_bytes, 0 AS disk_write_bytes,
 coalesce(sum(floor(value)) FILTER (kind = 'NETWORK_STATUS_BYTES'), 0)::BIGINT AS network_bytes_sent, coalesce(sum(event_id % 100) FILTER (kind = 'NETWORK_STATUS_BYTES'), 0)::BIGINT AS network_bytes_received, count(DISTINCT event_id % 9) FILTER ({net}) AS unique_destinations, count(DISTINCT event_id % 5) FILTER ({net}) AS unique_ports, count(DISTINCT regexp_extract(props, '[0-9]+')) FILTER (kind = 'FILE_OPEN') AS unique_files,
-round(coalesce(avg(value / 10) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS cpu_mean, round(coalesce(avg(value / 20) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS memory_mean FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM fe) GROUP BY 1, b"""
-    return f"WITH fe AS (SELECT *, {kind} AS kind, 'p' || (user_id % 20) AS name FROM events WHERE user_id % 10 <> 0) {one(3600)} UNION ALL {one(60)}"
+round(coalesce(avg(value / 10) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS cpu_mean, round(coalesce(avg(value / 20) FILTER (kind = 'PROCESS_METRIC'), 0) + 1e-9, 6) AS memory_mean FROM (SELECT *, floor(epoch(ts) / {sec})::BIGINT AS b FROM fe) WHERE {when} GROUP BY 1, b"""
+    return f"fe AS (SELECT *, {kind} AS kind, 'p' || (user_id % 20) AS name FROM events WHERE user_id % 10 <> 0)", one
+
+
+def w2_sql():
+    fields, one = w2_parts()
+    return f"WITH {fields} {one(3600)} UNION ALL {one(60)}"
 
 
 Q["W1_behaviour_windows"] = Query(w1, w1_sql)
@@ -230,22 +250,31 @@ Q["F32_attack_technique"] = Query(lambda s, d: C.with_technique(t(s, d, "events"
 
 
 # Sequences ----------------------------------------------------------------------------------------------------------
+ORDER = ["ts", "event_id"]
+
+
 def tr(spark, d):
-    return S.traces(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    """Whole traces as arrays: what files of one trace each are written from."""
+    return S.traces(t(spark, d, "events"), ["user_id"], ORDER, "event_type")
+
+
+def tok(spark, d, where="true"):
+    """Traces in cuts of a week, with links from token to token."""
+    return Tr.linked(t(spark, d, "events").where(where), "user_id", ORDER, "event_type", F.floor(secs("ts") / (7 * 86400)))
 
 
 TR_SQL = "tok AS (SELECT user_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c, lag(event_type) OVER w AS p, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 GRAM_SQL = TR_SQL + """, bi AS (SELECT a || ' ' || b AS gram, count(*) AS n FROM tok WHERE b IS NOT NULL GROUP BY 1 ORDER BY n DESC, gram LIMIT 50), tri AS (SELECT a || ' ' || b || ' ' || c AS gram, count(*) AS n FROM tok WHERE c IS NOT NULL GROUP BY 1 ORDER BY n DESC, gram LIMIT 30),
 sch AS (SELECT 'token' AS kind, (row_number() OVER (ORDER BY gram) - 1)::INT AS position, gram, n FROM (SELECT a AS gram, count(*) AS n FROM tok GROUP BY 1) UNION ALL SELECT 'bigram', (row_number() OVER (ORDER BY n DESC, gram) - 1)::INT, gram, n FROM bi UNION ALL SELECT 'trigram', (row_number() OVER (ORDER BY n DESC, gram) - 1)::INT, gram, n FROM tri)"""
-Q["M1_vocabulary_and_ngrams"] = Query(lambda s, d: S.feature_schema(tr(s, d)), f"WITH {GRAM_SQL} SELECT kind, position, gram, n FROM sch")
+Q["M1_vocabulary_and_ngrams"] = Query(lambda s, d: Tr.gram_schema(tok(s, d)), f"WITH {GRAM_SQL} SELECT kind, position, gram, n FROM sch")
 STATS = ("diversity", "repetition_ratio")
-Q["M2_sequence_stats"] = Query(lambda s, d: rounded(tr(s, d).select("user_id", *[c.alias(n) for n, c in S.sequence_stats("tokens").items()]), *STATS), f"WITH {TR_SQL} SELECT user_id, count(*)::INT AS length, count(DISTINCT a)::INT AS n_distinct, round(count(DISTINCT a) / count(*) + 1e-9, 6) AS diversity, count(*) FILTER (a = b)::INT AS repeats, round(1 - count(DISTINCT a) / count(*) + 1e-9, 6) AS repetition_ratio FROM tok GROUP BY 1")
-Q["M3_int_trace_stats"] = Query(lambda s, d: rounded(S.traces(t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey").select("l_orderkey", *[c.alias(n) for n, c in S.int_stats("tokens").items()]), "mean", "std"), "SELECT l_orderkey, round(avg(l_partkey) + 1e-9, 6) AS mean, round(stddev_pop(l_partkey) + 1e-9, 6) AS std, min(l_partkey)::DOUBLE AS low, max(l_partkey)::DOUBLE AS high FROM lineitem GROUP BY 1")
-Q["M4_run_features"] = Query(lambda s, d: tr(s, d).select("user_id", S.run_features("tokens").alias("r")).select("user_id", "r.longest", "r.n_runs"), f"WITH {TR_SQL}, g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n)::INT AS longest, count(*) FILTER (n > 1)::INT AS n_runs FROM r GROUP BY 1")
-Q["M5_token_entropy"] = Query(lambda s, d: rounded(S.entropy(tr(s, d), "user_id"), "entropy"), f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1) SELECT user_id, round(-sum(n / total * log2(n / total)) + 1e-9, 6) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1")
+Q["M2_sequence_stats"] = Query(lambda s, d: rounded(Tr.stats(tok(s, d), "user_id").drop("entropy"), *STATS), f"WITH {TR_SQL} SELECT user_id, count(*) AS length, count(DISTINCT a) AS n_distinct, round(count(DISTINCT a) / count(*) + 1e-9, 6) AS diversity, count(*) FILTER (a = b) AS repeats, round(1 - count(DISTINCT a) / count(*) + 1e-9, 6) AS repetition_ratio FROM tok GROUP BY 1")
+Q["M3_int_trace_stats"] = Query(lambda s, d: rounded(Tr.number_stats(t(s, d, "lineitem"), "l_orderkey", "l_partkey"), "mean", "std"), "SELECT l_orderkey, round(avg(l_partkey) + 1e-9, 6) AS mean, round(stddev_pop(l_partkey) + 1e-9, 6) AS std, min(l_partkey)::DOUBLE AS low, max(l_partkey)::DOUBLE AS high FROM lineitem GROUP BY 1")
+Q["M4_run_features"] = Query(lambda s, d: Tr.runs(tok(s, d), "user_id", ORDER), f"WITH {TR_SQL}, g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, max(n) AS longest, count(*) FILTER (n > 1) AS n_runs FROM r GROUP BY 1")
+Q["M5_token_entropy"] = Query(lambda s, d: rounded(Tr.stats(tok(s, d), "user_id").select("user_id", "entropy"), "entropy"), f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1) SELECT user_id, round(-sum(n / total * log2(n / total)) + 1e-9, 6) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1")
 MAT_SQL = GRAM_SQL + """, cnt AS (SELECT user_id, 'token' AS kind, a AS gram, count(*) AS count FROM tok GROUP BY ALL UNION ALL SELECT user_id, 'bigram', a || ' ' || b, count(*) FROM tok WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT user_id, 'trigram', a || ' ' || b || ' ' || c, count(*) FROM tok WHERE c IS NOT NULL GROUP BY ALL)"""
-Q["M6_gram_counts"] = Query(lambda s, d: S.gram_matrix(tr(s, d), "user_id", S.feature_schema(tr(s, d))), f"WITH {MAT_SQL} SELECT user_id, kind, position, gram, count FROM cnt JOIN sch USING (kind, gram)")
-Q["J8_grams_with_schema"] = Query(lambda s, d: S.gram_matrix(tr(s, d), "user_id", S.feature_schema(tr(s, d), bigrams=10, trigrams=0)).groupBy("kind", "gram").agg(F.sum("count").alias("n")), f"WITH {GRAM_SQL} SELECT kind, gram, n FROM sch WHERE kind = 'token' OR kind = 'bigram' AND position < 10".replace(" OR kind = 'bigram' AND position < 10", " OR (kind = 'bigram' AND position < 10)"))
+Q["M6_gram_counts"] = Query(lambda s, d: Tr.gram_counts(tok(s, d), "user_id", Tr.gram_schema(tok(s, d))), f"WITH {MAT_SQL} SELECT user_id, kind, position, gram, count FROM cnt JOIN sch USING (kind, gram)")
+Q["J8_grams_with_schema"] = Query(lambda s, d: Tr.gram_counts(tok(s, d), "user_id", Tr.gram_schema(tok(s, d), bigrams=10, trigrams=0)).groupBy("kind", "gram").agg(F.sum("count").alias("n")), f"WITH {GRAM_SQL} SELECT kind, gram, n FROM sch WHERE kind = 'token' OR kind = 'bigram' AND position < 10".replace(" OR kind = 'bigram' AND position < 10", " OR (kind = 'bigram' AND position < 10)"))
 TYPES = ("click", "error", "purchase", "signup", "view")
 #: All grams that traces of these tokens can have: the schema's columns.
 NAMED = [("token", a) for a in TYPES] + [("bigram", f"{a} {b}") for a in TYPES for b in TYPES] + [("trigram", f"{a} {b} {c}") for a in TYPES for b in TYPES for c in TYPES]
@@ -253,13 +282,13 @@ COUNT_SQL = ", ".join(f"count(*) FILTER ({' AND '.join(f'{x} = {q(v)}' for x, v
 
 
 def m7(spark, d):
-    traces = tr(spark, d)
-    rows = S.feature_matrix(traces, "user_id", S.feature_schema(traces, bigrams=1000, trigrams=1000), NAMED)
+    links = tok(spark, d)
+    rows = Tr.feature_matrix(links, "user_id", ORDER, Tr.gram_schema(links, bigrams=1000, trigrams=1000), NAMED)
     return rounded(rows.select("user_id", "length", "longest", "entropy", *[F.col(f"{k}:{g}").alias(g.replace(" ", "_")) for k, g in NAMED]), "entropy")
 
 
-Q["M7_feature_matrix"] = Query(m7, f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1), en AS (SELECT user_id, -sum(n / total * log2(n / total)) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1), g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT user_id, count(*)::INT AS length, any_value(longest)::INT AS longest, round(any_value(entropy) + 1e-9, 6) AS entropy, {COUNT_SQL} FROM tok JOIN en USING (user_id) JOIN r USING (user_id) GROUP BY user_id")
-Q["M8_schema_round_trip"] = Query(lambda s, d: S.schema_from_names(S.schema_names(S.feature_schema(tr(s, d)))), f"WITH {GRAM_SQL} SELECT kind, gram, position FROM sch")
+Q["M7_feature_matrix"] = Query(m7, f"WITH {TR_SQL}, n AS (SELECT user_id, a, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT user_id, sum(n) AS total FROM n GROUP BY 1), en AS (SELECT user_id, -sum(n / total * log2(n / total)) AS entropy FROM n JOIN s USING (user_id) GROUP BY 1), g AS (SELECT *, sum(CASE WHEN p = a THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM tok), r AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1) SELECT user_id, count(*) AS length, any_value(longest) AS longest, round(any_value(entropy) + 1e-9, 6) AS entropy, {COUNT_SQL} FROM tok JOIN en USING (user_id) JOIN r USING (user_id) GROUP BY user_id")
+Q["M8_schema_round_trip"] = Query(lambda s, d: S.schema_from_names(S.schema_names(Tr.gram_schema(tok(s, d)))), f"WITH {GRAM_SQL} SELECT kind, gram, position FROM sch")
 DOC_SQL = "dt AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents)"
 
 
@@ -270,4 +299,4 @@ def dtok(spark, d):
 Q["A21_class_balance"] = Query(lambda s, d: t(s, d, "labels").join(t(s, d, "documents"), "doc_id").groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("n_distinct")), "SELECT lang, toxic, count(*) AS n, count(DISTINCT text) AS n_distinct FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
 Q["A22_sequence_lengths"] = Query(lambda s, d: rounded(dtok(s, d).agg(F.min(F.size("w")).alias("low"), F.max(F.size("w")).alias("high"), F.avg(F.size("w")).alias("mean"), F.count("*").alias("n")), "mean"), f"WITH {DOC_SQL} SELECT min(len(w))::INT AS low, max(len(w))::INT AS high, round(avg(len(w)) + 1e-9, 6) AS mean, count(*) AS n FROM dt")
 Q["A22_top_tokens"] = Query(lambda s, d: S.counts(dtok(s, d), "w").orderBy(F.desc("n"), "gram").limit(10), f"WITH {DOC_SQL} SELECT gram, count(*) AS n FROM (SELECT unnest(w) AS gram FROM dt) GROUP BY 1 ORDER BY n DESC, gram LIMIT 10")
-Q["S6_ordered_traces"] = Query(lambda s, d: tr(s, d).select("user_id", F.array_join("tokens", " ").alias("trace")), "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS trace FROM events GROUP BY 1")
+Q["S6_ordered_traces"] = Query(lambda s, d: Tr.pieces(t(s, d, "events"), "user_id", ORDER, "event_type", F.floor(secs("ts") / (7 * 86400))).select("user_id", "piece", "n", F.array_join("tokens", " ").alias("trace")), "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY w) - 1)::INT AS piece, n::INT AS n, trace FROM (SELECT user_id, floor(epoch(ts) / 604800)::BIGINT AS w, count(*) AS n, string_agg(event_type, ' ' ORDER BY ts, event_id) AS trace FROM events GROUP BY 1, 2)")

@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append(df: DataFrame, path: str, ts_col: str | None = None, files_at_most: int | None = None) -> None:
-    """Append to a table partitioned by date."""
+def scratch(spark: SparkSession) -> str:
+    """A new folder where the cluster keeps shared files. Without spark.checkpoint.dir only a local session has one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-scratch-')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df to a new scratch folder and read it back: what follows reads it instead of working it out again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Put df in the place of the table's partitions that it has rows of; all other files stay as they are.
+
+    The rows may come from the table itself: they are written elsewhere first.
+    """
+    spark, staging = df.sparkSession, scratch(df.sparkSession)
+    df.write.partitionBy(by).parquet(staging)
+    rows = spark.read.schema(df.schema).parquet(staging)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    removed(spark, staging)
+
+
+def append(df: DataFrame, path: str, ts_col: str | None = None, files_at_most: int | None = None, every: str = "day") -> None:
+    """Append to a table partitioned by the day (or month, year) of a time."""
     if ts_col:
-        df = df.withColumn("date", F.to_date(F.col(ts_col).cast("timestamp")))
+        df = df.withColumn("date", F.to_date(F.date_trunc(every, F.col(ts_col).cast("timestamp"))))
     writer = df.write.mode("append")
     if files_at_most:
         writer = writer.option("maxRecordsPerFile", files_at_most)
@@ -35,6 +70,31 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], overwrite: list[str],
     return both.select(*[c if c in key else value(c).alias(c) for c in old.columns])
 
 
+BUCKET = "bucket"
+
+
+def with_bucket(df: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
+def merge_into(path: str, new: DataFrame, key: list[str], buckets: int, overwrite: list[str] = (), fill: list[str] = (), merge_maps: list[str] = ()) -> list[int]:
+    """``upsert`` into a table at a path that is partitioned by a hash of its key; only the buckets of the new rows are read
+    and written again. A table that isn't there is begun. Returns those buckets: numbers below ``buckets``.
+
+    The new rows must have one row for a key. Running it again with the same rows changes nothing.
+    """
+    spark, rows = new.sparkSession, with_bucket(new, key, buckets)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        rows.write.partitionBy(BUCKET).parquet(path)
+        return list(range(buckets))
+    touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
+    if touched:
+        old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+        replace_partitions(upsert(old, rows.select(old.columns), [*key, BUCKET], overwrite, fill, merge_maps), path, BUCKET)
+    return touched
+
+
 def record_exit(processes: DataFrame, exits: DataFrame) -> DataFrame:
     """Set end and exit code of the instances in ``exits``."""
     e = exits.select("instance_id", F.col("end_s").alias("__end"), F.col("exit_code").alias("__code"))

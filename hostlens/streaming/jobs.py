@@ -1,20 +1,27 @@
-"""Streaming jobs over an event source. Watermarks are ten minutes; later rows are dropped.
+"""Streaming jobs over an event source. Watermarks are ten minutes; later rows are dropped. A watermark begins at the start
+of 1970, so rows of that time or before are late for keyed state.
 
-In ``running_stats`` events of one micro-batch are taken in order of time; an event that arrives in a later batch than a
-newer one is compared with what was known when it came, unlike in a batch job over all events.
+Events of one micro-batch are taken in order of time; an event that arrives in a later batch than a newer one is compared
+with what was known when it came, unlike in a batch job over all events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+from collections import Counter
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from hostlens.sources import sinks
+from hostlens.streaming.state import Idle, LastTokens, RunningStats
 
 WATERMARK = "10 minutes"
+IDLE_MS = 24 * 3600 * 1000  #: event time without an event after which a key's state goes
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -23,57 +30,45 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all that is there into a Parquet table."""
-    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-
+def run(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over all that is there into a Parquet table.
 
-def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Run a stream through a function of each micro-batch, as stores that replace rows need it."""
-    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    State is kept in RocksDB, which spills to disk and can hold what processors declare; the session's own choice of a
+    store is put back.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKS)
+    try:
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+    finally:
+        conf.set(STORE, before) if before is not None else conf.unset(STORE)
+    return query
 
 
-def running_stats(events: DataFrame, key: str, value: str, id_col: str) -> DataFrame:
-    """Each event with count, mean and deviation of the key's events before it, kept as state."""
+def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream through a function of each micro-batch, as stores that replace rows need it."""
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
+    return query
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", id_col])
-        x = rows[value].to_numpy(float)
-        base = mean if n or not len(x) else x[0]  # sums of what lies above it; that of the values in the state is 0
-        first, second = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x - base, (x - base) ** 2))
-        count = n + np.arange(len(x) + 1)
-        means = np.where(count > 0, base + first / np.maximum(count, 1), 0.0)
-        squares = np.maximum(m2 + second - first * first / np.maximum(count, 1), 0.0)
-        std = np.where(count > 1, np.sqrt(squares / np.maximum(count - 1, 1)), 0.0)
-        state.update((int(count[-1]), float(means[-1]), float(squares[-1])))
-        yield pd.DataFrame({key: k[0], id_col: rows[id_col].to_numpy(), "n_before": count[:-1], "mean_before": means[:-1], "std_before": std[:-1]})
 
+def _with_state(events: DataFrame, processor: Idle, value: str, schema: str, ts_col: str) -> DataFrame:
+    rows = events.withWatermark(ts_col, WATERMARK).select(ts_col, processor.key, processor.id_col, value, F.unix_millis(ts_col).alias("ts_ms"))
     kinds = dict(events.dtypes)
-    schema = f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, n_before long, mean_before double, std_before double"
-    return events.groupBy(key).applyInPandasWithState(update, schema, "n long, mean double, m2 double", "append", GroupStateTimeout.NoTimeout)
+    names = f"{processor.key} {kinds[processor.key]}, {processor.id_col} {kinds[processor.id_col]}, {schema}"
+    return rows.groupBy(processor.key).transformWithStateInPandas(processor, names, "Append", "EventTime")
 
 
-def last_tokens(events: DataFrame, key: str, token: str, id_col: str, most: int = 64, closes: str | None = None) -> DataFrame:
-    """The key's last tokens at each event. A token that ``closes`` ends the key's state after it is reported."""
+def running_stats(events: DataFrame, key: str, value: str, id_col: str, idle_ms: int = IDLE_MS, ts_col: str = "ts") -> DataFrame:
+    """Each event with count, mean and deviation of the key's events before it, since the key was last idle."""
+    return _with_state(events, RunningStats(key, value, id_col, idle_ms), value, "n_before long, mean_before double, std_before double", ts_col)
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", id_col])
-        out = []
-        for event, x in zip(rows[id_col], rows[token], strict=True):
-            recent = [*recent, x][-most:]
-            out.append((k[0], event, " ".join(recent)))
-            if x == closes:
-                recent = []
-        if recent:
-            state.update((recent,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, id_col, "recent"])
 
-    kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, recent string", "recent array<string>", "append", GroupStateTimeout.NoTimeout)
+def last_tokens(events: DataFrame, key: str, token: str, id_col: str, most: int = 64, closes: str | None = None, idle_ms: int = IDLE_MS, ts_col: str = "ts") -> DataFrame:
+    """The key's last tokens at each event. A token that ``closes`` ends the key's state after it is reported."""
+    return _with_state(events, LastTokens(key, token, id_col, idle_ms, most, closes), token, "recent string", ts_col)
 
 
 def first_alerts(alerts: DataFrame, keys: list[str], ts_col: str = "ts") -> DataFrame:
@@ -85,3 +80,76 @@ def split_bad(events: DataFrame, is_bad: str) -> tuple[DataFrame, DataFrame]:
     """Good rows and rows for quarantine; null tests count as bad."""
     bad = F.coalesce(F.expr(is_bad), F.lit(True))
     return events.where(~bad), events.where(bad)
+
+
+class Totals(StreamingQueryListener):
+    """Adds up the metrics that a stream's batches observe under a name, as Spark reports them.
+
+    Metrics come with the batch that was committed, so one that runs again counts once.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.totals, self.batches, self.over = name, Counter(), set(), threading.Event()
+        self.query_id: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        if self.query_id is None and event.name == self.name:
+            self.query_id = str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None and str(event.progress.id) == self.query_id and event.progress.batchId not in self.batches:
+            self.batches.add(event.progress.batchId)
+            self.totals.update({k: v or 0 for k, v in row.asDict().items()})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.query_id:
+            self.over.set()
+
+
+def run_counted(events: DataFrame, counters: dict[str, Column], each: Callable[[DataFrame, int], None], checkpoint: str, name: str, wait: float = 60.0) -> dict[str, int]:
+    """Run a stream through a function of each micro-batch and count its rows on the way.
+
+    ``counters`` are aggregates over all rows that arrive; ``name`` must be the stream's own. A batch is written down once,
+    which is when its rows are counted, and ``each`` reads it as often as it likes.
+    """
+    spark = events.sparkSession
+    totals = Totals(name)
+
+    def once(batch: DataFrame, k: int) -> None:
+        path = sinks.scratch(batch.sparkSession)
+        batch.write.parquet(path)
+        each(batch.sparkSession.read.schema(batch.schema).parquet(path), k)
+        sinks.removed(batch.sparkSession, path)
+
+    spark.streams.addListener(totals)
+    try:
+        first, *more = [c.cast("long").alias(k) for k, c in counters.items()]
+        query = events.observe(name, first, *more).writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(once).start()
+        query.awaitTermination()
+        if not totals.over.wait(wait):  # reports come after the last batch, by another thread
+            raise TimeoutError(f"no report of the end of {name}")
+    finally:
+        spark.streams.removeListener(totals)
+    return {k: totals.totals[k] for k in counters}
+
+
+class Newest:
+    """The newest ``most`` rows of a stream, kept from batch to batch: never more than those are stored."""
+
+    def __init__(self, folder: str, most: int, order: list[str]):
+        self.folder, self.most, self.order = folder, most, order
+
+    def rows(self, spark: SparkSession, k: int) -> DataFrame | None:
+        """What is kept after batch k."""
+        return spark.read.parquet(f"{self.folder}/batch={k}") if k >= 0 else None
+
+    def on_batch(self, rows: DataFrame, k: int) -> None:
+        """A batch that runs again reads what the one before left and writes the same."""
+        before = self.rows(rows.sparkSession, k - 1)
+        both = rows if before is None else before.unionByName(rows)
+        both.orderBy(*[F.desc(c) for c in self.order]).limit(self.most).write.mode("overwrite").parquet(f"{self.folder}/batch={k}")
+        self.latest = k

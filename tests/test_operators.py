@@ -140,7 +140,8 @@ def test_validation_counts(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    e = spark.range(60).select("id", F.timestamp_seconds(F.col("id") * 30).alias("ts"), (F.col("id") % 3).alias("k"), (F.col("id") * 7 % 11).cast("double").alias("v"))
+    # Not from 1970-01-01T00:00:00 on: a watermark begins there, and a row of that very time is late for it.
+    e = spark.range(60).select("id", F.timestamp_seconds(F.col("id") * 30 + 1).alias("ts"), (F.col("id") % 3).alias("k"), (F.col("id") * 7 % 11).cast("double").alias("v"))
     for i in range(3):
         e.where(F.col("id").between(i * 20, i * 20 + 19)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     J.run(J.running_stats(J.read_events(spark, f"{tmp_path}/in"), "k", "v", "id"), f"{tmp_path}/out", f"{tmp_path}/c")
