@@ -166,7 +166,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     if known is None:
         known = rows.select("digest", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")).limit(0)
     component = F.coalesce("component", "id")
-    found = rows.select("id", "digest").join(known, "digest", "left")
+    found = rows.where("digest is not null").select("id", "digest").join(known, "digest", "left")
+    none = [F.lit(None).cast("long").alias(c) for c in ("n_links", "component")]
+    found = found.unionByName(rows.where("digest is null").select("id", "digest", *none))  # vectors that don't count aren't joined
     return found.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -184,7 +186,9 @@ def _known(points: DataFrame, n: int, threshold: float) -> DataFrame:
     dropped(spark, temporary)
     # Points are numbered at random as to ids: the smallest id of each component that has links at all.
     least = known.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    known = known.join(least, "component", "left")
+    # Points without links, often most, take no part in the join: their null component would be one hot key.
+    alone = known.where("component is null").withColumn("least", F.col("first"))
+    known = known.where("component is not null").join(least, "component").select(alone.columns).unionByName(alone)
     return known.select("digest", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component"))
 
 

@@ -20,7 +20,7 @@ fall into one component are searched on: blocks of points with their rectangles,
 that no link between different texts is lost. Equal sets are one point from the start. Only component membership and
 verified links are kept, so a group of copies costs no pair rows.
 
-Null ids: the set's size is given, the component is null. Rows that repeat an id are each given the id's component.
+Null ids: the set's size is given, the component is null. Rows that repeat an id are documents of their own.
 """
 
 from __future__ import annotations
@@ -418,18 +418,38 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per document: id, n_shingles, representative (smallest id with the same set), component_id."""
-    sets, links = jaccard_links(df, id_col, text_col, k, num, den)
+    """One row per document: id, n_shingles, representative (smallest id with the same set), component_id.
+
+    Each row is a document of its own, with the set of its own text. Where rows repeat an id, rows are linked by their
+    numbers, and each gets the smallest id among those that it is connected with; rows of one id are connected by their
+    texts only. Rows without an id link with nothing.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if docs.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        return _components_of(docs, k, num, den).withColumnRenamed("id", id_col)
+    rows = saved(docs.where("id is not null").select(F.monotonically_increasing_id().alias("number"), "id", "text"), "numbered")
+    found = saved(_components_of(rows.select(F.col("number").alias("id"), "text"), k, num, den).withColumnRenamed("id", "number"), "found")
+    found = saved(found.join(rows.select("number", "id"), "number"), "named")
+    least = lambda c: saved(found.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(f"least_{c}")), "least")
+    named = found.join(least("representative"), "representative", "left").join(least("component_id"), "component_id", "left")
+    named = named.select("id", "n_shingles", F.col("least_representative").alias("representative"), F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least_component_id")).alias("component_id"))
+    return named.unionByName(_components_of(docs.where("id is null"), k, num, den)).withColumnRenamed("id", id_col)
+
+
+def _components_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The same for documents (id long, text) whose ids are null or different."""
+    sets, links = jaccard_links(docs, "id", "text", k, num, den)
     groups = components(links)
     rows = sets.join(groups.select(F.col("id").alias("representative"), "component"), "representative", "left")
     component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "representative"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "representative", component.alias("component_id"))
+    return rows.select("id", F.col("n").alias("n_shingles"), "representative", component.alias("component_id"))
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
     """Membership (id, n, representative) and verified links (a, b) between representatives.
 
-    The links connect what all links of the join connect; they leave out links inside what is connected already.
+    The links connect what all links of the join connect; they leave out links inside what is connected already. Ids must
+    be null or different (``jaccard_components`` sees to it).
     """
     parts, spark, temporary = Parts(num, den), df.sparkSession, []
     docs = _docs(df, id_col, text_col)

@@ -100,13 +100,14 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.v
 everyone AS (SELECT vec_id AS id FROM embeddings), {REACH_SQL}
 SELECT c.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = c.id) AS n_links, c.component_id, c.id = c.component_id AS kept FROM components c"""
 
-OP5_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
-everyone AS (SELECT doc_id AS id FROM documents), {REACH_SQL}
-SELECT c.id AS doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM components c LEFT JOIN sizes s ON s.doc_id = c.id"""
+#: Each row is a document of its own (rid).
+OP5_SQL = rf"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), words AS (SELECT rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM docs),
+sets AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM words),
+sizes AS (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS i FROM sets a JOIN sets b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+everyone AS (SELECT rid AS id FROM docs), {REACH_SQL}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(d.doc_id) OVER (PARTITION BY c.component_id) AS component_id FROM components c JOIN docs d ON d.rid = c.id LEFT JOIN sizes s ON s.rid = c.id"""
 
 #: A text's bytes as hex digits, two a byte; spans of removed positions; what stands between them.
 OP7_SQL = """WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),

@@ -313,3 +313,56 @@ def test_stages_carry_every_row(spark, tmp_path):
     spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = stage(0)
     assert kept.count() == len(read(kept))
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_mix_with_one_id_on_a_third_of_all_rows(spark, same_text):
+    """Targets are met within a document, however many rows share an id (or none, or id and text)."""
+    rng = random.Random(3)
+    text = lambda i: " ".join(["w"] * (20 if same_text else rng.randrange(1, 60)) + ([] if same_text else [f"t{i}"]))
+    rows = [(7, text(i), "hot") for i in range(1500)] + [(None, text(i), "none") for i in range(300)] + [(i, text(i), rng.choice(["a", "b", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    by_source: dict = {}
+    for r in got:
+        x = by_source.setdefault(r.source, [r.target, 0, 0])
+        x[1], x[2] = x[1] + r.taken, max(x[2], r.size)
+        assert r.taken <= 2 * r.size
+    assert all(abs(target - taken) <= largest for target, taken, largest in by_source.values())
+    key = lambda rs: Counter((r.doc_id, r.source, r.size, r.taken) for r in rs)
+    assert key(got) == key(mixing.mix(df.repartition(4)).collect())
+    docs = mixing.mixed_documents(df).groupBy("source").agg(F.sum(mixing.words("text")).alias("n")).collect()
+    assert {r.source: r.n for r in docs} == {s: x[1] for s, x in by_source.items()}
+
+
+def test_jaccard_with_several_texts_of_one_id(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        for j in range(2):
+            t = [rng.choice(words) for _ in range(60)]
+            rows += [(i, " ".join(t)), (1000 + 2 * i + j, " ".join([*t[:-1], "other"]))]
+    rows += [(5, rows[0][1]), (None, rows[0][1]), (None, ""), (2000, ""), (2000, "alone here")]
+    ids, texts = [r[0] for r in rows], [r[1].split() for r in rows]
+    sets = [{tuple(t[p : p + 3]) for p in range(len(t) - 2)} or ({tuple(t)} if t else set()) for t in texts]
+    label = list(range(len(rows)))
+    # Labels to a fixed point, then the smallest id of each.
+    changed = True
+    while changed:
+        changed = False
+        for x in range(len(rows)):
+            for y in range(x):
+                if ids[x] is not None and ids[y] is not None and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]) and label[x] != label[y]:
+                    label[x] = label[y] = min(label[x], label[y])
+                    changed = True
+    least: dict = {}
+    for i, c in zip(ids, label, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    want = Counter((i, len(s), None if i is None else least[c]) for i, s, c in zip(ids, sets, label, strict=True))
+    df = spark.createDataFrame(rows, TEXTS)
+    for parts in (1, 5):
+        got = ngram_join.jaccard_components(df.repartition(parts), k=3, num=90, den=100)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
