@@ -12,6 +12,7 @@ from hostlens.functions.classify import FAMILY_PARTS, family_by_parts
 from hostlens.operators import baseline as B
 from hostlens.plans._bind import DET_SQL, FULL_SQL, LINE_SQL, PROC_SQL, WINDOWS_SQL, Query, daily_windows, detections, full_windows, lines, processes, secs, t
 from hostlens.plans.behaviour import rounded
+from hostlens.sources.sinks import stored
 
 Q: dict[str, Query] = {}
 NOW = 1_750_000_000
@@ -225,24 +226,25 @@ LS = ", ".join(LKEY)
 
 
 def expired(spark, d):
+    """What goes from each table, worked out when it is asked for."""
     li, de, pr = lines(spark, d), detections(spark, d), processes(spark, d)
-    e, w = Rt.expired_events(li, de, POLICY, AT), Rt.expired_windows(li, de, POLICY, AT, LKEY)
-    x = Rt.expired_detections(de, POLICY, AT)
-    left = [Rt.kept(li, e, LKEY), Rt.kept(li, w, LKEY), Rt.kept(de, x, LKEY)]
-    return {"events": e, "windows": w, "metrics": Rt.expired_metrics(li, POLICY, AT), "detections": x, "processes": Rt.expired_processes(pr, left, POLICY, AT)}
+    go = {"events": lambda: Rt.expired_events(li, de, POLICY, AT), "windows": lambda: Rt.expired_windows(li, de, POLICY, AT, LKEY), "metrics": lambda: Rt.expired_metrics(li, POLICY, AT), "detections": lambda: Rt.expired_detections(de, POLICY, AT)}
+    # What the other tables keep is written down once, as instances, before processes are looked up in it.
+    left = lambda: [stored(Rt.kept(df, go[name](), LKEY).select("instance_id").distinct()) for name, df in (("events", li), ("windows", li), ("detections", de))]
+    return go | {"processes": lambda: Rt.expired_processes(pr, left(), POLICY, AT)}
 
 
 R5_SQL = f"""r5 AS (SELECT instance_id FROM proc p WHERE end_s IS NOT NULL AND end_s < {C['processes']} AND NOT EXISTS (SELECT 1 FROM line l WHERE l.instance_id = p.instance_id AND ({LS.replace('instance_id', 'l.instance_id')}) NOT IN (SELECT {LS} FROM r1))
 AND NOT EXISTS (SELECT 1 FROM line l WHERE l.instance_id = p.instance_id AND ({LS.replace('instance_id', 'l.instance_id')}) NOT IN (SELECT {LS} FROM r2)) AND NOT EXISTS (SELECT 1 FROM det x WHERE x.instance_id = p.instance_id AND x.end_s >= {C['detections']}))"""
-Q["R1_expired_events"] = Query(lambda s, d: expired(s, d)["events"].select(*LKEY), f"{FLAG_SQL}, {R1_SQL} SELECT {LS} FROM r1")
-Q["R2_expired_windows"] = Query(lambda s, d: expired(s, d)["windows"].select(*LKEY), f"{FLAG_SQL}, {R2_SQL} SELECT {LS} FROM r2")
-Q["R3_expired_metrics"] = Query(lambda s, d: expired(s, d)["metrics"].select(*LKEY), f"{L} SELECT {LS} FROM line WHERE end_s < {C['metrics']}")
-Q["R4_expired_detections"] = Query(lambda s, d: expired(s, d)["detections"].select(*LKEY), f"{DT} SELECT {LS} FROM det WHERE end_s < {C['detections']}")
-Q["R5_expired_processes"] = Query(lambda s, d: expired(s, d)["processes"].select("instance_id"), f"{FLAG_SQL}, {R1_SQL}, {R2_SQL}, {R5_SQL} SELECT instance_id FROM r5")
+Q["R1_expired_events"] = Query(lambda s, d: expired(s, d)["events"]().select(*LKEY), f"{FLAG_SQL}, {R1_SQL} SELECT {LS} FROM r1")
+Q["R2_expired_windows"] = Query(lambda s, d: expired(s, d)["windows"]().select(*LKEY), f"{FLAG_SQL}, {R2_SQL} SELECT {LS} FROM r2")
+Q["R3_expired_metrics"] = Query(lambda s, d: expired(s, d)["metrics"]().select(*LKEY), f"{L} SELECT {LS} FROM line WHERE end_s < {C['metrics']}")
+Q["R4_expired_detections"] = Query(lambda s, d: expired(s, d)["detections"]().select(*LKEY), f"{DT} SELECT {LS} FROM det WHERE end_s < {C['detections']}")
+Q["R5_expired_processes"] = Query(lambda s, d: expired(s, d)["processes"]().select("instance_id"), f"{FLAG_SQL}, {R1_SQL}, {R2_SQL}, {R5_SQL} SELECT instance_id FROM r5")
 
 
 def r6(spark, d):
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in expired(spark, d).items()]
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in ((k, go()) for k, go in expired(spark, d).items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -41,7 +41,7 @@ def f4(spark, d):
 Q["F4_finite_guard"] = Query(f4, "SELECT vec_id, CASE WHEN label IN (1, 2, 3) THEN 0.0 ELSE label::DOUBLE END AS value, CASE label WHEN 1 THEN 'x is None' WHEN 2 THEN 'x is NaN' WHEN 3 THEN 'x is infinite' END AS error FROM embeddings")
 
 # System calls are named by position in the dimension, so that the join has known and unknown names.
-NAMES = [n for names in C.CATEGORIES.values() for n in names.split()][::7] + ["nosuchcall", "reboot"]
+NAMES = sorted({n for names in C.CATEGORIES.values() for n in names.split()}) + ["nosuchcall", "reboot"]
 CATEGORY_OF = {n: next((c for c, names in C.CATEGORIES.items() if n in names.split()), "other") for n in NAMES}
 NAME_SQL = f"(SELECT *, [{', '.join(map(q, NAMES))}][event_id % {len(NAMES)} + 1] AS syscall FROM events)"
 

@@ -32,7 +32,7 @@ def events(spark, tmp_path_factory):
         kind = "exit" if i == 29 or rng.random() < 0.02 else rng.choice(["open", "read"])
         rows.append((i, at, user, kind, rng.random() * 100))
     path = str(tmp_path_factory.mktemp("feed"))
-    write_feed(spark, path, rows, "event_id long, ts timestamp, user string, kind string, value double", 9)
+    write_feed(spark, path, rows, "event_id long, ts timestamp, user string, kind string, value double", 6)
     return path, rows
 
 
