@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -46,15 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def tables_dropped(spark: SparkSession) -> Iterator[None]:
+    """Drop all tables that operators save inside, on leaving. To be put round an operator and the writing of its result,
+    which reads them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        dropped(spark, _scopes.pop())
+
+
 def saved(df: DataFrame, what: str = "table", into: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
-    ``into`` gets the folder's name, for ``dropped``.
+    ``into`` gets the folder's name, for ``dropped``; else it goes at the end of the ``tables_dropped`` that it is in, if any.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}"
+    folder = shared_dir(df.sparkSession)
+    path = f"{folder}/{what}"
     df.write.parquet(path)
     if into is not None:
         into.append(path)
+    elif _scopes:
+        _scopes[-1].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
