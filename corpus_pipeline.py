@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm import bpe, mixing, ngram_join, quality, suffix_dedup
-from hostlens.llm._common import dropped, saved, small, table
+from hostlens.llm._common import dropped, saved, small, table, tables_dropped
 
 
 def names() -> list[Column]:
@@ -81,7 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. What a stage saved on its way, and the table that it read, are dropped once its own table is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        written: list[str] = []
+        with tables_dropped(spark):
+            docs = saved(stage(spark, docs, sf_dir), name, written)
+        dropped(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
