@@ -105,22 +105,19 @@ def test_kept_text_and_empty_table(spark):
     assert debruijn.remove_repeated_windows(df.limit(0)).collect() == []
 
 
-def test_saved_tables_are_dropped(spark, tmp_path):
+def test_saved_tables_are_dropped(spark, tmp_path, monkeypatch):
     """Inside ``tables_dropped`` nothing stays in the shared folder but what the caller wrote."""
     from pathlib import Path
-
-    from hostlens.llm import mixing, suffix_dedup
-    from hostlens.llm._common import tables_dropped
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared")
-    try:
-        df = spark.createDataFrame([(i, t, "a") for i, t in texts(9, 40)], "doc_id long, text string, source string")
-        with tables_dropped(spark):
-            debruijn.remove_repeated_windows(df, length=10, gram=3).write.parquet(f"{tmp_path}/op12")
-            suffix_dedup.remove_repeats(df.select("doc_id", "text")).write.parquet(f"{tmp_path}/op7")
-            mixing.mix(df).write.parquet(f"{tmp_path}/op6")
-        assert [p for p in Path(f"{tmp_path}/shared").rglob("*.parquet")] == []
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    from uuid import uuid4
+
+    from hostlens.llm import _common, mixing, suffix_dedup
+
+    monkeypatch.setattr(_common, "shared_dir", lambda _: f"{tmp_path}/shared/{uuid4().hex}")
+    df = spark.createDataFrame([(i, t, "a") for i, t in texts(9, 40)], "doc_id long, text string, source string")
+    with _common.tables_dropped(spark):
+        debruijn.remove_repeated_windows(df, length=10, gram=3).write.parquet(f"{tmp_path}/op12")
+        suffix_dedup.remove_repeats(df.select("doc_id", "text")).write.parquet(f"{tmp_path}/op7")
+        mixing.mix(df).write.parquet(f"{tmp_path}/op6")
+        assert list(Path(f"{tmp_path}/shared").rglob("*.parquet"))
+    assert list(Path(f"{tmp_path}/shared").rglob("*.parquet")) == []
     assert all(spark.read.parquet(f"{tmp_path}/{op}").count() == 40 for op in ("op12", "op7", "op6"))
