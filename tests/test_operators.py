@@ -38,6 +38,12 @@ def test_row_compares_with_all_before(spark):
     assert math.isclose(rows[2].z, (9 - 4) / math.sqrt(2))
 
 
+def test_a_score_of_just_the_threshold_is_exact(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([24, 24, 18, 18, 24, 24, 18, 24, 24, 28])], "k string, t int, v int")
+    last = W.compare_then_update(df, ["k"], ["t"], "v").orderBy("t").collect()[-1]
+    assert (last.mean_before, last.std_before, last.z) == (22.0, 3.0, 2.0)
+
+
 def test_combined_moments_equal_those_of_the_union(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"), (F.col("id") < 60).alias("first"))
     m = lambda x: x.groupBy("k").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"), F.min("v").alias("low"), F.max("v").alias("high"))
