@@ -77,6 +77,12 @@ def test_trace_of_two_million_tokens(spark):
     assert tuple(pieces) == (41, 50_000, n)
 
 
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_whole_traces(spark, tokens, width):
+    got = T.traces(spark.createDataFrame(tokens, "k string, i int, t string"), "k", ["i"], "t", F.floor(F.col("i") / width))
+    assert {r.k: r.trace for r in got.collect()} == {k: " ".join(x) for k, x in by_key(tokens).items()} and got.count() == 5
+
+
 @pytest.mark.parametrize("digits", [16, 1024])
 def test_selected_quantiles(spark, digits):
     rng = random.Random(8)
