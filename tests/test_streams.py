@@ -71,6 +71,18 @@ def test_running_stats_and_state_that_goes(spark, events, tmp_path):
     assert max(kept) > kept[-1]  # users that went quiet are forgotten
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_share_buckets(spark, events, tmp_path, buckets):
+    path, rows = events
+    feed = J.read_events(spark, path).withColumn("user", F.when(F.col("user") != "hot", F.col("user")))  # one key is null
+    got, _ = streamed(spark, J.running_stats(feed, "user", "value", "event_id", IDLE, buckets=buckets), tmp_path)
+    n, seen = {}, {}
+    for user, life, r in lives(rows):
+        n[r[0]] = (None if user == "hot" else user, seen.get((user, life), 0))
+        seen[user, life] = n[r[0]][1] + 1
+    assert {r.event_id: (r.user, r.n_before) for r in got.collect()} == n
+
+
 def test_last_tokens_close_and_state_that_goes(spark, events, tmp_path):
     path, rows = events
     got, query = streamed(spark, J.last_tokens(J.read_events(spark, path), "user", "kind", "event_id", 5, "exit", IDLE), tmp_path)
