@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostlens.operators import baseline as B
+from hostlens.operators import deviation as D
 from hostlens.operators import history as H
 from hostlens.operators import ml as M
 from hostlens.operators import retention as Rt
@@ -184,6 +185,20 @@ def test_wide_baseline_equals_long(spark):
     assert all(abs(rough[r.profile_id, r.feature].median - r.median) <= 1 for r in long.collect())
 
 
+def test_window_deviations_equal_long_ones(spark):
+    rows = [(p, i, float((i * 7 + p) % 13), float(i % 5) if p else None, f"i{i}", int(i == 9)) for p in range(3) for i in range(30)]
+    w = spark.createDataFrame([*rows, (9, 0, 1.0, 1.0, "x", 0)], "profile_id int, start int, syscalls_sensitive double, cpu_usage double, instance_id string, label_binary int")
+    names, keys, reg = ["syscalls_sensitive", "cpu_usage"], ["profile_id", "start"], B.registry(spark)
+    base = B.build_profiles(w, reg)
+    long = D.robust_deviation(B.long_form(w, keys, names), base, reg)
+    wide = D.window_deviations(w, keys, names, base, reg)
+    columns = [*keys, "feature", "value", "median", "robust_score", "z_classic", "is_deviant", "feature_risk", "maturity"]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())) and a.count() > 80
+    assert same(long.select(columns), D.taken_apart(wide))
+    assert same(D.category_risk(long, keys), D.window_category_risk(wide))
+    assert same(D.deviation_vector(long, keys, names), D.window_deviation_vector(wide, keys, names))
+
+
 def test_retraining_gates_and_promotes(spark, tmp_path):
     from hostlens.operators import ml
 
