@@ -17,8 +17,9 @@ Documents of a leaf aren't paired. First each document is checked (bound, then s
 same smallest key: that joins most of a group of near copies, at one check for each. Then each is checked with the
 smallest document of each of its leaves that is not in its component yet. Only leaves whose documents still don't all
 fall into one component are searched on: blocks of points with their rectangles, bound by rectangle and by point, so
-that no link between different texts is lost. Equal sets are one point from the start. Only component membership and
-verified links are kept, so a group of copies costs no pair rows.
+that no link between different texts is lost. The documents that the bound leaves with a partner, not the pairs, go on:
+their sets meet in cells, and a cell gives a forest of verified links. Equal sets are one point from the start. Only
+component membership and verified links are kept, so a group of copies costs no pair rows.
 
 Null ids: the set's size is given, the component is null. Rows that repeat an id are documents of their own.
 """
@@ -41,6 +42,7 @@ BUFFER = 500_000  #: leaf keys that a task holds before it passes them on
 BUCKET = 2_000_000  #: leaf keys for which there is a bucket
 BLOCK = 256  #: points of a rectangle
 CELL = 4096  #: points of a large leaf that one task holds
+SETS = 1_000_000  #: shingles of a cell whose sets one task holds
 SEEDS = 8
 SHARE = 256  #: pairs of one document that are verified together
 SMALL = 64  #: below this size any part with a shingle is usable
@@ -348,8 +350,34 @@ def _bounded(pairs: DataFrame, points: DataFrame, parts: Parts) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").transform(mapped, run, "a long, b long")
 
 
+def _in_cells(members: DataFrame) -> DataFrame:
+    """The members (key, id, cells, ..) once for each pair (i, j) of their leaf's cells that their own cell is in."""
+    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    members = members.withColumn("cell", cell).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return members.withColumns({"i": F.least("cell", "with"), "j": F.greatest("cell", "with")}).drop("cells", "cell", "with")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of rows of one (key, i, j)."""
+    now, held = None, []
+    for batch in batches:
+        key = np.column_stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for at, stop in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if at == stop:
+                continue
+            if now != tuple(key[at]):
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                now, held = tuple(key[at]), []
+            held.append(batch.slice(at, stop - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Parts, temporary: list[str]) -> DataFrame:
-    """Pairs (a, b) under one leader but of different components that the bound can't rule out.
+    """(key, id, component, n): documents under a leader (key) for which the bound can't rule out a link with one there that is
+    of another component.
 
     All documents of a leaf have one leader, and near copies share most of their leaves: by leader, a pair comes up once.
     ``groups`` has the components by now of those in the leaves: first the few components under each leader are looked at.
@@ -365,35 +393,20 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
     own = rows.select(F.col("leader").alias("key"), F.col("leader").alias("id"), F.col("of_leader").alias("component")).distinct()
     members = rows.select(F.col("leader").alias("key"), F.col("doc").alias("id"), F.col("of_doc").alias("component")).unionByName(own).join(several, "key")
     # A large leaf is searched as pairs of cells; every document goes to all pairs that its cell is in.
-    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
-    members = members.withColumn("cell", cell).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    members = members.join(points.select("id", "n", "counts"), "id")
-    members = members.select("key", F.least("cell", "with").alias("i"), F.greatest("cell", "with").alias("j"), "id", "component", "n", "counts")
+    members = _in_cells(members).join(points.select("id", "n", "counts"), "id").select("key", "i", "j", "id", "component", "n", "counts")
     members = members.repartition(partitions(leaves), "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            key = np.column_stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for at, stop in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if at == stop:
-                    continue
-                if now != tuple(key[at]):
-                    yield from search(held)
-                    now, held = tuple(key[at]), []
-                held.append(batch.slice(at, stop - at))
-        yield from search(held)
-
-    def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        ids, component, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
+        for rows in _by_cell(batches):
+            yield rows.filter(pa.array(search(rows))).select(["key", "id", "component", "n"])
+
+    def search(rows: pa.RecordBatch) -> np.ndarray:
+        component, n = (rows.column(c).to_numpy() for c in ("component", "n"))
         fine = rows.column("counts").to_pylist()
         points = np.stack([_folded(x, GROUPS) for x in fine])
+        found = np.zeros(len(n), bool)
         # Rows come by size; a block's rectangle runs from 0 to the largest count of each coordinate.
-        starts = range(0, len(ids), BLOCK)
+        starts = range(0, len(n), BLOCK)
         corners = [points[s : s + BLOCK].max(axis=0) for s in starts]
         for x, s in enumerate(starts):
             for y in range(x, len(corners)):
@@ -407,14 +420,71 @@ def _searched(leaves: DataFrame, points: DataFrame, groups: DataFrame, parts: Pa
                 i, j = i[keep], j[keep]
                 for c in range(0, len(i), 8192):
                     a, b = i[c : c + 8192], j[c : c + 8192]
+                    open_ = ~(found[a] & found[b])
+                    a, b = a[open_], b[open_]
                     may = parts.may_link(np.minimum(points[a], points[b]).sum(axis=1), n[a], n[b])
-                    a, b = a[may], b[may]
-                    may = np.array([parts.may_link(overlap_bound(fine[u], fine[v]), n[u], n[v]) for u, v in zip(a, b, strict=True)], bool)
-                    if may.any():
-                        p, q = ids[a[may]], ids[b[may]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+                    for u, v in zip(a[may], b[may], strict=True):
+                        if not (found[u] and found[v]) and parts.may_link(overlap_bound(fine[u], fine[v]), n[u], n[v]):
+                            found[[u, v]] = True
+        return found
+
+    return members.transform(mapped, run, "key long, id long, component long, n long").distinct()
+
+
+def _joined(docs: DataFrame, found: DataFrame, k: int, parts: Parts, temporary: list[str]) -> DataFrame:
+    """Links (a, b) that connect what all links between the documents of one key in ``found`` (key, id, component, n) connect.
 
-    return members.transform(mapped, run, "a long, b long").distinct()
+    The sets of a key meet in pairs of cells of at most some SETS shingles, or of one text; each gives a forest.
+    """
+    cells = saved(found.groupBy("key").agg(F.ceil(F.sum("n") / SETS).cast("int").alias("cells")), "cells", temporary)
+    members = _in_cells(found.join(cells, "key"))
+    sent = saved(members.groupBy("id").agg(F.first("component").alias("component"), F.collect_set(F.struct("key", "i", "j")).alias("to")), "sent", temporary)
+    texts = docs.join(small(sent, FEW_IDS), "id").dropDuplicates(["id"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, h = shingles(*strings(part.column("text")), k)
+                edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                for i, (name, component, to) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "component", "to")), strict=True)):
+                    data, n = h[edges[i] : edges[i + 1]].tobytes(), int(edges[i + 1] - edges[i])
+                    for at in range(0, len(to), 64):
+                        some = to[at : at + 64]
+                        same = lambda x: [x] * len(some)  # noqa: E731, B023
+                        columns = [pa.array([x[c] for x in some], t) for c, t in (("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+                        columns += [pa.array(same(x), t) for x, t in ((name, pa.int64()), (component, pa.int64()), (n, pa.int64()), (data, pa.binary()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "id", "component", "n", "set"])
+
+    rows = texts.transform(mapped, sets, "key long, i int, j int, id long, component long, n long, set binary")
+    rows = rows.repartition(partitions(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_cell(batches):
+            links = link(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    def link(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        ids, n = (rows.column(c).to_numpy() for c in ("id", "n"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        flat, first = np.concatenate(own), np.cumsum(n) - n
+        points = np.stack([np.bincount((x >> np.uint64(64 - 6)).astype(np.int64), minlength=GROUPS) for x in own])
+        label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        links: list[tuple[int, int]] = []
+        for a in range(len(ids)):
+            b = np.arange(a + 1, np.searchsorted(n, n[a] * parts.den // parts.num, "right"))
+            b = b[label[b] != label[a]]
+            b = b[parts.may_link(np.minimum(points[a], points[b]).sum(axis=1), n[a], n[b])]
+            if not len(b):
+                continue
+            values = flat[ragged(first[b], n[b])]
+            same = own[a][np.minimum(np.searchsorted(own[a], values), n[a] - 1)] == values
+            b = b[parts.may_link(np.add.reduceat(same.astype(np.int64), np.cumsum(n[b]) - n[b]), n[a], n[b])]
+            others, at = np.unique(label[b], return_index=True)
+            links += [(int(max(ids[a], x)), int(min(ids[a], x))) for x in ids[b[at]]]
+            label[np.isin(label, others)] = label[a]
+        return links
+
+    return rows.transform(mapped, run, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -481,7 +551,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     released(spark)
     rest = saved(_searched(leaves, points, components(links), parts, temporary), "rest", temporary)
     if not rest.isEmpty():
-        links = links.unionByName(saved(_verified(single, rest, k, parts, temporary), "more"))
+        links = links.unionByName(saved(_joined(single, rest, k, parts, temporary), "more"))
     dropped(spark, temporary)
     released(spark)
     return sets, links

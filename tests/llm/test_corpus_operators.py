@@ -84,6 +84,28 @@ def test_jaccard_edges(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_group_of_copies_that_hardly_link_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(304)], []
+    for i in range(160):  # two copies share 265 of 300 shingles, 267 would link them; only those of one number share 270
+        x = list(base)
+        for at in range(20, 300, 40):
+            x[at] = f"x{i // 2}" if at == 20 and i < 40 else f"y{i}-{at}"
+        rows.append((i, " ".join(x)))
+    made, saved = {}, ngram_join.saved
+
+    def counted(df, what="table", into=None):
+        out = saved(df, what, into)
+        made[what] = max(made.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", counted)
+    monkeypatch.setattr(ngram_join, "SETS", 9_000, raising=False)  # several cells
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, TEXTS), k=5, num=8, den=10).collect()}
+    assert got == brute_jaccard(rows, 5, 8, 10)
+    assert 0 < made["rest"] <= 8 * len(rows), made
+
+
 def test_every_near_pair_shares_a_leaf():
     rng = np.random.default_rng(8)
     for num, den in ((9, 10), (8, 10)):
