@@ -61,3 +61,10 @@ def test_feature_files_name_their_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.1, 3.0)], "id int, b double, a double")
     schema = sinks.write_features(df, str(tmp_path), ["a", "b"], ["id"])
     assert [tuple(r) for r in schema.orderBy("position").collect()] == [(0, "a", "feature"), (1, "b", "feature"), (2, "id", "meta")]
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    rows = spark.range(7).selectExpr("concat('t ', id) AS value").coalesce(1)
+    sinks.file_for_each(rows, f"{tmp_path}/t", at_once=2)
+    assert sorted(f.read_text() for f in (tmp_path / "t").glob("*.txt")) == [f"t {i}\n" for i in range(7)]
+    assert len({f.name.split("-")[1] for f in (tmp_path / "t").glob("*.txt")}) > 1  # tasks
