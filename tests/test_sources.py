@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hostlens.functions.privacy import redact_nested
+from hostlens.operators import baseline
 from hostlens.sources import layouts, scans, sinks
 from hostlens.sources.ingest import ingest_experiment
 
@@ -68,3 +69,11 @@ def test_a_file_for_each_row(spark, tmp_path):
     sinks.file_for_each(rows, f"{tmp_path}/t", at_once=2)
     assert sorted(f.read_text() for f in (tmp_path / "t").glob("*.txt")) == [f"t {i}\n" for i in range(7)]
     assert len({f.name.split("-")[1] for f in (tmp_path / "t").glob("*.txt")}) > 1  # tasks
+
+
+def test_oldest_windows_by_counting(spark):
+    rows = [(k, at) for k in ("a", "b", None) for at in [*range(20), None]] + [("c", 1)]
+    df = spark.createDataFrame(rows, "k string, at int").repartition(3)
+    for most in (1, 5, 100):
+        got = sorted(map(str, baseline.oldest_counted(df, "k", "at", most).collect()))
+        assert got == sorted(map(str, baseline.oldest(df, "k", "at", most).collect()))
