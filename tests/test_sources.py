@@ -71,6 +71,14 @@ def test_a_file_for_each_row(spark, tmp_path):
     assert len({f.name.split("-")[1] for f in (tmp_path / "t").glob("*.txt")}) > 1  # tasks
 
 
+def test_partitions_are_replaced_from_their_own_table_in_one_write(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    spark.range(9).selectExpr("id", "id % 3 AS p").write.partitionBy("p").parquet(path)
+    monkeypatch.setattr(sinks, "scratch", None)  # no copy elsewhere
+    sinks.replace_partitions(spark.read.parquet(path).where("p < 2 and id > 2"), path, "p")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4, 5, 6, 7, 8]
+
+
 def test_oldest_windows_by_counting(spark):
     rows = [(k, at) for k in ("a", "b", None) for at in [*range(20), None]] + [("c", 1)]
     df = spark.createDataFrame(rows, "k string, at int").repartition(3)
