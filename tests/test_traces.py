@@ -135,6 +135,19 @@ def test_interval_join_of_a_key_that_is_used_again_and_again(spark):
     assert [r.n for r in wide] == [7]  # one width: an event looks into one bin, which at most three of these spans touch
 
 
+def test_interval_join_of_keys_with_few_spans_and_with_many(spark):
+    """An event of a key with few spans travels once; all keys together give what comparing all rows gives."""
+    rng = random.Random(5)
+    spans = [(k, s, None if rng.random() < 0.1 else s + rng.choice([0, -3, 1, 40, 900]), i) for i, (k, s) in enumerate((k, rng.randrange(-2000, 2000)) for k, n in (("few", 20), ("many", 150), (None, 3)) for _ in range(n))]
+    events = [(rng.choice(["few", "many", "none", None]), rng.choice([None, *range(-2500, 2500, 7)]), i) for i in range(400)]
+    e, s = spark.createDataFrame(events, "k string, at long, e int"), spark.createDataFrame(spans, "k string, s long, t long, i int")
+    want = Counter((e, i) for k, at, e in events for h, s, t, i in spans if k is not None and k == h and at is not None and s <= at and (t is None or at < t))
+    got = H.interval_join(e, s, ["k"], "at", "s", "t")
+    assert Counter((r.e, r.i) for r in got.collect()) == want and got.columns == ["k", "at", "e", "s", "t", "i"]
+    few = H.interval_join(e, s.where("k = 'few'"), ["k"], "at", "s", "t")
+    assert "Generate" not in plan(few) and Counter((r.e, r.i) for r in few.collect()) == Counter({(e, i): 1 for e, i in want if spans[i][0] == "few"})
+
+
 def test_connections(spark):
     rows = [(1, "a", s) for s in (1, 2, 3, 9, 9)] + [(1, "b", 4), (2, "a", 2)]
     df = spark.createDataFrame(rows, "pid int, peer string, snap int")
