@@ -210,3 +210,35 @@ def test_retraining_gates_and_promotes(spark, tmp_path):
     assert (first["status"], bad["status"], strict["status"]) == ("ACCEPTED", "INVALID", "REJECTED") and strict["reasons"]
     ledger = [(r.run_no, r.action, r.status) for r in spark.read.parquet(f"{tmp_path}/ledger").orderBy("run_no", F.desc("action")).collect()]
     assert ledger == [(1, "train", "ACCEPTED"), (1, "promote", "ACCEPTED"), (2, "train", "INVALID"), (3, "train", "REJECTED")]
+
+
+def counted_rows(spark, rows, schema):
+    """The rows, and how many were worked out in all."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    return spark.createDataFrame(rows, schema).mapInPandas(count, schema), seen
+
+
+def test_boosted_trees_learn_in_many_tasks_from_one_file(spark, monkeypatch):
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, df: df)
+    rows = spark.range(0, 25_000, 1, 1).select((F.col("id") % 5 == 0).cast("int").alias("label"), F.lit(1.0).alias("a"))
+    sizes = [r["count"] for r in M.train_boosted(rows, ["a"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 9_000 and sum(sizes) == 25_000
+
+
+def test_transfer_works_features_out_once(spark, monkeypatch):
+    from hostlens.plans import jobs
+
+    names = list(S.SHARED)
+    schema = "label int, " + ", ".join(f"{n} double" for n in names)
+    made = [counted_rows(spark, [(i % 2, *[float(i % 2 + i * k % 7) for k in range(1, len(names) + 1)]) for i in range(n)], schema) for n in (60, 40)]
+    train = M.train_boosted
+    monkeypatch.setattr(jobs, "shared_features", lambda s, d: [df for df, _ in made])
+    monkeypatch.setattr(jobs.M, "train_boosted", lambda df, f: train(df, f, trees=2, depth=2))
+    found = {r.direction: r.tp + r.fp + r.tn + r.fn for r in jobs.m19(spark, "").collect()}
+    assert found == {"users to documents": 40, "documents to users": 60} and [seen.value for _, seen in made] == [60, 40]
