@@ -242,3 +242,9 @@ def test_transfer_works_features_out_once(spark, monkeypatch):
     monkeypatch.setattr(jobs.M, "train_boosted", lambda df, f: train(df, f, trees=2, depth=2))
     found = {r.direction: r.tp + r.fp + r.tn + r.fn for r in jobs.m19(spark, "").collect()}
     assert found == {"users to documents": 40, "documents to users": 60} and [seen.value for _, seen in made] == [60, 40]
+
+
+def test_retraining_deals_its_rows_once(spark, tmp_path):
+    df, seen = counted_rows(spark, [(i, int(i % 4 == 0), float(i % 4 == 0) + i * 37 % 100 / 400) for i in range(300)], "id long, label int, a double")
+    assert M.retrain(df, ["a"], "id", "label", str(tmp_path), "d", trees=2, depth=2)["n_train"] == 240
+    assert seen.value <= 4 * 300  # to be counted by prefix, and to be dealt: those of the prefix of the cut and the others
