@@ -199,6 +199,17 @@ def test_window_deviations_equal_long_ones(spark):
     assert same(D.deviation_vector(long, keys, names), D.window_deviation_vector(wide, keys, names))
 
 
+def test_saved_windows_are_not_sent_to_all(spark):
+    """Files of windows that repeat are small, however many there are; neither they nor baselines go through the driver."""
+    w = spark.range(0, 3000, 1, 2).selectExpr("id % 50 AS profile_id", "cast(id as int) AS start", "cast(id % 3 as double) AS syscalls_sensitive", "1.0D AS cpu_usage", "cast(id as string) AS instance_id", "0 AS label_binary")
+    w = sinks.stored(w)
+    base = B.build_profiles(w, B.registry(spark))
+    for rows in (base, D.window_deviations(w, ["profile_id", "start"], ["syscalls_sensitive", "cpu_usage"], base, B.registry(spark))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and not any("BroadcastHashJoin" in line and "profile_id" in line for line in plan.splitlines())
+    assert rows.count() == 3000
+
+
 def test_retraining_gates_and_promotes(spark, tmp_path):
     from hostlens.operators import ml
 
