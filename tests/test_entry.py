@@ -48,3 +48,26 @@ def test_queries_agree_with_sql(spark, name):
     want = con.execute(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]})").fetchall()
     show = lambda rows: sorted(repr([float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in rows)
     assert show(got.select(*cols).collect()) == show(want)
+
+
+def test_flagship_agrees_with_sql_on_odd_times(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table events as select i AS event_id, i % 2 AS user_id, CASE WHEN i % 5 > 0 THEN TIMESTAMP '9999-12-29 05:00:00' + to_days((i * i % 7)::INT) END AS ts, 'view' AS event_type, 1.0::DOUBLE AS value, 'k' AS props from range(60) t(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()["W3_compare_then_update"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()['W3_compare_then_update']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and any(r[1] is None for r in want) and any(r[1] and r[1] > "10" and len(r[1]) > 10 for r in want)
+
+
+def test_flagship_agrees_with_sql_on_ties(spark, tmp_path):
+    """A score that is 3 by hand and just below in SQL, whose deviation is kept up to date row by row."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table events as select d * 10 + i AS event_id, 697 AS user_id, TIMESTAMP '2024-01-01 05:00:00' + to_days(d::INT) AS ts, 'view' AS event_type, 1.0::DOUBLE AS value, 'k' AS props from (select [2, 3, 2, 3, 1, 2, 2, 2, 1, 2, 4] AS n), range(11) t(d), range(9) u(i) where i < n[d + 1]")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = entry.queries()["W3_compare_then_update"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()['W3_compare_then_update']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and max(want)[-2:] == (3.0, "SUSPICIOUS")

@@ -45,6 +45,13 @@ def test_a_score_of_just_the_threshold_is_exact(spark):
     assert (last.mean_before, last.std_before, last.z) == (22.0, 3.0, 2.0)
 
 
+def test_rows_without_a_time_come_last(spark):
+    df = spark.createDataFrame([("p", None, 100.0), ("p", 1, 3.0), ("p", 2, 5.0)], "k string, t int, v double")
+    for cut in (None, F.col("t") - 1):
+        rows = {r.t: r for r in W.compare_then_update(df, ["k"], ["t"], "v", cut).collect()}
+        assert (rows[1].n_before, rows[2].n_before, rows[None].n_before) == (0, 1, 2) and (rows[2].mean_before, rows[None].mean_before) == (3.0, 4.0)
+
+
 def test_combined_moments_equal_those_of_the_union(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"), (F.col("id") < 60).alias("first"))
     m = lambda x: x.groupBy("k").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"), F.min("v").alias("low"), F.max("v").alias("high"))
