@@ -206,6 +206,16 @@ def test_window_deviations_equal_long_ones(spark):
     assert same(D.deviation_vector(long, keys, names), D.window_deviation_vector(wide, keys, names))
 
 
+def test_counted_baseline_equals_wide(spark):
+    rows = [(p, float((i * 7 + p) % 13), None if i == 3 else 0.5 * (i % 5)) for p in range(4) for i in range(30 + p)]
+    w = spark.createDataFrame(rows, "profile_id int, syscall_count double, cpu_usage double")
+    names = ["syscall_count", "cpu_usage"]
+    wide, counted = ({(r.profile_id, r.feature): r for r in f(w, ["profile_id"], names, B.registry(spark)).collect()} for f in (B.wide_baseline, B.counted_baseline))
+    assert set(wide) == set(counted) and len(wide) == 8
+    for k, r in wide.items():
+        assert all(math.isclose(r[c], counted[k][c], rel_tol=1e-12, abs_tol=1e-12) for c in r.asDict() if c not in ("profile_id", "feature"))
+
+
 def test_saved_windows_are_not_sent_to_all(spark):
     """Files of windows that repeat are small, however many there are; neither they nor baselines go through the driver."""
     w = spark.range(0, 3000, 1, 2).selectExpr("id % 50 AS profile_id", "cast(id as int) AS start", "cast(id % 3 as double) AS syscalls_sensitive", "1.0D AS cpu_usage", "cast(id as string) AS instance_id", "0 AS label_binary")

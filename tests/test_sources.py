@@ -33,6 +33,18 @@ def test_ingest(spark, tmp_path):
     assert p["p1", "syscall_count"].observations == 6 and p["p0", "syscall_count"].observations == 7 and p["p0", "syscall_count"].typical == ["file_open"] and len(p) == 2 * 42
 
 
+def test_ingest_counts_all_windows_of_a_program(spark, tmp_path):
+    """No window is left out: 6,000 of one program, the last of which change all statistics."""
+    run, out = tmp_path / "run", str(tmp_path / "out")
+    run.mkdir()
+    (run / "behaviour_windows.csv").write_text("instance_id,profile_id,start_time,syscall_count,cpu_usage,label_binary\n" + "".join(f"i{k},p,{k},{k},{'' if k < 5000 else 7.5},\n" for k in range(6000)))
+    ingest_experiment(spark, str(run), out, profiles=True).collect()
+    p = {r.feature: r for r in spark.read.parquet(f"{out}/process_profiles").collect()}
+    r = p["syscall_count"]
+    assert (r.observations, r.instances, r.n, r.mean, r.low, r.high, r.median, r.mad, len(p)) == (6000, 6000, 6000, 2999.5, 0.0, 5999.0, 2999.5, 1500.0, 42)
+    assert abs(r.std - (6000**2 / 12 - 1 / 12) ** 0.5) < 1e-6 and abs(r.p90 - 5399.1) < 1e-6 and p["cpu_usage"].high == 7.5 and p["cpu_usage"].median == 0.0
+
+
 def test_trace_collections(spark, tmp_path):
     for path, text in {
         "adfa/Training_Data_Master/UTD-1.txt": "1 2 3", "adfa/Training_Data_Master/ADFA-LD+Syscall+List.txt": "no trace", "adfa/Training_Data_Master/bad.txt": "1 x", "adfa/Validation_Data_Master/UVD 2.txt": "4",
